@@ -87,6 +87,23 @@ def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[s >> 6] >> (s & 63)) & 1 == 1
 
 
+def without(rows: DataFrame, column: str, removed: DataFrame, most: int = 1 << 24) -> DataFrame:
+    """``rows`` whose long ``column`` is not in ``removed`` (id).
+
+    A bitmap of bounded size over the removed ids is broadcast as a table of words: rows off its bits stay where
+    they are, and only the others are shuffled for an exact anti join.
+    """
+    bits = bits_for(removed.count(), most)
+    word, mask, slot = spare(rows, "filter_word"), spare(rows, "filter_mask"), spare(rows, "filter_slot")
+    s = removed.select(F.expr(f"pmod(xxhash64(id), {bits})").alias("s"))
+    words = s.groupBy(F.expr("s div 64").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias(mask))
+    marked = rows.withColumn(slot, F.pmod(F.xxhash64(column), F.lit(bits))).withColumn(word, F.expr(f"`{slot}` div 64")).join(F.broadcast(words), word, "left")
+    on = F.coalesce(F.expr(f"shiftright(`{mask}`, cast(`{slot}` % 64 as int)) & 1L = 1L"), F.lit(False))
+    gone = removed.select(F.col("id").alias(word))
+    clear, maybe = marked.where(~on).select(*rows.columns), marked.where(on).select(*rows.columns)
+    return clear.union(maybe.join(gone, maybe[column] == gone[word], "left_anti"))
+
+
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, component): the smallest id that each node reaches over ``links`` (a, b).
 

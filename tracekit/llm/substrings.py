@@ -15,7 +15,6 @@ no boundary between them then share ``length`` bytes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,33 +326,36 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
     return plain.unionByName(mixed).unionByName(again)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """(key, kept binary, n_bytes, n_removed, n_spans) for each row: its text without the bytes that repeat.
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept binary, n_bytes, n_removed, n_spans) for each row: its text without the bytes that repeat; then the columns ``carry`` as they are.
 
     Texts are taken as UTF-8 bytes, null as empty, and strings never cross documents. "Earlier" means a smaller key (rows with the
     same key: the order of the text's hash; null keys first), or the same document and an earlier start; strings are
     judged on the input, not on what is left. Texts shorter than ``length`` lose nothing. Other columns are ignored.
     """
+    names = [key, "kept", "n_bytes", "n_removed", "n_spans", *carry]
     docs, row, _ = with_row_id(docs, text, key)
     spans = stored(repeated_spans(docs, row, text, length), "spans")
     by_doc = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(spans, "id"))
-    source = docs.select(F.col(row).alias("id"), F.col(key).alias("k"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.xxhash64(F.col(row)).alias("h"))
-    kind = docs.schema[key].dataType.simpleString()
+    more = [f"c{k}" for k in range(len(carry))]
+    source = docs.select(F.col(row).alias("id"), F.xxhash64(F.col(row)).alias("h"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), F.col(key).alias("k"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
+    kinds = "".join(f", {m} {docs.schema[c].dataType.simpleString()}" for c, m in zip([key, *carry], ["k", *more], strict=True))
 
     def parted(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = in_filter(wanted.value, batch.column(3).to_numpy())
-            yield batch.filter(pa.array(on if inside else ~on)).select([0, 1, 2])
+            on = in_filter(wanted.value, batch.column(1).to_numpy())
+            yield batch.filter(pa.array(on if inside else ~on))
 
-    shape = f"id long, k {kind}, text binary"
+    shape = f"id long, h long, text binary{kinds}"
     touched = source.mapInArrow(lambda b: parted(b, True), shape).join(by_doc, "id", "left")
-    whole = source.mapInArrow(lambda b: parted(b, False), shape).select(F.col("k").alias(key), F.col("text").alias("kept"), F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    none = F.lit(0).cast("long")
+    whole = source.mapInArrow(lambda b: parted(b, False), shape).select("k", "text", F.length("text").cast("long"), none, none, *more)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n, gone, spans = [], [], [], []
-            for t, s in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for t, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.frombuffer(t, dtype=np.uint8)
                 change = np.zeros(data.size + 1, dtype=np.int32)
                 if s.is_valid and len(s.values):
@@ -365,12 +367,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 n.append(data.size)
                 gone.append(int(out.sum()))
                 spans.append(int((out[1:] & ~out[:-1]).sum()) + int(out[:1].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, spans))], ["k", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), *(batch.column(k) for k in range(2, batch.num_columns))], ["kept", "n", "gone", "spans", "k", *more])
 
-    out = touched.select("k", "text", "spans").mapInArrow(cut, f"k {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
-    return out.withColumnRenamed("k", key).union(whole)
+    out = touched.select("text", "spans", "k", *more).mapInArrow(cut, f"kept binary, n long, gone long, spans long{kinds}")
+    return out.select("k", "kept", "n", "gone", "spans", *more).union(whole).toDF(*names)
 
-
-def digest(kept: bytes) -> str:
-    """The form in which a query states a text."""
-    return hashlib.sha256(kept).hexdigest()
