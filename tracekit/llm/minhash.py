@@ -4,12 +4,13 @@ Two small collections of half keys are computed for each document, each half of
 The table keys are all combinations of one half of each collection: ``side * side`` tables from
 ``2 * side * half`` minhashes, about the square root of what separate bands would need. Two documents
 meet in a table if they share a half in both collections; with the defaults a pair at similarity 0.8 is
-missed with a chance of about 1e-5, one above it with less.
+missed with a chance of 2e-4, one at 0.85 with 8e-6, and a component only suffers if no other link joins its parts.
 
 Candidates are confirmed on the full shingle sets. Only links that can join two components are
-looked at, and no bucket is ever expanded into all its pairs: in a first round each member is held
-against the smallest of its buckets; after that, only the members outside a bucket's largest component are held against
-the bucket's members of other components, which leaves no possible link between components out.
+looked at, and no bucket is expanded into all its pairs. In the first rounds members are held
+against one pivot of their bucket, the member that meets the most others. After that, only members outside a bucket's
+largest component can still bring links between components. They are held against all members of their cluster of buckets
+in blocks, on full sets, so no link is left out.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield rows.start + k, np.unique(s[at[k] : at[k + 1]])
 
 
-def signatures(docs: DataFrame, row: str, text: str = "text", width: int = 2, side: int = 12, half: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, row: str, text: str = "text", width: int = 2, side: int = 13, half: int = 3) -> DataFrame:
     """(id, n_shingles, digest, minhashes): a digest of each document's set and its ``2 * side * half`` minhashes; no set, no digest."""
     factors = bh.mixed(np.arange(7, 7 + 2 * side * half, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
@@ -60,7 +61,7 @@ def signatures(docs: DataFrame, row: str, text: str = "text", width: int = 2, si
     return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(sign, "id long, n_shingles long, digest binary, minhashes array<int>")
 
 
-def table_keys(signed: DataFrame, side: int = 12, half: int = 2) -> DataFrame:
+def table_keys(signed: DataFrame, side: int = 13, half: int = 3) -> DataFrame:
     """(key, id): all combinations of a half key of the first collection with one of the second."""
     halves = F.transform(F.sequence(F.lit(0), F.lit(2 * side - 1)), lambda i: F.xxhash64(i, *[F.element_at("minhashes", (i * half + k + 1).cast("int")) for k in range(half)]))
     cut = signed.select("id", F.slice(halves, 1, side).alias("x"), F.slice(halves, side + 1, side).alias("y"))
@@ -69,13 +70,13 @@ def table_keys(signed: DataFrame, side: int = 12, half: int = 2) -> DataFrame:
 
 
 def _alike(likely: DataFrame, signed: DataFrame, percent: int, least: float) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose minhashes don't speak clearly against it (more than six deviations)."""
+    """(a, b, same) of the pairs whose sizes allow the similarity and whose minhashes don't speak clearly against it (more than four deviations); same is the share of equal minhashes."""
     s = signed.select("id", "n_shingles", "minhashes")
-    both = likely.join(s.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("minhashes").alias("ma")), "a").where("na is not null")
+    both = likely.join(s.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("minhashes").alias("ma")), "a")
     both = both.join(s.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("minhashes").alias("mb")), "b")
     both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    same = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, x: t + x)
-    return both.where(same >= F.lit(least) * F.size("ma")).select("a", "b")
+    same = F.aggregate(F.zip_with("ma", "mb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda t, x: t + x) / F.size("ma")
+    return both.select("a", "b", same.alias("same")).where(F.col("same") >= least)
 
 
 def confirmed(likely: DataFrame, docs: DataFrame, row: str, text: str, width: int, percent: int) -> DataFrame:
@@ -95,7 +96,72 @@ def confirmed(likely: DataFrame, docs: DataFrame, row: str, text: str, width: in
     return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).cast("long").alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, side: int = 12, half: int = 2, least: float = 0.4) -> DataFrame:
+def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width: int, percent: int, block: tuple[int, int] = (1000, 4000)) -> DataFrame:
+    """(a, b): of each cluster in ``placed`` (id, cluster, component, outside), links between an outside member and a member of another component, one for each such component at least.
+
+    All outside members are held against all members of their cluster, on full sets, block by block; a task holds one block of outside
+    members and reads the other members one at a time. Only links leave it, no candidates.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(placed, "id"))
+    source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h"))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(wanted.value, batch.column(2).to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in _sets(batch, width)], pa.binary())], ["id", "s"])
+
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("outside").cast("int")) / block[0]).cast("int").alias("rows"), F.ceil(F.count("*") / block[1]).cast("int").alias("cols")).where("rows > 0")
+    known = source.mapInArrow(full, "id long, s binary").join(placed.join(sizes, "cluster"), "id")
+    at = F.xxhash64("id")
+    held = known.where("outside").select("cluster", F.pmod(at, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component", "s")
+    read = known.select("cluster", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(at, "cols").alias("j"), F.lit(1).alias("side"), "id", "component", "s")
+    dealt = held.select("cluster", F.col("i").cast("int").alias("i"), "j", "side", "id", "component", "s").union(read.select("cluster", "i", F.col("j").cast("int").alias("j"), "side", "id", "component", "s"))
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, parts, sets, seen = None, [], [], [], set()
+        token = owner = n = None
+        for batch in batches:
+            a, b = [], []
+            cluster, i, j, side, who, part, raw = (batch.column(k).to_pylist() for k in range(7))
+            for k in range(batch.num_rows):
+                s = np.frombuffer(raw[k], dtype=U)
+                if (cluster[k], i[k], j[k]) != at:
+                    at, ids, parts, sets, seen, token = (cluster[k], i[k], j[k]), [], [], [], set(), None
+                if side[k] == 0:
+                    ids.append(who[k])
+                    parts.append(part[k])
+                    sets.append(s)
+                    continue
+                if not ids:
+                    continue
+                if token is None:
+                    n = np.array([x.size for x in sets])
+                    token, owner = np.concatenate(sets), np.repeat(np.arange(n.size), n)
+                    by = np.argsort(token)
+                    token, owner, where = token[by], owner[by], np.array(parts)
+                lo, hi = np.searchsorted(token, s), np.searchsorted(token, s, side="right")
+                c = hi - lo
+                common = np.bincount(owner[np.repeat(lo - np.cumsum(c) + c, c) + np.arange(int(c.sum()))], minlength=n.size)
+                for x in np.flatnonzero((100 * common >= percent * (n + s.size - common)) & (where != part[k])).tolist():
+                    if (x, part[k]) not in seen:
+                        seen.add((x, part[k]))
+                        a.append(min(ids[x], who[k]))
+                        b.append(max(ids[x], who[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _mixed(members: DataFrame, part: DataFrame) -> DataFrame:
+    """``members`` of buckets that hold several components, with their component and the bucket's largest one (main)."""
+    placed = members.join(part, "id")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(parts.select("key", "main"), "key")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, side: int = 13, half: int = 3, least: float = 0.6, rounds: int = 2) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
     A document's set holds its distinct ``width``-word shingles (words ``[^ \\t-\\r]+``, A-Z as a-z; with fewer
@@ -110,24 +176,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     firsts = stored(firsts, "sets")
     distinct = firsts.select(F.col("first").alias("id"), "n_shingles", "minhashes")
     keys = table_keys(distinct, side, half)
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low")
+    shared = keys.groupBy("key").agg(F.count("*").alias("meets")).where("meets > 1")
     members = stored(keys.join(shared, "key"), "members")
-
-    star = _alike(members.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), distinct, percent, least)
-    star = stored(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
-    links = stored(confirmed(star, docs, row, text, width, percent), "linked")
-    part = stored(components(distinct.select("id"), links), "parts")
-
-    placed = members.select("key", "id").join(part, "id")
-    mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = mixed.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = stored(placed.join(mixed.select("key", "main"), "key"), "placed")
-    outside = placed.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    across = outside.join(placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb")), "key").where("ca <> cb")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = stored(_alike(across, distinct, percent, least).join(star, ["a", "b"], "left_anti"), "across")
-    links = links.union(confirmed(across, docs, row, text, width, percent)) if not across.isEmpty() else links
-    part = components(distinct.select("id"), links)
+    degree = members.groupBy("id").agg(F.sum("meets").alias("degree"))
+    size = distinct.select("id", F.col("n_shingles").alias("n"))
+    members = stored(members.select("key", "id").join(degree.join(size, "id"), "id"), "members")
+
+    part, links = None, None
+    for _ in range(rounds):
+        # each member outside the main component of its bucket (at first: each member) and the pivot of that component
+        placed = members if part is None else _mixed(members, part)
+        main = placed if part is None else placed.where("component = main")
+        pivot = main.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("degree", -F.col("id"))).alias("p")).select("key", "p.*")
+        others = placed if part is None else placed.where("component <> main")
+        likely = others.join(pivot, "key").where(f"a <> id and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct()
+        best = _alike(likely, distinct, percent, least).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+        best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+        found = stored(confirmed(best, docs, row, text, width, percent), "linked")
+        links = found if links is None else links.union(found)
+        part = stored(components(distinct.select("id"), links), "parts")
+    placed = stored(_mixed(members, part), "placed")
+    low = placed.groupBy("key").agg(F.min("id").alias("a"))
+    cluster = components(placed.select("id").distinct(), placed.select("key", F.col("id").alias("b")).join(low, "key").select("a", "b")).withColumnRenamed("component", "cluster")
+    inside = placed.groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside")).join(cluster, "id")
+    across = stored(links_across(stored(inside, "inside"), docs, row, text, width, percent), "across")
+    if not across.isEmpty():
+        part = components(distinct.select("id"), links.union(across))
 
     by_set = firsts.select("digest", F.col("first").alias("id")).join(part, "id").select("digest", "component")
     out = signed.select("id", "n_shingles", "digest").join(by_set, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
