@@ -111,7 +111,7 @@ def mixtures(data: np.ndarray, offsets: np.ndarray, models: Models, rounds: int,
     """Proportions of each text's selected languages (0 for the others), and its number of words."""
     slot, word, first = _grams(data, offsets)
     n = np.diff(first)
-    if not word.size:
+    if not word.size or not models.names:
         return np.zeros((n.size, len(models.names))), n
     score = np.add.reduceat(models.table[slot], word, axis=0)
     top = score.max(axis=1, keepdims=True)
@@ -166,9 +166,10 @@ def predict(docs: DataFrame, models: Models, carry: list[str], text: str = "text
                     score.append(float(min(1.0, share[k, top])) if known else 0.0)
                     parts.append([(m.names[j], float(share[k, j])) for j in np.flatnonzero(share[k] > 0)] if known else [])
             kept = [batch.column(j) for j in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(parts, pa.map_(pa.string(), pa.float64()))], [*carry, "lang_pred", "score", "proportions"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(parts, pa.map_(pa.string(), pa.float64()))], [*inner, "lang_pred", "score", "proportions"])
 
-    rounds_ = rounds
+    rounds_, inner = rounds, [f"c{k}" for k in range(len(carry))]
     rows = docs.select(F.col(text).cast("binary").alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(tell, f"{shape}, lang_pred string, score double, proportions map<string, double>")
+    shape = ", ".join(f"{i} {docs.schema[c].dataType.simpleString()}" for i, c in zip(inner, carry, strict=True))
+    out = rows.mapInArrow(tell, f"{shape}, lang_pred string, score double, proportions map<string, double>")
+    return out.toDF(*carry, "lang_pred", "score", "proportions")
