@@ -7,10 +7,9 @@ meet in a table if they share a half in both collections; with the defaults a pa
 missed with a chance of 2e-4, one at 0.85 with 8e-6, and a component only suffers if no other link joins its parts.
 
 Candidates are confirmed on the full shingle sets. Only links that can join two components are
-looked at, and no bucket is expanded into all its pairs. In the first rounds members are held
-against one pivot of their bucket, the member that meets the most others. After that, only members outside a bucket's
-largest component can still bring links between components. They are held against all members of their cluster of buckets
-in blocks, on full sets, so no link is left out.
+looked at, and no bucket is expanded into all its pairs. First, members are held against one pivot of their buckets, a member that meets
+the most others. After that, only members outside a bucket's largest component can still bring links between components. They
+are held in blocks, on full sets, against all members of the buckets with the same largest component, so no link is left out.
 """
 
 from __future__ import annotations
@@ -102,7 +101,7 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
     All outside members are held against all members of their cluster, on full sets, block by block; a task holds one block of outside
     members and reads the other members one at a time. Only links leave it, no candidates.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(placed, "id"))
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(placed.select("id").distinct(), "id"))
     source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +152,7 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _mixed(members: DataFrame, part: DataFrame) -> DataFrame:
-    """``members`` of buckets that hold several components, with their component and the bucket's largest one (main)."""
-    placed = members.join(part, "id")
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return placed.join(parts.select("key", "main"), "key")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, side: int = 13, half: int = 3, least: float = 0.6, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, side: int = 13, half: int = 3, least: float = 0.6) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``docs``.
 
     A document's set holds its distinct ``width``-word shingles (words ``[^ \\t-\\r]+``, A-Z as a-z; with fewer
@@ -182,23 +173,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     size = distinct.select("id", F.col("n_shingles").alias("n"))
     members = stored(members.select("key", "id").join(degree.join(size, "id"), "id"), "members")
 
-    part, links = None, None
-    for _ in range(rounds):
-        # each member outside the main component of its bucket (at first: each member) and the pivot of that component
-        placed = members if part is None else _mixed(members, part)
-        main = placed if part is None else placed.where("component = main")
-        pivot = main.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("degree", -F.col("id"))).alias("p")).select("key", "p.*")
-        others = placed if part is None else placed.where("component <> main")
-        likely = others.join(pivot, "key").where(f"a <> id and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct()
-        best = _alike(likely, distinct, percent, least).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
-        best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-        found = stored(confirmed(best, docs, row, text, width, percent), "linked")
-        links = found if links is None else links.union(found)
-        part = stored(components(distinct.select("id"), links), "parts")
-    placed = stored(_mixed(members, part), "placed")
-    low = placed.groupBy("key").agg(F.min("id").alias("a"))
-    cluster = components(placed.select("id").distinct(), placed.select("key", F.col("id").alias("b")).join(low, "key").select("a", "b")).withColumnRenamed("component", "cluster")
-    inside = placed.groupBy("id").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside")).join(cluster, "id")
+    # each member and the pivot of its bucket; of a member's pivots the one that looks most alike is tried
+    pivot = members.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("degree", -F.col("id"))).alias("p")).select("key", "p.*")
+    likely = members.join(pivot, "key").where(f"a <> id and 100 * least(n, na) >= {percent} * greatest(n, na)").select("a", F.col("id").alias("b")).distinct()
+    best = _alike(likely, distinct, percent, least).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    best = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    links = stored(confirmed(best, docs, row, text, width, percent), "linked")
+    part = stored(components(distinct.select("id"), links), "parts")
+
+    # buckets of several components; those with one largest component are a cluster, in which all members that are outside of it are held against all
+    placed = members.join(part, "id")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("cluster"), F.count("*").alias("parts")).where("parts > 1")
+    inside = placed.join(parts.select("key", "cluster"), "key").select("cluster", "id", "component", (F.col("component") != F.col("cluster")).alias("outside")).distinct()
     across = stored(links_across(stored(inside, "inside"), docs, row, text, width, percent), "across")
     if not across.isEmpty():
         part = components(distinct.select("id"), links.union(across))
