@@ -71,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, row: str, key: str, text: str, label
     if not total:
         return None
     chosen = known.where(F.expr(f"pmod(xxhash64(k, 17), 1000000) < {min(1.0, sample / total) * 1_000_000}"))
-    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).alias("k")).join(chosen, "k").select("text", "y")
+    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).alias("k")).join(F.broadcast(chosen), "k").select("text", "y")  # its size is bounded by ``sample``
     rows = stored(_features(rows).select(array_to_vector("features").alias("raw"), "y"), "sample")
     few = rows.groupBy("y").count().collect()
     prior = sum(r[0] * r[1] for r in few) / max(1, sum(r[1] for r in few))
