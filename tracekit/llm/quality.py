@@ -31,8 +31,7 @@ def form(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """What a text looks like, a row each: the share of each ASCII character, size, capitals, and how far words and lines repeat."""
     n = np.diff(offsets)
     text = np.repeat(np.arange(n.size), n)
-    share = np.zeros((n.size, 129))
-    np.add.at(share.ravel(), text * 129 + np.minimum(data, 128), 1)
+    share = np.bincount(text * 129 + np.minimum(data, 128), minlength=n.size * 129).reshape(n.size, 129)
     out = [np.sqrt(share / np.maximum(n, 1)[:, None]), np.log1p(n)[:, None]]
     for kind, value in ((bh.SOLID, bh.FOLDED), (LINE, bh.VALUE)):
         begins, stops, firsts = bh.words(data, offsets, kind)
@@ -41,8 +40,7 @@ def form(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         distinct = np.array([np.unique(h[firsts[k] : firsts[k + 1]]).size for k in range(n.size)])
         size = np.array([(stops[firsts[k] : firsts[k + 1]] - begins[firsts[k] : firsts[k + 1]]).sum() for k in range(n.size)])
         out += [np.log1p(count)[:, None], (distinct / np.maximum(count, 1))[:, None], np.log1p(size / np.maximum(count, 1))[:, None]]
-    capital = np.zeros(n.size)
-    np.add.at(capital, text, UPPER[data])
+    capital = np.bincount(text[UPPER[data]], minlength=n.size)
     return np.hstack([*out, (capital / np.maximum(n, 1))[:, None]])
 
 
