@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracekit.llm.shared import stored
+
 #: Documents that one window should span at most, about.
 RANGE = 5000
 
@@ -78,6 +80,7 @@ def mix(docs: DataFrame, levels: list[str], key: str = "doc_id", text: str = "te
     """
     tokens = F.expr(f"regexp_count(coalesce(`{text}`, ''), '[^\\\\x20\\\\x09-\\\\x0D]+')").cast("long")
     rows = docs.select(F.col(key).alias("k"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(f"l{i}") for i, c in enumerate(levels)], tokens.alias("n_tokens")).where("n_tokens > 0")
+    rows = stored(rows, "tokens")  # texts are read and counted once
     cols = [f"l{i}" for i in range(len(levels))]
     named = {f"l{i}": w for i, c in enumerate(levels) if (w := (weights or {}).get(c))}
     leaves = rows.groupBy(*cols).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
