@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+import tracekit.plans.extended  # registers its queries  # noqa: F401
 from tracekit.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"

@@ -88,3 +88,26 @@ def scaled(df: DataFrame, v: str, keys: list[str], out: str = "scaled", constant
 def rescaled_bits(df: DataFrame, v: str, bits: int, out: str = "level") -> DataFrame:
     """Min-max to 0 .. 2**bits - 1, rounded half to even; a constant gives 0."""
     return scaled(df, v, [], "_s").withColumn(out, F.bround(F.col("_s") * (2**bits - 1)).cast("long")).drop("_s")
+
+
+def flattened(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Struct columns as columns of their own at all depths, names joined by ``sep``."""
+    from pyspark.sql.types import StructType
+
+    def leaves(schema: StructType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        return [p for f in schema.fields for p in (leaves(f.dataType, (*path, f.name)) if isinstance(f.dataType, StructType) else [(*path, f.name)])]
+
+    return df.select(*[F.col(".".join(f"`{x}`" for x in p)).alias(sep.join(p)) for p in leaves(df.schema, ())])
+
+
+def cohort(name: Column, rules: list[tuple[str, str]], other: str | None = None) -> Column:
+    """The group of the first rule (prefix, group) that ``name`` starts with."""
+    out = F.lit(other)
+    for prefix, group in reversed(rules):
+        out = F.when(name.startswith(prefix), group).otherwise(out)
+    return out
+
+
+def crop_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """(left, top, right, bottom) of two corners."""
+    return F.struct(F.least(x1, x2).alias("left"), F.least(y1, y2).alias("top"), F.greatest(x1, x2).alias("right"), F.greatest(y1, y2).alias("bottom"))

@@ -47,3 +47,28 @@ def paired_by_order(events: DataFrame, k: list[str], o: str, t: str, edge: str,
 def ordered_pairs(items: DataFrame, name: str) -> DataFrame:
     """(main, comp) of a short list of items with main before comp."""
     return items.select(F.col(name).alias("main")).join(F.broadcast(items.select(F.col(name).alias("comp"))), F.col("main") < F.col("comp"))
+
+
+def interpolated(clock: DataFrame, source: DataFrame, k: list[str], t: str, v: str, out: str = "value") -> DataFrame:
+    """clock (k, t, ...) with the straight line through the samples of ``source`` (k, t, v) around t; beyond the ends the line of the nearest two goes on. Null if a key has no two samples.
+
+    One shuffle by key: each sample stands for the piece up to the next one, and clock rows take the piece before them, or else the one after.
+    """
+    w = Window.partitionBy(*k).orderBy(t)
+    piece = F.struct(F.col(t).cast("double").alias("t0"), F.col(v).cast("double").alias("v0"), F.lead(t).over(w).cast("double").alias("t1"), F.lead(v).over(w).cast("double").alias("v1"))
+    pieces = source.groupBy(*k, t).agg(F.min(v).alias(v)).withColumn("_p", piece).where("_p.t1 is not null")
+    rest = [c for c in clock.columns if c not in (*k, t)]
+    both = clock.withColumn("_s", F.lit(1)).unionByName(pieces.select(*k, t, "_p", F.lit(0).alias("_s")), allowMissingColumns=True)
+    by = Window.partitionBy(*k).orderBy(t, "_s")
+    before = F.last("_p", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min(F.when(F.col("_s") == 0, F.struct(F.col(t).alias("_at"), "_p"))).over(Window.partitionBy(*k))
+    both = both.withColumn("_b", before).withColumn("_f", first).where("_s = 1").withColumn("_p", F.coalesce("_b", "_f._p"))
+    line = F.col("_p.v0") + (F.col(t) - F.col("_p.t0")) * (F.col("_p.v1") - F.col("_p.v0")) / (F.col("_p.t1") - F.col("_p.t0"))
+    return both.select(*k, t, *rest, line.alias(out))
+
+
+def trial_summary(trials: DataFrame, k: list[str], rel: str, v: str, onset: int) -> DataFrame:
+    """(k, peak, rise, area): of each trial the largest value from ``onset`` on, that less the value at onset, and the sum from there; null without values."""
+    after = F.when(F.col(rel) >= onset, F.nanvl(F.col(v), F.lit(None)))
+    at = F.max(F.when(F.col(rel) == onset, F.col(v)))
+    return trials.groupBy(*k).agg(F.max(after).alias("peak"), (F.max(after) - at).alias("rise"), F.sum(after).alias("area"))

@@ -165,3 +165,22 @@ def reconstructed(footprints: DataFrame, traces: DataFrame) -> DataFrame:
 def oriented(pixels: DataFrame, width: int) -> DataFrame:
     """Flipped along x and turned by a quarter."""
     return pixels.select("frame", F.col("x").alias("y"), F.col("y").alias("x"), "v").select("frame", (F.lit(width - 1) - (F.lit(width - 1) - F.col("y"))).alias("y"), "x", "v")
+
+
+def paired_t(pairs: DataFrame, k: list[str], a: str, b: str) -> DataFrame:
+    """(k, t, df) of the differences a - b; groups with fewer than two pairs, or no spread, are left out."""
+    d = pairs.withColumn("_d", F.col(a) - F.col(b)).groupBy(*k).agg(F.avg("_d").alias("m"), F.stddev_samp("_d").alias("s"), F.count("_d").alias("n"))
+    return d.where("n > 1 and s > 0").select(*k, (F.col("m") / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"))
+
+
+def pair_summary(df: DataFrame, k: list[str], group: str, v: str, a: str, b: str) -> DataFrame:
+    """(k, mean_a, median_a, sd_a, ..., higher): mean, median and population deviation of the two groups, and whether the first mean is the higher."""
+    of = lambda g: F.when(F.col(group) == g, F.col(v))
+    stats = [f(of(g)).alias(f"{n}_{g}") for g in (a, b) for f, n in ((F.avg, "mean"), (F.median, "median"), (F.stddev_pop, "sd"))]
+    return df.groupBy(*k).agg(*stats, (F.avg(of(a)) > F.avg(of(b))).alias("higher"))
+
+
+def null_z_p(real: DataFrame, null: DataFrame, k: list[str], v: str, null_v: str) -> DataFrame:
+    """(k, v, z, p): how far v is from its null values in their deviations, and the share of them that reach it."""
+    both = real.join(null, k)
+    return both.groupBy(*k).agg(F.first(v).alias(v), ((F.first(v) - F.avg(null_v)) / F.nullif(F.stddev_pop(null_v), F.lit(0.0))).alias("z"), F.avg((F.col(null_v) >= F.col(v)).cast("double")).alias("p"))

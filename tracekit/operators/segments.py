@@ -61,3 +61,21 @@ def onset_windows(epochs: DataFrame, k: list[str], half: float, least: float) ->
 def labelled_halves(df: DataFrame, k: list[str], o: str, first: str, second: str) -> DataFrame:
     i, n = F.row_number().over(Window.partitionBy(*k).orderBy(o)), F.count("*").over(Window.partitionBy(*k))
     return df.withColumn("context", F.when(i <= F.floor(n / 2), first).otherwise(second))
+
+
+def laps_by_coverage(df: DataFrame, k: list[str], o: str, v: str, bins: int, least: float, drop: float = 0.5) -> DataFrame:
+    """(k, lap, start, stop, visited): laps whose positions v, from 0 to 1, visit at least the share ``least`` of ``bins`` bins, numbered from 1 in order."""
+    seen = laps_by_reset(df, k, o, v, drop).groupBy(*k, F.col("lap").alias("_lap")).agg(F.min(o).alias("start"), F.max(o).alias("stop"), F.count_distinct(F.floor(F.col(v) * bins)).alias("visited"))
+    kept = seen.where(F.col("visited") >= least * bins)
+    return kept.withColumn("lap", F.row_number().over(Window.partitionBy(*k).orderBy("_lap"))).drop("_lap")
+
+
+def membership_counts(events: DataFrame, segments: DataFrame, k: list[str], ident: list[str], t: str, width: float) -> DataFrame:
+    """(k, segment, n): events in each segment, those in none under segment 0."""
+    return assigned(events, segments, k, ident, t, width).groupBy(*k, F.coalesce("segment", F.lit(0)).alias("segment")).agg(F.count("*").alias("n"))
+
+
+def binned_means(df: DataFrame, k: list[str], o: str, v: str, bins: int) -> DataFrame:
+    """(k, bin, mean) over ``bins`` stretches of equal length of each series."""
+    i, n = F.row_number().over(Window.partitionBy(*k).orderBy(o)) - 1, F.count("*").over(Window.partitionBy(*k))
+    return df.select(*k, v, i.alias("_i"), n.alias("_n")).groupBy(*k, F.expr(f"cast(_i * {bins} div _n as int)").alias("bin")).agg(F.avg(v).alias("mean"))

@@ -133,3 +133,19 @@ def kept_apart(df: DataFrame, k: list[str], o: str, v: str, gap: int) -> DataFra
         return rows
 
     return df.groupBy(*k).applyInPandas(suppress, df.schema)
+
+
+def every_nth(df: DataFrame, k: list[str], o: str, n: int) -> DataFrame:
+    """The first row of each series and each n-th one after it."""
+    return numbered(df, k, [o], "_i").where(F.col("_i") % n == 0).drop("_i")
+
+
+def maximum_scaled(df: DataFrame, k: list[str], v: str, out: str = "scaled") -> DataFrame:
+    """v over its largest value in each series; where that is 0, v stays."""
+    top = F.max(v).over(Window.partitionBy(*k))
+    return df.withColumn(out, F.when(top != 0, F.col(v) / top).otherwise(F.col(v)))
+
+
+def without_extreme_series(df: DataFrame, k: list[str], v: str, limit: float) -> DataFrame:
+    """Without whole series that reach ``limit`` in size. Keys to drop are found by an aggregate, so no series is gathered."""
+    return df.join(df.groupBy(*k).agg(F.max(F.abs(v)).alias("_m")).where(F.col("_m") >= limit).select(*k), k, "left_anti")
