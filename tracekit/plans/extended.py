@@ -119,14 +119,14 @@ def g9(spark: SparkSession, sf: str) -> DataFrame:
     return E.assigned(V.traces(spark, sf), V.intervals(spark, sf), ["entity"], ["frame"], "t", 86400.0).select("entity", "frame", F.col("segment").isNotNull().alias("inside"))
 
 
-_TRIALS = """#e AS (SELECT entity, frame AS f0, row_number() OVER (PARTITION BY entity ORDER BY frame) AS event_no FROM traces WHERE value > 450),
+_TRIALS = """#e AS (SELECT entity, frame AS f0, row_number() OVER (PARTITION BY entity ORDER BY frame) AS event_no FROM traces WHERE value > 200),
 w AS (SELECT e.entity, event_no, t.frame, value FROM e JOIN traces t ON t.entity = e.entity AND t.frame >= f0 - 5 AND t.frame < f0 + 10),
 trials AS (SELECT entity, event_no, frame - min(frame) OVER (PARTITION BY entity, event_no) AS rel, value FROM w)"""
 
 
 def _trials(spark: SparkSession, sf: str) -> DataFrame:
     t = V.traces(spark, sf)
-    e = W.numbered(t.where("value > 450"), ["entity"], ["frame"], "n").select("entity", F.col("frame").alias("at"), (F.col("n") + 1).alias("event_no"))
+    e = W.numbered(t.where("value > 200"), ["entity"], ["frame"], "n").select("entity", F.col("frame").alias("at"), (F.col("n") + 1).alias("event_no"))
     return A.triggered(t, e, ["entity"], "frame", "at", "event_no", "value", -5, 10)
 
 
@@ -244,10 +244,10 @@ def a29(spark: SparkSession, sf: str) -> DataFrame:
     return V.traces(spark, sf).groupBy("entity").agg(F.min("value").alias("low"), F.max("value").alias("high"), r(F.avg("value"), "mean"), r(F.stddev_pop("value"), "sd"), F.count("*").alias("n"))
 
 
-@query("a33_flag_outlier_pairs", "SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT user_id, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events GROUP BY 1) WHERE abs(a) <= 260 AND abs(b) <= 260")
+@query("a33_flag_outlier_pairs", "SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT user_id, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events GROUP BY 1) WHERE abs(a) <= 60 AND abs(b) <= 60")
 def a33(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    return rounded(V.table(spark, sf, "events").groupBy("user_id").agg(mean("click").alias("a"), mean("view").alias("b")).where("abs(a) <= 260 and abs(b) <= 260"))
+    return rounded(V.table(spark, sf, "events").groupBy("user_id").agg(mean("click").alias("a"), mean("view").alias("b")).where("abs(a) <= 60 and abs(b) <= 60"))
 
 
 @query("h3_paired_t", """WITH m AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS d FROM events GROUP BY 1)
