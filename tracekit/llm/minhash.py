@@ -26,6 +26,8 @@ from tracekit.llm import bytehash as bh
 from tracekit.llm.shared import components, in_filter, key_filter, stored, with_row_id
 
 U = np.uint64
+#: Table keys that one task makes, so that counting them stays within its memory.
+KEYS_A_TASK = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -37,6 +39,19 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield rows.start + k, np.unique(s[at[k] : at[k + 1]])
 
 
+def _full(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, width: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(id, s): the full sets of those of rows (id, text, h) that are on the filter, in batches of about ``most`` hashes."""
+    for batch in batches:
+        batch = batch.filter(pa.array(in_filter(wanted, batch.column(2).to_numpy())))
+        ids, first, sets, held = batch.column(0), 0, [], 0
+        for k, s in _sets(batch, width):
+            sets.append(s.view(np.int64))
+            held += s.size
+            if held >= most or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+                first, sets, held = k + 1, [], 0
+
+
 def signatures(docs: DataFrame, row: str, text: str = "text", width: int = 2, side: int = 13, half: int = 3) -> DataFrame:
     """(id, n_shingles, digest, minhashes): a digest of each document's set and its ``2 * side * half`` minhashes; no set, no digest."""
     factors = bh.mixed(np.arange(7, 7 + 2 * side * half, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
@@ -84,10 +99,7 @@ def confirmed(likely: DataFrame, docs: DataFrame, row: str, text: str, width: in
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(ids, "id"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(in_filter(wanted.value, batch.column(2).to_numpy())))
-            sets = [s.view(np.int64) for _, s in _sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+        yield from _full(batches, wanted.value, width)
 
     sets = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(full, "id long, s array<long>")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -105,9 +117,8 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
     source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(in_filter(wanted.value, batch.column(2).to_numpy())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in _sets(batch, width)], pa.binary())], ["id", "s"])
+        for part in _full(batches, wanted.value, width):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.values.to_numpy().tobytes() for s in part.column(1)], pa.binary())], ["id", "s"])
 
     sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("outside").cast("int")) / block[0]).cast("int").alias("rows"), F.ceil(F.count("*") / block[1]).cast("int").alias("cols")).where("rows > 0")
     known = source.mapInArrow(full, "id long, s binary").join(placed.join(sizes, "cluster"), "id")
@@ -166,7 +177,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("minhashes").alias("minhashes"))
     firsts = stored(firsts, "sets")
     distinct = firsts.select(F.col("first").alias("id"), "n_shingles", "minhashes")
-    keys = table_keys(distinct, side, half)
+    # a set makes side * side keys: tasks are cut by keys, as splits by bytes would be far too large
+    tasks = min(20_000, max(1, -(-signed.count() * side * side // KEYS_A_TASK)))
+    keys = table_keys(distinct.select("id", "minhashes").repartition(tasks, "id"), side, half)
     shared = keys.groupBy("key").agg(F.count("*").alias("meets")).where("meets > 1")
     members = stored(keys.join(shared, "key"), "members")
     degree = members.groupBy("id").agg(F.sum("meets").alias("degree"))
