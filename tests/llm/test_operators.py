@@ -1,12 +1,14 @@
 """Each operator on a small awkward table, on an empty one, and against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracekit.llm import decontaminate, fingerprint, html_text, language, licenses, minhash, mixing, quality, substrings, tool_calls
+from tracekit.llm.shared import components
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int, id int, k int, score string, h int, row_id int, n int"
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -81,6 +83,30 @@ def test_links_across_blocks_lose_nothing(spark):
     assert links == {(k, k + 1) for k in range(9)}
 
 
+def brute_parts(pairs):
+    part = {x: x for p in pairs for x in p}
+    for _ in part:
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    return part
+
+
+def test_components_of_shuffled_paths_and_trees(spark):
+    """Also where, after a round, a node hangs on two others and none on itself."""
+    draw = random.Random(5)
+    graphs = [[(2, 5), (5, 4), (4, 6), (6, 3)], []]
+    for k, n in enumerate([2, 5, 6, 8, 8, 8, 20, 60] * 4):
+        ids = draw.sample(range(1000 * k, 1000 * k + 1000), n)
+        graphs[1] += [(ids[i], ids[i - 1 if k % 2 else draw.randrange(i)]) for i in range(1, n)]
+    for pairs in graphs:
+        want = brute_parts(pairs) | {10**6: 10**6}
+        nodes = spark.createDataFrame([(i,) for i in want], "id long")
+        links = spark.createDataFrame(pairs, "a long, b long")
+        assert {r.id: r.component for r in components(nodes, links).collect()} == want
+    with pytest.raises(RuntimeError):
+        components(nodes, links, most_rounds=1)
+
+
 def brute_repeats(rows, length):
     seen, out = set(), []
     for i, b in rows:

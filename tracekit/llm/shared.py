@@ -108,8 +108,8 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 200) -> Da
     """(id, component): the smallest id that each node reaches over ``links`` (a, b).
 
     Rounds of large-star and small-star, each a pair of aggregations over the links, so a
-    long chain ends after about log(length) rounds; nothing is gathered on the driver. It ends when no node that hangs on another one
-    has any hanging on itself.
+    long chain ends after about log(length) rounds; nothing is gathered on the driver. It ends on stars: each node hangs on one
+    other at most, and none that hangs on another has any hanging on itself.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     for _ in range(most_rounds):
@@ -119,6 +119,9 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 200) -> Da
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "links")
-        if edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up = 1 and down > 0").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     return nodes.join(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
