@@ -217,6 +217,13 @@ def test_html():
     assert html_text.main_text("<article><p>cut of <b>here &am") == "cut of here &am"
 
 
+def test_html_article_is_whole():
+    asides = "<aside>a</aside><div class='newsletter-box'>b</div><div class=related-links>c</div>"
+    body = [f"{k} " + "word " * 80 for k in range(10)]
+    page = "<nav>x</nav><article>" + "".join(f"<p>{t}</p>" for t in body) + asides + "<p>The end.</p><p>Thanks.</p></article><div>y</div><article><p>Short</p></article>"
+    assert html_text.main_text(page) == "\n".join([*(t.strip() for t in body), "The end.", "Thanks.", "Short"])
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "w", "<p>é</p>", "t")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(rows, ["page_id", "url"]).orderBy("page_id").collect()]

@@ -124,9 +124,11 @@ def main_text(page: str, width: int = 3, share: float = 0.2) -> str:
     """Lines from each surge of the windowed weights to its dive, joined by line feeds.
 
     A surge begins where a window of ``width`` lines gets any weight, a dive is where it has none left; surges with less than ``share`` of the weight
-    of the largest are left out, as are lines without weight.
+    of the largest are left out, as are lines without weight. Of a page with an article or main element, all lines in it with weight are kept.
     """
     all_lines = lines(page)
+    if re.search(r"<(?:article|main)\b", page, re.I):
+        return "\n".join(t for t, w in all_lines if w > 0)
     weights = [w for _, w in all_lines]
     total = [sum(weights[k : k + width]) for k in range(len(weights))]
     spans: list[tuple[int, int, int]] = []
