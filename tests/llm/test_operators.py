@@ -224,6 +224,26 @@ def test_html_article_is_whole():
     assert html_text.main_text(page) == "\n".join([*(t.strip() for t in body), "The end.", "Thanks.", "Short"])
 
 
+def test_html_layout_is_no_aside():
+    for name in ("content no-sidebar", "has-sidebar", "page-with-sidebar", "post social-science", "sidebar", "content-sidebar"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>Kept</p></article></div>") == "Kept"
+        assert html_text.main_text(f"<div id=menu>no</div><div class='{name}'><p>Kept text of the page</p></div>") == "Kept text of the page"
+    for name in ("post no-sidebar", "social-science"):
+        assert html_text.main_text(f"<article><p>First words here</p><div class='{name}'>Second</div></article>") == "First words here\nSecond"
+    for name in ("site-footer", "share-bar", "cookie-notice", "x related-posts", "sidebar-left", "ad", "menu__item"):
+        assert html_text.main_text(f"<article><p>First words here, and more of them</p><div class='{name}'>Second</div></article>") == "First words here, and more of them"
+    assert html_text.main_text("<form id=f><main><p>Kept</p></main></form>") == "Kept"
+    assert html_text.main_text("<p>Long text of the page</p><aside><article>teaser</article></aside>") == "Long text of the page"
+
+
+def test_html_optional_end_tags():
+    assert html_text.main_text("<article><p class=notice>no<p>First <b>words</b> of it<div>Second part</div></article>") == "First words of it\nSecond part"
+    assert html_text.main_text("<article><ul><li class=promo>no<ul><li>inner</ul><li>One of them</ul><p>After the list</article>") == "One of them\nAfter the list"
+    assert html_text.main_text("<article><table><tr><td class=ad>no<td>Cell of it<tr><td>Next cell</table><dl><dt>Term<dd class=ad>no<dt>Other</dl></article>") == "Cell of it\nNext cell\nTerm\nOther"
+    assert html_text.main_text("<article><p>First words</p><div><div class=ad>no</div>Second</div></article>") == "First words\nSecond"
+    assert html_text.main_text("<nav><a href=x>Home</a><main><p>Kept</p></main>").endswith("Kept")
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "w", "<p>é</p>", "t")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(rows, ["page_id", "url"]).orderBy("page_id").collect()]

@@ -22,12 +22,32 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "select", "button", "menu",
 #: Elements that run on within a line.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|comments?|disqus|respond|replies|sidebar|widget|menu|nav\w*|footer|header|masthead|breadcrumbs?|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|popup|modal|overlay|pagination|pager|skip-link|toolbar)(?:$|[\s_-])")
+#: Words of a class or id that name what stands aside: the whole, its last word, or its first.
+NAMES = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|comments?|disqus|respond|replies|sidebar|widget|menu|nav\w*|footer|header|masthead|breadcrumbs?|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|popup|modal|overlay|pagination|pager|skip-link|toolbar")
+#: First words that may as well name a topic: they count before PLACES only.
+TOPICS = {"social", "share", "sharing", "related", "notice", "banner", "respond", "replies", "header"}
+PLACES = {"area", "articles", "bar", "block", "box", "btn", "button", "buttons", "container", "content", "follow", "group", "icon", "icons", "inner", "item", "items", "link", "links", "list", "media", "module", "networks", "panel", "posts", "section", "stories", "strip", "tools", "top", "bottom", "left", "right", "widget", "wrap", "wrapper"}
+#: A layout that has or lacks what the last word names.
+LAYOUT = {"no", "not", "has", "have", "with", "without", "hide", "show", "and"}
+#: Elements that end where a sibling begins, unless a new list or table has begun.
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+LISTS = {"ul", "ol", "menu", "dl", "table", "select", "article", "main"}
+#: Elements that may stand in a paragraph, besides INLINE.
+PHRASES = {"button", "select", "option", "optgroup", "audio", "video", "input", "area", "track", "source", "link", "meta"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog"}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
+def _named(token: str) -> bool:
+    words = [w for w in re.split("[_-]+", token) if w]
+    if not words:
+        return False
+    if NAMES.fullmatch(token) or NAMES.fullmatch(words[-1]) and not LAYOUT.intersection(words[:-1]):
+        return True
+    return bool(NAMES.fullmatch(words[0])) and (words[0] not in TOPICS or PLACES.issuperset(words[1:]))
+
+
 def _aside(tag: str, attrs: str) -> bool:
     if tag in ASIDE:
         return True
@@ -36,24 +56,122 @@ def _aside(tag: str, attrs: str) -> bool:
     for name, *values in ATTR.findall(attrs):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name in ("class", "id") and any(map(_named, value.split())) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, weight) of each line: the text without markup, and its length, less twice what is linked.
+def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, stop, tag, closing, attributes) of each tag; a comment has no name, and an element of RAW is one tag up to its end."""
+    out, at = [], 0
+    while m := TAG.search(page, at):
+        at, tag, closing = m.end(), (m[2] or "").lower(), bool(m[1])
+        if tag in RAW and not closing:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        out.append((m.start(), at, tag, closing, m[3] or ""))
+    return out
+
+
+def _ends(tags: list[tuple[int, int, str, bool, str]]) -> list[int]:
+    """The tag that ends the element that each tag opens: its end tag, that of an element around it, or a start that implies it; else ``len(tags)``."""
+    ends = [len(tags)] * len(tags)
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def close(depth: int, by: int) -> None:
+        while len(stack) > depth:
+            tag, k = stack.pop()
+            count[tag] -= 1
+            ends[k] = by
 
-    In a page with an article or main element, all lines outside it weigh nothing. What stands aside is one empty line; an
-    element that never closes runs to the end of the article or page.
+    for k, (_, _, tag, closing, attrs) in enumerate(tags):
+        if not tag or tag in RAW or tag in VOID and tag != "hr":
+            continue
+        if closing:
+            if count.get(tag):
+                d = len(stack) - 1
+                while stack[d][0] != tag and (tag not in INLINE or stack[d][0] in INLINE):
+                    d -= 1
+                if stack[d][0] == tag:
+                    close(d, k)
+            continue
+        if count.get("p") and tag not in INLINE and tag not in PHRASES:
+            d = len(stack) - 1
+            while stack[d][0] in INLINE:
+                d -= 1
+            if stack[d][0] == "p":
+                close(d, k)
+        if any(count.get(x) for x in SIBLINGS.get(tag, ())):
+            for d in range(len(stack) - 1, -1, -1):
+                if stack[d][0] in LISTS:
+                    break
+                if stack[d][0] in SIBLINGS[tag]:
+                    close(d, k)
+                    if tag in ("li", "dt", "dd", "td", "th", "option"):
+                        break
+        if tag != "hr" and not attrs.endswith("/"):
+            stack.append((tag, k))
+            count[tag] = count.get(tag, 0) + 1
+    return ends
+
+
+def _asides(page: str, tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """The tags that open what stands aside, and those that end it.
+
+    An element with an article, a main element or most of the page's text in it is the page's layout; but elements of ASIDE
+    that are closed, forms apart, stand aside unless main is in them.
+    """
+    ends = _ends(tags)
+    text, mains, articles = [0], [0], [0]
+    at = 0
+    for start, stop, tag, closing, _ in tags:
+        text.append(text[-1] + len(page[at:start].strip()))
+        mains.append(mains[-1] + (tag == "main" and not closing))
+        articles.append(articles[-1] + (tag == "article" and not closing))
+        at = stop
+    text.append(text[-1] + len(page[at:].strip()))
+    out, k = {}, 0
+    while k < len(tags):
+        _, _, tag, closing, attrs = tags[k]
+        if tag and not closing and tag not in RAW and tag not in VOID and not attrs.endswith("/") and _aside(tag, attrs):
+            end = ends[k]
+            sure = tag in ASIDE and tag != "form" and end < len(tags) and tags[end][2] == tag and tags[end][3]
+            held = text[end + 1] - text[k + 1]
+            if mains[end] == mains[k] and (sure or articles[end] == articles[k] and 2 * held <= text[-1]):
+                out[k] = end
+                # an end tag of its own belongs to it; another one does not
+                k = end + (end < len(tags) and tags[end][2] == tag and tags[end][3])
+                continue
+        k += 1
+    return out
+
+
+def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """(text, weight) of each line: the text without markup, and its length, less twice what is linked; and whether the page has an article or main element.
+
+    In a page with one, all lines outside it weigh nothing. What stands aside is one empty line; an
+    element that never closes runs to the end of the element around it or of the page.
     """
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = 0
-    within = bool(re.search(r"<(?:article|main)\b", page, re.I))
-    main = links = 0
-    dropped: str | None = None
-    depth = 0
+    tags = _tags(page)
+    asides = _asides(page, tags)
+    k = main = links = 0
+    shown = []
+    while k < len(tags):
+        if k in asides:
+            end = asides[k]
+            own = end < len(tags) and tags[end][2] == tags[k][2] and tags[end][3]
+            last = end if own else end - 1
+            stop = tags[end][1] if own else tags[end][0] if end < len(tags) else len(page)
+            shown.append((tags[k][0], stop, None, False))
+            k = last + 1
+        else:
+            shown.append(tags[k][:4])
+            k += 1
+    within = any(tag in ("article", "main") and not closing for _, _, tag, closing in shown)
 
     def flush() -> None:
         nonlocal linked
@@ -65,59 +183,30 @@ def lines(page: str) -> list[tuple[str, int]]:
         linked = 0
 
     at = 0
-    n = len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        stop = m.start() if m else n
-        if stop > at and dropped is None:
-            parts.append(page[at:stop])
+    for start, stop, tag, closing in [*shown, (len(page), len(page), "", False)]:
+        if start > at:
+            parts.append(page[at:start])
             if links > 0:
-                linked += stop - at
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
+                linked += start - at
+        at = stop
         if tag is None:
-            continue
-        tag, closing = tag.lower(), bool(m[1])
-        if dropped is not None:
-            if tag == dropped and not m[3].endswith("/"):
-                depth += -1 if closing else 1
-                if depth == 0:
-                    dropped = None
-                    flush()
-                    out.append(("", 0))
-            elif closing and tag in ("article", "main", "body", "html") and dropped not in ("head",):
-                dropped = None
-                flush()
-                out.append(("", 0))
-                main -= tag in ("article", "main") and main > 0
-            elif tag in RAW and not closing:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            flush()
+            out.append(("", 0))
+        elif tag in RAW and not closing:
             if tag not in ("svg", "math"):
                 flush()
-            continue
-        if not closing and tag not in VOID and not m[3].endswith("/") and _aside(tag, m[3]):
-            flush()
-            dropped, depth = tag, 1
-            continue
-        if tag in INLINE:
+        elif tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
                 links = max(0, links + (-1 if closing else 1))
-            continue
-        flush()
-        links = 0
-        if tag in ("article", "main"):
-            main = max(0, main + (-1 if closing else 1))
+        elif tag:
+            flush()
+            links = 0
+            if tag in ("article", "main"):
+                main = max(0, main + (-1 if closing else 1))
     flush()
-    return out
+    return out, within
 
 
 def main_text(page: str, width: int = 3, share: float = 0.2) -> str:
@@ -126,8 +215,8 @@ def main_text(page: str, width: int = 3, share: float = 0.2) -> str:
     A surge begins where a window of ``width`` lines gets any weight, a dive is where it has none left; surges with less than ``share`` of the weight
     of the largest are left out, as are lines without weight. Of a page with an article or main element, all lines in it with weight are kept.
     """
-    all_lines = lines(page)
-    if re.search(r"<(?:article|main)\b", page, re.I):
+    all_lines, within = lines(page)
+    if within:
         return "\n".join(t for t, w in all_lines if w > 0)
     weights = [w for _, w in all_lines]
     total = [sum(weights[k : k + width]) for k in range(len(weights))]
