@@ -51,9 +51,11 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return matrix(spark, sf).select(F.col("entity").alias("frame"), F.expr("bin div 8").cast("int").alias("y"), (F.col("bin") % 8).cast("int").alias("x"), F.col("value").alias("v"))
 
 
-def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """(session, entity, cluster, class, silhouette, intra)."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 3")
+def labels(spark: SparkSession, sf: str, last: int | None = 3) -> DataFrame:
+    """(session, entity, cluster, class, silhouette, intra) of the sessions up to ``last``, or of all."""
+    li = table(spark, sf, "lineitem")
+    if last is not None:
+        li = li.where(F.col("l_linenumber") <= last)
     return li.select(F.col("l_linenumber").alias("session"), F.col("l_orderkey").alias("entity"), F.when(F.col("l_discount") < 0.01, F.lit(-1).cast("long")).otherwise(F.col("l_partkey")).alias("cluster"), F.col("l_returnflag").alias("class"), F.col("l_tax").alias("silhouette"), (F.col("l_discount") * 10).alias("intra"))
 
 
