@@ -1,6 +1,7 @@
 """Whole jobs against their SQL, on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import tracekit.plans.whole  # registers its queries  # noqa: F401
 from test_queries import SF, duck, test_query as against_sql  # noqa: F401
@@ -16,3 +17,8 @@ def test_all_sessions(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert QUERIES["a9_qc_mask_whole"](spark, SF).count() == lines
     assert {r.session for r in QUERIES["a12_cluster_summary_whole"](spark, SF).collect()} == set(range(1, 8))
+
+
+def test_halves_are_even(spark):
+    frames = {r.half: r.n for r in QUERIES["i8_split_halves_whole"](spark, SF).groupBy("half").agg(F.count_distinct("frame").alias("n")).collect()}
+    assert frames == {0: 250, 1: 250}

@@ -21,9 +21,9 @@ def oriented(pixels: DataFrame, width: int) -> DataFrame:
     return pixels.where(F.col("x") < width).withColumns({"y": F.col("x"), "x": F.col("y")})
 
 
-def halves(pixels: DataFrame, frames: int) -> DataFrame:
+def halves(pixels: DataFrame, frames: int | Column) -> DataFrame:
     """With a column ``half``: 0 before the middle of ``frames`` frames, 1 from there on, frames counted anew."""
-    middle = frames // 2
+    middle = F.floor(F.lit(frames) / 2)
     late = F.col("frame") >= middle
     return pixels.withColumn("half", late.cast("int")).withColumn("frame", F.when(late, F.col("frame") - middle).otherwise(F.col("frame")))
 

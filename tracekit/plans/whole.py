@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracekit.operators import clusters as C
+from tracekit.operators import frames as P
 from tracekit.operators import groups as G
 from tracekit.plans import fixtures as V
 from tracekit.plans.extended import _GOOD
-from tracekit.plans.queries import query
+from tracekit.plans.queries import query, rounded
 
 # --- cluster labels of all seven sessions, not of the first three
 
@@ -56,3 +57,12 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
 def j10(spark: SparkSession, sf: str) -> DataFrame:
     keep = V.labels(spark, sf, None).join(V.table(spark, sf, "orders").where("o_orderstatus = 'F'"), F.col("entity") == F.col("o_orderkey"), "left_semi")
     return C.members_kept(V.labels(spark, sf, None), keep).select("session", "entity", "cluster")
+
+
+# --- halves of as many frames as there are, not of 250
+
+
+@query("i8_split_halves_whole", V.over("pixels", body="#m AS (SELECT count(*) // 2 AS middle FROM embeddings) SELECT CASE WHEN frame >= middle THEN 1 ELSE 0 END AS half, CASE WHEN frame >= middle THEN frame - middle ELSE frame END AS frame, y, x, round(v, 6) AS v FROM pixels CROSS JOIN m"))
+def i8(spark: SparkSession, sf: str) -> DataFrame:
+    n = V.table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
+    return rounded(P.halves(V.pixels(spark, sf).crossJoin(F.broadcast(n)), F.col("n")).drop("n"))
