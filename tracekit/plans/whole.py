@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tracekit.operators import clusters as C
 from tracekit.operators import frames as P
 from tracekit.operators import groups as G
+from tracekit.operators import tuning as T
 from tracekit.plans import fixtures as V
 from tracekit.plans.extended import _GOOD
-from tracekit.plans.queries import query, rounded
+from tracekit.plans.queries import _rates, query, rounded
 
 # --- cluster labels of all seven sessions, not of the first three
 
@@ -66,3 +67,30 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 def i8(spark: SparkSession, sf: str) -> DataFrame:
     n = V.table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
     return rounded(P.halves(V.pixels(spark, sf).crossJoin(F.broadcast(n)), F.col("n")).drop("n"))
+
+
+# --- 1000 draws, not 20; no SQL, as the queries with 20 draws hold the oracle check
+
+DRAWS = 1000
+
+
+@query("t8_circular_shuffle_whole")
+def t8(spark: SparkSession, sf: str) -> DataFrame:
+    return T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS)
+
+
+@query("t9_null_percentile_whole")
+def t9(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(T.null_percentile(_rates(spark, sf), t8(spark, sf), DRAWS, 0.99).drop("occupancy"))
+
+
+@query("t12_null_z_p_whole")
+def t12(spark: SparkSession, sf: str) -> DataFrame:
+    real = V.spikes(spark, sf).join(V.frames(spark, sf), "frame").groupBy("entity", "bin").agg(F.count("*").alias("n")).groupBy("entity").agg(F.max("n").alias("real"))
+    null = t8(spark, sf).groupBy("shuffle", "entity").agg(F.max("n").alias("null_"))
+    return rounded(G.null_z_p(real, null, ["entity"], "real", "null_"))
+
+
+@query("h5_bootstrap_sd_whole")
+def h5(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(G.bootstrap_sd(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", DRAWS))
