@@ -118,21 +118,26 @@ def repaired_resets(df: DataFrame, k: list[str], o: str, v: str, drop: float = 1
 
 
 def kept_apart(df: DataFrame, k: list[str], o: str, v: str, gap: int) -> DataFrame:
-    """Of sparse candidates, as long as two neighbours are closer than ``gap``, the larger of the pair goes. Per series in pandas, on candidates only."""
+    """Of sparse candidates, as long as two neighbours are closer than ``gap``, the larger of the pair goes.
+
+    Candidates ``gap`` or more apart don't touch each other, so only those of one island go to pandas together, in one pass.
+    """
     import pandas as pd
 
     def suppress(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(o).reset_index(drop=True)
-        while len(rows) > 1:
-            at, value = rows[o].to_numpy(), rows[v].to_numpy()
-            near = (at[1:] - at[:-1]) < gap
-            if not near.any():
-                break
-            j = int(near.argmax())
-            rows = rows.drop(index=j if value[j] > value[j + 1] else j + 1).reset_index(drop=True)
-        return rows
-
-    return df.groupBy(*k).applyInPandas(suppress, df.schema)
+        rows = rows.drop(columns="_island").sort_values(o).reset_index(drop=True)
+        at, value, kept = rows[o].to_numpy(), rows[v].to_numpy(), []
+        for j in range(len(rows)):
+            while kept and at[j] - at[kept[-1]] < gap and value[kept[-1]] > value[j]:
+                kept.pop()
+            if not kept or not at[j] - at[kept[-1]] < gap:
+                kept.append(j)
+        return rows.iloc[kept]
+
+    by = Window.partitionBy(*k).orderBy(o)
+    far = F.coalesce(F.col(o) - F.lag(o).over(by) >= gap, F.lit(False)).cast("int")
+    islands = df.withColumn("_far", far).withColumn("_island", F.sum("_far").over(by)).drop("_far")
+    return islands.groupBy(*k, "_island").applyInPandas(suppress, df.schema)
 
 
 def every_nth(df: DataFrame, k: list[str], o: str, n: int) -> DataFrame:
