@@ -1,8 +1,12 @@
 """Main text of web pages from the distribution of text over their lines.
 
-Markup is stripped so that each block of the page is a line. A line weighs as much as its text, but for menus,
-forms, adverts and the like, whose lines weigh nothing. The weights are summed over sliding windows of lines: where the sum surges,
-the main text begins; where it dives to nothing, it ends; the lines between are kept.
+Markup is stripped so that each block of the page is a line; what is named an advert, form, comment and the like is stripped
+with it and leaves nothing, while a menu, header or footer leaves a gap. A line weighs as much as its text,
+less twice what is linked. The weights are summed over sliding windows of lines: where the sum surges from nothing the text
+begins, where it dives to nothing it ends. The lines between the heaviest surge and its dive are the main text, all of them.
+
+The edge of an article or main element is a gap as well, so that a surge lies either within one or outside, and text outside
+weighs a tenth where a page has one. Which stretch of lines is taken is always told by the weights.
 """
 
 from __future__ import annotations
@@ -22,43 +26,60 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "select", "button", "menu",
 #: Elements that run on within a line.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of a class or id that name what stands aside: the whole, its last word, or its first.
-NAMES = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|comments?|disqus|respond|replies|sidebar|widget|menu|nav\w*|footer|header|masthead|breadcrumbs?|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|popup|modal|overlay|pagination|pager|skip-link|toolbar")
-#: First words that may as well name a topic: they count before PLACES only.
-TOPICS = {"social", "share", "sharing", "related", "notice", "banner", "respond", "replies", "header"}
-PLACES = {"area", "articles", "bar", "block", "box", "btn", "button", "buttons", "container", "content", "follow", "group", "icon", "icons", "inner", "item", "items", "link", "links", "list", "media", "module", "networks", "panel", "posts", "section", "stories", "strip", "tools", "top", "bottom", "left", "right", "widget", "wrap", "wrapper"}
+#: Names of a class or id, or of its last or first word, for what stands aside.
+NAMES = re.compile(r"ads?|advert(s|isement|isements|ising|orial)?|sponsor(ed|s)?|promos?|cookies?|consent|gdpr|comments?|disqus|sidebar|widget|menu|nav|navbar|navigation|navmenu|footer|masthead|breadcrumbs?|subscribe|newsletter|signup|login|popup|modal|overlay|pagination|pager|skip-link|toolbar")
+#: Names that may as well name a topic or a part of the text: they count alone, or beside words that tell a place on the page.
+TOPICS = re.compile(r"banner|notice|share|sharing|social|related|recommend(ed|ations?)?|respond|replies")
+PLACES = {"ad", "ads", "app", "area", "articles", "bar", "blog", "block", "box", "btn", "button", "buttons", "container", "content", "cookie", "cookies", "entry", "follow", "footer", "form", "global", "group", "icon", "icons", "inner", "item", "items", "label", "legal", "link", "links", "list", "main", "media", "menu", "mobile", "module", "nav", "networks", "page", "panel", "post", "posts", "privacy", "section", "site", "slot", "sticky", "stories", "strip", "title", "tools", "top", "bottom", "left", "right", "text", "thread", "unit", "widget", "wrap", "wrapper"}
+#: A header of one of these is the page's; others are headings of what they stand in.
+PAGES = {"app", "blog", "global", "main", "mobile", "nav", "page", "site", "sticky", "top", "bar", "wrap", "wrapper", "container", "inner"}
 #: A layout that has or lacks what the last word names.
 LAYOUT = {"no", "not", "has", "have", "with", "without", "hide", "show", "and"}
+#: What stands around the text, not in it: it leaves a gap.
+FURNITURE = {"nav", "header", "footer", "menu", "head"}
+FURNITURE_NAMES = re.compile(r"menu|nav\w*|footer|header|masthead|breadcrumbs?|toolbar|pagination|pager")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that end where a sibling begins, unless a new list or table has begun.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 LISTS = {"ul", "ol", "menu", "dl", "table", "select", "article", "main"}
 #: Elements that may stand in a paragraph, besides INLINE.
 PHRASES = {"button", "select", "option", "optgroup", "audio", "video", "input", "area", "track", "source", "link", "meta"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog"}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: A quote opens a value after an equals sign only; elsewhere, as in an unquoted value, it is a character like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>)|\Z))*+)(?:>|\Z)""", re.S)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
 
 
 def _named(token: str) -> bool:
     words = [w for w in re.split("[_-]+", token) if w]
-    if not words:
+    if not words or LAYOUT.intersection(words[:-1]):
         return False
-    if NAMES.fullmatch(token) or NAMES.fullmatch(words[-1]) and not LAYOUT.intersection(words[:-1]):
+    if NAMES.fullmatch(token) or TOPICS.fullmatch(token) or NAMES.fullmatch(words[-1]):
         return True
-    return bool(NAMES.fullmatch(words[0])) and (words[0] not in TOPICS or PLACES.issuperset(words[1:]))
+    rest = [w for w in words if not w.isdigit()]
+    if "header" in rest:
+        return PAGES.issuperset(set(rest) - {"header"})
+    if NAMES.fullmatch(words[0]):
+        return PLACES.issuperset(rest[1:]) or any(TOPICS.fullmatch(w) for w in rest[1:])
+    return any(TOPICS.fullmatch(w) and PLACES.issuperset(rest[:k] + rest[k + 1 :]) for k, w in enumerate(rest))
 
 
-def _aside(tag: str, attrs: str) -> bool:
+def _aside(tag: str, attrs: str) -> str:
+    """What an element stands aside for: ``furniture`` around the text, something ``else``, or nothing (an empty string)."""
     if tag in ASIDE:
-        return True
+        return "furniture" if tag in FURNITURE else "else"
     if not attrs or tag in {"html", "body", "article", "main"}:
-        return False
+        return ""
     for name, *values in ATTR.findall(attrs):
         value = next((v for v in values if v), "").lower()
         name = name.lower()
-        if name in ("class", "id") and any(map(_named, value.split())) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name in ("class", "id") and (told := next((t for t in value.split() if _named(t)), None)):
+            return "furniture" if any(FURNITURE_NAMES.fullmatch(w) for w in re.split("[_-]+", told)) else "else"
+        if name == "role" and value in ROLES:
+            return "furniture"
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return "else"
+    return ""
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -116,30 +137,35 @@ def _ends(tags: list[tuple[int, int, str, bool, str]]) -> list[int]:
     return ends
 
 
-def _asides(page: str, tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
-    """The tags that open what stands aside, and those that end it.
+def _asides(page: str, tags: list[tuple[int, int, str, bool, str]]) -> dict[int, tuple[int, str]]:
+    """The tags that open what stands aside, with those that end it and what it is.
 
     An element with an article, a main element or most of the page's text in it is the page's layout; but elements of ASIDE
-    that are closed, forms apart, stand aside unless main is in them.
+    that are closed, forms apart, stand aside unless main is in them. A header with a heading, in an article or main element, is its title.
     """
     ends = _ends(tags)
-    text, mains, articles = [0], [0], [0]
+    text, mains, articles, heads = [0], [0], [0], [0]
     at = 0
     for start, stop, tag, closing, _ in tags:
         text.append(text[-1] + len(page[at:start].strip()))
         mains.append(mains[-1] + (tag == "main" and not closing))
         articles.append(articles[-1] + (tag == "article" and not closing))
+        heads.append(heads[-1] + (tag in HEADINGS and not closing))
         at = stop
     text.append(text[-1] + len(page[at:].strip()))
-    out, k = {}, 0
+    out: dict[int, tuple[int, str]] = {}
+    k = inside = 0
     while k < len(tags):
         _, _, tag, closing, attrs = tags[k]
-        if tag and not closing and tag not in RAW and tag not in VOID and not attrs.endswith("/") and _aside(tag, attrs):
+        if tag in ("article", "main"):
+            inside = max(0, inside + (-1 if closing else 1))
+        if tag and not closing and tag not in RAW and tag not in VOID and not attrs.endswith("/") and (kind := _aside(tag, attrs)):
             end = ends[k]
             sure = tag in ASIDE and tag != "form" and end < len(tags) and tags[end][2] == tag and tags[end][3]
             held = text[end + 1] - text[k + 1]
-            if mains[end] == mains[k] and (sure or articles[end] == articles[k] and 2 * held <= text[-1]):
-                out[k] = end
+            title = tag == "header" and inside and heads[end] > heads[k]
+            if not title and mains[end] == mains[k] and (sure or articles[end] == articles[k] and 2 * held <= text[-1]):
+                out[k] = end, kind
                 # an end tag of its own belongs to it; another one does not
                 k = end + (end < len(tags) and tags[end][2] == tag and tags[end][3])
                 continue
@@ -147,38 +173,37 @@ def _asides(page: str, tags: list[tuple[int, int, str, bool, str]]) -> dict[int,
     return out
 
 
-def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """(text, weight) of each line: the text without markup, and its length, less twice what is linked; and whether the page has an article or main element.
+def lines(page: str, width: int = 3, outside: float = 0.1) -> list[tuple[str, float, bool]]:
+    """(text, weight, within) of each line: the text without markup; its length less twice what is linked, in an article or main element its length; and whether it is in one.
 
-    In a page with one, all lines outside it weigh nothing. What stands aside is one empty line; an
-    element that never closes runs to the end of the element around it or of the page.
+    Text outside counts ``outside`` times in a page that has one. Gaps are ``width`` empty lines. An element that never closes
+    runs to the end of the element around it or of the page.
     """
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, float, bool]] = []
     parts: list[str] = []
     linked = 0
     tags = _tags(page)
     asides = _asides(page, tags)
+    shown: list[tuple[int, int, str | None, bool]] = []
     k = main = links = 0
-    shown = []
     while k < len(tags):
         if k in asides:
-            end = asides[k]
+            end, kind = asides[k]
             own = end < len(tags) and tags[end][2] == tags[k][2] and tags[end][3]
-            last = end if own else end - 1
             stop = tags[end][1] if own else tags[end][0] if end < len(tags) else len(page)
-            shown.append((tags[k][0], stop, None, False))
-            k = last + 1
+            shown.append((tags[k][0], stop, None, kind == "furniture"))
+            k = (end if own else end - 1) + 1
         else:
             shown.append(tags[k][:4])
             k += 1
-    within = any(tag in ("article", "main") and not closing for _, _, tag, closing in shown)
+    scale = outside if any(tag in ("article", "main") and not closing for _, _, tag, closing in shown) else 1.0
+    gap = [("", 0.0, False)] * width
 
     def flush() -> None:
         nonlocal linked
         t = " ".join(html.unescape("".join(parts)).split())
         if t:
-            weight = len(t) if within else max(0, len(t) - 2 * linked)
-            out.append((t, 0 if within and not main else weight))
+            out.append((t, float(len(t)) if main else scale * max(0, len(t) - 2 * linked), main > 0))
         parts.clear()
         linked = 0
 
@@ -191,7 +216,8 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
         at = stop
         if tag is None:
             flush()
-            out.append(("", 0))
+            if closing and not main:
+                out += gap
         elif tag in RAW and not closing:
             if tag not in ("svg", "math"):
                 flush()
@@ -204,38 +230,54 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
             flush()
             links = 0
             if tag in ("article", "main"):
-                main = max(0, main + (-1 if closing else 1))
+                was, main = main, max(0, main + (-1 if closing else 1))
+                if not was or not main:
+                    out += gap
     flush()
-    return out, within
+    return out
+
+
+def surges(weights: list[float], width: int) -> list[tuple[int, int, float]]:
+    """(first, last, weight) of the lines between each surge of the windowed sums and its dive: the first and the last line with a weight of a stretch in which no ``width`` lines in a row have none."""
+    out: list[tuple[int, int, float]] = []
+    first = last = -1
+    held = 0.0
+    for k, w in enumerate(weights):
+        if w <= 0:
+            continue
+        if first >= 0 and k - last > width:  # a window of ``width`` lines between them sums to nothing
+            out.append((first, last, held))
+            first, held = -1, 0.0
+        if first < 0:
+            first = k
+        last, held = k, held + w
+    if first >= 0:
+        out.append((first, last, held))
+    return out
 
 
 def main_text(page: str, width: int = 3, share: float = 0.2) -> str:
-    """Lines from each surge of the windowed weights to its dive, joined by line feeds.
+    """All lines from the heaviest surge to its dive, joined by line feeds.
 
-    A surge begins where a window of ``width`` lines gets any weight, a dive is where it has none left; surges with less than ``share`` of the weight
-    of the largest are left out, as are lines without weight. Of a page with an article or main element, all lines in it with weight are kept.
+    If it lies in an article or main element, the text of all of those is kept, however short. Otherwise the surges that weigh at least
+    ``share`` of it are kept too: a text in plain elements that long lists of links interrupt. Of equal surges the first counts as the heaviest. A page without text has none.
     """
-    all_lines, within = lines(page)
-    if within:
-        return "\n".join(t for t, w in all_lines if w > 0)
-    weights = [w for _, w in all_lines]
-    total = [sum(weights[k : k + width]) for k in range(len(weights))]
-    spans: list[tuple[int, int, int]] = []
-    k = 0
-    while k < len(total):
-        if total[k] <= 0:
-            k += 1
-            continue
-        surge = k
-        while k < len(total) and total[k] > 0:
-            k += 1
-        spans.append((surge, k, sum(weights[surge:k])))
-    top = max((s[2] for s in spans), default=0)
-    return "\n".join(t for a, b, w in spans if w >= share * top for t, weight in all_lines[a:b] if weight > 0)
+    all_lines = lines(page, width)
+    found = surges([w for _, w, _ in all_lines], width)
+    if not found:
+        return ""
+    top = max(found, key=lambda s: s[2])
+    if all_lines[top[0]][2]:
+        return "\n".join(t for t, _, within in all_lines if within)
+    return "\n".join(t for a, b, w in found if w >= share * top[2] for t, _, _ in all_lines[a : b + 1] if t)
 
 
 def extract(pages: DataFrame, keep: list[str], source: str = "html") -> DataFrame:
-    """The columns ``keep`` with text and n_chars (code points) of each row's whole page; a null or empty page has an empty text."""
+    """The columns ``keep`` with text and n_chars (code points) of each row's whole page.
+
+    A null or empty page has an empty text; rows are independent, so repeated ones give the same result again, as often as they stand there, and an empty table an
+    empty one. A page is taken whole, however long; time grows with its length. Columns other than ``keep`` are ignored.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
