@@ -14,8 +14,8 @@ import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Longest stretch that one prefix sum covers.
-STRETCH = 1 << 17
+#: Longest stretch that one prefix sum covers, and longest string whose hash comes from one: over long regular strings such sums collide.
+STRETCH, LONG = 1 << 17, 512
 U = np.uint64
 
 
@@ -48,19 +48,24 @@ SOLID = np.ones(256, dtype=bool)
 SOLID[0x09:0x0E] = SOLID[0x20] = False
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Slices of a batch of about ``most`` bytes of text at most (a longer text stands alone): rows, bytes, offsets. Null counts as empty."""
-    texts = batch.column(batch.schema.get_field_index(column))
+def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts and the offsets of each (one more at the end), not copied. Null counts as empty."""
     if texts.null_count:
         texts = texts.fill_null(b"")
     if len(texts) == 0:
-        return
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def blocks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about ``most`` bytes of text at most (a longer text stands alone): rows, bytes, offsets. Null counts as empty."""
+    data, offsets = whole(batch.column(batch.schema.get_field_index(column)))
     lo = 0
-    while lo < len(texts):
+    while lo < offsets.size - 1:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
         yield slice(lo, hi), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
@@ -82,19 +87,25 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 
 def hashes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, value: np.ndarray = VALUE) -> np.ndarray:
-    """64-bit hashes of data[begins[i]:stops[i]]; begins rise."""
+    """64-bit hashes of data[begins[i]:stops[i]]; begins rise. Strings of over ``LONG`` bytes are hashed one by one."""
+    out = np.empty(begins.size, dtype=U)
+    long = stops - begins > LONG
+    for i in np.flatnonzero(long).tolist():
+        piece = data[int(begins[i]) : int(stops[i])].tobytes()
+        out[i] = xxhash.xxh64_intdigest(piece.lower() if value is FOLDED else piece)
+    if long.any():
+        out[~long] = _sums(data, begins[~long], stops[~long], value)
+        return out
+    return _sums(data, begins, stops, value)
+
+
+def _sums(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hashes of strings of at most ``LONG`` bytes from prefix sums over stretches."""
     out = np.empty(begins.size, dtype=U)
     i = 0
     while i < begins.size:
         first = int(begins[i])
-        j = int(np.searchsorted(stops, first + STRETCH, side="right"))
-        if j <= i:  # one piece longer than a stretch
-            piece = data[first : int(stops[i])]
-            if value is FOLDED:
-                piece = np.frombuffer(piece.tobytes().lower(), dtype=np.uint8)
-            out[i] = xxhash.xxh64_intdigest(piece.tobytes())
-            i += 1
-            continue
+        j = int(np.searchsorted(begins, first + STRETCH - LONG, side="right"))
         last = int(stops[i:j].max())
         sums = np.zeros(last - first + 1, dtype=U)
         np.cumsum(value[data[first:last]] * POWER[: last - first], out=sums[1:])

@@ -1,9 +1,10 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A logistic regression on the form of the text gives each document's own evidence. The hosts' mean
-probabilities are shrunk toward the global prior, the paths' toward their host, each by a strength that the
-spread between groups tells (method of moments); both come from grouped sums over all documents. The posterior odds are the
-document's evidence times the odds of its path.
+A logistic regression on the form of the text gives each document's own evidence, as odds against the base rate that it was fitted with. The
+labels that are known are counted by path, host and in all. A host's rate of good documents is shrunk toward that of all,
+a path's toward its host's, each by a strength that the spread of the counts tells (method of moments, of paths within their
+hosts); so a sparse site stands near the global prior and one with many labels at its own rate. A document's own label is left out of the counts that
+it is judged by. The posterior odds are the evidence times the odds of the path.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import stored, with_row_id
+from tracekit.llm.shared import stored
 
 UPPER = np.zeros(256, dtype=bool)
 UPPER[0x41:0x5B] = True
@@ -59,12 +60,17 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, f"features array<double>, {shape}")
 
 
-def fit(docs: DataFrame, labels: DataFrame, row: str, key: str, text: str, label: str, sample: int) -> tuple[np.ndarray, float, float] | None:
+def _known(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(k, y): the label of each key that has one."""
+    return labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> tuple[np.ndarray, float, float] | None:
     """(weights, intercept, prior) of the regression, from at most about ``sample`` labelled rows chosen by a hash of the key; None without any labels.
 
     Only the fit is bounded so; everything else covers all rows.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+    known = _known(labels, key, label)
     total = known.count()
     if not total:
         return None
@@ -82,34 +88,45 @@ def fit(docs: DataFrame, labels: DataFrame, row: str, key: str, text: str, label
     return weights, float(model.intercept - weights @ scaler.mean.toArray()), prior
 
 
-def _shrunk(groups: DataFrame, mean: str, n: str, toward: str, spread: float) -> F.Column:
-    """Mean of a group and ``spread`` rows more at what it is shrunk toward."""
-    return (F.col(mean) * F.col(n) + F.lit(spread) * F.col(toward)) / (F.col(n) + F.lit(spread))
-
-
-def _strength(groups: DataFrame, n: str, total: str, squares: str) -> float:
-    """Rows that the prior counts as: the variance within groups over that between their means (method of moments), at least 1."""
-    g = groups.select(F.col(n).cast("double").alias("n"), (F.col(total) / F.col(n)).alias("m"), F.col(squares).alias("q"))
-    r = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("n") * F.col("m") ** 2).alias("b"), F.sum("q").alias("q"), F.sum(F.col("n") ** 2).alias("nn")).first()
-    if not r.k or r.k < 2 or r.n <= r.k:
+def _strength(groups: DataFrame, parent: list[str]) -> float:
+    """Labels that the prior counts as: variance within groups (.., n labels, s of them good) over the variance of their rates around their parents' (method of moments), 1 at least; 10 where the counts don't tell."""
+    n, s = F.col("n").cast("double"), F.col("s").cast("double")
+    per = groups.groupBy(*parent).agg(F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(s - s * s / n).alias("w"), F.sum(s * s / n).alias("q"), F.sum(n * n).alias("nn"))
+    sums = per.agg(F.sum(F.col("k") - 1).alias("df"), F.sum(F.col("n") - F.col("k")).alias("dw"), F.sum("w").alias("w"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum(F.col("n") - F.col("nn") / F.col("n")).alias("n0")).first()
+    if not sums.df or not sums.dw or not sums.n0:
         return 10.0
-    within = max((r.q - r.b) / (r.n - r.k), 1e-9)
-    between = ((r.b - r.t**2 / r.n) - (r.k - 1) * within) / max(r.n - r.nn / r.n, 1e-9)
+    within = max(sums.w / sums.dw, 1e-9)
+    between = (sums.b - sums.df * within) / sums.n0
     return float(min(max(within / between if between > 0 else 1e6, 1.0), 1e6))
 
 
+def rates(counts: DataFrame, marked: DataFrame) -> DataFrame:
+    """``marked`` (host, path, y, ...) with host_rate and path_rate, from labels counted by path: ``counts`` (host, path, n, s), its own label y, if it has one, left out."""
+    hosts = counts.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).first()
+    of_hosts, of_paths = _strength(hosts, []), _strength(counts, ["host"])
+    has, own = F.col("y").isNotNull().cast("int"), F.coalesce("y", F.lit(0.0))
+
+    def left(name: str) -> F.Column:
+        return F.coalesce(F.col(name), F.lit(0)) - (has if name.startswith("n") else own)
+
+    out = marked.join(counts.withColumnsRenamed({"n": "n_path", "s": "s_path"}), ["host", "path"], "left").join(hosts.withColumnsRenamed({"n": "n_host", "s": "s_host"}), "host", "left")
+    least = F.lit(total.n) - has
+    overall = F.when(least > 0, (F.lit(total.s) - own) / least).otherwise(F.lit(0.5))
+    out = out.withColumn("host_rate", (left("s_host") + F.lit(of_hosts) * overall) / (left("n_host") + F.lit(of_hosts)))
+    return out.withColumn("path_rate", (left("s_path") + F.lit(of_paths) * F.col("host_rate")) / (left("n_path") + F.lit(of_paths)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: tuple[str, ...] = ("source", "lang"), label: str = "quality", sample: int = 20000, threshold: float = 0.5) -> DataFrame:
-    """(key, score, own, host_rate, path_rate, kept) for each row: the posterior probability of good quality, what it is made of, and whether it reaches the threshold.
+    """(key, score, own, host_rate, path_rate, kept) for each row: the posterior probability of good quality, the text's own, the shrunk rates of labels of its host and path, and whether the score reaches the threshold.
 
-    ``labels`` has rows (key, label 0/1); several for a key are averaged, null ones skipped. Hosts and paths are groups by the named columns, nulls
-    a group of their own. Null texts count as empty. Without labels all scores are 0.5 and all rows are kept; with one class only, the
-    prior is the score. Rows with one key stay separate. Other columns are ignored.
+    ``labels`` has rows (key, label 0/1); several for a key are averaged and count as good from 0.5, null ones are skipped, as are those of no document. Hosts and
+    paths are groups by the named columns, nulls a group of their own. Null texts count as empty; a text is taken whole, however long. Without labels all scores are 0.5 and all rows are kept; with one class only, the
+    text tells nothing and the path's rate is the score. Rows with one key stay separate, each with the label of the key. A score at the threshold is kept. An empty table gives an empty result. Other columns are ignored.
     """
-    docs, row, unique = with_row_id(docs, text, key)
-    model = fit(docs, labels, row, key, text, label, sample)
+    model = fit(docs, labels, key, text, label, sample)
     weights, intercept, prior = model if model else (np.zeros(0), 0.0, 0.5)
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
-    base = float(np.log(prior / (1 - prior)))
+    base = float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,26 +134,17 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         for batch in batches:
             for at, data, offsets in bh.blocks(batch):
                 z = form(data, offsets) @ w + intercept if w.size else np.full(offsets.size - 1, base)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at.start, at.stop - at.start) for k in range(1, batch.num_columns)), pa.array(np.clip(z, -30, 30))], ["id", "host", "path", "z"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at.start, at.stop - at.start) for k in range(1, batch.num_columns)), pa.array(np.clip(z, -30, 30))], ["k", "host", "path", "z"])
 
     spelled = F.to_json(F.struct(F.lit(1).alias("a"), *[F.col(c).cast("string").alias(f"p{k}") for k, c in enumerate(path)]))
-    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(row).alias("id"), F.to_json(F.struct(F.lit(1).alias("a"), F.col(host).cast("string").alias("h"))).alias("host"), spelled.alias("path"))
-    scored = stored(rows.mapInArrow(own, "id long, host string, path string, z double").withColumn("p", 1 / (1 + F.exp(-F.col("z")))), "scored")
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("t"), F.sum(F.col("p") ** 2).alias("q"))
-    paths = stored(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"), F.sum("q").alias("hq"))
-    mean = paths.agg(F.sum("t") / F.sum("n")).first()[0] or prior
-    by_host, by_path = _strength(hosts, "hn", "ht", "hq"), _strength(paths, "n", "t", "q")
-    hosts = hosts.withColumn("hm", F.col("ht") / F.col("hn")).withColumn("prior", F.lit(float(mean)))
-    hosts = hosts.select("host", _shrunk(hosts, "hm", "hn", "prior", by_host).alias("host_rate"))
-    rates = paths.join(hosts, "host").withColumn("m", F.col("t") / F.col("n"))
-    rates = rates.select("host", "path", "host_rate", _shrunk(rates, "m", "n", "host_rate", by_path).alias("path_rate"))
-    out = scored.join(rates, ["host", "path"])
-    odds = F.log(F.col("path_rate") / (1 - F.col("path_rate")))
-    middle = float(np.log(mean / (1 - mean))) if 0 < mean < 1 else base
-    score = (1 / (1 + F.exp(-(F.col("z") + odds - F.lit(middle))))).alias("score") if weights.size else F.col("p").alias("score")
-    out = out.select("id", score, F.col("p").alias("own"), "host_rate", "path_rate")
-    out = out.withColumn("kept", F.col("score") >= F.lit(threshold))
-    if unique:
-        return out.withColumnRenamed("id", key)
-    return docs.select(F.col(row).alias("id"), F.col(key).alias("k")).join(out, "id").drop("id").withColumnRenamed("k", key)
+    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).alias("k"), F.to_json(F.struct(F.lit(1).alias("a"), F.col(host).cast("string").alias("h"))).alias("host"), spelled.alias("path"))
+    kind = docs.schema[key].dataType.simpleString()
+    marked = rows.mapInArrow(own, f"k {kind}, host string, path string, z double").join(_known(labels, key, label), "k", "left")
+    marked = stored(marked, "scored")
+    counts = stored(marked.where("y is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "counts")
+    out = rates(counts, marked)
+    rate = F.least(F.greatest("path_rate", F.lit(1e-4)), F.lit(1 - 1e-4))
+    odds = F.col("z") - F.lit(base) + F.log(rate / (1 - rate))
+    score = (1 / (1 + F.exp(-odds)) if model else F.lit(0.5)).alias("score")
+    out = out.select(F.col("k").alias(key), score, (1 / (1 + F.exp(-F.col("z")))).alias("own"), "host_rate", "path_rate")
+    return out.withColumn("kept", F.col("score") >= F.lit(threshold))

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own if all runs on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("tracekit.scratch", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="tracekit-")
             spark.conf.set("tracekit.scratch", folder)
     return folder.rstrip("/")
@@ -66,19 +70,45 @@ def bits_for(keys: int, most: int = 1 << 30) -> int:
     return min(most, max(1 << 16, 1 << (16 * max(1, keys) - 1).bit_length()))
 
 
+#: Bits of one page of a key filter.
+PAGE = 1 << 19
+
+
 def key_filter(keys: DataFrame, column: str, most: int = 1 << 30) -> np.ndarray:
     """A bitmap of bounded size over the hashes of long keys.
 
     A key outside it is certainly not in ``keys``; one inside may be. It keeps rows that cannot match
-    out of a shuffle; an exact join must follow.
+    out of a shuffle; an exact join must follow. Pages of it are made on executors: the driver gets at most ``most / PAGE`` rows of 64 KB.
     """
     bits = bits_for(keys.count(), most)
-    slot = keys.select(F.expr(f"pmod(xxhash64({column}), {bits})").alias("s"))
-    words = slot.groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b")).collect()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    if words:
-        out[np.array([r[0] for r in words])] = np.array([r[1] for r in words], dtype=np.int64)
-    return out
+    size = min(PAGE, bits)
+    slot = keys.select(F.expr(f"pmod(xxhash64({column}), {bits})").alias("s")).distinct()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, page = -1, np.zeros(0, dtype=np.uint8)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(page, bitorder="little").tobytes()])], ["page", "bits"])
+
+        for batch in batches:
+            pages, slots = (batch.column(k).to_numpy() for k in range(2))
+            edges = np.flatnonzero(np.diff(pages)) + 1
+            for a, b in zip([0, *edges], [*edges, pages.size], strict=True):
+                if a == b:
+                    continue
+                if pages[a] != at:
+                    if at >= 0:
+                        yield done()
+                    at, page = int(pages[a]), np.zeros(size, dtype=np.uint8)
+                page[slots[a:b] % size] = 1
+        if at >= 0:
+            yield done()
+
+    dealt = slot.select(F.expr(f"s div {size}").alias("page"), "s").repartition("page").sortWithinPartitions("page")
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for page, made in dealt.mapInArrow(make, "page long, bits binary").collect():
+        out[page * size // 8 : (page + 1) * size // 8] = np.frombuffer(made, dtype=np.uint8)
+    return out.view(np.int64)
 
 
 def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -87,10 +117,10 @@ def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[s >> 6] >> (s & 63)) & 1 == 1
 
 
-def without(rows: DataFrame, column: str, removed: DataFrame, most: int = 1 << 24) -> DataFrame:
+def without(rows: DataFrame, column: str, removed: DataFrame, most: int = 1 << 26) -> DataFrame:
     """``rows`` whose long ``column`` is not in ``removed`` (id).
 
-    A bitmap of bounded size over the removed ids is broadcast as a table of words: rows off its bits stay where
+    A bitmap over the removed ids, of bounded size (8 MB, 4 million ids at full sharpness), is broadcast as a table of words: rows off its bits stay where
     they are, and only the others are shuffled for an exact anti join.
     """
     bits = bits_for(removed.count(), most)
