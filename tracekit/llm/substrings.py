@@ -5,12 +5,13 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier i
 Strings of that length are dealt out so that equal ones meet: each has an anchor, its leftmost smallest
 ``ANCHOR``-byte gram, which depends on nothing but the string itself. Neighbouring strings share an anchor, so
 a row stands for a run of them; its key is the hash of the bytes that all strings of the run have in
-common. Runs with a key of their own cannot repeat and go no further. Of runs with equal texts all
-but the first are repeats as they stand. What is left, different runs with one key, is decided by
-a breadth-first expansion on the Burrows-Wheeler transform of the runs' texts: starting from the
+common. Runs with a key of their own cannot repeat and go no further; hashes do no more than that.
+
+Different runs with one key are decided by a breadth-first expansion on the Burrows-Wheeler transform of the runs' texts: starting from the
 empty string, intervals of the suffix order are extended backwards a byte at a time, each new interval boundary gets
 its longest common prefix, in increasing order, and the expansion stops at ``length``. Suffixes with
-no boundary between them then share ``length`` bytes.
+no boundary between them then share ``length`` bytes. Runs that look like whole copies of an earlier one need no transform, but a comparison of
+their bytes: within a batch on the spot, else stretch by stretch, in a join with the text that holds the first of them.
 """
 
 from __future__ import annotations
@@ -210,88 +211,172 @@ def _repeats(key: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, t
 
 SPAN = pa.schema([("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 RUN = pa.schema([("again", pa.bool_()), ("key", pa.int64()), ("ctx", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+TOLD = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("open", pa.bool_()), ("fid", pa.int64()), ("flo", pa.int32())])
+PIECE = pa.schema([("open", pa.bool_()), ("hot", pa.bool_()), ("key", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("fid", pa.int64()), ("flo", pa.int32()), ("piece", pa.binary())])
+
+
+def _rows(schema: pa.Schema, *columns: np.ndarray | pa.Array | list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Whether the n[i] bytes from a[i] on are those from b[i] on."""
+    out = np.zeros(a.size, dtype=bool)
+    for k in range(0, a.size, step):
+        m = n[k : k + step]
+        first = np.cumsum(m) - m
+        off = np.arange(int(m.sum())) - np.repeat(first, m)
+        out[k : k + step] = np.logical_and.reduceat(data[np.repeat(a[k : k + step], m) + off] == data[np.repeat(b[k : k + step], m) + off], first)
+    return out
 
 
 def _all_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All runs of a batch. Of those that are equal within it only the first is left to meet others; the rest are repeats, and their keys are replaced by their places, so that they are dealt evenly."""
+    """All runs of a batch (again false). Of those whose bytes are equal within it only the first is left to meet others; the rest are repeats, neighbours joined (again true), with keys of their own that deal them evenly."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
+        everything, starts = bh.whole(batch.column(1))
         found = []
         for rows, data, offsets in bh.blocks(batch, most=1 << 20):
             key, ctx, text, lo, hi = keyed_runs(data, offsets, length)
-            base = offsets[text]
-            found.append((key, ctx, ids[rows][text], (lo - base).astype(np.int32), (hi - base).astype(np.int32)))
+            found.append((key, ctx, ids[rows][text], lo - offsets[text], hi - lo, lo + starts[rows.start]))
         if not found:
             continue
-        key, ctx, at, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        key, ctx, at, lo, more, place = (np.concatenate(x) for x in zip(*found, strict=True))
         same = key + ctx * U(3)
         by = np.lexsort((lo, at, same))
+        new = np.ones(by.size, dtype=bool)
+        new[1:] = same[by[1:]] != same[by[:-1]]
+        first = by[np.maximum.accumulate(np.where(new, np.arange(by.size), 0))]
+        twin, first = by[~new], first[~new]
+        fits = more[twin] == more[first]
+        twin, first = twin[fits], first[fits]
+        good = _equal(everything, place[twin], place[first], more[twin] + length)
         again = np.zeros(by.size, dtype=bool)
-        again[by[1:]] = same[by[1:]] == same[by[:-1]]
-        key = np.where(again, bh.mixed(at.view(U) * U(1 << 20) + lo.astype(U)), key)
-        yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(at), pa.array(lo), pa.array(hi)], schema=RUN)
+        again[twin[good]] = True
+        rest = ~again
+        yield _rows(RUN, np.zeros(int(rest.sum()), bool), key[rest].view(np.int64), ctx[rest].view(np.int64), at[rest], lo[rest], (lo + more)[rest])
+        at, lo, hi = at[again], lo[again], (lo + more)[again]
+        by = np.lexsort((lo, at))
+        at, lo, hi = at[by], lo[by], hi[by]
+        new = np.ones(at.size, dtype=bool)
+        new[1:] = (at[1:] != at[:-1]) | (lo[1:] > hi[:-1] + 1)
+        edge = np.flatnonzero(new)
+        if edge.size:
+            last = np.append(edge[1:], at.size) - 1
+            yield _rows(RUN, np.ones(edge.size, bool), bh.mixed(at[edge].view(U) * U(1 << 20) + lo[edge].astype(U)).view(np.int64), np.zeros(edge.size, np.int64), at[edge], lo[edge], hi[last])
 
 
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order (again, key, ctx, id, lo): repeats as they stand (open false), and the first of each text of a key with several (open true).
+    """Of rows in the order (again, key, ctx, id, lo): the first run of each context of a key with several (open), and the others with the place of the first one that they look like (fid, flo).
 
-    Whole keys are looked at; of a key longer than a few batches only the first row of each text is held.
+    Rows stream through; of the key that a batch ends in, no more than its first row and that of its last context is held.
     """
-    held: pa.Table | None = None
-
-    def tell(rows: pa.Table, drop: bool = True) -> tuple[pa.Table, pa.Table]:
-        """Rows to give out, and the first of each text of keys that are not at an end."""
-        done, key, ctx = (rows.column(k).to_numpy() for k in range(3))
-        new_key = np.ones(key.size, dtype=bool)
+    head: tuple[int, int, int, int] | None = None  # key, context and place of the first row of the context that the last batch ended in
+    only: tuple[int, int, int, int] | None = None  # the first row of the key that it ended in, if it has had one context
+    for batch in batches:
+        again = batch.column(0).to_numpy(zero_copy_only=False)
+        if again.any():
+            kept = batch.filter(pa.array(again))
+            none = pa.nulls(kept.num_rows)
+            yield _rows(TOLD, *(kept.column(k) for k in (1, 3, 4, 5)), np.zeros(kept.num_rows, bool), none.cast(pa.int64()), none.cast(pa.int32()))
+        key, ctx, at, lo, hi = (batch.column(k).to_numpy()[~again] for k in range(1, 6))
+        n = key.size
+        if not n:
+            continue
+        new_key = np.ones(n, dtype=bool)
         new_key[1:] = key[1:] != key[:-1]
+        new_key[0] = head is None or head[0] != key[0]
         new = new_key.copy()
         new[1:] |= ctx[1:] != ctx[:-1]
-        number = np.cumsum(new_key) - 1
-        several = (np.bincount(number[new], minlength=number[-1] + 1) > 1)[number]
-        keep = done | ~new | (several & drop)
-        out = rows.filter(pa.array(keep)).append_column("open", pa.array((new & ~done)[keep]))
-        return out.drop_columns("again"), rows.filter(pa.array(new & ~done))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-        key = rows.column(1).to_numpy()
-        others = np.flatnonzero(key != key[-1])
-        cut = int(others[-1]) + 1 if others.size else 0
-        if cut:
-            yield from tell(rows.slice(0, cut))[0].combine_chunks().to_batches()
-            rows = rows.slice(cut).combine_chunks()
-        if rows.num_rows > 50_000:
-            out, rows = tell(rows, drop=False)
-            yield from out.combine_chunks().to_batches()
-        held = rows
-    if held is not None and held.num_rows:
-        yield from tell(held)[0].combine_chunks().to_batches()
+        new[0] |= head is None or head[1] != ctx[0]
+        first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        fid, flo = at[first], lo[first]
+        if head is not None:
+            fid[first < 0], flo[first < 0] = head[2], head[3]
+        number = np.cumsum(new_key)  # 0: the key that the last batch ended in
+        contexts = np.bincount(number[new], minlength=number[-1] + 1)
+        several = contexts > 1
+        if not new_key[0]:
+            several[0] = contexts[0] > 0 or only is None
+        is_open = new & several[number]
+        if only is not None and not new_key[0] and contexts[0]:
+            yield _rows(TOLD, *([x] for x in only), [True], [None], [None])
+            only = None
+        yield _rows(TOLD, key[is_open], at[is_open], lo[is_open], hi[is_open], np.ones(int(is_open.sum()), bool), pa.nulls(int(is_open.sum()), pa.int64()), pa.nulls(int(is_open.sum()), pa.int32()))
+        yield _rows(TOLD, key[~new], at[~new], lo[~new], hi[~new], np.zeros(int((~new).sum()), bool), fid[~new], flo[~new])
+        if number[-1]:
+            k = int(np.flatnonzero(new_key)[-1])
+            only = None if several[number[-1]] else (int(key[k]), int(at[k]), int(lo[k]), int(hi[k]))
+        head = (int(key[-1]), int(ctx[-1]), int(fid[-1]), int(flo[-1]))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of open runs, and those of the stretches that runs with one and the same offset to their firsts make up, from rows (id, text, runs)."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            found: list[list] = [[] for _ in PIECE]
+            for row, text, runs_ in zip(*(whole.column(c).slice(k, 256) for c in range(3)), strict=True):
+                t, values = text.as_py() or b"", runs_.values
+                key, lo, hi, is_open, hot, fid, flo = (values.field(c).to_numpy(zero_copy_only=False) for c in range(7))
+                at = [np.flatnonzero(is_open)]
+                claim = np.flatnonzero(~is_open)
+                shift = flo[claim].astype(np.int64) - lo[claim]
+                by = np.lexsort((lo[claim], shift, fid[claim]))
+                claim, shift = claim[by], shift[by]
+                a, b, f = lo[claim], hi[claim], fid[claim].astype(np.int64)
+                edge = np.ones(claim.size, dtype=bool)
+                edge[1:] = (f[1:] != f[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > b[:-1] + length)
+                start = np.flatnonzero(edge)
+                end = np.append(start[1:], claim.size)[: start.size] - 1
+                at.append(claim[start])
+                for c, x in zip(found, (is_open, hot, key), strict=False):
+                    c.extend(np.concatenate([x[i] for i in at]).tolist())
+                n = at[0].size
+                found[3].extend([row.as_py()] * (n + start.size))
+                los, his = np.concatenate([lo[at[0]], a[start]]).tolist(), np.concatenate([hi[at[0]], b[end]]).tolist()
+                found[4].extend(los)
+                found[5].extend(his)
+                found[6].extend([None] * n + f[start].tolist())
+                found[7].extend([None] * n + flo[claim[start]].astype(np.int64).tolist())
+                found[8].extend(t[x : y + length] for x, y in zip(los, his, strict=True))
+            yield _rows(PIECE, *found)
 
 
 def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int = 100) -> DataFrame:
-    """(id, lo, hi): starts lo..hi of strings of ``length`` bytes in document ``id`` that also start earlier. Spans may overlap."""
+    """(id, lo, hi): starts lo..hi of strings of ``length`` bytes in document ``id`` that also start earlier. Spans may overlap.
+
+    Raises an error if two different texts turn out to have one hash, rather than give a wrong result.
+    """
     source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"))
-    found = source.mapInArrow(lambda b: _all_runs(b, length), "again boolean, key long, ctx long, id long, lo int, hi int")
+    shape = {s: ", ".join(f"{f.name} {n}" for f, n in zip(s, names, strict=True)) for s, names in ((RUN, "boolean long long long int int".split()), (TOLD, "long long int int boolean long int".split()), (PIECE, "boolean boolean long long int int long int binary".split()))}
+    found = source.mapInArrow(lambda b: _all_runs(b, length), shape[RUN])
     dealt = found.repartition("key").sortWithinPartitions("again", "key", "ctx", "id", "lo")
-    told = stored(dealt.mapInArrow(_told_apart, "key long, ctx long, id long, lo int, hi int, open boolean"), "runs")
-    plain = told.where("not open").select("id", "lo", "hi")
-    open_runs = told.where("open").select("key", "id", "lo", "hi")
+    told = stored(dealt.mapInArrow(_told_apart, shape[TOLD]), "runs")
+    plain = told.where("not open and fid is null").select("id", "lo", "hi")
+    open_runs = told.where("open")
     hot = open_runs.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("key", F.lit(True).alias("hot"))
-    open_runs = open_runs.join(hot, "key", "left").select("key", "id", "lo", "hi", F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_doc = open_runs.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("runs"))
-    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(open_runs, "id"))
+    wanted = open_runs.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).unionByName(told.where("not open and fid is not null").withColumn("hot", F.lit(False)))
+    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "hi", "open", "hot", F.coalesce("fid", F.lit(0)).alias("fid"), F.coalesce("flo", F.lit(0)).alias("flo"))).alias("runs"))
 
-    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(wanted.value, batch.column(2).to_numpy()))).select([0, 1])
+    def among(ids: DataFrame, column: str) -> DataFrame:
+        """(id, text) of the documents named, and maybe a few others."""
+        bits = docs.sparkSession.sparkContext.broadcast(key_filter(ids, column))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_filter(bits.value, batch.column(2).to_numpy()))).select([0, 1])
+
+        return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(pick, "id long, text binary")
+
+    piece = among(told.where("open or fid is not null"), "id").join(by_doc, "id").select("id", "text", "runs")
+    piece = stored(piece.mapInArrow(lambda b: _pieces(b, length), shape[PIECE]), "pieces")
 
-    near = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(among, "id long, text binary")
-    piece = near.join(by_doc, "id").select("id", "text", F.explode("runs").alias("r"))
-    piece = piece.select("r.key", "id", "r.lo", "r.hi", "r.hot", F.substring("text", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + length).alias("piece"))
-    piece = stored(piece, "pieces")
+    claims = piece.where("not open")
+    firsts = among(claims, "fid").select(F.col("id").alias("fid"), "text")
+    equal = F.substring("text", F.col("flo") + 1, F.length("piece")) == F.col("piece")
+    copies = stored(claims.join(firsts, "fid").where(equal).select("id", "lo", "hi"), "copies")
+    if copies.count() != claims.count():
+        raise RuntimeError("two different texts have one hash: other constants in bytehash are called for")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -299,7 +384,7 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
 
         def done(rows: pa.Table) -> pa.RecordBatch:
             r, lo, hi = _repeats(rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64), rows.column(3).to_numpy().astype(np.int64), rows.column(4).to_pylist(), length)
-            return pa.RecordBatch.from_arrays([pa.array(r), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=SPAN)
+            return _rows(SPAN, r, lo, hi)
 
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
@@ -317,13 +402,13 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield done(rows)
 
-    dealt = piece.where("not hot").select("key", "id", "lo", "hi", "piece").repartition("key").sortWithinPartitions("key")
+    dealt = piece.where("open and not hot").select("key", "id", "lo", "hi", "piece").repartition("key").sortWithinPartitions("key")
     mixed = dealt.mapInArrow(expand, "id long, lo int, hi int")
-    single = piece.where("hot").select("id", F.explode(F.sequence("lo", "hi")).alias("at"), "lo", "piece")
-    single = single.select("id", "at", F.substring("piece", F.col("at") - F.col("lo") + 1, length).alias("s")).select("id", "at", F.md5("s").alias("h"))
-    first = single.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"))
-    again = single.join(first, "h").where("struct(id, at) <> first").select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return plain.unionByName(mixed).unionByName(again)
+    single = piece.where("open and hot").select("id", F.explode(F.sequence("lo", "hi")).alias("at"), "lo", "piece")
+    single = single.select("id", "at", F.substring("piece", F.col("at") - F.col("lo") + 1, length).alias("s")).select("id", "at", F.unhex(F.md5("s")).alias("s"))
+    first = single.groupBy("s").agg(F.min(F.struct("id", "at")).alias("first"))
+    again = single.join(first, "s").where("struct(id, at) <> first").select("id", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return plain.unionByName(copies).unionByName(mixed).unionByName(again)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -331,7 +416,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Texts are taken as UTF-8 bytes, null as empty, and strings never cross documents. "Earlier" means a smaller key (rows with the
     same key: the order of the text's hash; null keys first), or the same document and an earlier start; strings are
-    judged on the input, not on what is left. Texts shorter than ``length`` lose nothing. Other columns are ignored.
+    judged on the input, not on what is left. Texts shorter than ``length`` lose nothing; an empty table gives an empty result. Other columns are ignored.
     """
     names = [key, "kept", "n_bytes", "n_removed", "n_spans", *carry]
     docs, row, _ = with_row_id(docs, text, key)
