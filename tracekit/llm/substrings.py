@@ -310,14 +310,15 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = (int(key[-1]), int(ctx[-1]), int(fid[-1]), int(flo[-1]))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of open runs, and those of the stretches that runs with one and the same offset to their firsts make up, from rows (id, text, runs)."""
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, hot_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The bytes of open runs, hot where their keys are on the filter, and those of the stretches that runs with one and the same offset to their firsts make up, from rows (id, text, runs)."""
     for whole in batches:
         for k in range(0, whole.num_rows, 256):
             found: list[list] = [[] for _ in PIECE]
             for row, text, runs_ in zip(*(whole.column(c).slice(k, 256) for c in range(3)), strict=True):
                 t, values = text.as_py() or b"", runs_.values
-                key, lo, hi, is_open, hot, fid, flo = (values.field(c).to_numpy(zero_copy_only=False) for c in range(7))
+                key, lo, hi, is_open, fid, flo = (values.field(c).to_numpy(zero_copy_only=False) for c in range(6))
+                hot = in_filter(hot_keys, key)
                 at = [np.flatnonzero(is_open)]
                 claim = np.flatnonzero(~is_open)
                 shift = flo[claim].astype(np.int64) - lo[claim]
@@ -353,10 +354,10 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
     dealt = found.repartition("key").sortWithinPartitions("again", "key", "ctx", "id", "lo")
     told = stored(dealt.mapInArrow(_told_apart, shape[TOLD]), "runs")
     plain = told.where("not open and fid is null").select("id", "lo", "hi")
-    open_runs = told.where("open")
-    hot = open_runs.groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("key", F.lit(True).alias("hot"))
-    wanted = open_runs.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).unionByName(told.where("not open and fid is not null").withColumn("hot", F.lit(False)))
-    by_doc = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "lo", "hi", "open", "hot", F.coalesce("fid", F.lit(0)).alias("fid"), F.coalesce("flo", F.lit(0)).alias("flo"))).alias("runs"))
+    # a filter of keys is enough: those that are on it by chance are resolved by single strings as well
+    many = told.where("open").groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT}")
+    hot = docs.sparkSession.sparkContext.broadcast(key_filter(many, "key", plain=True))
+    by_doc = told.where("open or fid is not null").groupBy("id").agg(F.collect_list(F.struct("key", "lo", "hi", "open", F.coalesce("fid", F.lit(0)).alias("fid"), F.coalesce("flo", F.lit(0)).alias("flo"))).alias("runs"))
 
     def among(ids: DataFrame, column: str) -> DataFrame:
         """(id, text) of the documents named, and maybe a few others."""
@@ -369,7 +370,7 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
         return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(pick, "id long, text binary")
 
     piece = among(told.where("open or fid is not null"), "id").join(by_doc, "id").select("id", "text", "runs")
-    piece = stored(piece.mapInArrow(lambda b: _pieces(b, length), shape[PIECE]), "pieces")
+    piece = stored(piece.mapInArrow(lambda b: _pieces(b, length, hot.value), shape[PIECE]), "pieces")
 
     claims = piece.where("not open")
     firsts = among(claims, "fid").select(F.col("id").alias("fid"), "text")
