@@ -1,13 +1,13 @@
-"""Benchmark decontamination over a positional inverted index of the training documents.
+"""Benchmark decontamination over a distributed positional inverted index of the training documents.
 
-The index is dealt by document: a row holds the posting lists (term, positions) of one document, for the terms
-of the benchmark. A document that has none of the lead terms, the rarest of each window over the whole
-corpus, cannot match and keeps no lists. A search starts from the postings of the lead terms and
-intersects them with the lists of the other terms, rarest first, each shifted by the term's place
+The index has a row for each term and range of documents: the posting list of the term, that is the documents of the range
+and the places of the term in each. It is written once, for the terms of the whole benchmark; a document that has none of the lead terms, the rarest
+of each window over the whole corpus, cannot match and has no postings. A search starts from the lists of the lead terms and
+intersects them with those of the other terms, rarest first, each shifted by the term's place
 in the window; what is left are exact phrase matches. With a slack, terms may stand that many words
 off their place (proximity matches).
 
-The benchmark is the query set: it is taken in blocks of bounded size, against all rows.
+The benchmark is the query set: its windows are taken in blocks of bounded size, each against all rows of the index.
 """
 
 from __future__ import annotations
@@ -21,110 +21,120 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import stored, with_row_id
+from tracekit.llm.shared import in_filter, key_filter, stored, with_row_id
 
 U = np.uint64
-#: Bytes of benchmark text that one block of queries may hold: what is broadcast at once.
-BLOCK_BYTES = 8 << 20
-SHAPE = "id long, n_words long, terms array<int>, places array<array<int>>"
+#: Windows that one block of queries holds, which is what is broadcast at once; bits of the filters over terms; matches of lead terms that are looked at together.
+BLOCK, BITS, STEP = 1 << 16, 1 << 27, 1 << 20
+INDEX = "shard long, term long, ids array<long>, counts array<int>, places array<int>"
+FOUND = "id long, spans array<struct<lo: long, hi: long>>, items array<string>"
 
 
 @dataclass
 class Windows:
-    """A block of benchmark windows: terms as ranks in the sorted vocabulary, -1 past a short window's end."""
+    """A block of benchmark windows: terms as ranks in the sorted vocabulary, -1 past a short window's end; places of its terms from the rarest to the most frequent; windows by lead term."""
 
     vocabulary: np.ndarray
     terms: np.ndarray
     lengths: np.ndarray
     items: np.ndarray
-    #: Set once counts are known: places of the window's terms from the rarest to the most frequent, and windows by lead term.
-    by_rarity: np.ndarray | None = None
-    lead_first: np.ndarray | None = None
-    lead_order: np.ndarray | None = None
-
-    def ranked(self, counts: np.ndarray) -> Windows:
-        often = np.where(self.terms >= 0, counts[self.terms], np.iinfo(np.int64).max)
-        self.by_rarity = np.argsort(often, axis=1, kind="stable")
-        lead = self.terms[np.arange(len(self.terms)), self.by_rarity[:, 0]]
-        self.lead_order = np.argsort(lead, kind="stable")
-        self.lead_first = np.searchsorted(lead[self.lead_order], np.arange(self.vocabulary.size + 1))
-        return self
-
-
-def windows_of(rows: list[tuple[str | None, bytes]], width: int) -> Windows:
-    """Windows of ``width`` consecutive words of each item; an item with fewer, but not none, is one window."""
-    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary())], ["text"])
-    found, items = [], []
-    for block, data, offsets in bh.blocks(batch, most=1 << 30):
-        begins, stops, firsts = bh.words(data, offsets, bh.ALNUM)
-        h = bh.hashes(data, begins, stops, bh.FOLDED)
-        for k in range(block.stop - block.start):
-            w = h[firsts[k] : firsts[k + 1]]
-            if w.size:
-                for s in range(max(1, w.size - width + 1)):
-                    found.append(w[s : s + width])
-                    items.append(block.start + k)
-    vocabulary = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
-    terms = np.full((len(found), width), -1, dtype=np.int64)
-    for k, w in enumerate(found):
-        terms[k, : w.size] = np.searchsorted(vocabulary, w)
-    return Windows(vocabulary, terms, np.array([w.size for w in found], dtype=np.int64), np.array(items, dtype=np.int64))
-
-
-def _known(h: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each word in the vocabulary, and whether it is there."""
-    at = np.searchsorted(vocabulary, h)
-    at[at == vocabulary.size] = 0
-    return at, vocabulary[at] == h if vocabulary.size else np.zeros(h.size, dtype=bool)
-
-
-def term_counts(source: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """How often each term of the vocabulary stands in all of the texts."""
-    shared = source.sparkSession.sparkContext.broadcast(vocabulary)
+    names: list[str | None]
+    by_rarity: np.ndarray
+    lead_first: np.ndarray
+    lead_order: np.ndarray
+
+
+def windows_of(tests: DataFrame, width: int) -> DataFrame:
+    """(item, terms): the distinct windows of ``width`` consecutive words of tests (item string, text binary); an item with fewer, but not none, is one window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in bh.blocks(batch):
+                begins, stops, firsts = bh.words(data, offsets, bh.ALNUM)
+                h = bh.hashes(data, begins, stops, bh.FOLDED).view(np.int64)
+                item, found = [], []
+                for k, name in enumerate(batch.column(0).slice(rows.start, rows.stop - rows.start).to_pylist()):
+                    w = h[firsts[k] : firsts[k + 1]]
+                    for s in range(max(1, w.size - width + 1) if w.size else 0):
+                        item.append(name)
+                        found.append(w[s : s + width])
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["item", "terms"])
+
+    return tests.mapInArrow(cut, "item string, terms array<long>").distinct()
+
+
+def term_counts(source: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(term, n): how often each term on the filter stands in all of the texts."""
+    shared = source.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shared.value.size, dtype=np.int64)
         for batch in batches:
             for _, data, offsets in bh.blocks(batch):
                 begins, stops, _ = bh.words(data, offsets, bh.ALNUM)
-                at, there = _known(bh.hashes(data, begins, stops, bh.FOLDED), shared.value)
-                total += np.bincount(at[there], minlength=total.size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
+                term, n = np.unique(bh.hashes(data, begins, stops, bh.FOLDED).view(np.int64), return_counts=True)
+                on = in_filter(shared.value, term)
+                yield pa.RecordBatch.from_arrays([pa.array(term[on]), pa.array(n[on].astype(np.int64))], ["term", "n"])
+
+    return source.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    out = np.zeros(vocabulary.size, dtype=np.int64)
-    for term, n in source.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        out[term] = n
-    return out
 
+def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item, terms, order, lead): places of the window's terms from the rarest in the corpus to the most frequent, and the rarest; windows with a term that stands nowhere are left out."""
+    each = windows.select("item", "terms", F.posexplode("terms").alias("place", "term")).join(counts, "term", "left")
+    told = each.groupBy("item", "terms").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place"))).alias("s"))
+    return told.where("s[0].n > 0").select("item", "terms", F.col("s.place").alias("order"), F.expr("terms[s[0].place]").alias("lead"))
 
-def positional_index(source: DataFrame, windows: Windows) -> DataFrame:
-    """(id, n_words, terms, places): the posting lists of each document; empty where it has no lead term."""
-    shared = source.sparkSession.sparkContext.broadcast(windows)
+
+def positional_index(source: DataFrame, wanted: np.ndarray, leads: np.ndarray) -> DataFrame:
+    """(shard, term, ids, counts, places): posting lists by range of documents and term; one row of each range, with no term, has its documents and their numbers of words."""
+    shared = source.sparkSession.sparkContext.broadcast((wanted, leads))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        leads = np.diff(w.lead_first) > 0
+        wanted, leads = shared.value
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for rows, data, offsets in bh.blocks(batch):
                 begins, stops, firsts = bh.words(data, offsets, bh.ALNUM)
-                n = np.diff(firsts)
-                at, there = _known(bh.hashes(data, begins, stops, bh.FOLDED), w.vocabulary)
+                n, own = np.diff(firsts), ids[rows]
+                h = bh.hashes(data, begins, stops, bh.FOLDED).view(np.int64)
                 doc = np.repeat(np.arange(n.size), n)
-                lead = there.copy()
-                lead[there] = leads[at[there]]
-                there &= np.isin(doc, np.unique(doc[lead]))
-                doc, place, at = doc[there], (np.arange(there.size) - np.repeat(firsts[:-1], n))[there], at[there]
-                by = np.lexsort((place, at, doc))
-                doc, place, at = doc[by], place[by], at[by]
-                new = np.ones(doc.size, dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-                head = np.flatnonzero(new)
-                outer = pa.array(np.searchsorted(doc[head], np.arange(n.size + 1)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(head, doc.size).astype(np.int32)), pa.array(place.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n.size), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(outer, pa.array(at[head].astype(np.int32))), pa.ListArray.from_arrays(outer, lists)], ["id", "n_words", "terms", "places"])
-
-    return source.mapInArrow(build, SHAPE)
+                there = in_filter(wanted, h)
+                hopeful = np.zeros(n.size, dtype=bool)
+                hopeful[doc[there & in_filter(leads, h)]] = True
+                there &= hopeful[doc]
+                term, doc, place = h[there], doc[there], (np.arange(h.size) - np.repeat(firsts[:-1], n))[there]
+                by = np.lexsort((place, doc, term))
+                term, doc, place = term[by], doc[by], place[by]
+                new_term, new = np.ones(term.size, dtype=bool), np.ones(term.size, dtype=bool)
+                new_term[1:] = term[1:] != term[:-1]
+                new[1:] = new_term[1:] | (doc[1:] != doc[:-1])
+                head, list_at = np.flatnonzero(new_term), np.flatnonzero(new)
+                by_term = np.append(np.searchsorted(list_at, head), list_at.size)
+                id_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], [n.size], n.size + by_term[1:]]).astype(np.int32)), pa.array(np.concatenate([own, own[doc[list_at]]])))
+                count_lists = pa.ListArray.from_arrays(id_lists.offsets, pa.array(np.concatenate([n, np.diff(np.append(list_at, term.size))]).astype(np.int32)))
+                place_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], [0], np.append(head, term.size)[1:]]).astype(np.int32)), pa.array(place.astype(np.int32)))
+                terms = pa.array(np.concatenate([[0], term[head]]).astype(np.int64), mask=np.arange(head.size + 1) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(head.size + 1, own[0])), terms, id_lists, count_lists, place_lists], ["shard", "term", "ids", "counts", "places"])
+
+    return source.mapInArrow(build, INDEX)
+
+
+def _block(rows: pa.Table) -> Windows:
+    """Windows of the rows (item, terms, order, lead), with their vocabulary."""
+    rows = rows.combine_chunks()
+    terms, order, lead = (rows.column(c).combine_chunks() for c in ("terms", "order", "lead"))
+    lengths = np.diff(terms.offsets.to_numpy())
+    vocabulary, rank = np.unique(terms.flatten().to_numpy(), return_inverse=True)
+    width = int(lengths.max())
+    at = np.repeat(np.arange(lengths.size), lengths), np.arange(rank.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    matrix, rarity = (np.full((lengths.size, width), fill, dtype=np.int64) for fill in (-1, 0))
+    matrix[at], rarity[at] = rank, order.flatten().to_numpy()
+    for k in np.flatnonzero(lengths < width).tolist():  # past a short window's end there is nothing to look for
+        rarity[k, lengths[k] :] = np.arange(lengths[k], width)
+    leads = np.searchsorted(vocabulary, lead.to_numpy())
+    by = np.argsort(leads, kind="stable")
+    named = rows.column("item").combine_chunks().dictionary_encode(null_encoding="encode")
+    return Windows(vocabulary, matrix, lengths, named.indices.to_numpy().astype(np.int64), named.dictionary.to_pylist(), rarity, np.searchsorted(leads[by], np.arange(vocabulary.size + 1)), by)
 
 
 def _stands(codes: np.ndarray, doc: np.ndarray, term: np.ndarray, place: np.ndarray, slack: int) -> np.ndarray:
@@ -136,49 +146,77 @@ def _stands(codes: np.ndarray, doc: np.ndarray, term: np.ndarray, place: np.ndar
     return (at < codes.size) & (place + slack >= 0) & (got <= base + np.maximum(place + slack, 0).astype(U))
 
 
+def _matches(rows: pa.Table, w: Windows, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, number of the document, window, start) of all matches in the posting lists of one range."""
+    term = rows.column("term").to_numpy()
+    rank = np.searchsorted(w.vocabulary, term)
+    rank[rank == w.vocabulary.size] = 0
+    known = w.vocabulary[rank] == term
+    rows, rank = rows.filter(pa.array(known)).combine_chunks(), rank[known]
+    none = np.zeros(0, np.int64)
+    if not rows.num_rows:
+        return none, none, none, none
+    ids, counts, places = (rows.column(c).combine_chunks() for c in ("ids", "counts", "places"))
+    per = counts.flatten().to_numpy().astype(np.int64)
+    docs, number = np.unique(ids.flatten().to_numpy(), return_inverse=True)
+    doc, place = np.repeat(number, per), places.flatten().to_numpy().astype(np.int64)
+    term = np.repeat(np.repeat(rank, np.diff(ids.offsets.to_numpy())), per)
+    codes = np.sort((doc.astype(U) << U(48)) | (term.astype(U) << U(28)) | place.astype(U))
+    many = np.diff(w.lead_first)[term]
+    lead = np.flatnonzero(many)
+    doc, term, place, many = doc[lead], term[lead], place[lead], many[lead]
+    found = []
+    for part in np.split(np.arange(lead.size), np.unique(np.searchsorted(np.cumsum(many), np.arange(STEP, int(many.sum()), STEP)))):
+        m = many[part]
+        d, p = np.repeat(doc[part], m), np.repeat(place[part], m)
+        win = w.lead_order[np.repeat(w.lead_first[term[part]], m) + np.arange(d.size) - np.repeat(np.cumsum(m) - m, m)]
+        start = p - w.by_rarity[win, 0]
+        for r in range(1, w.terms.shape[1]):
+            if not d.size:
+                break
+            off = w.by_rarity[win, r]
+            t = w.terms[win, off]
+            good = (t < 0) | _stands(codes, d, np.maximum(t, 0), start + off, slack)
+            d, win, start = d[good], win[good], start[good]
+        found.append((d, win, start))
+    d, win, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    return docs, d, win, start
+
+
 def search(index: DataFrame, windows: Windows, slack: int = 0) -> DataFrame:
-    """(id, n_words, spans, items): for each document, the spans of words [lo, hi) where windows occur, and the numbers of their items.
+    """(id, spans, items) of the documents in which windows occur: the spans of words [lo, hi) and the distinct names of their items.
 
-    A span starts where the window does, judged by its lead term; with a slack the other terms may be so many words off.
+    A span starts where the window does, judged by its lead term; with a slack the other terms may be so many words off, and the span may reach over the text's edge.
     """
     shared = index.sparkSession.sparkContext.broadcast(windows)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(rows: pa.Table) -> pa.RecordBatch:
         w = shared.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                terms, places = batch.column(2), batch.column(3)
-                per_doc = np.diff(terms.offsets.to_numpy())
-                flat, lists = terms.flatten(), places.flatten()
-                per_term = np.diff(lists.offsets.to_numpy())
-                term = np.repeat(flat.to_numpy().astype(np.int64), per_term)
-                doc = np.repeat(np.repeat(np.arange(per_doc.size), per_doc), per_term)
-                place = lists.flatten().to_numpy().astype(np.int64)
-                codes = (doc.astype(U) << U(48)) | (term.astype(U) << U(28)) | place.astype(U)
-                many = np.diff(w.lead_first)[term] if term.size else np.zeros(0, np.int64)
-                d, p = np.repeat(doc, many), np.repeat(place, many)
-                at = np.repeat(w.lead_first[term], many) + np.arange(d.size) - np.repeat(np.cumsum(many) - many, many)
-                win = w.lead_order[at] if d.size else np.zeros(0, np.int64)
-                start = p - w.by_rarity[win, 0]
-                good = (start >= 0) & (start + w.lengths[win] <= batch.column(1).to_numpy()[d]) if d.size else np.zeros(0, bool)
-                d, win, start = d[good], win[good], start[good]
-                for r in range(1, w.terms.shape[1]):
-                    if not d.size:
-                        break
-                    off = w.by_rarity[win, r]
-                    t = w.terms[win, off]
-                    good = (t < 0) | _stands(codes, d, np.maximum(t, 0), start + off, slack)
-                    d, win, start = d[good], win[good], start[good]
-                by = np.lexsort((start, d))
-                d, win, start = d[by], win[by], start[by]
-                edge = np.searchsorted(d, np.arange(batch.num_rows + 1)).astype(np.int32)
-                spans = pa.StructArray.from_arrays([pa.array(start), pa.array(start + w.lengths[win] if d.size else start)], ["lo", "hi"])
-                pair = np.unique(d * (1 << 32) + w.items[win]) if d.size else np.zeros(0, np.int64)
-                item_edge = np.searchsorted(pair >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(edge), spans), pa.ListArray.from_arrays(pa.array(item_edge), pa.array(pair & 0xFFFFFFFF))], ["id", "n_words", "spans", "items"])
-
-    return index.mapInArrow(find, "id long, n_words long, spans array<struct<lo: long, hi: long>>, items array<long>")
+        docs, d, win, start = _matches(rows, w, slack)
+        by = np.lexsort((start, d))
+        d, win, start = d[by], win[by], start[by]
+        hit, edge = np.unique(d, return_index=True)
+        spans = pa.StructArray.from_arrays([pa.array(start), pa.array(start + w.lengths[win])], ["lo", "hi"])
+        pair = np.unique(d * (1 << 32) + w.items[win])
+        item_edge = np.searchsorted(pair >> 32, hit)
+        names = pa.array(w.names, pa.string()).take(pa.array(pair & 0xFFFFFFFF))
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(e, x).astype(np.int32)), v) for e, x, v in ((edge, d.size, spans), (item_edge, pair.size, names))]
+        return pa.RecordBatch.from_arrays([pa.array(docs[hit].astype(np.int64)), *lists], ["id", "spans", "items"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            for a, b in zip([0, *(np.flatnonzero(np.diff(shard)) + 1).tolist()], [*(np.flatnonzero(np.diff(shard)) + 1).tolist(), shard.size], strict=True):
+                if held and b > a and held[0].column(0)[0].as_py() != shard[a]:
+                    yield told(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    return index.where("term is not null").repartition("shard").sortWithinPartitions("shard", "term").mapInArrow(find, FOUND)
 
 
 def _covered(spans: str) -> F.Column:
@@ -193,35 +231,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     words of an item; an item with fewer, but not none, is one window. n_hit counts the words inside any occurrence of a
     window; items are the distinct ids, as strings, of the items with occurring windows, sorted as strings; items with a null id
     hit but are not named, and rows with one id are one item. Null texts have no words; an empty benchmark hits nothing. Rows
-    with one key stay separate. Other columns are ignored.
+    with one key stay separate; spans are cut at the text's edges. Other columns are ignored.
     """
     docs, row, unique = with_row_id(docs, text, key)
     source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"))
     tests = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
-    size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    parts = []
+    windows = stored(windows_of(tests, width), "windows")
+    wanted = key_filter(windows.select(F.explode("terms").alias("term")).distinct(), "term", BITS, plain=True)
+    queries = stored(by_rarity(windows, term_counts(source, wanted)), "queries")
+    leads = key_filter(queries.select("lead").distinct(), "lead", BITS, plain=True)
+    index = stored(positional_index(source, wanted, leads), "postings")
+    sizes = index.where("term is null").select(F.explode(F.arrays_zip("ids", "counts")).alias("d")).select(F.col("d.ids").alias("id"), F.col("d.counts").cast("long").alias("n_words"))
+    blocks = -(-queries.count() // min(BLOCK, (1 << 19) // width))
+    found = None
     for b in range(blocks):
-        rows = [(r[0], bytes(r[1])) for r in tests.where("text is not null").where(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {b}")).collect()]
-        windows = windows_of(rows, width)
-        windows = windows.ranked(term_counts(source, windows.vocabulary) if windows.vocabulary.size else np.zeros(1, np.int64))
-        found = search(stored(positional_index(source, windows), "postings"), windows, slack)
-        names = F.array(*[F.lit(r[0]) for r in rows]) if len(rows) <= 2000 else None
-        if names is not None and rows:
-            found = found.withColumn("items", F.transform("items", lambda i: F.get(names, i.cast("int"))))
-        elif rows:
-            ids = docs.sparkSession.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "n long, item string")
-            named = found.select("id", F.explode("items").alias("n")).join(ids, "n").groupBy("id").agg(F.collect_set("item").alias("names"))
-            found = found.join(named, "id", "left").select("id", "n_words", "spans", F.coalesce("names", F.array().cast("array<string>")).alias("items"))
-        else:
-            found = found.withColumn("items", F.array().cast("array<string>"))
-        parts.append(found)
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.union(p)
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    out = found.select("id", "n_words", _covered("spans").alias("n_hit"), F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items"), "spans")
+        rows = queries.where(F.pmod(F.xxhash64("item", "terms"), F.lit(blocks)) == b).toArrow()
+        if rows.num_rows:
+            part = search(index, _block(rows), slack)
+            found = found.union(part) if found else part
+    if found is None:
+        found = sizes.limit(0).selectExpr("id", "cast(null as array<struct<lo: bigint, hi: bigint>>) as spans", "cast(null as array<string>) as items")
+    elif blocks > 1:
+        found = found.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    out = sizes.join(found, "id", "left")
+    spans = F.transform(F.coalesce("spans", F.array().cast("array<struct<lo: bigint, hi: bigint>>")), lambda s: F.struct(F.greatest(s["lo"], F.lit(0)).alias("lo"), F.least(s["hi"], F.col("n_words")).alias("hi")))
+    items = F.array_sort(F.array_distinct(F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    out = out.select("id", "n_words", spans.alias("spans"), items.alias("items")).select("id", "n_words", _covered("spans").alias("n_hit"), "items", "spans")
     out = out.withColumn("contaminated", F.col("n_hit") > 0)
     if unique:
         return out.withColumnRenamed("id", key)

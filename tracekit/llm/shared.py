@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,28 +41,32 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """``df``, written to the shared folder, with the place of each row in the order as a long column ``out``: a range sort over all rows, each partition numbered by itself."""
+    # the number of a row within its partition stands in the low 33 bits
+    rows = stored(df.orderBy(*order).withColumn(out, F.monotonically_increasing_id()), "rows")
+    part, first, shift = spare(rows, "row_part"), 0, []
+    for r in rows.groupBy(F.shiftright(out, 33).alias(part)).agg(F.count("*").alias("n")).orderBy(part).collect():  # a row a partition
+        shift += [F.lit(int(r[0])), F.lit(first)]
+        first += r[1]
+    if not shift:
+        return rows
+    return rows.withColumn(out, F.create_map(*shift)[F.shiftright(out, 33)] + F.col(out).bitwiseAND((1 << 33) - 1))
+
+
 def with_row_id(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, str, bool]:
     """``docs`` with a long column that tells rows apart and orders them by key; that column's name; whether it is the key itself.
 
     The key serves where it is an integer, unique and never null. Otherwise rows are numbered in the order
-    of (key, hash of the text), null keys first: a range sort over all rows, each partition numbered by itself.
+    of (key, hash of the text), null keys first.
     """
     row = spare(docs, "row_id")
     if docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
         twice = docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull())
         if twice.isEmpty():
             return docs.withColumn(row, F.col(key).cast("long")), row, True
-    digest, part = spare(docs, "row_digest"), spare(docs, "row_part")
-    ordered = docs.withColumn(digest, F.xxhash64(F.col(text))).orderBy(F.col(key).asc_nulls_first(), digest)
-    # the number of a row within its partition stands in the low 33 bits
-    numbered = stored(ordered.withColumn(row, F.monotonically_increasing_id()).drop(digest), "rows")
-    first, shift = 0, []
-    for r in numbered.groupBy(F.shiftright(row, 33).alias(part)).agg(F.count("*").alias("n")).orderBy(part).collect():  # a row a partition
-        shift += [F.lit(int(r[0])), F.lit(first)]
-        first += r[1]
-    if not shift:
-        return numbered, row, False
-    return numbered.withColumn(row, F.create_map(*shift)[F.shiftright(row, 33)] + F.col(row).bitwiseAND((1 << 33) - 1)), row, False
+    digest = spare(docs, "row_digest")
+    return numbered(docs.withColumn(digest, F.xxhash64(F.col(text))), [F.col(key).asc_nulls_first(), digest], row).drop(digest), row, False
 
 
 def bits_for(keys: int, most: int = 1 << 30) -> int:
@@ -74,15 +78,15 @@ def bits_for(keys: int, most: int = 1 << 30) -> int:
 PAGE = 1 << 19
 
 
-def key_filter(keys: DataFrame, column: str, most: int = 1 << 30) -> np.ndarray:
-    """A bitmap of bounded size over the hashes of long keys.
+def key_filter(keys: DataFrame, column: str, most: int = 1 << 30, plain: bool = False) -> np.ndarray:
+    """A bitmap of bounded size over the hashes of long keys, or over the keys themselves if they are hashes (``plain``).
 
     A key outside it is certainly not in ``keys``; one inside may be. It keeps rows that cannot match
     out of a shuffle; an exact join must follow. Pages of it are made on executors: the driver gets at most ``most / PAGE`` rows of 64 KB.
     """
     bits = bits_for(keys.count(), most)
     size = min(PAGE, bits)
-    slot = keys.select(F.expr(f"pmod(xxhash64({column}), {bits})").alias("s")).distinct()
+    slot = keys.select(F.expr(f"pmod({column if plain else f'xxhash64({column})'}, {bits})").alias("s")).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, page = -1, np.zeros(0, dtype=np.uint8)
@@ -112,7 +116,7 @@ def key_filter(keys: DataFrame, column: str, most: int = 1 << 30) -> np.ndarray:
 
 
 def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the keys' ``xxhash64`` values fall on set bits."""
+    """Which of the hashes fall on set bits: keys' ``xxhash64`` values, or the keys of a plain filter."""
     s = np.mod(hashes, words.size * 64)
     return (words[s >> 6] >> (s & 63)) & 1 == 1
 
