@@ -23,6 +23,7 @@ TOOLS = {
     "search": {"properties": {"n": {"type": "integer"}, "q": {"type": "string"}}, "required": ["n", "q"]},
     "summarise": {"properties": {"q": {"type": "string"}}, "required": ["q"]},
     "translate": {"properties": {"n": {"type": "number"}, "q": {"type": "string"}, "to": {"type": "string"}}, "required": ["q"]},
+    "plan": {"properties": {"n": {"type": "integer"}, "q": {"type": "string"}, "steps": {"type": "array", "items": {"type": "object", "properties": {"at": {"type": "integer"}, "kind": {"enum": ["first", "next"]}}, "required": ["at"]}}}, "required": ["q"]},
 }
 
 
@@ -51,13 +52,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls are read from the conversations: each user turn calls a tool, continuing the call two turns before; the next assistant turn is its result."""
+    """Calls are read from the conversations: each user turn calls a tool; the next assistant turn is its result.
+
+    A call continues the one two turns before, and every fourth one the one six turns before too; a plan has steps, of which each fifth text has a wrong one.
+    """
     turns = table(spark, sf_dir, "conversations")
-    name = F.element_at(F.array(*[F.lit(x) for x in ("search", "summarise", "translate", "unknown")]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) + 1).cast("int"))
-    arguments = F.when(F.length("text") % 7 == 0, F.to_json(F.struct(F.col("text").alias("q"), F.length("text").cast("string").alias("n")))).otherwise(F.to_json(F.struct(F.col("text").alias("q"), F.length("text").alias("n"))))
-    calls = turns.where("role = 'user'").select(F.col("conv_id").alias("conv"), F.col("turn").alias("call"), (F.col("turn") - 2).alias("parent"), name.alias("tool"), arguments.alias("arguments"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("search", "summarise", "translate", "unknown", "plan")]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) + 1).cast("int"))
+    size = F.length("text")
+    steps = F.array(F.struct(F.lit(0).alias("at"), F.lit("first").alias("kind")), F.struct(size.alias("at"), F.when(size % 5 == 0, "last").otherwise("next").alias("kind")))
+    plain = F.to_json(F.struct(F.col("text").alias("q"), size.alias("n")))
+    arguments = F.when(name == "plan", F.to_json(F.struct(F.col("text").alias("q"), steps.alias("steps")))).when(size % 7 == 0, F.to_json(F.struct(F.col("text").alias("q"), size.cast("string").alias("n")))).otherwise(plain)
+    calls = turns.where("role = 'user'").select(F.col("conv_id").alias("conv"), F.col("turn").alias("call"), name.alias("tool"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), (F.col("turn") - 1).alias("call"), F.col("text").alias("content"))
-    out = tool_calls.link(calls, results, TOOLS)
+    edges = calls.select("conv", "call", F.explode(F.when(F.col("call") % 8 == 0, F.array(F.col("call") - 2, F.col("call") - 6)).otherwise(F.array(F.col("call") - 2))).alias("parent"))
+    out = tool_calls.link(calls, results, TOOLS, edges)
     return out.select(F.col("conv").alias("conv_id"), F.col("call").alias("turn"), "place", "depth", "tool", "valid", F.array_join("errors", "; ").alias("errors"), "linked", "json")
 
 
