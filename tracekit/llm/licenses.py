@@ -7,6 +7,7 @@ expression library matches the whole notice around it with bounded errors and te
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -60,6 +61,7 @@ class Notices:
         self.names = list(notices)
         self.labels = [notices[n] for n in self.names]
         self.most = [edits_allowed(n) for n in self.names]
+        self.exact = [n.encode() for n in self.names]
         self.patterns = [regex.compile(rf"(?:{regex.escape(n, special_only=True, literal_spaces=True)}){{e<={e}}}".encode(), regex.BESTMATCH) for n, e in zip(self.names, self.most, strict=True)]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (n, e) in enumerate(zip(self.names, self.most, strict=True)):
@@ -77,29 +79,44 @@ class Notices:
         for end, (size, of) in self.seeds.iter(low.decode("latin-1")):
             for k, a in of:
                 seen.setdefault(k, []).append((end + 1 - size - a, end + 1 - size))
-        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        out: dict[int, set[tuple[int, int, int, int]]] = {}
+        exact: list[tuple[int, int]] = []
+        for k, places in seen.items():
+            n = len(self.names[k])
+            at = [s for s in {p[0] for p in places} if s >= 0 and low[s : s + n] == self.exact[k]]
+            for s, d in zip(at, (np.searchsorted(offsets, at, side="right") - 1).tolist(), strict=True):
+                if s + n <= offsets[d + 1]:
+                    out.setdefault(d, set()).add((k, s - int(offsets[d]), s - int(offsets[d]) + n, 0))
+                    exact.append((s, s + n))
+        spans = np.array(sorted(exact), dtype=np.int64).reshape(-1, 2)
+        reach = np.maximum.accumulate(spans[:, 1]) if exact else np.zeros(0, np.int64)
         for k, places in seen.items():
             e, n = self.most[k], len(self.names[k])
             done = -1
-            doc = np.searchsorted(offsets, [p[1] for p in places], side="right") - 1
-            for (start, _), d in sorted(zip(places, doc.tolist(), strict=True)):
+            seed = np.array([p[1] for p in places])
+            doc = np.searchsorted(offsets, seed, side="right") - 1
+            # what holds a seed within an exact notice overlaps that, and would give way to it
+            inside = np.searchsorted(spans[:, 0], seed, side="right") - 1
+            free = (inside < 0) | (reach[np.maximum(inside, 0)] <= seed) if exact else np.ones(seed.size, bool)
+            for (start, _), d in sorted((p, d) for p, d, f in zip(places, doc.tolist(), free.tolist(), strict=True) if f):
                 lo, hi = max(int(offsets[d]), start - e), min(int(offsets[d + 1]), start + n + e)
                 if start < done and hi <= done + e:
                     continue
                 if m := self.patterns[k].search(low, lo, hi):
-                    found = (k, m.start() - int(offsets[d]), m.end() - int(offsets[d]), sum(m.fuzzy_counts))
-                    own = out.setdefault(d, [])
-                    if found not in own:
-                        own.append(found)
+                    out.setdefault(d, set()).add((k, m.start() - int(offsets[d]), m.end() - int(offsets[d]), sum(m.fuzzy_counts)))
                     done = m.end()
-        for d, own in out.items():
-            # of notices that overlap, the one with the smallest share of edits stands
-            kept: list[tuple[int, int, int, int]] = []
-            for x in sorted(own, key=lambda x: (x[3] / len(self.names[x[0]]), x[1] - x[2], x)):
-                if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-                    kept.append(x)
-            out[d] = kept
-        return out
+        return {d: self.apart(own) for d, own in out.items()}
+
+    def apart(self, own: set[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of notices that overlap, the one with the smallest share of edits stands; the others of one text give way to those that stand, in the order of their starts."""
+        starts: list[int] = []
+        kept: list[tuple[int, int, int, int]] = []
+        for x in sorted(own, key=lambda x: (x[3] / len(self.names[x[0]]), x[1] - x[2], x)):
+            at = bisect(starts, x[1])
+            if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or x[2] <= kept[at][1]):
+                starts.insert(at, x[1])
+                kept.insert(at, x)
+        return kept
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
@@ -109,7 +126,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
     the words of a phrase stand one after another; first_word and last_word are their smallest and largest start, null without any. Labels are
     distinct, sorted and joined by commas. spans tell the notices found, with start and stop in code points and the number of edits. The
     score is 1 with an exact phrase or notice, else 1 less the smallest share of edits of a notice found, 0 without any. Null
-    texts count as empty. Other columns are ignored.
+    texts count as empty; a text is taken whole, however long. Rows are independent: repeated ones, and null keys, each give their own row; an empty table gives an empty
+    result. Other columns are ignored.
     """
     wanted = [([bh.hash_of(w.encode()) for w in p.split()], label) for p, label in phrases.items()]
     kind = docs.schema[key].dataType.simpleString()
@@ -138,11 +156,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
                     base = sorted({label for _, label in own})
                     spans, best = [], 1.0 if own else 0.0
                     if near:
-                        body = low[offsets[k] : offsets[k + 1]]
-                        for n, a, b, e in sorted(near, key=lambda x: (x[1], x[0])):
+                        # code points that begin before each byte; a span that cuts one in two has it as a whole
+                        lead = (data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80
+                        before = np.concatenate([[0], np.cumsum(lead)])
+                        for n, a, b, e in near:
                             best = max(best, 1 - e / len(known.names[n]))
-                            before = len(body[:a].decode("utf-8", "ignore"))
-                            spans.append({"notice": known.names[n], "label": known.labels[n], "start": before, "stop": before + len(body[a:b].decode("utf-8", "ignore")), "edits": e})
+                            spans.append({"notice": known.names[n], "label": known.labels[n], "start": int(before[a]) - int(a < lead.size and not lead[a]), "stop": int(before[b]), "edits": e})
                     for c, v in zip(cols, (int(firsts[k + 1] - firsts[k]), len(own), min((p for p, _ in own), default=None), max((p for p, _ in own), default=None), ",".join(base), ",".join(sorted({*base, *(known.labels[n[0]] for n in near)})), best, spans), strict=True):
                         c.append(v)
             longs, strings = pa.int64(), pa.string()
