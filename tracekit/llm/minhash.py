@@ -15,6 +15,7 @@ are held in blocks, on full sets, against all members of the buckets with the sa
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,11 +108,29 @@ def confirmed(likely: DataFrame, docs: DataFrame, row: str, text: str, width: in
     return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).cast("long").alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b")
 
 
-def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width: int, percent: int, block: tuple[int, int] = (1000, 4000)) -> DataFrame:
-    """(a, b): of each cluster in ``placed`` (id, cluster, component, outside), links between an outside member and a member of another component, one for each such component at least.
+def _blocks_of(placed: DataFrame, percent: int, block: tuple[int, int]) -> DataFrame:
+    """(id, component, cluster, band, i, j, side): the blocks that each member goes to, as one held (side 0) or read (side 1).
 
-    All outside members are held against all members of their cluster, on full sets, block by block; a task holds one block of outside
-    members and reads the other members one at a time. Only links leave it, no candidates.
+    Sizes that can be alike lie in one band or in neighbouring ones, so a block holds outside members of one band and reads members of three.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("int")
+    placed = placed.withColumn("band", band)
+    near = placed.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    held = placed.where("outside").groupBy("cluster", "band").agg(F.ceil(F.count("*") / block[0]).cast("int").alias("rows"))
+    sizes = near.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block[1]).cast("int").alias("cols")).join(held, ["cluster", "band"])
+    at = F.xxhash64("id")
+    columns = ["id", "component", "cluster", "band"]
+    hold = placed.where("outside").join(sizes, ["cluster", "band"]).select(*columns, F.pmod(at, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
+    read = near.join(sizes, ["cluster", "band"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(at, "cols").cast("int").alias("j"), F.lit(1).alias("side"))
+    return hold.union(read)
+
+
+def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width: int, percent: int, block: tuple[int, int] = (400, 1600)) -> DataFrame:
+    """(a, b): of each cluster in ``placed`` (id, n, cluster, component, outside), links between an outside member and a member of another component, one for each such component at least.
+
+    All outside members are held against all members of their cluster whose sizes allow it, on full sets, block by block; a task holds one block of outside
+    members and reads the other members one at a time. Sets that are alike enough share one of the first shingles, in the order of their hashes, so a member is compared
+    in full only with a block in which some set shares one with it (a prefix filter, which leaves nothing out). Only links leave a task, no candidates.
     """
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(placed.select("id").distinct(), "id"))
     source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h"))
@@ -120,24 +139,22 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
         for part in _full(batches, wanted.value, width):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.values.to_numpy().tobytes() for s in part.column(1)], pa.binary())], ["id", "s"])
 
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("outside").cast("int")) / block[0]).cast("int").alias("rows"), F.ceil(F.count("*") / block[1]).cast("int").alias("cols")).where("rows > 0")
-    known = source.mapInArrow(full, "id long, s binary").join(placed.join(sizes, "cluster"), "id")
-    at = F.xxhash64("id")
-    held = known.where("outside").select("cluster", F.pmod(at, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component", "s")
-    read = known.select("cluster", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(at, "cols").alias("j"), F.lit(1).alias("side"), "id", "component", "s")
-    dealt = held.select("cluster", F.col("i").cast("int").alias("i"), "j", "side", "id", "component", "s").union(read.select("cluster", "i", F.col("j").cast("int").alias("j"), "side", "id", "component", "s"))
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+    dealt = source.mapInArrow(full, "id long, s binary").join(_blocks_of(placed, percent, block), "id")
+    dealt = dealt.select("cluster", "band", "i", "j", "side", "id", "component", "s").repartition("cluster", "band", "i", "j").sortWithinPartitions("cluster", "band", "i", "j", "side")
+
+    def first(s: np.ndarray) -> np.ndarray:
+        return s[: s.size - (-(-percent * s.size // 100)) + 1]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, parts, sets, seen = None, [], [], [], set()
-        token = owner = n = None
+        token = owner = n = where = heads = None
         for batch in batches:
             a, b = [], []
-            cluster, i, j, side, who, part, raw = (batch.column(k).to_pylist() for k in range(7))
+            cluster, band, i, j, side, who, part, raw = (batch.column(k).to_pylist() for k in range(8))
             for k in range(batch.num_rows):
                 s = np.frombuffer(raw[k], dtype=U)
-                if (cluster[k], i[k], j[k]) != at:
-                    at, ids, parts, sets, seen, token = (cluster[k], i[k], j[k]), [], [], [], set(), None
+                if (cluster[k], band[k], i[k], j[k]) != at:
+                    at, ids, parts, sets, seen, token = (cluster[k], band[k], i[k], j[k]), [], [], [], set(), None
                 if side[k] == 0:
                     ids.append(who[k])
                     parts.append(part[k])
@@ -150,6 +167,10 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
                     token, owner = np.concatenate(sets), np.repeat(np.arange(n.size), n)
                     by = np.argsort(token)
                     token, owner, where = token[by], owner[by], np.array(parts)
+                    heads = np.unique(np.concatenate([first(x) for x in sets]))
+                f = first(s)
+                if not (heads[np.minimum(np.searchsorted(heads, f), heads.size - 1)] == f).any():
+                    continue
                 lo, hi = np.searchsorted(token, s), np.searchsorted(token, s, side="right")
                 c = hi - lo
                 common = np.bincount(owner[np.repeat(lo - np.cumsum(c) + c, c) + np.arange(int(c.sum()))], minlength=n.size)
@@ -198,7 +219,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     placed = members.join(part, "id")
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     parts = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("cluster"), F.count("*").alias("parts")).where("parts > 1")
-    inside = placed.join(parts.select("key", "cluster"), "key").select("cluster", "id", "component", (F.col("component") != F.col("cluster")).alias("outside")).distinct()
+    inside = placed.join(parts.select("key", "cluster"), "key").select("cluster", "id", "n", "component", (F.col("component") != F.col("cluster")).alias("outside")).distinct()
     across = stored(links_across(stored(inside, "inside"), docs, row, text, width, percent), "across")
     if not across.isEmpty():
         part = components(distinct.select("id"), links.union(across))
