@@ -78,7 +78,7 @@ def test_links_across_blocks_lose_nothing(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
     assert got == brute_components(list(enumerate(texts)), 2, 80)
-    placed = docs.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("cluster"), F.col("doc_id").alias("component"), F.lit(True).alias("outside"))
+    placed = docs.select(F.col("doc_id").alias("id"), F.lit(49).alias("n"), F.lit(0).cast("long").alias("cluster"), F.col("doc_id").alias("component"), F.lit(True).alias("outside"))
     links = {(r.a, r.b) for r in minhash.links_across(placed, docs, "doc_id", "text", 2, 80, block=(3, 4)).collect()}
     assert links == {(k, k + 1) for k in range(9)}
 
@@ -157,10 +157,17 @@ def test_contamination_matches_brute_force(spark, awkward, empty):
 def test_contamination_in_blocks_and_with_slack(spark, awkward, monkeypatch):
     tests = spark.createDataFrame([(1, " ".join(PROSE.split()[3:15])), (2, "fox jumps"), (5, "brown fox over")], "item_id long, text string")
     one = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(awkward, tests).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    monkeypatch.setattr(decontaminate, "STEP", 3)
     assert {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.contamination(awkward, tests).collect()} == one
     near = {r.doc_id: r["items"] for r in decontaminate.contamination(awkward, tests, slack=1).collect()}
     assert "5" not in one[0][1] and "5" in near[0]
+    short = spark.createDataFrame([(0, "over fox"), (1, "brown over"), (2, "x brown over")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in decontaminate.contamination(short, tests.where("item_id = 5"), slack=1).collect()}
+    assert got == {0: [], 1: [], 2: []}  # no brown, no fox
+    turned = spark.createDataFrame([(0, "brown over fox"), (1, "a brown over fox b"), (2, "fox over brown")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in decontaminate.contamination(turned, tests.where("item_id = 5"), slack=1).collect()}
+    assert got == {0: [(0, 3)], 1: [(1, 4)], 2: []}
 
 
 def test_language(awkward, repeated, empty):
