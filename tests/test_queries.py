@@ -6,9 +6,7 @@ import os
 
 import pytest
 
-import tracekit.plans.extended
-import tracekit.plans.more  # both register their queries  # noqa: F401
-from tracekit.plans.queries import QUERIES, SQL
+from tracekit.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

@@ -26,14 +26,14 @@ def test_halves_are_even(spark):
 
 @pytest.mark.parametrize("name", ["t8_circular_shuffle", "t9_null_percentile", "t12_null_z_p", "h5_bootstrap_sd"])
 def test_thousand_draws(spark, tmp_path, name):
-    """Against the SQL of the query with 20 draws, run with 1000 on a small table."""
+    """Against the SQL of the query with 100 draws, run with 1000 on a small table."""
     import duckdb
 
     spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").limit(60).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     c = duckdb.connect()
     c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
-    assert "range(1, 21)" in SQL[name]
-    want = c.sql(SQL[name].replace("range(1, 21)", "range(1, 1001)"))
+    assert "range(1, 101)" in SQL[name]
+    want = c.sql(SQL[name].replace("range(1, 101)", "range(1, 1001)"))
     df = QUERIES[f"{name}_whole"](spark, str(tmp_path))
     assert sorted(df.columns) == sorted(want.columns)
     key = lambda row: [(v is None, str(v)) for v in row]

@@ -111,3 +111,70 @@ def cohort(name: Column, rules: list[tuple[str, str]], other: str | None = None)
 def crop_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """(left, top, right, bottom) of two corners."""
     return F.struct(F.least(x1, x2).alias("left"), F.least(y1, y2).alias("top"), F.greatest(x1, x2).alias("right"), F.greatest(y1, y2).alias("bottom"))
+
+
+def scaled_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column between 0 and 1 by its own least and largest value; constant columns, NaN and null give 0. One aggregate row is joined."""
+    num = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    bounds = df.agg(*[f(num(c)).alias(f"_{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    both = df.crossJoin(F.broadcast(bounds))
+    one = lambda i, c: F.coalesce(F.when(F.col(f"_hi{i}") > F.col(f"_lo{i}"), (num(c) - F.col(f"_lo{i}")) / (F.col(f"_hi{i}") - F.col(f"_lo{i}"))), F.lit(0.0))
+    return both.withColumns({c: one(i, c) for i, c in enumerate(columns)}).select(*df.columns)
+
+
+def integer_scale(v: Column, top: Column, bits: int) -> Column:
+    """v over its largest value on the scale of unsigned whole numbers of so many bits, cut off; 0 stays 0."""
+    return F.floor(F.when(top != 0, v / top).otherwise(v) * (2**bits - 1)).cast("long")
+
+
+def between_bits(v: Column, source: int, target: int) -> Column:
+    """A level of ``source`` bits as one of ``target`` bits, rounded half to even."""
+    return F.bround(v * ((2**target - 1) / (2**source - 1))).cast("long")
+
+
+def cohort_within(name: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The group of the first rule (part, group) whose part is in ``name``, whatever the case of letters."""
+    out = F.lit(other)
+    for part, group in reversed(rules):
+        out = F.when(F.upper(name).contains(part.upper()), group).otherwise(out)
+    return out
+
+
+def session_parts(name: Column) -> Column:
+    """(date, id, channel, kind, number) of a session's name, parts joined by ``_``: date, id, channel if there are four parts, kind; or id and number; null for others."""
+    p = F.split(name, "_")
+    n = F.size(p)
+    at = lambda i: F.try_element_at(p, F.lit(i))
+    long = n.isin(3, 4)
+    return F.when(
+        long | (n == 2),
+        F.struct(F.when(long, at(1)).alias("date"), F.when(long, at(2)).otherwise(at(1)).alias("id"), F.when(n == 4, at(3)).alias("channel"), F.when(long, at(-1)).alias("kind"), F.when(n == 2, at(2)).alias("number")),
+    )
+
+
+def normal_session(name: Column) -> Column:
+    """``YYMMDD_cohort-subject_rest-of-it`` of a name cohort_..._subject[_Ctx...]_yyyyMMdd-HHmmss; one of three parts is taken to be normal already, one of fewer, or without a date, is null."""
+    p = F.split(name, "_")
+    n = F.size(p)
+    day = F.date_format(F.try_to_timestamp(F.element_at(p, -1), F.lit("yyyyMMdd-HHmmss")), "yyMMdd")
+    context = F.element_at(p, -2).contains("Ctx")
+    subject = F.when(context, F.try_element_at(p, F.lit(-3))).otherwise(F.element_at(p, -2))
+    rest = F.filter(p, lambda x: (x != F.element_at(p, -1)) & (x != F.element_at(p, 1)) & (x != subject))
+    return F.when(n == 3, name).when(n > 3, F.concat(day, F.lit("_"), F.element_at(p, 1), F.lit("-"), subject, F.lit("_"), F.array_join(rest, "-")))
+
+
+def needs_downsample(peaks: DataFrame, clock: DataFrame, k: list[str], o: str, times: float = 1.8) -> DataFrame:
+    """(k, needed): whether the clock has over ``times`` as many samples as the place of the last peak (0 without one)."""
+    last = peaks.groupBy(*k).agg(F.max(o).alias("_last"))
+    return clock.groupBy(*k).agg(F.count("*").alias("_n")).join(last, k, "left").select(*k, (F.col("_n") > F.coalesce("_last", F.lit(0)) * times).alias("needed"))
+
+
+def within_limit(df: DataFrame, v: str, limit: float) -> DataFrame:
+    """Rows whose value stays under the limit in size."""
+    return df.where(F.abs(v) < limit)
+
+
+def without_large_columns(df: DataFrame, k: list[str], v: str, limit: float, out: str = "kept") -> DataFrame:
+    """df with ``out``: v, or null in groups whose mean passes the limit."""
+    mean = df.groupBy(*k).agg(F.avg(v).alias("_m"))
+    return df.join(mean, k).withColumn(out, F.when(F.col("_m") <= limit, F.col(v))).drop("_m")

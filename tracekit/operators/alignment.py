@@ -72,3 +72,35 @@ def trial_summary(trials: DataFrame, k: list[str], rel: str, v: str, onset: int)
     after = F.when(F.col(rel) >= onset, F.nanvl(F.col(v), F.lit(None)))
     at = F.max(F.when(F.col(rel) == onset, F.col(v)))
     return trials.groupBy(*k).agg(F.max(after).alias("peak"), (F.max(after) - at).alias("rise"), F.sum(after).alias("area"))
+
+
+def synced(low: DataFrame, high: DataFrame, k: list[str], t: str, pulses: DataFrame | None, start: str = "start", stop: str = "stop", name: str = "segment", width: float = 1.0) -> DataFrame:
+    """(k, segment, t, index, t_high): inside each pulse interval (k, start, stop, segment), each low time's fractional place among the high times there, held at their ends, and the high time nearest to that place (half places to the even one). Without pulses all is one interval.
+
+    Times of both clocks are put into intervals by an equi join on cells, and meet in one window by interval.
+    """
+    from tracekit.operators.segments import assigned
+
+    if pulses is None:
+        place = lambda df: df.select(*k, t).withColumn(name, F.lit(0))
+    else:
+        place = lambda df: assigned(df.select(*k, t).distinct(), pulses, k, [t], t, width, start, stop, name).where(F.col(name).isNotNull())
+    keys = [*k, name]
+    w = Window.partitionBy(*keys).orderBy(t)
+    top = place(high).withColumn("_i", F.row_number().over(w) - 1)
+    both = place(low).withColumn("_s", F.lit(1)).unionByName(top.withColumn("_s", F.lit(0)), allowMissingColumns=True)
+    by = Window.partitionBy(*keys).orderBy(t, "_s")
+    mark = F.when(F.col("_s") == 0, F.struct(F.col(t).alias("t"), F.col("_i").alias("i")))
+    before = F.last(mark, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(mark, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("_b", before).withColumn("_a", after).where("_s = 1 and (_a is not null or _b is not null)")
+    inside = F.col("_b.i") + (F.col(t) - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
+    index = F.when(F.col("_b").isNull(), F.col("_a.i")).when(F.col("_a").isNull() | (F.col("_a.i") == F.col("_b.i")), F.col("_b.i")).when(F.col(t) == F.col("_b.t"), F.col("_b.i")).otherwise(inside)
+    out = both.select(*keys, t, index.cast("double").alias("index")).withColumn("_i", F.bround("index").cast("int"))
+    return out.join(top.select(*keys, "_i", F.col(t).alias(f"{t}_high")), [*keys, "_i"]).drop("_i")
+
+
+def attached(members: DataFrame, sessions: DataFrame, signals: DataFrame, cluster: str, session: str, entity: str) -> DataFrame:
+    """Signals (session, entity, ...) of each cluster of members (cluster, session, entity), with one row of nulls for each of ``sessions`` in which it has no entity."""
+    clusters = members.select(cluster).distinct().crossJoin(F.broadcast(sessions.select(session).distinct()))
+    return clusters.join(members, [cluster, session], "left").join(signals, [session, entity], "left")

@@ -54,3 +54,14 @@ def selected(df: DataFrame, column: str, selection: str) -> DataFrame:
         low, _, high = part.strip().partition("-")
         keep = keep | F.col(column).between(int(low), int(high or low))
     return df.where(keep)
+
+
+def curve_products(a: DataFrame, b: DataFrame, key: str, at: str, v: str) -> DataFrame:
+    """(key, at, diff, product) of two curves of each key, over the bins that both have."""
+    both = a.select(key, at, F.col(v).alias("p")).join(b.select(key, at, F.col(v).alias("q")), [key, at])
+    return both.select(key, at, (F.col("p") - F.col("q")).alias("diff"), (F.col("p") * F.col("q")).alias("product"))
+
+
+def accuracy(pairs: DataFrame, true: str, predicted: str) -> DataFrame:
+    """One row: the number of pairs and the share of equal ones."""
+    return pairs.agg(F.count("*").alias("n"), F.avg((F.col(true) == F.col(predicted)).cast("double")).alias("accuracy"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,157 @@ def rebased(events: DataFrame, segments: DataFrame, keys: list[str], at: str, st
     s = segments.withColumn("_off", F.coalesce(F.sum(F.col(stop) - F.col(start) + 1).over(before), F.lit(0)))
     both = events.join(s, [*keys]).where(F.col(at).between(F.col(start), F.col(stop)))
     return both.withColumn("place", F.col(at) - F.col(start) + F.col("_off")).drop("_off")
+
+
+def static_border(pixels: DataFrame) -> DataFrame:
+    """One row (top, bottom, left, right): the box inside the rows and columns at the edges that don't change from any frame to the next, the tightest over all pairs of frames; the whole frame where nothing stands still.
+
+    From the edges inwards: a row or column of a pair is still if the mean of its absolute differences is 0; the box begins after the last still one of the first half, and ends before the first still one of the second.
+    """
+    nxt = pixels.select((F.col("frame") - 1).alias("frame"), "y", "x", F.col("v").alias("_w"))
+    size = pixels.agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    diff = pixels.join(nxt, ["frame", "y", "x"]).withColumn("_d", F.abs(F.col("v") - F.col("_w")))
+    still = lambda c: diff.groupBy("frame", c).agg(F.avg("_d").alias("_m")).where("_m = 0").select(c).distinct()
+
+    def edges(c: str, n: str, a: str, b: str) -> DataFrame:
+        s = size.select(F.col(n).alias("_n")).crossJoin(F.broadcast(still(c).withColumnRenamed(c, "_c")))
+        half = F.col("_n") / 2
+        out = s.agg(F.max(F.when(F.col("_c") < half, F.col("_c"))).alias("_a"), F.min(F.when(F.col("_c") >= half, F.col("_c"))).alias("_b"))
+        return size.crossJoin(out).select(F.coalesce(F.col("_a") + 1, F.lit(0)).cast("long").alias(a), (F.coalesce("_b", F.col(n)) - 1).cast("long").alias(b))
+
+    return edges("y", "h", "top", "bottom").crossJoin(edges("x", "w", "left", "right"))
+
+
+def channel(stack: DataFrame, number: int, most: int | None = None) -> DataFrame:
+    """Pixels of one channel, of the first ``most`` frames if given."""
+    one = stack.where(F.col("channel") == number).drop("channel")
+    return one if most is None else one.where(F.col("frame") < most)
+
+
+def _neighbours(pixels: DataFrame, half: int, border: str) -> DataFrame:
+    """(frame, y, x, dy, dx, v): each pixel's square of neighbours, beyond the border mirrored without the edge (``reflect``) or the edge again (``edge``).
+
+    A pixel is sent to the places that see it, itself and its mirror images, so the stack is shuffled once.
+    """
+    size = pixels.agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-half, half + 1) for b in range(-half, half + 1)]))
+    places = pixels.select("frame", "y", "x").crossJoin(F.broadcast(size)).select("frame", "y", "x", "_h", "_w", offsets.alias("o"))
+
+    def inside(i: Column, n: Column) -> Column:
+        if border == "edge":
+            return F.greatest(F.lit(0), F.least(i, n - 1))
+        m = F.pmod(i, 2 * n - 2)
+        return F.when(n > 1, F.when(m < n, m).otherwise(2 * n - 2 - m)).otherwise(F.lit(0))
+
+    asked = places.select("frame", "y", "x", "o.dy", "o.dx", inside(F.col("y") + F.col("o.dy"), F.col("_h")).cast("int").alias("_y"), inside(F.col("x") + F.col("o.dx"), F.col("_w")).cast("int").alias("_x"))
+    return asked.join(pixels.select("frame", F.col("y").cast("int").alias("_y"), F.col("x").cast("int").alias("_x"), "v"), ["frame", "_y", "_x"]).select("frame", "y", "x", "dy", "dx", "v")
+
+
+def gaussian_square(half: int, sigma: float) -> list[list[float]]:
+    """Weights of a square that sum to 1."""
+    one = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-half, half + 1)]
+    total = sum(one) ** 2
+    return [[a * b / total for b in one] for a in one]
+
+
+def high_pass_square(half: int, sigma: float) -> list[list[float]]:
+    """A Gaussian cut off where it is less than at the middle of an edge, its mean removed within what is left."""
+    g = gaussian_square(half, sigma)
+    least = max(row[0] for row in g)
+    kept = [[x if x >= least else None for x in row] for row in g]
+    known = [x for row in kept for x in row if x is not None]
+    mean = sum(known) / len(known)
+    return [[x - mean if x is not None else 0.0 for x in row] for row in kept]
+
+
+def filtered(pixels: DataFrame, square: list[list[float]]) -> DataFrame:
+    """Each pixel as the weighted sum of its neighbours, the border mirrored."""
+    half = len(square) // 2
+    weights = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in square])
+    weight = F.element_at(F.element_at(weights, F.col("dy") + half + 1), F.col("dx") + half + 1)
+    return _neighbours(pixels, half, "reflect").groupBy("frame", "y", "x").agg(F.sum(F.col("v") * weight).alias("v"))
+
+
+def difference_of_gaussians(pixels: DataFrame, half: int, narrow: float, wide: float) -> DataFrame:
+    a, b = gaussian_square(half, narrow), gaussian_square(half, wide)
+    return filtered(pixels, [[x - y for x, y in zip(p, q, strict=True)] for p, q in zip(a, b, strict=True)])
+
+
+def median_blurred(pixels: DataFrame, half: int = 1) -> DataFrame:
+    """Each pixel as the median of its square of neighbours, the border repeated."""
+    return _neighbours(pixels, half, "edge").groupBy("frame", "y", "x").agg(F.median("v").alias("v"))
+
+
+def without_outliers(pixels: DataFrame, half: int = 2, sigma: float = 1.0, times: float = 3.0) -> DataFrame:
+    """Pixels more than ``times`` the local deviation from the local mean (both weighted by a Gaussian) replaced by the median of a 5 x 5 square."""
+    square = gaussian_square(half, sigma)
+    mean = filtered(pixels, square).withColumnRenamed("v", "_m")
+    squares = filtered(pixels.withColumn("v", F.col("v") * F.col("v")), square).withColumnRenamed("v", "_s")
+    mid = median_blurred(pixels, 2).withColumnRenamed("v", "_e")
+    both = pixels.join(mean, ["frame", "y", "x"]).join(squares, ["frame", "y", "x"]).join(mid, ["frame", "y", "x"])
+    sd = F.sqrt(F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    return both.select("frame", "y", "x", F.when(F.abs(F.col("v") - F.col("_m")) > times * sd, F.col("_e")).otherwise(F.col("v")).alias("v"))
+
+
+def residual(pixels: DataFrame, model: DataFrame) -> DataFrame:
+    """The stack less its model, over the largest value that is left; pixels that the model lacks count as 0 there."""
+    both = pixels.join(model.select("frame", "y", "x", F.col("v").alias("_m")), ["frame", "y", "x"], "left").withColumn("v", F.col("v") - F.coalesce("_m", F.lit(0.0))).drop("_m")
+    top = both.agg(F.max("v").alias("_t"))
+    return both.crossJoin(F.broadcast(top)).withColumn("v", F.when(F.col("_t") != 0, F.col("v") / F.col("_t")).otherwise(F.col("v"))).drop("_t")
+
+
+def footprint_boxes(footprints: DataFrame, k: list[str], height: int, width: int, reach: float = 3.0, least: int = 10, share: float = 0.7) -> DataFrame:
+    """(k, cy, cx, size, top, bottom, left, right): the median place of each footprint's dense points (at least ``least`` within ``reach``, itself counted), ``share`` of the smallest distance to their extremes, and the square around it, cut at the frame.
+
+    Points meet those near them by an equi join on cells of the reach's size.
+    """
+    p = footprints.where("w > 0").select(*k, "y", "x")
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    here = p.withColumn("_cy", cell("y")).withColumn("_cx", cell("x"))
+    seen = here.select(*k, F.col("y").alias("_y"), F.col("x").alias("_x"), "_cy", "_cx", around.alias("_o")).select(*k, "_y", "_x", (F.col("_cy") + F.col("_o.a")).alias("_cy"), (F.col("_cx") + F.col("_o.b")).alias("_cx"))
+    near = here.join(seen, [*k, "_cy", "_cx"]).where(F.pow(F.col("y") - F.col("_y"), 2) + F.pow(F.col("x") - F.col("_x"), 2) <= reach * reach)
+    dense = near.groupBy(*k, "y", "x").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    mid = dense.groupBy(*k).agg(F.median("y").alias("cy"), F.median("x").alias("cx"), F.min("y").alias("_a"), F.max("y").alias("_b"), F.min("x").alias("_c"), F.max("x").alias("_d"))
+    size = share * F.least(F.col("cy") - F.col("_a"), F.col("_b") - F.col("cy"), F.col("cx") - F.col("_c"), F.col("_d") - F.col("cx"))
+    out = mid.withColumn("size", size)
+    cut = lambda c, n: F.greatest(F.lit(0.0), F.least(c, F.lit(float(n - 1))))
+    return out.select(*k, "cy", "cx", "size", cut(F.col("cy") - F.col("size"), height).alias("top"), cut(F.col("cy") + F.col("size"), height).alias("bottom"), cut(F.col("cx") - F.col("size"), width).alias("left"), cut(F.col("cx") + F.col("size"), width).alias("right"))
+
+
+def labelled_boxes(footprints: DataFrame, flags: DataFrame, k: list[str], height: int, width: int, **options: float) -> DataFrame:
+    """Boxes of the footprints of entities that have a class flag (k, class)."""
+    return footprint_boxes(footprints.join(flags.select(*k).distinct(), k, "left_semi"), k, height, width, **options).join(flags, k)
+
+
+def footprint_features(footprints: DataFrame, k: list[str], pixels: int) -> DataFrame:
+    """(k, area, extent, mean, sd, high, cy, cx, sparsity, filled, perimeter, eccentricity): shape of the pixels over the mean and two deviations of the footprint's weights, zeros counted, in a frame of ``pixels`` pixels.
+
+    extent is the share of their bounding box; sparsity the share of zeros; filled the share of weights over 0; perimeter counts sides without a neighbour; eccentricity comes from second moments.
+    """
+    n = F.lit(float(pixels))
+    stats = footprints.groupBy(*k).agg((F.sum("w") / n).alias("_m"), F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")) / n - F.pow(F.sum("w") / n, 2), F.lit(0.0))).alias("_s"), F.count_if(F.col("w") > 0).alias("_c"))
+    mask = footprints.join(stats, k).where(F.col("w") > F.col("_m") + 2 * F.col("_s"))
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    g = mask.groupBy(*k).agg(
+        F.count("*").alias("area"), (F.count("*") / ((F.max("y") - F.min("y") + 1) * (F.max("x") - F.min("x") + 1))).alias("extent"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("sd"), F.max("w").alias("high"), F.avg(y).alias("cy"), F.avg(x).alias("cx"),
+        F.var_pop(y).alias("_yy"), F.var_pop(x).alias("_xx"), F.covar_pop(y, x).alias("_xy"), F.first("_c").alias("_c"),
+    )
+    side = F.explode(F.array(*[F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
+    own = mask.select(*k, "y", "x")
+    edge = own.select(*k, side.alias("s")).select(*k, "s.y", "s.x").join(own.withColumn("_in", F.lit(True)), [*k, "y", "x"], "left").groupBy(*k).agg(F.count_if(F.col("_in").isNull()).alias("perimeter"))
+    half = F.sqrt(F.pow((F.col("_yy") - F.col("_xx")) / 2, 2) + F.pow("_xy", 2))
+    mid = (F.col("_yy") + F.col("_xx")) / 2
+    ecc = F.when(mid + half > 0, F.sqrt(F.greatest(1 - (mid - half) / (mid + half), F.lit(0.0)))).otherwise(0.0)
+    return g.join(edge, k).select(*k, "area", "extent", "mean", "sd", "high", "cy", "cx", (1 - F.col("_c") / n).alias("sparsity"), (F.col("_c") / n).alias("filled"), "perimeter", ecc.alias("eccentricity"))
+
+
+def concatenated(stacks: list[DataFrame]) -> DataFrame:
+    """The frames of all stacks, one stack after another: each is moved by the frames before it, which one aggregate row a stack tells."""
+    out, before = None, None
+    for s in stacks:
+        n = s.agg((F.max("frame") + 1).alias("_n"))
+        moved = s if before is None else s.crossJoin(F.broadcast(before)).withColumn("frame", F.col("frame") + F.coalesce("_b", F.lit(0))).select(*s.columns)
+        out = moved if out is None else out.unionByName(moved)
+        before = n.select(F.coalesce("_n", F.lit(0)).alias("_b")) if before is None else before.crossJoin(n).select((F.coalesce("_b", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("_b"))
+    return out

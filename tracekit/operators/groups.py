@@ -102,17 +102,6 @@ def bootstrap_sd(df: DataFrame, k: list[str], group: str, v: str, o: str, a: obj
     return m.groupBy(*k).agg(F.stddev_pop("d").alias("sd"))
 
 
-def cosine_pairs(vectors: DataFrame, name: str, vector: str, blocks: int = 8) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b: quadratic by its nature, dealt in blocks of vectors."""
-    unit = vectors.select(F.col(name).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("x"), F.pmod(F.xxhash64(name), F.lit(blocks)).alias("p"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, z: t + z)
-    unit = unit.withColumn("l", F.sqrt(dot("x", "x")))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")
-    a = unit.select(F.col("i").alias("a"), F.col("x").alias("xa"), F.col("l").alias("la"), F.col("p").alias("r"), F.explode(every).alias("c"))
-    b = unit.select(F.col("i").alias("b"), F.col("x").alias("xb"), F.col("l").alias("lb"), F.explode(every).alias("r"), F.col("p").alias("c"))
-    return a.join(b, ["r", "c"]).where("a < b").select("a", "b", (dot("xa", "xb") / (F.col("la") * F.col("lb"))).alias("cosine"))
-
-
 def cluster_means(vectors: DataFrame, cluster: str, vector: str) -> DataFrame:
     return vectors.select(cluster, F.posexplode(vector).alias("pos", "x")).groupBy(cluster, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
@@ -162,11 +151,6 @@ def reconstructed(footprints: DataFrame, traces: DataFrame) -> DataFrame:
     return footprints.join(traces, "entity").groupBy("frame", "y", "x").agg(F.sum(F.col("w") * F.col("value")).alias("v"))
 
 
-def oriented(pixels: DataFrame, width: int) -> DataFrame:
-    """Flipped along x and turned by a quarter."""
-    return pixels.select("frame", F.col("x").alias("y"), F.col("y").alias("x"), "v").select("frame", (F.lit(width - 1) - (F.lit(width - 1) - F.col("y"))).alias("y"), "x", "v")
-
-
 def paired_t(pairs: DataFrame, k: list[str], a: str, b: str) -> DataFrame:
     """(k, t, df) of the differences a - b; groups with fewer than two pairs, or no spread, are left out."""
     d = pairs.withColumn("_d", F.col(a) - F.col(b)).groupBy(*k).agg(F.avg("_d").alias("m"), F.stddev_samp("_d").alias("s"), F.count("_d").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,61 @@ def binned_means(df: DataFrame, k: list[str], o: str, v: str, bins: int) -> Data
     """(k, bin, mean) over ``bins`` stretches of equal length of each series."""
     i, n = F.row_number().over(Window.partitionBy(*k).orderBy(o)) - 1, F.count("*").over(Window.partitionBy(*k))
     return df.select(*k, v, i.alias("_i"), n.alias("_n")).groupBy(*k, F.expr(f"cast(_i * {bins} div _n as int)").alias("bin")).agg(F.avg(v).alias("mean"))
+
+
+def laps_by_falls(df: DataFrame, k: list[str], o: str, v: str, height: float = 0.5, distance: int = 50) -> DataFrame:
+    """(k, lap, start, stop) from positions, o counting from 0: v over its maximum falls by at least ``height`` at the end of a lap, the steepest fall within ``distance`` samples; laps from 0, the last one up to the last sample."""
+    from tracekit.operators.peaks import find_peaks
+
+    whole = Window.partitionBy(*k)
+    level = df.select(*k, o, (F.col(v) / F.max(v).over(whole)).alias("_v")).withColumn("_f", F.col("_v") - F.coalesce(F.lead("_v").over(whole.orderBy(o)), F.lit(0.0)))
+    ends = find_peaks(level, k, o, "_f", height, distance, None).select(*k, F.col(o).alias("stop"))
+    last = df.groupBy(*k).agg(F.max(o).alias("stop"))
+    both = ends.union(last).distinct()
+    w = whole.orderBy("stop")
+    return both.select(*k, (F.row_number().over(w) - 1).alias("lap"), F.coalesce(F.lag("stop").over(w) + 1, F.lit(0)).alias("start"), "stop")
+
+
+def laps_by_visits(df: DataFrame, k: list[str], o: str, v: str, drop: float = -0.5, bins: int = 100, least: float = 0.5) -> DataFrame:
+    """(k, lap, start, stop, visited): runs in which v never falls under ``drop`` from one sample to the next, with the sample at their end, that visit at least the share ``least`` of ``bins`` bins of [0, 1); kept ones are numbered from 1."""
+    w = Window.partitionBy(*k).orderBy(o)
+    up = df.select(*k, o, v, (F.lead(v).over(w) - F.col(v)).alias("_d"))
+    run = runs(up.withColumn("_on", F.coalesce(F.col("_d") >= drop, F.lit(False))), k, o, "_on").select(*k, "start", (F.col("stop") + 1).alias("stop"))
+    held = run.select(*k, "start", "stop", F.explode(F.sequence("start", "stop")).alias(o)).join(df.select(*k, o, v), [*k, o])
+    seen = held.groupBy(*k, "start", "stop").agg(F.count_distinct(F.least(F.floor(F.col(v) * bins), F.lit(bins - 1))).alias("visited")).where(F.col("visited") >= least * bins)
+    return seen.select(*k, F.row_number().over(Window.partitionBy(*k).orderBy("start")).alias("lap"), "start", "stop", "visited")
+
+
+def epochs_by_speed(df: DataFrame, k: list[str], o: str, t: str, pos: str, smooth: int, least: float | None = None, most: float | None = None, duration: float = 0.0, trim: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(k, start, stop) in time: stretches of movement (speed at least ``least``) or rest (at most ``most``) longer than ``duration``, then cut by the trims at both ends, and what is no longer than ``duration`` then left out.
+
+    pos is a turn's part from 0 to 1; speed is the size of the wrapped angle from one sample to the next over the time, averaged over 2 * smooth + 1 samples.
+    """
+    from tracekit.functions.scalars import angle_difference
+    from tracekit.operators.windows import running_mean
+
+    w = Window.partitionBy(*k).orderBy(o)
+    turn = F.lit(2 * math.pi)
+    step = F.abs(angle_difference(F.lead(pos).over(w) * turn, F.col(pos) * turn)) / (F.lead(t).over(w) - F.col(t))
+    fast = running_mean(df.select(*k, o, t, step.alias("_s")).withColumn("_s", F.coalesce("_s", F.last("_s", ignorenulls=True).over(w))), k, o, "_s", smooth, out="_m")
+    on = F.lit(True)
+    if least is not None:
+        on = on & (F.col("_m") >= least)
+    if most is not None:
+        on = on & (F.col("_m") <= most)
+    run = runs(fast.withColumn("_on", F.coalesce(on, F.lit(False))), k, o, "_on")
+    at = fast.select(*k, F.col(o).alias("_o"), F.col(t).alias("_t"))
+    ends = run.join(at.withColumnsRenamed({"_o": "start", "_t": "_a"}), [*k, "start"]).join(at.withColumnsRenamed({"_o": "stop", "_t": "_b"}), [*k, "stop"])
+    long = ends.where(F.col("_b") - F.col("_a") > duration).select(*k, (F.col("_a") + trim[0]).alias("start"), (F.col("_b") - trim[1]).alias("stop"))
+    return long.where(F.col("stop") - F.col("start") > duration)
+
+
+def rounded_epochs(epochs: DataFrame, step: float = 0.1) -> DataFrame:
+    """Epochs with starts moved back, and stops on, to whole steps."""
+    return epochs.withColumns({"start": F.floor(F.col("start") / step) * step, "stop": F.ceil(F.col("stop") / step) * step})
+
+
+def state_means(df: DataFrame, k: list[str], v: str, context: str, state: str, window: str) -> DataFrame:
+    """(k, context, slice, n, mean): v over each context, each context and state (true and false), and each context within onset windows."""
+    part = F.explode(F.filter(F.array(F.lit("all"), F.when(F.col(state), "on").otherwise("off"), F.when(F.col(window), "onset")), lambda x: x.isNotNull()))
+    return df.select(*k, context, v, part.alias("slice")).groupBy(*k, context, "slice").agg(F.count("*").alias("n"), F.avg(v).alias("mean"))

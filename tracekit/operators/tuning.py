@@ -1,23 +1,62 @@
-"""Binned tuning curves against occupancy, and their shuffle nulls."""
+"""Binned tuning curves against occupancy, their shuffle nulls, place fields and their reliability by lap.
+
+Frames and spikes may carry key columns k (session, lap type): all steps keep keys apart. Without any, all frames are one clock.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.functions.scalars import hashed
 
 
-def occupancy(frames: DataFrame, dt: float) -> DataFrame:
-    """(bin, occupancy) of frames (bin, ...)."""
-    return frames.groupBy("bin").agg((F.count("*") * F.lit(dt)).alias("occupancy"))
+def valid_positions(frames: DataFrame, runs: DataFrame, k: list[str], t: str, width: float, excluded: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Frames (k, frame, t, lap, ...) that lie in a lap (number over 0) and in a running interval (k, start, stop, segment), are not excluded (k, frame), and for which some entity has a value (``known``, k and frame)."""
+    from tracekit.operators.segments import assigned
+
+    out = assigned(frames.where("lap > 0"), runs, k, ["frame"], t, width).where("segment is not null").drop("segment")
+    if excluded is not None:
+        out = out.join(excluded.select(*k, "frame").distinct(), [*k, "frame"], "left_anti")
+    return out if known is None else out.join(known.select(*k, "frame").distinct(), [*k, "frame"], "left_semi")
+
+
+def frame_interval(frames: DataFrame, k: list[str], t: str) -> DataFrame:
+    """(k, dt): the median time from one frame to the next."""
+    w = Window.partitionBy(*k).orderBy("frame") if k else Window.orderBy("frame")
+    step = frames.select(*k, (F.lead(t).over(w) - F.col(t)).alias("_d"))
+    return step.groupBy(*k).agg(F.median("_d").alias("dt"))
+
 
+def occupancy(frames: DataFrame, dt: float | str, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, bin, occupancy) of frames (k, bin, ...): their number times the interval, the median one of the time column ``dt`` names. Bins without frames are left out."""
+    if not isinstance(dt, str):
+        return frames.groupBy(*k, "bin").agg((F.count("*") * F.lit(dt)).alias("occupancy"))
+    n = frames.groupBy(*k, "bin").agg(F.count("*").alias("_n"))
+    step = frame_interval(frames, list(k), dt)
+    both = n.join(step, list(k)) if k else n.crossJoin(F.broadcast(step))
+    return both.select(*k, "bin", (F.col("_n") * F.col("dt")).alias("occupancy"))
 
-def raw_rates(spikes: DataFrame, frames: DataFrame, occ: DataFrame) -> DataFrame:
-    """(entity, bin, rate) of spikes (entity, frame) over frames (frame, bin): a dense grid of entities and visited bins, events over occupancy."""
-    counts = spikes.join(frames, "frame").groupBy("entity", "bin").agg(F.count("*").alias("n"))
-    grid = spikes.select("entity").distinct().crossJoin(F.broadcast(occ))
-    return grid.join(counts, ["entity", "bin"], "left").select("entity", "bin", "occupancy", (F.coalesce("n", F.lit(0)) / F.col("occupancy")).alias("rate"))
+
+def raw_rates(spikes: DataFrame, frames: DataFrame, occ: DataFrame, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, bin, occupancy, rate) of spikes (k, entity, frame) over frames (k, frame, bin): a dense grid of the entities and visited bins of each key, events over occupancy."""
+    counts = spikes.join(frames.select(*k, "frame", "bin"), [*k, "frame"]).groupBy(*k, "entity", "bin").agg(F.count("*").alias("n"))
+    entities = spikes.select(*k, "entity").distinct()
+    grid = entities.join(occ, list(k)) if k else entities.crossJoin(F.broadcast(occ))
+    return grid.join(counts, [*k, "entity", "bin"], "left").select(*k, "entity", "bin", "occupancy", (F.coalesce("n", F.lit(0)) / F.col("occupancy")).alias("rate"))
+
+
+def rates_by_lap(spikes: DataFrame, frames: DataFrame, dt: float, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, lap, entity, bin, rate): rates within each lap, over the bins that the lap visits, in one pass over all laps."""
+    keys = (*k, "lap")
+    placed = spikes.join(frames.select(*k, "frame", "lap"), [*k, "frame"])
+    occ = occupancy(frames, dt, keys)
+    counts = placed.join(frames.select(*k, "frame", "bin"), [*k, "frame"]).groupBy(*keys, "entity", "bin").agg(F.count("*").alias("n"))
+    entities = spikes.select(*k, "entity").distinct()
+    grid = occ.join(entities, list(k)) if k else occ.crossJoin(F.broadcast(entities))
+    return grid.join(counts, [*keys, "entity", "bin"], "left").select(*keys, "entity", "bin", (F.coalesce("n", F.lit(0)) / F.col("occupancy")).alias("rate"))
 
 
 def circular_smooth(curves: DataFrame, k: list[str], v: str, bins: int, kernel: list[float], out: str = "smooth") -> DataFrame:
@@ -27,36 +66,161 @@ def circular_smooth(curves: DataFrame, k: list[str], v: str, bins: int, kernel:
     return curves.select(*k, "bin", v, spread.alias("s")).groupBy(*k, F.pmod(F.col("bin") + F.col("s.d"), F.lit(bins)).alias("bin")).agg(F.sum(F.col(v) * F.col("s.w")).alias(out))
 
 
-def spatial_information(rates: DataFrame) -> DataFrame:
-    """(entity, per_event, per_second) of rates (entity, bin, occupancy, rate)."""
-    by = Window.partitionBy("entity")
+def smoothed_rates(rates: DataFrame, occ: DataFrame, bins: int, kernel: list[float], k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, bin, rate, occupancy): both smoothed around the circle."""
+    r = circular_smooth(rates, [*k, "entity"], "rate", bins, kernel, "rate")
+    return r.join(circular_smooth(occ, list(k), "occupancy", bins, kernel, "occupancy"), [*k, "bin"]).select(*k, "entity", "bin", "rate", "occupancy")
+
+
+def spatial_information(rates: DataFrame, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, per_event, per_second) of rates (k, entity, bin, occupancy, rate)."""
+    by = Window.partitionBy(*k, "entity")
     r = rates.withColumn("p", F.col("occupancy") / F.sum("occupancy").over(by)).withColumn("l", F.col("rate") / F.avg("rate").over(by)).where("l > 0")
     term = F.log2("l") * F.col("p")
-    return r.groupBy("entity").agg(F.sum(F.col("l") * term).alias("per_event"), F.sum(F.col("rate") * term).alias("per_second"))
+    return r.groupBy(*k, "entity").agg(F.sum(F.col("l") * term).alias("per_event"), F.sum(F.col("rate") * term).alias("per_second"))
 
 
-def circular_shuffles(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7) -> DataFrame:
-    """(shuffle, entity, bin, n): spikes of frames (frame, lap, bin) after the positions of each lap are rolled by a hashed offset, for each of n shuffles.
+def circular_shuffles(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, shuffle, entity, bin, n): spikes of frames (k, frame, lap, bin) after the positions of each lap are rolled by a hashed offset, for each of n shuffles.
 
     Only spikes are multiplied; the frames are looked up by lap and place in the lap.
     """
-    by = Window.partitionBy("lap")
+    keys = [*k, "lap"]
+    by = Window.partitionBy(*keys)
     placed = frames.withColumn("i", F.row_number().over(by.orderBy("frame")) - 1).withColumn("length", F.count("*").over(by))
-    drawn = spikes.join(placed.select("frame", "lap", "i", "length"), "frame").withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    drawn = drawn.withColumn("i", F.pmod(F.col("i") - F.pmod(hashed(F.lit(seed), F.col("shuffle"), F.col("lap")), F.col("length")), F.col("length")))
-    return drawn.select("shuffle", "entity", "lap", "i").join(placed.select("lap", "i", "bin"), ["lap", "i"]).groupBy("shuffle", "entity", "bin").agg(F.count("*").alias("n"))
+    drawn = spikes.join(placed.select(*k, "frame", "lap", "i", "length"), [*k, "frame"]).withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    drawn = drawn.withColumn("i", F.pmod(F.col("i") - F.pmod(hashed(F.lit(seed), F.col("shuffle"), *[F.col(c) for c in keys]), F.col("length")), F.col("length")))
+    return drawn.select("shuffle", "entity", *keys, "i").join(placed.select(*keys, "i", "bin"), [*keys, "i"]).groupBy(*k, "shuffle", "entity", "bin").agg(F.count("*").alias("n"))
+
+
+def null_percentile(real: DataFrame, null: DataFrame, n: int, p: float, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, bin, occupancy, rate, limit, null_mean, significant): real rates (k, entity, bin, occupancy, rate) against the percentile, between ranks as a line, over all n shuffles of null (k, shuffle, entity, bin, n).
+
+    Shuffles that don't reach a bin count as 0 there: they are a number before the sorted counts of the others, at most n for each curve and bin, and no row.
+    """
+    held = null.groupBy(*k, "entity", "bin").agg(F.sort_array(F.collect_list(F.col("n").cast("double"))).alias("_s"), F.sum("n").alias("_t"))
+    place = p * (n - 1)
+    low = int(place)
+    at = lambda i: F.coalesce(F.get("_s", F.lit(i) - n + F.size("_s")), F.lit(0.0))
+    value = at(low) + (at(min(low + 1, n - 1)) - at(low)) * F.lit(place - low)
+    both = real.join(held, [*k, "entity", "bin"], "left")
+    none = F.col("_s").isNull()
+    both = both.withColumn("limit", F.when(none, F.lit(0.0)).otherwise(value) / F.col("occupancy")).withColumn("null_mean", F.coalesce("_t", F.lit(0)) / n / F.col("occupancy"))
+    return both.drop("_s", "_t").withColumn("significant", F.col("rate") > F.col("limit"))
+
+
+def candidates(tested: DataFrame, least: int = 5, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, bins, candidate): significant bins of the curve twice around, and whether there are enough of them."""
+    n = tested.groupBy(*k, "entity").agg((F.count_if("significant") * 2).alias("bins"))
+    return n.withColumn("candidate", F.col("bins") >= least)
+
+
+def _runs(on: np.ndarray) -> np.ndarray:
+    """First and last place of each unbroken stretch."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
+    return np.stack([edge[::2], edge[1::2] - 1], axis=1)
+
+
+def fields_of(rate: np.ndarray, significant: np.ndarray, least: int = 5, times: float = 2.0) -> list[np.ndarray]:
+    """Bins of each field of one curve around the circle, the longest first; none without enough significant bins in a row.
+
+    Stretches of the curve twice around, over ``times`` its mean or significant, of at least ``least`` bins, that hold as many bins of long enough significant stretches, begin or end in the first round and
+    don't overlap a longer one (of equal ones, the later one counts as longer).
+    """
+    n = rate.size
+    sure = _runs(np.tile(significant, 2))
+    sure = sure[sure[:, 1] - sure[:, 0] + 1 >= least]
+    if not len(sure):
+        return []
+    held = np.zeros(2 * n, dtype=bool)
+    for a, b in sure:
+        held[a : b + 1] = True
+    run = _runs(np.tile((rate > np.nanmean(rate) * times) | significant, 2))
+    run = run[run[:, 1] - run[:, 0] + 1 >= least]
+    run = run[[held[a : b + 1].sum() >= least for a, b in run]] if len(run) else run
+    run = run[(run > n).sum(axis=1) < 2]
+    taken, out = np.zeros(n, dtype=bool), []
+    for a, b in run[np.argsort(run[:, 1] - run[:, 0], kind="stable")[::-1]]:
+        inside = np.zeros(n, dtype=bool)
+        if b > n:
+            inside[: b % n] = True
+            inside[a:] = True
+        else:
+            inside[a : b + 1] = True
+        if not taken[inside].any():
+            taken |= inside
+            out.append(np.flatnonzero(inside))
+    return out
+
+
+def extract_fields(tested: DataFrame, bins: int, least: int = 5, times: float = 2.0, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, field, bins array, peak, peak_rate, best) of the place fields of tested curves (k, entity, bin, rate, significant), numbered from the longest; bins that a curve lacks have no rate and are not significant. The best is the one with the highest rate.
+
+    A curve has a fixed number of bins, so one is looked at as a whole.
+    """
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        rate, sure = np.zeros(bins), np.zeros(bins, dtype=bool)
+        rate[rows["bin"]], sure[rows["bin"]] = rows["rate"], rows["significant"]
+        found = fields_of(rate, sure, least, times)
+        top = [float(rate[f].max()) for f in found]
+        head = [rows[c].iloc[0] for c in (*k, "entity")]
+        return pd.DataFrame([(*head, i, f.tolist(), int(f[rate[f].argmax()]), top[i], i == int(np.argmax(top))) for i, f in enumerate(found)], columns=[*k, "entity", "field", "bins", "peak", "peak_rate", "best"])
+
+    shape = ", ".join(f"`{c}` {tested.schema[c].dataType.simpleString()}" for c in (*k, "entity"))
+    return tested.select(*k, "entity", "bin", "rate", "significant").groupBy(*k, "entity").applyInPandas(told, f"{shape}, field int, bins array<int>, peak int, peak_rate double, best boolean")
+
+
+def lap_reliability(laps: DataFrame, fields: DataFrame, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, lap, strength): the mean, over the bins of the entity's fields (k, entity, bin), of each lap's rate over the lap's mean rate; null in laps without events."""
+    mean = F.avg("rate").over(Window.partitionBy(*k, "entity", "lap"))
+    rel = laps.withColumn("_r", F.when(mean > 0, F.col("rate") / mean))
+    return rel.join(fields.select(*k, "entity", "bin").distinct(), [*k, "entity", "bin"]).groupBy(*k, "entity", "lap").agg(F.avg("_r").alias("strength"))
+
+
+def reliability_summary(strengths: DataFrame, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, share, laps): the share and number of laps with a strength over 1."""
+    over = F.coalesce(F.col("strength") > 1, F.lit(False))
+    return strengths.groupBy(*k, "entity").agg(F.avg(over.cast("double")).alias("share"), F.count_if(over).alias("laps"))
+
+
+def refined_fields(fields: DataFrame, summary: DataFrame, laps: int, share: float = 0.2, least: int = 2, k: tuple[str, ...] = ()) -> DataFrame:
+    """The best fields of entities that have a strength over 1 in enough laps: the share of all ``laps``, rounded half to even, and ``least`` at least."""
+    need = max(round(laps * share), least)
+    return fields.where("best").join(summary.where(F.col("laps") >= need).select(*k, "entity"), [*k, "entity"])
+
+
+def place_tuning(spikes: DataFrame, frames: DataFrame, dt: float, bins: int, kernel: list[float], n: int, p: float = 0.99, least: int = 5, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, field, bins, peak, peak_rate, share, laps): the whole chain, from frames (k, frame, lap, bin) and spikes (k, entity, frame) to the best fields of entities that are reliable from lap to lap."""
+    from tracekit.sources.scratch import written
+
+    occ = occupancy(frames, dt, k)
+    real = written(raw_rates(spikes, frames, occ, k), "rates")
+    tested = null_percentile(real, circular_shuffles(spikes, frames, n, k=k), n, p, k)
+    some = candidates(tested, least, k).where("candidate").select(*k, "entity")
+    fields = written(extract_fields(tested.join(some, [*k, "entity"], "left_semi"), bins, least, k=k), "fields")
+    inside = fields.select(*k, "entity", F.explode("bins").alias("bin"))
+    summary = reliability_summary(lap_reliability(rates_by_lap(spikes.join(fields.select(*k, "entity").distinct(), [*k, "entity"], "left_semi"), frames, dt, k), inside, k), k)
+    laps = frames.select(*k, "lap").distinct().count()
+    return refined_fields(fields, summary, laps, k=k).join(summary, [*k, "entity"]).drop("best")
+
+
+def other_curves(curves: DataFrame, kinds: DataFrame, kind: str, reference: object) -> DataFrame:
+    """Curves (.., kind, ...) of all kinds but the reference, with the condition's name (kind, name); kinds without a name are left out."""
+    return curves.where(F.col(kind) != reference).join(F.broadcast(kinds), kind)
 
 
-def null_percentile(real: DataFrame, null: DataFrame, n: int, p: float) -> DataFrame:
-    """(entity, bin, rate, limit, significant): real rates (entity, bin, occupancy, rate) against the percentile over all n shuffles of null (shuffle, entity, bin, n), absent ones 0."""
-    grid = real.withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    filled = grid.join(null, ["shuffle", "entity", "bin"], "left").withColumn("r", F.coalesce("n", F.lit(0)) / F.col("occupancy"))
-    limit = filled.groupBy("entity", "bin").agg(F.percentile(F.col("r"), F.lit(p)).alias("limit"), F.avg("r").alias("null_mean"))
-    return real.join(limit, ["entity", "bin"]).withColumn("significant", F.col("rate") > F.col("limit"))
+def field_window(cues: int, locations: int, stimulus: bool = False) -> tuple[int, int]:
+    """The bins of peaks in the middle of the track, by the number of cues and of their locations."""
+    if stimulus:
+        return 40, 70
+    if cues == 1 and locations in (1, 2):
+        return (40, 65) if locations == 1 else (20, 70)
+    return 11, 89
 
 
-def null_z_p(real: DataFrame, null: DataFrame, v: str) -> DataFrame:
-    """(entity, z, p): real (entity, v) against null (entity, shuffle, v)."""
-    both = null.select("entity", F.col(v).alias("x")).join(real.select("entity", F.col(v).alias("r")), "entity")
-    out = both.groupBy("entity").agg(F.max("r").alias("r"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg((F.col("x") >= F.col("r")).cast("double")).alias("p"))
-    return out.select("entity", F.when(F.col("s") > 0, (F.col("r") - F.col("m")) / F.col("s")).alias("z"), "p")
+def null_z_p(real: DataFrame, null: DataFrame, v: str, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, z, p): real (k, entity, v) against null (k, entity, shuffle, v)."""
+    both = null.select(*k, "entity", F.col(v).alias("x")).join(real.select(*k, "entity", F.col(v).alias("r")), [*k, "entity"])
+    out = both.groupBy(*k, "entity").agg(F.max("r").alias("r"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg((F.col("x") >= F.col("r")).cast("double")).alias("p"))
+    return out.select(*k, "entity", F.when(F.col("s") > 0, (F.col("r") - F.col("m")) / F.col("s")).alias("z"), "p")

@@ -43,11 +43,20 @@ def sigma_threshold(df: DataFrame, k: list[str], o: str, v: str, times: float =
     return difference(df, k, o, v).groupBy(*k).agg((F.stddev_pop("diff") * times).alias("threshold"))
 
 
-def minima_candidates(df: DataFrame, k: list[str], o: str, v: str, below: float) -> DataFrame:
-    """Rows under ``below`` that are no larger than their neighbours, ends included; of a plateau the first."""
+def minima_candidates(df: DataFrame, k: list[str], o: str, v: str, below: float | Column, n: str | None = None) -> DataFrame:
+    """Local minima among the rows under ``below``, o counting samples from 0. Where such a run of rows ends its edge counts as a rise, but not at the ends of the series; of a plateau the first row counts.
+
+    ``n`` names a column with the length of the series, if rows may be missing. A run that begins with sample 1 counts as beginning with the series.
+    """
     w = _by(k, o)
-    left, right = F.lag(v).over(w), F.lead(v).over(w)
-    return df.withColumn("_l", left).withColumn("_r", right).where((F.col(v) < below) & (F.col("_l").isNull() | (F.col("_l") > F.col(v))) & (F.col("_r").isNull() | (F.col("_r") >= F.col(v)))).drop("_l", "_r")
+    size = F.col(n) if n else F.max(o).over(Window.partitionBy(*k)) + 1
+    low = df.withColumn("_size", size).where((F.col(v) < below) & ~F.isnan(F.col(v).cast("double")))
+    before, after = F.lag(o).over(w), F.lead(o).over(w)
+    left = F.when(before.isNull(), F.when(F.col(o) > 1, -1).otherwise(1)).when(F.col(o) - before > 1, -1).otherwise(F.signum(F.col(v) - F.lag(v).over(w)))
+    right = F.when(after.isNull(), F.when(F.col("_size") - F.col(o) > 1, 1).otherwise(-1)).when(after - F.col(o) > 1, 1).otherwise(F.signum(F.lead(v).over(w) - F.col(v)))
+    low = low.withColumn("_l", left).withColumn("_r", right)
+    turn = F.first(F.when(F.col("_r") != 0, F.col("_r")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return low.withColumn("_r", turn).where("_l < 0 and _r > 0").drop("_l", "_r", "_size")
 
 
 def sliding_zscore(df: DataFrame, k: list[str], o: str, v: str, half: int, out: str = "z") -> DataFrame:
@@ -59,20 +68,66 @@ def sliding_zscore(df: DataFrame, k: list[str], o: str, v: str, half: int, out:
 
 
 def rolling_baseline(df: DataFrame, k: list[str], o: str, v: str, width: int, q: float, out: str = "baseline") -> DataFrame:
-    """The quantile over [i - width/2, i + width/2), of what there is at the ends."""
-    return df.withColumn(out, F.percentile(F.col(v), F.lit(q)).over(_by(k, o).rowsBetween(-(width // 2), width // 2 - 1)))
-
-
-def weighted(df: DataFrame, k: list[str], o: str, v: str, kernel: list[float], first: int, out: str = "smooth") -> DataFrame:
-    """Sum of kernel[j] * v[i + first + j], zero beyond the ends."""
+    """The quantile over [i - width/2, i + width/2), beyond the ends copies of the first and last sample (o counts from 0)."""
+    half = width // 2
+    ends = df.groupBy(*k).agg(F.min(F.struct(o, v)).alias("_a"), F.max(F.struct(o, v)).alias("_b"))
+    reach = F.sequence(F.lit(1), F.lit(half))
+    halo = ends.select(*k, F.explode(reach).alias("_j"), "_a", "_b").select(*k, F.explode(F.array(F.struct((F.col(f"_a.{o}") - F.col("_j")).alias("o"), F.col(f"_a.{v}").alias("v")), F.struct((F.col(f"_b.{o}") + F.col("_j")).alias("o"), F.col(f"_b.{v}").alias("v")))).alias("h"))
+    halo = halo.select(*k, F.col("h.o").alias(o), F.col("h.v").alias(v), F.lit(True).alias("_halo"))
+    both = df.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    return both.withColumn(out, F.percentile(F.col(v), F.lit(q)).over(_by(k, o).rowsBetween(-half, half - 1))).where("not _halo").drop("_halo")
+
+
+def baselined(df: DataFrame, k: list[str], o: str, v: str, width: int = 500, q: float = 0.05, log: bool = False, from_zero: bool = False, out: str = "relative") -> DataFrame:
+    """v over its rolling baseline, or less it with ``log``; with ``from_zero``, of v less its minimum."""
+    if from_zero:
+        df = df.withColumn(v, F.col(v) - F.min(v).over(Window.partitionBy(*k)))
+    both = rolling_baseline(df, k, o, v, width, q, "_base")
+    return both.withColumn(out, F.col(v) - F.col("_base") if log else F.col(v) / F.col("_base")).drop("_base")
+
+
+def weighted(df: DataFrame, k: list[str], o: str, v: str, kernel: list[float], first: int, out: str = "smooth", missing: float | None = 0.0) -> DataFrame:
+    """Sum of kernel[j] * v[i + first + j]; beyond the ends, and for nulls, ``missing`` (null: the sum is null)."""
     w = _by(k, o)
-    terms = [F.coalesce(F.lead(v, first + j).over(w) if first + j >= 0 else F.lag(v, -(first + j)).over(w), F.lit(0.0)) * F.lit(x) for j, x in enumerate(kernel)]
+    near = [F.lead(v, first + j).over(w) if first + j >= 0 else F.lag(v, -(first + j)).over(w) for j in range(len(kernel))]
+    terms = [(x if missing is None else F.coalesce(x, F.lit(missing))) * F.lit(y) for x, y in zip(near, kernel, strict=True)]
     total: Column = terms[0]
     for t in terms[1:]:
         total = total + t
     return df.withColumn(out, total)
 
 
+def trimmed_convolution(df: DataFrame, k: list[str], o: str, v: str, kernel: list[float], out: str = "smooth") -> DataFrame:
+    """The full convolution cut to the series' length: len(kernel) // 2 values go in front. Null in series no longer than the kernel."""
+    back = len(kernel) // 2
+    both = weighted(df, k, o, v, kernel[::-1], back - len(kernel) + 1, "_c")
+    return both.withColumn(out, F.when(F.count("*").over(Window.partitionBy(*k)) > len(kernel), F.col("_c"))).drop("_c")
+
+
+def decayed(df: DataFrame, k: list[str], o: str, v: str, kernel: list[float], first: int = 50, out: str = "smooth") -> DataFrame:
+    """The filter of the kernel, centred on its middle, zero beyond the ends, and then the first samples replaced by sample ``first``."""
+    return filled_leading(weighted(df, k, o, v, kernel, -(len(kernel) // 2), out), k, o, out, first)
+
+
+def dejittered(df: DataFrame, k: list[str], o: str, t: str, millis: str, window: int = 200, least: float = 0.02, out: str = "t_adjusted") -> DataFrame:
+    """t less what it is ahead of a second clock in milliseconds, where that is over ``least`` more than its running mean over 2 * window + 1 samples."""
+    whole = Window.partitionBy(*k)
+    ahead = F.col(t) - ((F.col(millis) - F.min_by(millis, o).over(whole)) / 1000 + F.min_by(t, o).over(whole))
+    both = running_mean(df.withColumn("_a", ahead), k, o, "_a", window, out="_m").withColumn("_a", F.col("_a") - F.col("_m"))
+    return both.withColumn(out, F.when(F.col("_a") > least, F.col(t) - F.col("_a")).otherwise(F.col(t))).drop("_a", "_m")
+
+
+def frame_clock(frames: DataFrame, sync: DataFrame, k: list[str], t: str, on: str, from_zero: bool = False, out: str = "t_frame") -> DataFrame:
+    """t of each frame after the time of the sync pulse ``on`` of its series; with ``from_zero``, t counts from the first frame and the last frame is left out."""
+    both = frames.join(sync.select(*k, on), k)
+    if not from_zero:
+        return both.withColumn(out, F.col(t) + F.col(on)).drop(on)
+    whole = Window.partitionBy(*k)
+    last = F.row_number().over(whole.orderBy(F.desc(t))) == 1
+    zero = both.withColumn("_z", F.min(t).over(whole)).withColumn("_last", last)
+    return zero.where("not _last").withColumn(out, F.col(t) - F.col("_z") + F.col(on)).drop(on, "_z", "_last")
+
+
 def filled_leading(df: DataFrame, k: list[str], o: str, v: str, n: int) -> DataFrame:
     """The first n samples replaced by sample n; a shorter series stays."""
     i = F.row_number().over(_by(k, o)) - 1
@@ -110,29 +165,42 @@ def lag1_autocorrelation(df: DataFrame, k: list[str], o: str, v: str) -> DataFra
 
 
 def repaired_resets(df: DataFrame, k: list[str], o: str, v: str, drop: float = 100.0) -> DataFrame:
-    """Where the next sample falls by more than ``drop`` and this one has begun to fall, the line through the two before."""
+    """From the left, a sample that stands before a fall of more than ``drop`` and under the one before it is put on the line through the two before, as they are by then (of the second sample: through the last and the first).
+
+    Falls are judged on the values as given. Samples to look at that are no more than two apart hang together: such a stretch is mended in order by an aggregate over its values, and all other samples stay as they are.
+    """
     w = _by(k, o)
-    a, b, c = F.lag(v, 2).over(w), F.lag(v, 1).over(w), F.lead(v).over(w)
-    new = F.when(((F.col(v) - c > drop) | (b - F.col(v) > drop)) & (F.col(v) < b) & (c < F.col(v)), b + (b - a))
-    return df.withColumn(v, F.coalesce(new, F.col(v)))
+    look = F.coalesce(F.col(v) - F.lead(v).over(w) > drop, F.lit(False)) & (F.row_number().over(w) > 1)
+    both = df.withColumn("_c", look).withColumn("_p", F.lag(v, 1).over(w)).withColumn("_q", F.coalesce(F.lag(v, 2).over(w), F.max_by(v, o).over(Window.partitionBy(*k))))
+    both = both.withColumn("_in", F.col("_c") | (F.coalesce(F.lag("_c").over(w), F.lit(False)) & F.coalesce(F.lead("_c").over(w), F.lit(False))))
+    both = both.withColumn("_g", F.sum((~F.col("_in")).cast("int")).over(w))
+    each = F.struct(F.col(o).alias("o"), F.col(v).cast("double").alias("v"), F.col("_p").cast("double").alias("p"), F.col("_q").cast("double").alias("q"), F.col("_c").alias("c"))
+    run = both.where("_in").groupBy(*k, "_g").agg(F.sort_array(F.collect_list(each)).alias("_r"))
+    start = F.struct(F.element_at("_r", 1)["q"].alias("q"), F.element_at("_r", 1)["p"].alias("p"), F.array().cast(f"array<struct<o: {df.schema[o].dataType.simpleString()}, v: double>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.when(x["c"] & (x["v"] < s["p"]), s["p"] + (s["p"] - s["q"])).otherwise(x["v"])
+        return F.struct(s["p"].alias("q"), new.alias("p"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), new.alias("v")))).alias("out"))
+
+    mended = run.select(*k, F.explode(F.aggregate("_r", start, step, lambda s: s["out"])).alias("_m")).select(*k, F.col("_m.o").alias(o), F.col("_m.v").alias("_v"))
+    return df.join(mended, [*k, o], "left").withColumn(v, F.coalesce("_v", F.col(v).cast("double"))).drop("_v")
 
 
-def kept_apart(df: DataFrame, k: list[str], o: str, v: str, gap: int) -> DataFrame:
-    """Of sparse candidates, as long as two neighbours are closer than ``gap``, the larger of the pair goes.
+def kept_apart(df: DataFrame, k: list[str], o: str, v: str, gap: float) -> DataFrame:
+    """Of sparse candidates, as long as two neighbours are closer than ``gap``, the larger of each such pair goes, of equal ones the first; all pairs of a round at once.
 
-    Candidates ``gap`` or more apart don't touch each other, so only those of one island go to pandas together, in one pass.
+    Candidates ``gap`` or more apart don't touch each other, so only those of one island go to pandas together.
     """
+    import numpy as np
     import pandas as pd
 
     def suppress(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_island").sort_values(o).reset_index(drop=True)
-        at, value, kept = rows[o].to_numpy(), rows[v].to_numpy(), []
-        for j in range(len(rows)):
-            while kept and at[j] - at[kept[-1]] < gap and value[kept[-1]] > value[j]:
-                kept.pop()
-            if not kept or not at[j] - at[kept[-1]] < gap:
-                kept.append(j)
-        return rows.iloc[kept]
+        rows = rows.drop(columns="_island").sort_values(o)
+        at, value, left = rows[o].to_numpy(), rows[v].to_numpy(), np.arange(len(rows))
+        while (close := np.flatnonzero(np.diff(at[left]) < gap)).size:
+            second = value[left[close + 1]] > value[left[close]]
+            left = np.delete(left, np.unique(close + second))
+        return rows.iloc[left]
 
     by = Window.partitionBy(*k).orderBy(o)
     far = F.coalesce(F.col(o) - F.lag(o).over(by) >= gap, F.lit(False)).cast("int")

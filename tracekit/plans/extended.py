@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ from tracekit.operators import segments as E
 from tracekit.operators import tuning as T
 from tracekit.operators import windows as W
 from tracekit.plans import fixtures as V
-from tracekit.plans.queries import _SHUFFLES, query, r, rounded
+from tracekit.plans.queries import _SHUFFLES, DRAWS, query, r, rounded
+from tracekit.sources.scratch import place
 from tracekit.streaming import laps
 
 # --- sources and scalars
@@ -91,9 +90,11 @@ def w15(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", F.round("value", 4).alias("value"))
 
 
-@query("w16_repair_resets", V.over("traces", body="SELECT entity, frame, round(CASE WHEN (value - n > 100 OR b - value > 100) AND value < b AND n < value THEN b + (b - a) ELSE value END, 6) AS value FROM (SELECT *, lag(value, 2) OVER w AS a, lag(value) OVER w AS b, lead(value) OVER w AS n FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)) WHERE a IS NOT NULL"))
+@query("w16_repair_resets", V.over("traces", body="""#n AS (SELECT *, coalesce(value - lead(value) OVER w > 100, FALSE) AS c, last_value(value) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)),
+r(entity, frame, y, p) AS (SELECT entity, frame, value, z FROM n WHERE frame = 0 UNION ALL SELECT n.entity, n.frame, CASE WHEN n.c AND n.value < r.y THEN r.y + (r.y - r.p) ELSE n.value END, r.y FROM r JOIN n ON n.entity = r.entity AND n.frame = r.frame + 1)
+SELECT entity, frame, round(y, 6) AS value FROM r""").replace("WITH", "WITH RECURSIVE", 1))
 def w16(spark: SparkSession, sf: str) -> DataFrame:
-    return W.repaired_resets(V.traces(spark, sf), ["entity"], "frame", "value").where("frame >= 2").select("entity", "frame", r("value"))
+    return W.repaired_resets(V.traces(spark, sf), ["entity"], "frame", "value").select("entity", "frame", r("value"))
 
 
 @query("g3_laps_by_coverage", """WITH e AS (SELECT user_id AS entity, event_id AS frame, (epoch_us(ts) % 86400000000) / 86400000000.0::DOUBLE AS pos FROM events),
@@ -221,7 +222,7 @@ a AS (SELECT entity, max(n) AS real FROM (SELECT entity, bin, count(*) AS n FROM
 SELECT entity, any_value(real) AS real, round((any_value(real) - avg(null_)) / nullif(stddev_pop(null_), 0), 6) AS z, round(avg(CASE WHEN null_ >= real THEN 1.0 ELSE 0 END), 6) AS p FROM a JOIN b USING (entity) GROUP BY entity"""))
 def t12(spark: SparkSession, sf: str) -> DataFrame:
     real = V.spikes(spark, sf).join(V.frames(spark, sf), "frame").groupBy("entity", "bin").agg(F.count("*").alias("n")).groupBy("entity").agg(F.max("n").alias("real"))
-    null = T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), 20).groupBy("shuffle", "entity").agg(F.max("n").alias("null_"))
+    null = T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS).groupBy("shuffle", "entity").agg(F.max("n").alias("null_"))
     return rounded(G.null_z_p(real, null, ["entity"], "real", "null_"))
 
 
@@ -281,19 +282,13 @@ def k4(spark: SparkSession, sf: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, out: DataFrame) -> DataFrame:
     """The rows of a stream over all that there is, by way of tables in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracekit.scratch", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="tracekit-")
-        spark.conf.set("tracekit.scratch", base)
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = place(spark, "stream")
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.readStream.schema(V.table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    return spark.readStream.schema(V.table(spark, sf, "events").schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parquet*")
 
 
 @query("st1_stream_carry_state", "WITH k AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events) SELECT user_id, event_id, us, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS state FROM (SELECT *, max(us) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM k) WHERE us >= m")

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from tracekit.functions import scalars as S
 from tracekit.operators import alignment as A
 from tracekit.operators import groups as G
+from tracekit.operators import models as M
 from tracekit.operators import segments as E
 from tracekit.operators import tuning as T
 from tracekit.operators import windows as W
 from tracekit.plans import fixtures as V
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Draws of the queries that SQL checks.
+DRAWS = 100
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -83,21 +86,21 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SHUFFLES = """#placed AS (SELECT frame, lap, bin, row_number() OVER (PARTITION BY lap ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY lap) AS length FROM frames),
-drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM spikes JOIN placed USING (frame), unnest(range(1, 21)) AS u(shuffle)),
+drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM spikes JOIN placed USING (frame), unnest(range(1, 101)) AS u(shuffle)),
 nulls AS (SELECT shuffle, entity, p.bin, count(*) AS n FROM drawn d JOIN placed p ON p.lap = d.lap AND p.i = ((d.j % d.length) + d.length) % d.length GROUP BY ALL)"""
 
 
 @query("t8_circular_shuffle", V.over("frames", "spikes", body=_SHUFFLES + " SELECT * FROM nulls"))
 def t8(spark: SparkSession, sf: str) -> DataFrame:
-    return T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), 20)
+    return T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS)
 
 
 @query("t9_null_percentile", V.over("frames", "spikes", body=_RATES + ", " + _SHUFFLES[1:] + """,
-lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.99) AS lim, avg(coalesce(n, 0) / occupancy) AS null_mean FROM rates CROSS JOIN unnest(range(1, 21)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL)
+lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.99) AS lim, avg(coalesce(n, 0) / occupancy) AS null_mean FROM rates CROSS JOIN unnest(range(1, 101)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL)
 SELECT entity, bin, round(rate, 6) AS rate, round(lim, 6) AS "limit", round(null_mean, 6) AS null_mean, rate > lim AS significant FROM rates JOIN lim USING (entity, bin)"""))
 def t9(spark: SparkSession, sf: str) -> DataFrame:
-    null = T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), 20)
-    return rounded(T.null_percentile(_rates(spark, sf), null, 20, 0.99).drop("occupancy"))
+    null = T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS)
+    return rounded(T.null_percentile(_rates(spark, sf), null, DRAWS, 0.99).drop("occupancy"))
 
 
 # --- windows
@@ -120,7 +123,11 @@ def w3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.sigma_threshold(V.traces(spark, sf), ["entity"], "frame", "value"))
 
 
-_MINIMA = "SELECT entity, frame, round(value, 6) AS value FROM (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)) WHERE value < 100 AND (l IS NULL OR l > value) AND (r IS NULL OR r >= value)"
+_MINIMA = """#n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM traces),
+b AS (SELECT *, lag(frame) OVER w AS pf, lag(value) OVER w AS pv, lead(frame) OVER w AS nf, lead(value) OVER w AS nv FROM n WHERE value < 100 WINDOW w AS (PARTITION BY entity ORDER BY frame)),
+s AS (SELECT *, CASE WHEN pf IS NULL THEN CASE WHEN frame > 1 THEN -1 ELSE 1 END WHEN frame - pf > 1 THEN -1 ELSE sign(value - pv) END AS l, CASE WHEN nf IS NULL THEN CASE WHEN n - frame > 1 THEN 1 ELSE -1 END WHEN nf - frame > 1 THEN 1 ELSE sign(nv - value) END AS r FROM b),
+t AS (SELECT *, first_value(CASE WHEN r <> 0 THEN r END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rr FROM s)
+SELECT entity, frame, round(value, 6) AS value FROM t WHERE l < 0 AND rr > 0"""
 
 
 @query("w4_minima_candidates", V.over("traces", body=_MINIMA))
@@ -134,9 +141,12 @@ def w4b(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(W.kept_apart(c, ["entity"], "frame", "value", 5))
 
 
-@query("w8_rolling_baseline", V.over("traces", body="SELECT entity, frame, round(quantile_cont(value, 0.1) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING), 6) AS baseline FROM traces"))
+@query("w8_rolling_baseline", V.over("traces", body="""#e AS (SELECT entity, min(frame) AS a, max(frame) AS b, arg_min(value, frame) AS va, arg_max(value, frame) AS vb FROM traces GROUP BY 1),
+p AS (SELECT entity, frame, value, TRUE AS keep FROM traces UNION ALL SELECT entity, a - j, va, FALSE FROM e, unnest(range(1, 26)) AS u(j) UNION ALL SELECT entity, b + j, vb, FALSE FROM e, unnest(range(1, 26)) AS u(j)),
+q AS (SELECT *, quantile_cont(value, 0.1) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING) AS baseline FROM p) SELECT entity, CAST(frame AS INT) AS frame, round(baseline, 6) AS baseline FROM q WHERE keep"""))
 def w8(spark: SparkSession, sf: str) -> DataFrame:
-    return W.rolling_baseline(V.traces(spark, sf), ["entity"], "frame", "value", 50, 0.1).select("entity", "frame", r("baseline"))
+    t = V.traces(spark, sf).withColumn("frame", F.col("frame").cast("int"))
+    return W.rolling_baseline(t, ["entity"], "frame", "value", 50, 0.1).select("entity", "frame", r("baseline"))
 
 
 @query("w11_sliding_zscore", V.over("traces", body="""#q AS (SELECT *, quantile_cont(value, 0.2) OVER w AS q, stddev_pop(value) OVER w AS s FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)),
@@ -155,9 +165,12 @@ def w12(spark: SparkSession, sf: str) -> DataFrame:
     return W.weighted(V.traces(spark, sf), ["entity"], "frame", "value", S.gaussian_kernel(6), -3).select("entity", "frame", r("smooth"))
 
 
-@query("w13_decay_filter", _fir(S.decay_kernel(3), -9))
+_DECAYED = _fir(S.decay_kernel(3), -9)
+
+
+@query("w13_decay_filter", f"WITH s AS ({_DECAYED}) SELECT entity, frame, CASE WHEN frame < 20 THEN coalesce(max(CASE WHEN frame = 20 THEN smooth END) OVER (PARTITION BY entity), smooth) ELSE smooth END AS smooth FROM s")
 def w13(spark: SparkSession, sf: str) -> DataFrame:
-    return W.weighted(V.traces(spark, sf), ["entity"], "frame", "value", S.decay_kernel(3), -9).select("entity", "frame", r("smooth"))
+    return W.decayed(V.traces(spark, sf), ["entity"], "frame", "value", S.decay_kernel(3), 20).select("entity", "frame", r("smooth"))
 
 
 @query("w14_event_rate", "SELECT user_id AS entity, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS rate FROM events GROUP BY 1")
@@ -378,11 +391,11 @@ def h1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h5_bootstrap_sd", """WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('click', 'view')),
 s AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM o GROUP BY 1 HAVING na > 0 AND nb > 0),
-d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 21)) AS u(iter)),
+d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 101)) AS u(iter)),
 p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2)
 SELECT user_id, round(stddev_pop(diff), 6) AS sd FROM p GROUP BY 1""")
 def h5(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(G.bootstrap_sd(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", 20))
+    return rounded(G.bootstrap_sd(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", DRAWS))
 
 
 # --- similarity and models
@@ -390,7 +403,7 @@ def h5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m1_cosine_similarity", "WITH m AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS cosine FROM m a JOIN m b ON a.vec_id < b.vec_id")
 def m1(spark: SparkSession, sf: str) -> DataFrame:
-    return G.cosine_pairs(V.table(spark, sf, "embeddings"), "vec_id", "embedding").withColumn("cosine", F.round("cosine", 5))
+    return M.cosine_pairs(V.table(spark, sf, "embeddings"), "vec_id", "embedding").withColumn("cosine", F.round("cosine", 5))
 
 
 @query("m6_cluster_means", V.over("matrix", body="SELECT class AS label, bin AS pos, round(avg(value), 6) AS mean FROM matrix GROUP BY ALL"))

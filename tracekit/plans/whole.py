@@ -69,7 +69,7 @@ def i8(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.halves(V.pixels(spark, sf).crossJoin(F.broadcast(n)), F.col("n")).drop("n"))
 
 
-# --- 1000 draws, not 20; no SQL, as the queries with 20 draws hold the oracle check
+# --- 1000 draws, not 100; no SQL, as the queries with 100 draws hold the oracle check
 
 DRAWS = 1000
 

@@ -22,3 +22,46 @@ def gpio(spark: SparkSession, path: str) -> DataFrame:
     at = {c.strip().lower(): c for c in raw.columns}
     col = lambda c: F.trim(F.col(f"`{at[c]}`"))
     return raw.select(col("time (s)").try_cast("double").alias("t"), col("channel name").alias("channel"), col("value").try_cast("double").alias("value"))
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line): lines of text files in order, numbered from 0 in each file."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.col("value").alias("line")).withColumn("_i", F.monotonically_increasing_id())
+    return raw.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("_b", "_i")) - 1).alias("line_no"), "line")
+
+
+def event_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, record variant, bad): a JSON object a line; lines that are none are kept as bad, blank lines are left out."""
+    v = F.try_parse_json("line")
+    return _numbered_lines(spark, path).where("trim(line) <> ''").select("file", "line_no", v.alias("record"), v.isNull().alias("bad"))
+
+
+def wide_traces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, t, entity, status, value) of CSV files with a time column first and one column for each entity; the first row below the names tells each entity's status. White space goes everywhere."""
+    lines = _numbered_lines(spark, path).withColumn("p", F.transform(F.split(F.regexp_replace("line", "\\s+", ""), ",", -1), lambda x: F.nullif(x, F.lit(""))))
+    rows = lines.select("file", "line_no", F.posexplode("p").alias("at", "x"))
+    head = rows.where("line_no < 2 and at > 0").groupBy("file", "at").agg(F.max(F.when(F.col("line_no") == 0, F.col("x"))).alias("entity"), F.max(F.when(F.col("line_no") == 1, F.col("x"))).alias("status"))
+    data = rows.where("line_no > 1")
+    t = data.where("at = 0").select("file", "line_no", F.col("x").try_cast("double").alias("t"))
+    return data.where("at > 0").join(t, ["file", "line_no"]).join(F.broadcast(head), ["file", "at"]).select("file", "t", "entity", "status", F.col("x").try_cast("double").alias("value"))
+
+
+def annotations(spark: SparkSession, path: str, skip: int = 14) -> DataFrame:
+    """(file, line_no, t, status) of CSV files after ``skip`` lines and a header to throw away; the line after that names the columns, Time and Status among them."""
+    lines = _numbered_lines(spark, path).where(F.col("line_no") > skip).withColumn("p", F.transform(F.split("line", ",", -1), lambda x: F.trim(x)))
+    names = lines.where(F.col("line_no") == skip + 1).select("file", F.col("p").alias("names"))
+    cell = lambda name: F.try_element_at("p", F.nullif(F.array_position("names", name), F.lit(0)).cast("int"))
+    rows = lines.where(F.col("line_no") > skip + 1).join(F.broadcast(names), "file")
+    return rows.select("file", "line_no", cell("Time").try_cast("double").alias("t"), cell("Status").alias("status")).where("status in ('START', 'STOP')")
+
+
+def annotated_epochs(rows: DataFrame, k: list[str], order: str, second: str, half: float, end: float) -> DataFrame:
+    """(k, second, n, start, stop): the n-th start with the n-th stop of annotations (k, second, order, t, status); those of the second context are ``half`` later. Starts have to be before ``half``, or ``end`` in the second context, and the last stop is clipped there."""
+    w = Window.partitionBy(*k, second, "status").orderBy(order)
+    at = F.col("t") + F.when(F.col(second), F.lit(half)).otherwise(0.0)
+    limit = F.when(F.col(second), F.lit(end)).otherwise(F.lit(half))
+    n = rows.withColumn("t", at).withColumn("n", F.row_number().over(w) - 1)
+    start = n.where("status = 'START'").where(F.col("t") < limit).withColumn("n", F.row_number().over(Window.partitionBy(*k, second).orderBy(order)) - 1).select(*k, second, "n", F.col("t").alias("start"))
+    both = start.join(n.where("status = 'STOP'").select(*k, second, "n", F.col("t").alias("stop")), [*k, second, "n"])
+    last = F.max("n").over(Window.partitionBy(*k, second)) == F.col("n")
+    return both.withColumn("stop", F.when(last, F.least("stop", limit)).otherwise(F.col("stop")))

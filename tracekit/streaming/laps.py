@@ -23,7 +23,7 @@ def carried(stream: DataFrame, session: str, order: str, t: str, value: str) ->
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")  # a trigger's rows of one session; maxFilesPerTrigger bounds them
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")  # a trigger's rows of one session: bound a trigger by maxFilesPerTrigger or maxBytesPerTrigger
         high = rows[t].cummax() if last is None else rows[t].cummax().clip(lower=last)
         rows = rows[rows[t] >= high].copy()
         if len(rows):
