@@ -30,6 +30,8 @@ U = np.uint64
 ANCHOR = 16
 #: Texts of runs that one transform takes in; a key with more than HOT different runs is resolved by single strings.
 BATCH, HOT = 1 << 20, 4096
+#: Bytes of runs, about, that one task puts through transforms.
+TASK = 4 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -403,7 +405,10 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield done(rows)
 
-    dealt = piece.where("open and not hot").select("key", "id", "lo", "hi", "piece").repartition("key").sortWithinPartitions("key")
+    # a transform takes far longer than its bytes to read, so tasks are cut by bytes
+    mixed_runs = piece.where("open and not hot").select("key", "id", "lo", "hi", "piece")
+    tasks = max(1, -(-(mixed_runs.agg(F.sum(F.length("piece"))).first()[0] or 0) // TASK))
+    dealt = mixed_runs.repartition(min(tasks, 200_000), "key").sortWithinPartitions("key")
     mixed = dealt.mapInArrow(expand, "id long, lo int, hi int")
     single = piece.where("open and hot").select("id", F.explode(F.sequence("lo", "hi")).alias("at"), "lo", "piece")
     single = single.select("id", "at", F.substring("piece", F.col("at") - F.col("lo") + 1, length).alias("s")).select("id", "at", F.unhex(F.md5("s")).alias("s"))
