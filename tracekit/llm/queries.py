@@ -37,7 +37,7 @@ def with_domain(docs: DataFrame) -> DataFrame:
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 3 = 1"))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)"))
     models = language.fit(docs.where("not held_out"))
     return language.predict(docs, models, ["doc_id", "held_out"])
 
