@@ -483,3 +483,33 @@ def test_no_shared_folder_is_an_error_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         shared.shared_folder(Session())
+
+
+# --- 1 and 3: awkward tables
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    en, de = "the quick brown fox jumps over the lazy dog and rests", "der schnelle braune Fuchs springt über den faulen Hund"
+    known = spark.createDataFrame([(en, "en"), (de, "de"), (None, "de"), (en, None)], "text string, lang string")
+    models = language.fit(known)
+    assert models.names == ["de", "en"]
+    rows = spark.createDataFrame([(1, (en + " ") * 20000, "x"), (1, (en + " ") * 20000, "x"), (None, de, "x"), (4, "12 -- !!", "x"), (5, "É", "x")], "doc_id long, text string, lang_pred string")
+    out = sorted(((r[0] or 0, r[2], r[3]) for r in language.predict(rows, models, ["doc_id", "lang_pred"]).collect()))
+    assert [x[:2] for x in out] == [(0, "de"), (1, "en"), (1, "en"), (4, "und"), (5, out[4][1])] and out[1] == out[2] and out[3][2] == 0
+    assert out[4][1] in ("de", "en")
+
+
+def test_mixing_of_awkward_rows(spark):
+    """Ties in the seeded order, repeated and null keys, names that clash: tokens of each leaf stay within its budget, and alike rows share a fate."""
+    from tracekit.llm import mixing
+
+    rows = [(i % 5 if i % 7 else None, "w " * (1 + i % 3), "a" if i % 2 else None, i, "x", 1.0, 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, k long, l0 string, budget double, range int")
+    out = mixing.mix(docs, ["lang"], fraction=0.5, epochs=2).collect()
+    assert set(out[0].asDict()) == {"doc_id", "lang", "n_tokens", "copies", "n_taken"}
+    total = sum(1 + i % 3 for i in range(60))
+    assert abs(sum(r.n_taken for r in out) - total // 2) <= 20 and all(0 < r.n_taken <= r.copies * r.n_tokens for r in out)
+    again = mixing.mix(docs.repartition(5), ["lang"], fraction=0.5, epochs=2).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    full = mixing.mix(docs, ["lang"], fraction=5.0, epochs=2).collect()
+    assert len(full) == 60 and {r.copies for r in full} == {2}
