@@ -178,3 +178,16 @@ def without_large_columns(df: DataFrame, k: list[str], v: str, limit: float, out
     """df with ``out``: v, or null in groups whose mean passes the limit."""
     mean = df.groupBy(*k).agg(F.avg(v).alias("_m"))
     return df.join(mean, k).withColumn(out, F.when(F.col("_m") <= limit, F.col(v))).drop("_m")
+
+
+def gaussian_weights(window: Column) -> Column:
+    """The weights of ``gaussian_kernel`` for a window that differs by row."""
+    half, sigma = F.floor(window / 2), window / 2.355
+    raw = F.transform(F.sequence(-half, half), lambda k: F.exp(-0.5 * F.pow(k / sigma, F.lit(2))))
+    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
+
+
+def decay_weights(tau: Column, tail: int = 6) -> Column:
+    """The weights of ``decay_kernel`` for a time constant, a whole number, that differs by row."""
+    raw = F.transform(F.sequence(F.lit(0), (tau * tail).cast("int") - 1), lambda x: F.exp(-x / tau))
+    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))

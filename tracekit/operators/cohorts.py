@@ -154,3 +154,14 @@ def top_rows(df: DataFrame, k: list[str], by: list[Column]) -> DataFrame:
     rest = F.struct(*[c for c in df.columns if c not in k])
     w = Window.partitionBy(*k).orderBy(*by)
     return df.select(*k, rest.alias("_row"), F.row_number().over(w).alias("_n")).where("_n = 1").select(*k, "_row.*")
+
+
+def responses(trials: DataFrame, k: list[str], trial: str, rel: str, v: str, onset: int) -> DataFrame:
+    """(k, response): the mean, over trials, of each trial's largest value from ``onset`` on."""
+    own = trials.where(F.col(rel) >= onset).groupBy(*k, trial).agg(F.max(v).alias("_p"))
+    return own.groupBy(*k).agg(F.avg("_p").alias("response"))
+
+
+def significant_footprints(tested: DataFrame, footprints: DataFrame, k: list[str], flag: str) -> DataFrame:
+    """The footprints of entities whose pair test has the flag."""
+    return footprints.join(tested.where(F.col(flag)).select(*k).distinct(), k, "left_semi")

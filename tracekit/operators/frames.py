@@ -45,12 +45,16 @@ def pixel_place(index: Column, height: int, width: int, order: str = "C") -> Col
     return F.struct((a if order == "C" else b).alias("y"), (b if order == "C" else a).alias("x"))
 
 
-def rebased(events: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, stop: str, number: str) -> DataFrame:
-    """Events of each segment, both ends included, with ``place``: the event's distance from the segment's start and the lengths of the segments before it."""
+def rebased(events: DataFrame, segments: DataFrame, keys: list[str], at: str, start: str, stop: str, number: str, width: float = 64.0) -> DataFrame:
+    """Events of each segment, both ends included, with ``place``: the event's distance from the segment's start and the lengths of the segments before it. An event on an end that two segments share is given twice.
+
+    A range join as an equi join on cells of ``width``: an event lies in one cell, so it meets each segment once.
+    """
     before = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     s = segments.withColumn("_off", F.coalesce(F.sum(F.col(stop) - F.col(start) + 1).over(before), F.lit(0)))
-    both = events.join(s, [*keys]).where(F.col(at).between(F.col(start), F.col(stop)))
-    return both.withColumn("place", F.col(at) - F.col(start) + F.col("_off")).drop("_off")
+    cells = s.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(stop) / width))))
+    both = events.withColumn("_cell", F.floor(F.col(at) / width)).join(cells, [*keys, "_cell"]).where(F.col(at).between(F.col(start), F.col(stop)))
+    return both.withColumn("place", F.col(at) - F.col(start) + F.col("_off")).drop("_off", "_cell")
 
 
 def static_border(pixels: DataFrame) -> DataFrame:

@@ -217,10 +217,3 @@ def field_window(cues: int, locations: int, stimulus: bool = False) -> tuple[int
     if cues == 1 and locations in (1, 2):
         return (40, 65) if locations == 1 else (20, 70)
     return 11, 89
-
-
-def null_z_p(real: DataFrame, null: DataFrame, v: str, k: tuple[str, ...] = ()) -> DataFrame:
-    """(k, entity, z, p): real (k, entity, v) against null (k, entity, shuffle, v)."""
-    both = null.select(*k, "entity", F.col(v).alias("x")).join(real.select(*k, "entity", F.col(v).alias("r")), [*k, "entity"])
-    out = both.groupBy(*k, "entity").agg(F.max("r").alias("r"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg((F.col("x") >= F.col("r")).cast("double")).alias("p"))
-    return out.select(*k, "entity", F.when(F.col("s") > 0, (F.col("r") - F.col("m")) / F.col("s")).alias("z"), "p")

@@ -79,6 +79,13 @@ def p23(spark: SparkSession, sf: str) -> DataFrame:
     return S.needs_downsample(t.where("value > 200"), t, ["entity"], "frame", 1.2)
 
 
+@query("p9_kernels", "WITH p AS (SELECT p_partkey, p_size % 9 + 2 AS w FROM part), g AS (SELECT p_partkey, u.k AS k, exp(-0.5 * pow(u.k / (w / 2.355), 2)) AS x FROM p, LATERAL (SELECT unnest(range(-(w // 2), w // 2 + 1)) AS k) u), d AS (SELECT p_partkey, u.k AS k, exp(-u.k / w) AS x FROM p, LATERAL (SELECT unnest(range(0, w * 6)) AS k) u), a AS (SELECT p_partkey, max(x) / sum(x) AS top, count(*) AS n FROM g GROUP BY 1), b AS (SELECT p_partkey, max(x) / sum(x) AS first, count(*) AS tail FROM d GROUP BY 1) SELECT p_partkey, round(top, 6) AS top, n, round(first, 6) AS first, tail FROM a JOIN b USING (p_partkey)")
+def p9(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.col("p_size") % 9 + 2
+    p = V.table(spark, sf, "part").select("p_partkey", S.gaussian_weights(w).alias("g"), S.decay_weights(w).alias("d"))
+    return rounded(p.select("p_partkey", F.array_max("g").alias("top"), F.size("g").cast("long").alias("n"), F.element_at("d", 1).alias("first"), F.size("d").cast("long").alias("tail")))
+
+
 @query("h11_stars", "SELECT event_id, CASE WHEN value < 1 THEN '***' WHEN value < 10 THEN '**' WHEN value < 50 THEN '*' ELSE 'ns' END AS stars FROM events")
 def h11(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "events").select("event_id", S.stars(F.col("value") / 1000).alias("stars"))
@@ -265,6 +272,18 @@ def a22(spark: SparkSession, sf: str) -> DataFrame:
     return A.trial_summary(t, ["entity", "kind", "event_no"], "rel", "value", 5).select("entity", "kind", "event_no", r("area", "amplitude"))
 
 
+@query("a20_response_by_class", V.over("traces", body=_TRIALS + ", p AS (SELECT entity, event_no, max(value) FILTER (rel >= 5) AS peak FROM trials GROUP BY ALL) SELECT entity, event_no % 2 AS kind, round(avg(peak), 6) AS response FROM p GROUP BY ALL"))
+def a20(spark: SparkSession, sf: str) -> DataFrame:
+    t = _trials(spark, sf).withColumn("kind", F.col("event_no") % 2)
+    return rounded(C.responses(t, ["entity", "kind"], "event_no", "rel", "value", 5))
+
+
+@query("j12_tested_footprints", V.over("pixels", body="#m AS (SELECT user_id AS frame FROM events GROUP BY 1 HAVING avg(value) FILTER (event_type = 'click') > avg(value) FILTER (event_type = 'view')) SELECT frame, y, x, round(v, 6) AS v FROM pixels WHERE v > 0.1 AND frame IN (FROM m)"))
+def j12(spark: SparkSession, sf: str) -> DataFrame:
+    tested = G.pair_summary(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "click", "view").withColumnRenamed("user_id", "frame")
+    return rounded(C.significant_footprints(tested, V.pixels(spark, sf).where("v > 0.1"), ["frame"], "higher"))
+
+
 _CURVES = f"WITH {B._EV}, g AS (SELECT user_id, kind, bin FROM (SELECT DISTINCT user_id FROM ev), (VALUES (0), (1)) AS k(kind), unnest(range(20)) AS b(bin)), n AS (SELECT user_id, lap % 2 AS kind, floor(pos * 20) AS bin, count(*) AS n FROM ev GROUP BY ALL), curves AS (SELECT g.*, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM g LEFT JOIN n ON n.user_id = g.user_id AND n.kind = g.kind AND n.bin = g.bin)"
 
 
