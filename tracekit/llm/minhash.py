@@ -113,7 +113,7 @@ def _blocks_of(placed: DataFrame, percent: int, block: tuple[int, int]) -> DataF
 
     Sizes that can be alike lie in one band or in neighbouring ones, so a block holds outside members of one band and reads members of three.
     """
-    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("int")
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9)).cast("long")
     placed = placed.withColumn("band", band)
     near = placed.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
     held = placed.where("outside").groupBy("cluster", "band").agg(F.ceil(F.count("*") / block[0]).cast("int").alias("rows"))
