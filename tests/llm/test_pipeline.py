@@ -40,13 +40,24 @@ def texts(df):
     return sorted((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect())
 
 
+def same_shape(out, df):
+    assert out.columns == df.columns and out.schema["text"].dataType == df.schema["text"].dataType
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:4])
-def test_stage_shapes(spark, folder, docs, repeated, name, stage):
-    for df in (docs, repeated, docs.limit(0)):
-        out = stage(spark, df, folder)
-        assert out.columns == df.columns and out.schema["text"].dataType == df.schema["text"].dataType
-        n = out.count()
-        assert n <= df.count() and (n == 0) == (df.count() == 0)
+def test_stages_of_an_empty_table(spark, folder, docs, name, stage):
+    out = stage(spark, docs.limit(0), folder)
+    same_shape(out, docs)
+    assert out.count() == 0
+
+
+@pytest.mark.parametrize("name,stage", [corpus_pipeline.STAGES[k] for k in (0, 2, 3)])
+def test_stages_of_repeated_rows_and_null_keys(spark, folder, repeated, name, stage):
+    out = stage(spark, repeated, folder)
+    same_shape(out, repeated)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert (2, "another text") in kept or name == "quality"
+    assert sum(t == PROSE for _, t in kept) == {"quality": sum(t == PROSE for _, t in kept), "suffix_dedup": 1, "decontamination": 4}[name]
 
 
 def test_quality_drops_what_scores_low(spark, folder, docs):
