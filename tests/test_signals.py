@@ -314,3 +314,18 @@ def test_registered_parts(spark):
     assert out[0].traces.n == 5 and out[1].traces is None
     with pytest.raises(Exception, match="no traces for 1 2"):
         N.wrapped(base, ["subject", "session"], {"traces": have}, {}).collect()
+
+
+def test_nothing_to_divide_by(spark):
+    """Constant, zero and tied values give null, not an error."""
+    zero = series(spark, [[0.0] * 8, [3.0] * 8])
+    assert all(x is None for (x,) in by_entity(W.baselined(zero, ["entity"], "frame", "value", 4), "relative")[0])
+    assert G.laps_by_falls(zero, ["entity"], "frame", "value").count() == 2
+    still = zero.withColumn("t", F.lit(1.0))
+    assert G.epochs_by_speed(still, ["entity"], "frame", "t", "value", 1, least=0.1).count() == 0
+    tied = spark.createDataFrame([(1, g, 2.0) for g in "aabbb"], "k int, g string, v double")
+    assert X.t_test(tied, ["k"], "g", "v", "a", "b").first().t is None and X.mann_whitney(tied, ["k"], "g", "v", "a", "b", exact=False).first().p is None
+    from tracekit.operators import cohorts
+
+    one = spark.createDataFrame([(1, 0, 5.0, 3), (1, 1, 5.0, 3), (2, 0, 7.0, 1)], "k int, o int, v double, laps int")
+    assert sorted((r.k, r.bin, r.at) for r in cohorts.auto_bins(one, ["k"], "o", "v", "laps").collect()) == [(1, 0, 5), (2, 0, 7)]

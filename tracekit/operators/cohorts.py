@@ -37,7 +37,7 @@ def auto_bins(df: DataFrame, k: list[str], o: str, v: str, laps: str, gap: float
     jumps = df.select(*k, F.col(v).alias("_v"), F.col(laps).alias("_laps"), (F.col(v) - F.lag(v).over(w)).alias("_d"))
     n = jumps.groupBy(*k).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_d").alias("_d"), F.max("_laps").alias("_laps"), (F.percentile("_v", F.lit(0.75)) - F.percentile("_v", F.lit(0.25))).alias("_iqr"))
     fd, sturges = 2 * F.col("_iqr") / F.pow("_n", F.lit(1 / 3)), (F.col("_hi") - F.col("_lo")) / (F.log2("_n") + 1)
-    n = n.withColumn("_b", F.ceil((F.col("_hi") - F.col("_lo")) / F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)))
+    n = n.withColumn("_b", F.coalesce(F.ceil(F.try_divide(F.col("_hi") - F.col("_lo"), F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges))), F.lit(1)))
     at = lambda bins: F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), bins - 1)).otherwise(0).cast("long")
     placed = jumps.select(*k, "_v").join(n, k)
     held = placed.groupBy(*k, at(F.col("_b")).alias("_c"), "_laps").agg(F.count("*").alias("_m")).groupBy(*k).agg(F.count_if(F.col("_m") > F.col("_laps") / share).alias("_kinds"))

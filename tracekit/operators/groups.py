@@ -74,7 +74,7 @@ def t_test(df: DataFrame, k: list[str], group: str, v: str, a: object, b: object
     x, y = F.when(F.col(group) == a, F.col(v)), F.when(F.col(group) == b, F.col(v))
     s = df.groupBy(*k).agg(F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.var_samp(x).alias("va"), F.var_samp(y).alias("vb"), F.count(x).alias("na"), F.count(y).alias("nb"))
     pooled = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2)
-    return s.where("na > 1 and nb > 1").select(*k, ((F.col("ma") - F.col("mb")) / F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))).alias("t"), (F.col("na") + F.col("nb") - 2).alias("df"))
+    return s.where("na > 1 and nb > 1").select(*k, F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))).alias("t"), (F.col("na") + F.col("nb") - 2).alias("df"))
 
 
 def mann_whitney(df: DataFrame, k: list[str], group: str, v: str, a: object, b: object) -> DataFrame:
@@ -87,7 +87,7 @@ def mann_whitney(df: DataFrame, k: list[str], group: str, v: str, a: object, b:
     s = s.withColumn("nb", F.col("n") - F.col("na")).withColumn("u", F.col("ra") - F.col("na") * (F.col("na") + 1) / 2).where("na > 0 and nb > 0")
     sd = F.sqrt(F.col("na") * F.col("nb") / 12 * (F.col("n") + 1 - F.col("tie") / (F.col("n") * (F.col("n") - 1))))
     big = F.greatest(F.col("u"), F.col("na") * F.col("nb") - F.col("u"))
-    return s.select(*k, "u", ((big - F.col("na") * F.col("nb") / 2 - 0.5) / sd).alias("z"))
+    return s.select(*k, "u", F.try_divide(big - F.col("na") * F.col("nb") / 2 - 0.5, sd).alias("z"))
 
 
 def bootstrap_sd(df: DataFrame, k: list[str], group: str, v: str, o: str, a: object, b: object, n: int, seed: int = 11) -> DataFrame:
@@ -148,7 +148,7 @@ def binary_metrics(df: DataFrame, y: str, score: str, at: float) -> DataFrame:
 def mean_projection(pixels: DataFrame) -> DataFrame:
     """(y, x, v): mean over frames, over its maximum."""
     m = pixels.groupBy("y", "x").agg(F.avg("v").alias("m"))
-    return m.crossJoin(F.broadcast(m.agg(F.max("m").alias("top")))).select("y", "x", (F.col("m") / F.col("top")).alias("v"))
+    return m.crossJoin(F.broadcast(m.agg(F.max("m").alias("top")))).select("y", "x", F.try_divide(F.col("m"), F.col("top")).alias("v"))
 
 
 def without_minimum(pixels: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def peak_pipeline(df: DataFrame, k: list[str], o: str, v: str, baseline: dict |
     """Peaks (k, o) of v after an optional rolling baseline and an optional polynomial smoothing, with the parameters as columns: transients (``differences``), or maxima of the series scaled to 0..1 (``maxima``)."""
     used, name = df.select(*k, o, F.col(v).cast("double").alias("_v")), "_v"
     if baseline is not None:
-        used = W.rolling_baseline(used, k, o, name, baseline["width"], baseline["q"], out="_b").withColumn("_v", F.col("_v") / F.col("_b")).drop("_b")
+        used = W.rolling_baseline(used, k, o, name, baseline["width"], baseline["q"], out="_b").withColumn("_v", F.try_divide("_v", "_b")).drop("_b")
     if smooth is not None:
         used = polynomial_smooth(used, k, o, name, smooth["width"], smooth["order"], out="_p").withColumn("_v", F.col("_p")).drop("_p")
     ways: dict[str, Callable[[], DataFrame]] = {"differences": lambda: transients(used, k, o, name, **options), "maxima": lambda: find_peaks(_scaled(used, k), k, o, name, **options).select(*k, o)}

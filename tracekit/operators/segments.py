@@ -88,7 +88,7 @@ def laps_by_falls(df: DataFrame, k: list[str], o: str, v: str, height: float = 0
     from tracekit.operators.peaks import find_peaks
 
     whole = Window.partitionBy(*k)
-    level = df.select(*k, o, (F.col(v) / F.max(v).over(whole)).alias("_v")).withColumn("_f", F.col("_v") - F.coalesce(F.lead("_v").over(whole.orderBy(o)), F.lit(0.0)))
+    level = df.select(*k, o, F.try_divide(F.col(v).cast("double"), F.max(v).over(whole)).alias("_v")).withColumn("_f", F.col("_v") - F.coalesce(F.lead("_v").over(whole.orderBy(o)), F.lit(0.0)))
     ends = find_peaks(level, k, o, "_f", height, distance, None).select(*k, F.col(o).alias("stop"))
     last = df.groupBy(*k).agg(F.max(o).alias("stop"))
     both = ends.union(last).distinct()
@@ -116,7 +116,7 @@ def epochs_by_speed(df: DataFrame, k: list[str], o: str, t: str, pos: str, smoot
 
     w = Window.partitionBy(*k).orderBy(o)
     turn = F.lit(2 * math.pi)
-    step = F.abs(angle_difference(F.lead(pos).over(w) * turn, F.col(pos) * turn)) / (F.lead(t).over(w) - F.col(t))
+    step = F.try_divide(F.abs(angle_difference(F.lead(pos).over(w) * turn, F.col(pos) * turn)), F.lead(t).over(w) - F.col(t))
     fast = running_mean(df.select(*k, o, t, step.alias("_s")).withColumn("_s", F.coalesce("_s", F.last("_s", ignorenulls=True).over(w))), k, o, "_s", smooth, out="_m")
     on = F.lit(True)
     if least is not None:

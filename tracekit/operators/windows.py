@@ -64,7 +64,7 @@ def sliding_zscore(df: DataFrame, k: list[str], o: str, v: str, half: int, out:
     w = _by(k, o).rowsBetween(-half, half - 1)
     both = df.withColumn("_q", F.percentile(F.col(v), F.lit(0.2)).over(w)).withColumn("_s", F.stddev_pop(v).over(w))
     usual = F.avg(F.when(F.col("_s") > 0, F.col("_s"))).over(Window.partitionBy(*k))
-    return both.withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")).otherwise(usual)).withColumn(out, (F.col(v) - F.col("_q")) / F.col("_s")).drop("_q", "_s")
+    return both.withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")).otherwise(usual)).withColumn(out, F.try_divide(F.col(v) - F.col("_q"), F.col("_s"))).drop("_q", "_s")
 
 
 def rolling_baseline(df: DataFrame, k: list[str], o: str, v: str, width: int, q: float, out: str = "baseline") -> DataFrame:
@@ -83,7 +83,7 @@ def baselined(df: DataFrame, k: list[str], o: str, v: str, width: int = 500, q:
     if from_zero:
         df = df.withColumn(v, F.col(v) - F.min(v).over(Window.partitionBy(*k)))
     both = rolling_baseline(df, k, o, v, width, q, "_base")
-    return both.withColumn(out, F.col(v) - F.col("_base") if log else F.col(v) / F.col("_base")).drop("_base")
+    return both.withColumn(out, F.col(v) - F.col("_base") if log else F.try_divide(F.col(v).cast("double"), F.col("_base"))).drop("_base")
 
 
 def weighted(df: DataFrame, k: list[str], o: str, v: str, kernel: list[float], first: int, out: str = "smooth", missing: float | None = 0.0) -> DataFrame:
