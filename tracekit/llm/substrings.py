@@ -30,8 +30,8 @@ U = np.uint64
 ANCHOR = 16
 #: Texts of runs that one transform takes in; a key with more than HOT different runs is resolved by single strings.
 BATCH, HOT = 1 << 20, 4096
-#: Bytes of runs, about, that one task puts through transforms.
-TASK = 4 << 20
+#: Bytes of runs, about, that one task puts through transforms; bytes of text, about, whose runs are held at once.
+TASK, PART = 4 << 20, 6 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -233,8 +233,9 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, step:
 
 
 def _all_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All runs of a batch (again false). Of those whose bytes are equal within it only the first is left to meet others; the rest are repeats, neighbours joined (again true), with keys of their own that deal them evenly."""
-    for batch in batches:
+    """All runs of a batch, taken in parts of a few MB (again false). Of those whose bytes are equal within a part only the first is left to meet others; the rest are repeats, neighbours joined (again true), with keys of their own that deal them evenly."""
+    parts = (batch.slice(rows.start, rows.stop - rows.start) for batch in batches for rows, _, _ in bh.blocks(batch, most=PART))
+    for batch in parts:
         ids = batch.column(0).to_numpy()
         everything, starts = bh.whole(batch.column(1))
         found = []
