@@ -76,4 +76,53 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT i, min(j) AS component_id FROM reach GROUP BY i) m ON m.i = d.doc_id
 """
 
-SQL = {"op3_mixing": MIXING, "op7_decontamination": DECONTAMINATION, "op8_minhash": NEAR_DUPLICATES}
+#: Only the items' terms meet the documents'; all else is integers.
+RANKED = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT doc_id, translate(unnest(w), '{_UPPER}', '{_LOWER}') AS term FROM d),
+b AS (
+  SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS term FROM benchmark
+), q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+l AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+m AS (SELECT doc_id, 75 + (25 * CAST(len(w) AS BIGINT) * big_n) // big_l AS m FROM d, l WHERE len(w) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), l),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+COLLOCATIONS = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), e AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+w AS (SELECT lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS s FROM e),
+v AS (
+  SELECT lang, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5 FROM w WINDOW p AS (PARTITION BY lang, piece ORDER BY s)
+), g AS MATERIALIZED (
+  SELECT lang, 1 AS k, w AS phrase, count(*) AS f FROM v GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2 AS phrase, count(*) FROM v WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM v WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM v WHERE w4 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 5, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS phrase, count(*) FROM v WHERE w5 IS NOT NULL GROUP BY ALL
+),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+h AS MATERIALIZED (SELECT * FROM g WHERE f >= 100),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM h WHERE k > 1),
+x AS (SELECT lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:k], ' ') AS y FROM c, unnest(range(1, k)) AS u(j)),
+cuts AS (
+  SELECT x.lang, x.phrase, x.k, a, j, p.f AS l, q.f AS r, n, (1000::HUGEINT * a * n) // (p.f::HUGEINT * q.f) AS score
+  FROM x JOIN h p ON p.lang = x.lang AND p.phrase = x.x JOIN h q ON q.lang = x.lang AND q.phrase = x.y JOIN n ON n.lang = x.lang
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, unnest(range(2, k)) AS u(m), unnest(range(1, k - m + 2)) AS v(i) GROUP BY ALL
+), kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE 100 * coalesce(longer, 0) < 100 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000
+"""
+
+SQL = {"op12_ranked_search": RANKED, "op13_collocations": COLLOCATIONS, "op3_mixing": MIXING, "op7_decontamination": DECONTAMINATION, "op8_minhash": NEAR_DUPLICATES}

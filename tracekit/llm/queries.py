@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracekit.llm import decontaminate, fingerprint, html_text, language, licenses, minhash, mixing, quality, substrings, tool_calls
+from tracekit.llm import collocations, decontaminate, fingerprint, html_text, language, lexical, licenses, minhash, mixing, quality, substrings, tool_calls, toxicity
 from tracekit.llm import oracles
 
 #: Target mixture: four domains of sources, weighted, then languages, then sources evenly.
@@ -94,6 +94,20 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.held_against_next(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)"))
+    out = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), docs.where("not held_out"), ("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("matches").alias("n_matches"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_quality": op9_quality,
         "op10_fingerprint": op10_fingerprint,
+        "op11_toxicity": op11_toxicity,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_collocations": op13_collocations,
         "pipeline": pipeline,
     }
 
