@@ -1,11 +1,10 @@
 """Phrase collocations by partitioned mining (SON): shards are mined completely at a lowered support, what is frequent in any shard is counted exactly over all.
 
-A phrase with ``least`` occurrences among the n words of a language has, in at least one shard, its share of them: ``least`` times
-the shard's share of the words. Each shard (a bounded number of words, held by one task) is mined at that support. The
-union of what shards report is thinned by an upper bound (reported counts, plus for each silent shard one less than its support) and
-counted exactly in another pass, which adds counts of at most one row for each block of text and phrase. Words
-come first, then pairs of frequent words, then longer phrases of pairs that may be frequent, so that small shards, whose support falls to one, report only
-phrases whose parts are frequent everywhere.
+Documents are dealt to a fixed number of shards by a hash of their text, so shards grow with the input and their support does not fall. A phrase with ``least`` occurrences among the words of a language
+has, in at least one shard, its share of them: ``least`` times the shard's share of the words. Each shard is mined at that support by all tasks together (counts by shard and phrase, added up by block of text
+before they are shuffled). The union of what shards report is thinned by an upper bound (reported counts, plus for each silent shard one less than its support) and
+counted exactly in another pass, which shuffles at most one row for each block of text and phrase. Words
+come first, then pairs of frequent words, then longer phrases of pairs that may be frequent.
 
 Phrases are 64-bit hashes of their language and words; their texts are looked up for the ranked ones.
 """
@@ -23,8 +22,8 @@ from tracekit.llm import bytehash as bh
 from tracekit.llm.shared import in_filter, key_filter, stored
 
 U = np.uint64
-#: Words held by one shard; bytes of text counted at once; bits of a filter over phrases; parts that rows of one frequent word are dealt to.
-SHARD, TEXT, BITS, DEAL = 1 << 22, 1 << 23, 1 << 28, 32
+#: Shards; bytes of text counted at once; bits of a filter over phrases; parts that rows of one frequent word are dealt to.
+SHARDS, TEXT, BITS, DEAL = 8, 1 << 23, 1 << 28, 32
 #: Bytes that end a piece, and bytes of words.
 CUT = np.zeros(256, dtype=bool)
 CUT[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,10 +31,12 @@ INSIDE = ~CUT
 INSIDE[[0x20, 0x09]] = False
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(language, hashes of words, numbers of their pieces, bytes, starts, stops) of the texts of a batch (text, lang), by block and language."""
+def _words(batch: pa.RecordBatch, shards: bool = False) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(language, shard or -1, hashes of words, numbers of their pieces, bytes, starts, stops) of the texts of a batch (text, lang, shard), by block, language and, if asked, shard."""
     lang = batch.column(1).dictionary_encode()
-    codes, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+    codes, names = lang.indices.to_numpy().astype(np.int64), lang.dictionary.to_pylist()
+    if shards:
+        codes = codes * SHARDS + batch.column(2).to_numpy()
     for rows, data, offsets in bh.blocks(batch, most=TEXT):
         begins, stops, firsts = bh.words(data, offsets, INSIDE)
         if not begins.size:
@@ -47,10 +48,11 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray,
         fresh[firsts[:-1][np.diff(firsts) > 0]] = True
         piece = np.cumsum(fresh, dtype=np.int32)
         of = np.repeat(codes[rows], np.diff(firsts))
-        for code in np.unique(codes[rows]).tolist():
-            at = of == code
-            if at.any():
-                yield names[code], w[at], piece[at], data, begins[at], stops[at]
+        by = np.argsort(of, kind="stable")
+        edges = [0, *(np.flatnonzero(np.diff(of[by])) + 1).tolist(), of.size]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            at, code = by[lo:hi], int(of[by[lo]])
+            yield names[code // SHARDS if shards else code], code % SHARDS if shards else -1, w[at], piece[at], data, begins[at], stops[at]
 
 
 def _first(w: np.ndarray, lang: str) -> np.ndarray:
@@ -72,85 +74,56 @@ def _rows(lang: str, key: np.ndarray | None, **columns: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), keys, *(pa.array(v) for v in columns.values())], ["lang", "key", *columns])
 
 
+def _shard_rows(lang: str, shard: int, key: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    return _rows(lang, key, shard=np.full(n.size, shard, dtype=np.int32), n=n.astype(np.int64))
+
+
 def word_counts(source: DataFrame, least: int) -> DataFrame:
-    """(lang, key, n): the words with ``least`` occurrences or more in their language, and a row with a null key for all of its words."""
+    """(lang, key, shard, n): the words with ``least`` occurrences or more in their language (shard -1), and rows with a null key for all words of each shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, w, _, _, _, _ in _words(batch):
-                key, n = _counted(_first(w, lang))
-                yield _rows(lang, key, n=n.astype(np.int64))
-                yield _rows(lang, None, n=np.array([w.size], dtype=np.int64))
+            for lang, shard, w, _, _, _, _ in _words(batch, shards=True):
+                yield _shard_rows(lang, -1, *_counted(_first(w, lang)))
+                yield _shard_rows(lang, shard, None, np.array([w.size]))
 
-    return source.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") >= least))
+    out = source.mapInArrow(count, "lang string, key long, shard int, n long").groupBy("lang", "key", "shard").agg(F.sum("n").alias("n"))
+    return out.where(F.col("key").isNull() | (F.col("n") >= least))
 
 
-def mined(source: DataFrame, totals: dict[str, int], least: int, words: np.ndarray, pairs: np.ndarray | None, longest: int) -> DataFrame:
-    """(lang, key, u): what shards report, summed. u counts the occurrences in a shard above its support less one; the sum of all supports less one stands at the null key.
+def possible(source: DataFrame, sizes: DataFrame, least: int, words: np.ndarray, pairs: np.ndarray | None, longest: int) -> DataFrame:
+    """(key) of the phrases that may have ``least`` occurrences: pairs of words on the filter ``words`` or, given the filter ``pairs``, longer phrases all of whose pairs are on that.
 
-    Without ``pairs`` pairs of words on the filter ``words`` are mined; with it, longer phrases all of whose pairs are on that filter.
+    ``sizes`` (lang, shard, n) are the words of shards. What a shard reports, it holds as often as its support or more; a shard that is silent about a phrase holds it at most once less than that.
     """
-    shared = source.sparkSession.sparkContext.broadcast((totals, words, pairs))
+    shared = source.sparkSession.sparkContext.broadcast((words, pairs))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, words, pairs = shared.value
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        seen: dict[str, int] = {}
-        size = last = 0
-
-        def report() -> Iterator[pa.RecordBatch]:
-            for lang, n in seen.items():
-                support = max(1, -(-least * n // totals[lang]))
-                yield _rows(lang, None, u=np.array([support - 1], dtype=np.int64))
-                w, piece = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
-                key = _longer(_first(w, lang), w, 2)
-                good = piece[1:] == piece[:-1]
-                if pairs is not None:
-                    good &= in_filter(pairs, key.view(np.int64))
-                for k in range(2, longest + 1):
-                    if k > 2:
-                        key = _longer(key, w, k)
-                        good = good[:-1] & good[1:]
+        words, pairs = shared.value
+        for batch in batches:
+            for lang, shard, w, piece, _, _, _ in _words(batch, shards=True):
+                first = _first(w, lang)
+                on = in_filter(words, first.view(np.int64))
+                good = (piece[1:] == piece[:-1]) & on[1:] & on[:-1]
+                key = _longer(first, w, 2)
+                if pairs is None:
+                    yield _shard_rows(lang, shard, *_counted(key[good]))
+                    continue
+                good[good] = in_filter(pairs, key[good].view(np.int64))
+                for k in range(3, longest + 1):
+                    key, good = _longer(key, w, k), good[:-1] & good[1:]
                     if not good.any():
                         break
-                    if k == 2 and pairs is not None:
-                        continue
-                    found, times = _counted(key[good])
-                    often = times >= support
-                    yield _rows(lang, found[often], u=times[often].astype(np.int64) - (support - 1))
-                    if support > 1:
-                        at = np.flatnonzero(good)
-                        slot = np.searchsorted(found, key[at].view(np.int64))
-                        good[at] = often[slot]
-            seen.clear()
+                    yield _shard_rows(lang, shard, *_counted(key[good]))
 
-        for batch in batches:
-            for lang, w, piece, _, _, _ in _words(batch):
-                seen[lang] = seen.get(lang, 0) + w.size
-                on = in_filter(words, _first(w, lang).view(np.int64))
-                # words that are not frequent end pieces, and what then stands alone goes
-                piece = (np.cumsum(~on, dtype=np.int64) + piece)[on]
-                w = w[on]
-                alone = np.ones(w.size, dtype=bool)
-                same = piece[1:] == piece[:-1]
-                alone[1:] &= ~same
-                alone[:-1] &= ~same
-                w, piece = w[~alone], piece[~alone]
-                held.setdefault(lang, []).append((w, piece + last))
-                last += int(piece[-1]) + 1 if piece.size else 0
-                size += w.size
-                if size >= SHARD:
-                    yield from report()
-                    size = last = 0
-        yield from report()
-
-    return source.mapInArrow(mine, "lang string, key long, u long").groupBy("lang", "key").agg(F.sum("u").alias("u"))
-
-
-def _possible(reports: DataFrame, least: int) -> DataFrame:
-    """(key) of the phrases that may have ``least`` occurrences: those reported and, at the most, one less than the support of each shard that was silent."""
-    silent = reports.where("key is null").select("lang", F.col("u").alias("silent"))
-    return reports.where("key is not null").join(F.broadcast(silent), "lang").where(F.col("u") + F.col("silent") >= least).select("key")  # a row a language
+    total = sizes.groupBy("lang").agg(F.sum("n").alias("total"))
+    support = sizes.join(total, "lang").select("lang", "shard", F.greatest(F.ceil(F.col("n") * least / F.col("total")), F.lit(1)).alias("support"))
+    silent = support.groupBy("lang").agg(F.sum(F.col("support") - 1).alias("silent"))
+    counts = source.mapInArrow(mine, "lang string, key long, shard int, n long").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
+    # a row a language and shard, and a row a language
+    reported = counts.join(F.broadcast(support), ["lang", "shard"]).where(F.col("n") >= F.col("support"))
+    bound = reported.groupBy("lang", "key").agg(F.sum(F.col("n") - F.col("support") + 1).alias("u"))
+    return bound.join(F.broadcast(silent), "lang").where(F.col("u") + F.col("silent") >= least).select("key")
 
 
 def counted(source: DataFrame, wanted: np.ndarray, least: int, longest: int) -> DataFrame:
@@ -160,7 +133,7 @@ def counted(source: DataFrame, wanted: np.ndarray, least: int, longest: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, w, piece, _, _, _ in _words(batch):
+            for lang, _, w, piece, _, _, _ in _words(batch):
                 keys = [_first(w, lang)]
                 for k in range(2, min(longest, w.size) + 1):
                     keys.append(_longer(keys[-1], w, k))
@@ -188,7 +161,7 @@ def texts_of(source: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, w, piece, data, begins, stops in _words(batch):
+            for lang, _, w, piece, data, begins, stops in _words(batch):
                 key = _first(w, lang)
                 for k in range(2, min(longest, w.size) + 1):
                     key = _longer(key, w, k)
@@ -230,14 +203,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     read whole; other columns are ignored.
     """
     source = docs.select(F.col(text).cast("binary").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
+    source = source.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int"))
     counts = stored(word_counts(source, least), "words")
-    totals = counts.where("key is null").select("lang", "n")
-    words = counts.where("key is not null")
-    sizes = {r["lang"]: r["n"] for r in totals.collect()}  # a row a language
+    sizes = counts.where("key is null").select("lang", "shard", "n")
+    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
+    words = counts.where("key is not null").select("lang", "key", "n")
     frequent = key_filter(words.select("key"), "key", BITS, plain=True)
-    pairs = _possible(stored(mined(source, sizes, least, frequent, None, 2), "pairs"), least)
-    on_pairs = key_filter(pairs, "key", BITS, plain=True)
-    more = _possible(stored(mined(source, sizes, least, frequent, on_pairs, longest), "phrases"), least)
+    pairs = stored(possible(source, sizes, least, frequent, None, 2), "pairs")
+    more = stored(possible(source, sizes, least, frequent, key_filter(pairs, "key", BITS, plain=True), longest), "phrases")
     phrases = stored(counted(source, key_filter(pairs.union(more), "key", BITS, plain=True), least, longest), "counted")
     # a phrase inside a longer one that is as frequent lies inside one with one word more that is
     inner = phrases.where("k > 2").select("lang", "n", F.explode(F.array(F.expr("element_at(array(" + ", ".join(f"p{j}" for j in range(1, longest)) + "), k - 1)"), F.col("s1"))).alias("key")).distinct()
