@@ -197,32 +197,16 @@ def test_rank_test_is_exact_for_small_untied_samples(spark):
 
 def plain_fields(rate, sure, least, times):
     n = len(rate)
-    r2, s2 = list(rate) * 2, list(sure) * 2
 
     def runs(on):
-        out, i = [], 0
-        while i < len(on):
-            if on[i]:
-                j = i
-                while j + 1 < len(on) and on[j + 1]:
-                    j += 1
-                out.append((i, j))
-                i = j
-            i += 1
-        return out
+        if all(on):
+            return [list(range(n))]
+        return [[(a + d) % n for d in range(next(d for d in range(n) if not on[(a + d) % n]))] for a in range(n) if on[a] and not on[a - 1]]
 
-    solid = {x for a, b in runs(s2) if b - a + 1 >= least for x in range(a, b + 1)}
-    if not solid:
-        return []
+    solid = {x for r in runs(sure) if len(r) >= least for x in r}
     level = sum(rate) / n * times
-    wide = [(a, b) for a, b in runs([x > level or s for x, s in zip(r2, s2)]) if b - a + 1 >= least and len(solid & set(range(a, b + 1))) >= least and not (a > n and b > n)]
-    taken, out = set(), []
-    for a, b in sorted(wide, key=lambda x: (x[1] - x[0], x[0]), reverse=True):
-        bins = set(range(b % n)) | set(range(a, n)) if b > n else set(range(a, min(b + 1, n)))
-        if not bins & taken:
-            taken |= bins
-            out.append(sorted(bins))
-    return out
+    wide = [r for r in runs([x > level or s for x, s in zip(rate, sure, strict=True)]) if len(r) >= least and len(solid & set(r)) >= least]
+    return sorted(wide, key=lambda r: (len(r), r[0]), reverse=True)
 
 
 def test_fields():
@@ -232,6 +216,15 @@ def test_fields():
         assert [f.tolist() for f in T.fields_of(rate, sure, 2, 1.5)] == plain_fields(rate, sure, 2, 1.5)
 
 
+def test_a_field_that_passes_the_last_bin_keeps_all_bins():
+    rate, sure = np.zeros(20), np.zeros(20, dtype=bool)
+    rate[[17, 18, 19, 0, 1, 2]], sure[[17, 18, 19, 0, 1, 2]] = 5, True
+    rate[8:13], sure[8:13] = 4, True
+    assert [f.tolist() for f in T.fields_of(rate, sure)] == [[17, 18, 19, 0, 1, 2], [8, 9, 10, 11, 12]]
+    assert [f.tolist() for f in T.fields_of(np.ones(6), np.ones(6, dtype=bool))] == [[0, 1, 2, 3, 4, 5]]
+    assert T.fields_of(np.ones(6), np.zeros(6, dtype=bool)) == []
+
+
 def test_sessions_are_kept_apart(spark):
     """Two sessions with the same frames give what each gives alone."""
     frames = [(s, f, f // 10, (f * (s + 1)) % 5) for s in (0, 1) for f in range(40)]

@@ -8,11 +8,13 @@ from tracekit.operators import windows as W
 
 
 def brute_apart(rows, gap):
+    """In each round, of every pair of neighbours that are too close the larger goes, of equal ones the first."""
     rows = sorted(rows)
-    while near := [j for j in range(len(rows) - 1) if rows[j + 1][0] - rows[j][0] < gap]:
-        j = near[0]
-        del rows[j if rows[j][1] > rows[j + 1][1] else j + 1]
-    return rows
+    while True:
+        gone = {a if a[1] >= b[1] else b for a, b in zip(rows, rows[1:], strict=False) if b[0] - a[0] < gap}
+        if not gone:
+            return rows
+        rows = [r for r in rows if r not in gone]
 
 
 def test_kept_apart_by_islands(spark):

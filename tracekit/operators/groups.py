@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.functions.scalars import hashed
+from tracekit.operators import resampling
+from tracekit.sources.scratch import written
 
 
 def sem(v: str | Column) -> Column:
@@ -90,9 +92,28 @@ def mann_whitney(df: DataFrame, k: list[str], group: str, v: str, a: object, b:
     return s.select(*k, "u", F.try_divide(big - F.col("na") * F.col("nb") / 2 - 0.5, sd).alias("z"))
 
 
-def bootstrap_sd(df: DataFrame, k: list[str], group: str, v: str, o: str, a: object, b: object, n: int, seed: int = 11) -> DataFrame:
-    """(k, sd): deviation of the difference of the means of two hashed samples with replacement, each as large as the larger group."""
-    own = df.where(F.col(group).isin(a, b)).withColumn("i", F.row_number().over(Window.partitionBy(*k, group).orderBy(o)) - 1)
+def bootstrap_sd(df: DataFrame, k: list[str], group: str, v: str, o: str, a: object, b: object, n: int, seed: int = 11, big: int = resampling.BIG) -> DataFrame:
+    """(k, sd): deviation of the difference of the means of two hashed samples with replacement, each as large as the larger group.
+
+    The values of a key's groups are two arrays, drawn from by index; keys with more than ``big`` rows are drawn by joins over rows.
+    """
+    own = df.where(F.col(group).isin(a, b))
+    size = own.groupBy(*k).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")).where("na > 0 and nb > 0")
+    # at most one row for each ``big`` rows
+    large = written(size.where(F.col("na") + F.col("nb") > big).select(*k), "large")
+    some = large.count() > 0
+    small = own.join(F.broadcast(large), k, "left_anti") if some else own
+    values = lambda g: F.transform(F.sort_array(F.collect_list(F.when(F.col(group) == g, F.struct(F.col(o).alias("o"), F.col(v).cast("double").alias("v"))))), lambda x: x["v"])
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in k])
+    arrays = small.groupBy(*k).agg(values(a).alias("_a"), values(b).alias("_b")).where("size(_a) > 0 and size(_b) > 0")
+    arrays = arrays.select(*k, F.when(F.length(name) > 0, F.concat(name, F.lit("-"))).otherwise("").alias("_name"), "_a", "_b")
+    out = resampling.sampled_deviation(arrays, k, a, b, n, seed)
+    return out.union(_bootstrap_by_rows(own.join(F.broadcast(large), k, "left_semi"), k, group, v, o, a, b, n, seed)) if some else out
+
+
+def _bootstrap_by_rows(own: DataFrame, k: list[str], group: str, v: str, o: str, a: object, b: object, n: int, seed: int) -> DataFrame:
+    """The same for keys of any size: each draw is a row that is joined to its value."""
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy(*k, group).orderBy(o)) - 1)
     size = own.groupBy(*k).agg(F.sum((F.col(group) == a).cast("long")).alias("na"), F.sum((F.col(group) == b).cast("long")).alias("nb")).where("na > 0 and nb > 0")
     sides = F.explode(F.array(F.struct(F.lit(a).alias(group), F.col("na").alias("m")), F.struct(F.lit(b).alias(group), F.col("nb").alias("m"))))
     draws = size.select(*k, F.greatest("na", "nb").alias("big"), sides.alias("s")).select(*k, "big", f"s.{group}", "s.m")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tracekit.functions import tails
 from tracekit.functions.scalars import hashed
 from tracekit.operators import groups as G
+from tracekit.operators import resampling
+from tracekit.sources.scratch import written
 
 
 def t_test(df: DataFrame, k: list[str], group: str, v: str, a: object, b: object) -> DataFrame:
@@ -46,11 +48,29 @@ def condition_effect(df: DataFrame, k: list[str], group: str, v: str, o: str, a:
     return out.select(*k, "diff", "sd", "sign", F.coalesce(F.abs("diff") >= F.abs("_m"), F.lit(False)).alias("kept"))
 
 
-def permuted_bins(df: DataFrame, k: list[str], o: str, v: str, bins: int = 10, n: int = 1000, seed: int = 13) -> DataFrame:
+def permuted_bins(df: DataFrame, k: list[str], o: str, v: str, bins: int = 10, n: int = 1000, seed: int = 13, big: int = resampling.BIG) -> DataFrame:
     """(k, bin, mean, t, df, p): the mean of each of ``bins`` equal stretches, and how far the means of n shuffles of the series lie below it (one-sample t, less).
 
-    A shuffle orders the samples of a series by a hash. Samples at the end that fill no whole stretch belong to the last one.
+    A shuffle orders the samples of a series by a hash. Samples at the end that fill no whole stretch belong to the last one. A series is one array, permuted n times in a task; one of
+    more than ``big`` samples is shuffled by rows.
     """
+    # at most one row for each ``big`` rows
+    large = written(df.groupBy(*k).agg(F.count("*").alias("_n")).where(F.col("_n") > big).select(*k), "large")
+    some = large.count() > 0
+    small = df.join(F.broadcast(large), k, "left_anti") if some else df
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in k])
+    each = F.sort_array(F.collect_list(F.struct(F.col(o).alias("o"), F.col(v).cast("double").alias("v"))))
+    series = small.groupBy(*k).agg(each.alias("_s"))
+    series = series.select(*k, F.when(F.length(name) > 0, F.concat(name, F.lit("-"))).otherwise("").alias("_name"), F.transform("_s", lambda x: x["o"].cast("string")).alias("_o"), F.transform("_s", lambda x: x["v"]).alias("_v"))
+    both = resampling.permuted_means(series, k, bins, n, seed)
+    if some:
+        both = both.union(_permuted_by_rows(df.join(F.broadcast(large), k, "left_semi"), k, o, v, bins, n, seed))
+    t = F.when(F.col("null_sd") > 0, (F.col("null_mean") - F.col("mean")) / (F.col("null_sd") / F.sqrt("c")))
+    return both.select(*k, "bin", "mean", t.alias("t"), (F.col("c") - 1).alias("df")).withColumn("p", tails.t_less("t", F.col("df").cast("double")))
+
+
+def _permuted_by_rows(df: DataFrame, k: list[str], o: str, v: str, bins: int, n: int, seed: int) -> DataFrame:
+    """(k, bin, mean, null_mean, null_sd, c) for series of any length: each sample is a row of each shuffle."""
     w = Window.partitionBy(*k)
     size = df.select(*k, o, v, F.count("*").over(w).alias("_n"), (F.row_number().over(w.orderBy(o)) - 1).alias("_i"))
     at = lambda i: F.least(F.floor(i / F.greatest(F.floor(F.col("_n") / bins), F.lit(1))), F.lit(bins - 1)).cast("int")
@@ -58,9 +78,7 @@ def permuted_bins(df: DataFrame, k: list[str], o: str, v: str, bins: int = 10, n
     many = size.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(n))))
     by = Window.partitionBy(*k, "iter").orderBy(hashed(F.lit(seed), *[F.col(c) for c in k], F.col("iter"), F.col(o)), o)
     null = many.withColumn("_j", F.row_number().over(by) - 1).groupBy(*k, "iter", at(F.col("_j")).alias("bin")).agg(F.avg(v).alias("_m"))
-    both = null.join(real, [*k, "bin"]).groupBy(*k, "bin").agg(F.max("mean").alias("mean"), F.avg("_m").alias("_a"), F.stddev_samp("_m").alias("_s"), F.count("*").alias("_c"))
-    t = F.when(F.col("_s") > 0, (F.col("_a") - F.col("mean")) / (F.col("_s") / F.sqrt("_c")))
-    return both.select(*k, "bin", "mean", t.alias("t"), (F.col("_c") - 1).alias("df")).withColumn("p", tails.t_less("t", F.col("df").cast("double")))
+    return null.join(real, [*k, "bin"]).groupBy(*k, "bin").agg(F.max("mean").alias("mean"), F.avg("_m").alias("null_mean"), F.stddev_samp("_m").alias("null_sd"), F.count("*").alias("c"))
 
 
 def context_classes(tested: DataFrame, entity: str, context: str, p: str, first: object, second: object, least: int = 5, level: float = 0.05) -> DataFrame:

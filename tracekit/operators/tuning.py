@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracekit.functions.scalars import hashed
+from tracekit.operators import resampling
 
 
 def valid_positions(frames: DataFrame, runs: DataFrame, k: list[str], t: str, width: float, excluded: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -81,16 +81,9 @@ def spatial_information(rates: DataFrame, k: tuple[str, ...] = ()) -> DataFrame:
 
 
 def circular_shuffles(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7, k: tuple[str, ...] = ()) -> DataFrame:
-    """(k, shuffle, entity, bin, n): spikes of frames (k, frame, lap, bin) after the positions of each lap are rolled by a hashed offset, for each of n shuffles.
-
-    Only spikes are multiplied; the frames are looked up by lap and place in the lap.
-    """
-    keys = [*k, "lap"]
-    by = Window.partitionBy(*keys)
-    placed = frames.withColumn("i", F.row_number().over(by.orderBy("frame")) - 1).withColumn("length", F.count("*").over(by))
-    drawn = spikes.join(placed.select(*k, "frame", "lap", "i", "length"), [*k, "frame"]).withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    drawn = drawn.withColumn("i", F.pmod(F.col("i") - F.pmod(hashed(F.lit(seed), F.col("shuffle"), *[F.col(c) for c in keys]), F.col("length")), F.col("length")))
-    return drawn.select("shuffle", "entity", *keys, "i").join(placed.select(*keys, "i", "bin"), [*keys, "i"]).groupBy(*k, "shuffle", "entity", "bin").agg(F.count("*").alias("n"))
+    """(k, shuffle, entity, bin, n): spikes of frames (k, frame, lap, bin) after the positions of each lap are rolled by a hashed offset, for each of n shuffles."""
+    reached = resampling.shuffled_counts(spikes, frames, n, seed, k)
+    return reached.select(*k, "entity", "bin", F.explode(F.arrays_zip("draws", "counts")).alias("d")).select(*k, F.col("d.draws").alias("shuffle"), "entity", "bin", F.col("d.counts").cast("long").alias("n"))
 
 
 def null_percentile(real: DataFrame, null: DataFrame, n: int, p: float, k: tuple[str, ...] = ()) -> DataFrame:
@@ -98,15 +91,32 @@ def null_percentile(real: DataFrame, null: DataFrame, n: int, p: float, k: tuple
 
     Shuffles that don't reach a bin count as 0 there: they are a number before the sorted counts of the others, at most n for each curve and bin, and no row.
     """
-    held = null.groupBy(*k, "entity", "bin").agg(F.sort_array(F.collect_list(F.col("n").cast("double"))).alias("_s"), F.sum("n").alias("_t"))
+    held = null.groupBy(*k, "entity", "bin").agg(F.sort_array(F.collect_list(F.col("n").cast("double"))).alias("_s"), F.sum("n").alias("null_total"))
     place = p * (n - 1)
     low = int(place)
     at = lambda i: F.coalesce(F.get("_s", F.lit(i) - n + F.size("_s")), F.lit(0.0))
     value = at(low) + (at(min(low + 1, n - 1)) - at(low)) * F.lit(place - low)
-    both = real.join(held, [*k, "entity", "bin"], "left")
-    none = F.col("_s").isNull()
-    both = both.withColumn("limit", F.when(none, F.lit(0.0)).otherwise(value) / F.col("occupancy")).withColumn("null_mean", F.coalesce("_t", F.lit(0)) / n / F.col("occupancy"))
-    return both.drop("_s", "_t").withColumn("significant", F.col("rate") > F.col("limit"))
+    return _against(real, held.withColumn("null_limit", value).drop("_s"), n, k)
+
+
+def _against(real: DataFrame, limits: DataFrame, n: int, k: tuple[str, ...]) -> DataFrame:
+    both = real.join(limits, [*k, "entity", "bin"], "left")
+    both = both.withColumn("limit", F.coalesce("null_limit", F.lit(0.0)) / F.col("occupancy")).withColumn("null_mean", F.coalesce("null_total", F.lit(0)) / n / F.col("occupancy"))
+    return both.drop("null_limit", "null_total").withColumn("significant", F.col("rate") > F.col("limit"))
+
+
+def shuffle_tested(real: DataFrame, spikes: DataFrame, frames: DataFrame, n: int, p: float, seed: int = 7, k: tuple[str, ...] = ()) -> DataFrame:
+    """``null_percentile`` of real rates against n circular shuffles of the spikes, of which only the limits and means of bins leave a task."""
+    return _against(real, resampling.shuffled_counts(spikes, frames, n, seed, k, "limits", p), n, k)
+
+
+def peak_z_p(real: DataFrame, spikes: DataFrame, frames: DataFrame, n: int, v: str = "real", seed: int = 7, k: tuple[str, ...] = ()) -> DataFrame:
+    """(k, entity, v, z, p): how far the largest count by bin (k, entity, v) is from those of n shuffles in their deviations, and the share of them that reach it."""
+    both = real.join(resampling.shuffled_counts(spikes, frames, n, seed, k, "peaks"), [*k, "entity"])
+    mean = F.aggregate("peaks", F.lit(0.0), lambda s, x: s + x) / n
+    both = both.withColumn("_m", mean).withColumn("_d", F.sqrt(F.aggregate("peaks", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / n))
+    reach = F.size(F.filter("peaks", lambda x: x >= F.col(v))) / n
+    return both.select(*k, "entity", v, ((F.col(v) - F.col("_m")) / F.nullif(F.col("_d"), F.lit(0.0))).alias("z"), reach.alias("p"))
 
 
 def candidates(tested: DataFrame, least: int = 5, k: tuple[str, ...] = ()) -> DataFrame:
@@ -115,42 +125,30 @@ def candidates(tested: DataFrame, least: int = 5, k: tuple[str, ...] = ()) -> Da
     return n.withColumn("candidate", F.col("bins") >= least)
 
 
-def _runs(on: np.ndarray) -> np.ndarray:
-    """First and last place of each unbroken stretch."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-    return np.stack([edge[::2], edge[1::2] - 1], axis=1)
+def circle_runs(on: np.ndarray) -> np.ndarray:
+    """(start, length) of each unbroken stretch of a circle of bins; one that passes the last bin goes on at the first."""
+    if on.all():
+        return np.array([[0, on.size]] if on.size else np.zeros((0, 2)), dtype=int)
+    turn = int(np.argmin(on))  # a bin that is off: seen from there, no stretch wraps
+    step = np.diff(np.append(np.roll(on, -turn), False).astype(int), prepend=0)
+    start = np.flatnonzero(step > 0)
+    return np.stack([(start + turn) % on.size, np.flatnonzero(step < 0) - start], axis=1)
 
 
 def fields_of(rate: np.ndarray, significant: np.ndarray, least: int = 5, times: float = 2.0) -> list[np.ndarray]:
-    """Bins of each field of one curve around the circle, the longest first; none without enough significant bins in a row.
+    """Bins, in order around the circle, of each field of one curve; the longest first, of equal ones the one that starts later.
 
-    Stretches of the curve twice around, over ``times`` its mean or significant, of at least ``least`` bins, that hold as many bins of long enough significant stretches, begin or end in the first round and
-    don't overlap a longer one (of equal ones, the later one counts as longer).
+    A field is a whole stretch of at least ``least`` bins that are significant or over ``times`` the mean rate, of which as many lie in significant stretches of that length.
+    Stretches of a circle cannot overlap, and one that passes the last bin is one field with all of its bins.
     """
     n = rate.size
-    sure = _runs(np.tile(significant, 2))
-    sure = sure[sure[:, 1] - sure[:, 0] + 1 >= least]
-    if not len(sure):
-        return []
-    held = np.zeros(2 * n, dtype=bool)
-    for a, b in sure:
-        held[a : b + 1] = True
-    run = _runs(np.tile((rate > np.nanmean(rate) * times) | significant, 2))
-    run = run[run[:, 1] - run[:, 0] + 1 >= least]
-    run = run[[held[a : b + 1].sum() >= least for a, b in run]] if len(run) else run
-    run = run[(run > n).sum(axis=1) < 2]
-    taken, out = np.zeros(n, dtype=bool), []
-    for a, b in run[np.argsort(run[:, 1] - run[:, 0], kind="stable")[::-1]]:
-        inside = np.zeros(n, dtype=bool)
-        if b > n:
-            inside[: b % n] = True
-            inside[a:] = True
-        else:
-            inside[a : b + 1] = True
-        if not taken[inside].any():
-            taken |= inside
-            out.append(np.flatnonzero(inside))
-    return out
+    around = lambda start, length: np.arange(start, start + length) % n
+    sure = np.zeros(n, dtype=bool)
+    for start, length in circle_runs(significant):
+        if length >= least:
+            sure[around(start, length)] = True
+    found = [around(start, length) for start, length in circle_runs(significant | (rate > times * np.nanmean(rate))) if length >= least]
+    return sorted((f for f in found if sure[f].sum() >= least), key=lambda f: (f.size, f[0]), reverse=True)
 
 
 def extract_fields(tested: DataFrame, bins: int, least: int = 5, times: float = 2.0, k: tuple[str, ...] = ()) -> DataFrame:
@@ -196,7 +194,7 @@ def place_tuning(spikes: DataFrame, frames: DataFrame, dt: float, bins: int, ker
 
     occ = occupancy(frames, dt, k)
     real = written(raw_rates(spikes, frames, occ, k), "rates")
-    tested = null_percentile(real, circular_shuffles(spikes, frames, n, k=k), n, p, k)
+    tested = shuffle_tested(real, spikes, frames, n, p, k=k)
     some = candidates(tested, least, k).where("candidate").select(*k, "entity")
     fields = written(extract_fields(tested.join(some, [*k, "entity"], "left_semi"), bins, least, k=k), "fields")
     inside = fields.select(*k, "entity", F.explode("bins").alias("bin"))

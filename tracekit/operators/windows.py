@@ -5,6 +5,8 @@ All frames are bounded unless a running state is the point, so a partition is on
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -186,26 +188,40 @@ def repaired_resets(df: DataFrame, k: list[str], o: str, v: str, drop: float = 1
     return df.join(mended, [*k, o], "left").withColumn(v, F.coalesce("_v", F.col(v).cast("double"))).drop("_v")
 
 
+def survivors(at: np.ndarray, value: np.ndarray, gap: float) -> np.ndarray:
+    """Which candidates at rising places stay when pairs of neighbours closer than ``gap`` meet in rounds: of each pair of a round the larger leaves, of equal ones the first.
+
+    Candidates are a chain of links. Who leaves is unlinked, and only neighbours who meet by that form the next round, so the work is that of those who leave.
+    """
+    n = at.size
+    before, after, stays = np.arange(-1, n - 1), np.arange(1, n + 1), np.ones(n, dtype=bool)
+    meet = {i for i in range(n - 1) if at[i + 1] - at[i] < gap}
+    while meet:
+        leave = {int(after[i]) if value[after[i]] > value[i] else i for i in meet}
+        for i in leave:
+            stays[i] = False
+            if before[i] >= 0:
+                after[before[i]] = after[i]
+            if after[i] < n:
+                before[after[i]] = before[i]
+        left = {int(before[i]) for i in leave}
+        meet = {i for i in left if i >= 0 and stays[i] and after[i] < n and at[after[i]] - at[i] < gap}
+    return stays
+
+
 def kept_apart(df: DataFrame, k: list[str], o: str, v: str, gap: float) -> DataFrame:
     """Of sparse candidates, as long as two neighbours are closer than ``gap``, the larger of each such pair goes, of equal ones the first; all pairs of a round at once.
 
     Candidates ``gap`` or more apart don't touch each other, so only those of one island go to pandas together.
     """
-    import numpy as np
-    import pandas as pd
-
-    def suppress(rows: pd.DataFrame) -> pd.DataFrame:
+    def thinned(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns="_island").sort_values(o)
-        at, value, left = rows[o].to_numpy(), rows[v].to_numpy(), np.arange(len(rows))
-        while (close := np.flatnonzero(np.diff(at[left]) < gap)).size:
-            second = value[left[close + 1]] > value[left[close]]
-            left = np.delete(left, np.unique(close + second))
-        return rows.iloc[left]
+        return rows[survivors(rows[o].to_numpy(), rows[v].to_numpy(), gap)]
 
     by = Window.partitionBy(*k).orderBy(o)
     far = F.coalesce(F.col(o) - F.lag(o).over(by) >= gap, F.lit(False)).cast("int")
     islands = df.withColumn("_far", far).withColumn("_island", F.sum("_far").over(by)).drop("_far")
-    return islands.groupBy(*k, "_island").applyInPandas(suppress, df.schema)
+    return islands.groupBy(*k, "_island").applyInPandas(thinned, df.schema)
 
 
 def every_nth(df: DataFrame, k: list[str], o: str, n: int) -> DataFrame:

@@ -241,7 +241,7 @@ def j16(spark: SparkSession, sf: str) -> DataFrame:
 @query("j11_attach_signals", "WITH m AS (SELECT l_partkey AS cluster, l_linenumber AS session, max(l_orderkey) AS entity FROM lineitem WHERE l_discount >= 0.01 GROUP BY ALL), g AS (SELECT c.cluster, s.session FROM (SELECT DISTINCT cluster FROM m) c, (SELECT DISTINCT l_linenumber AS session FROM lineitem) s) SELECT g.cluster, g.session, m.entity, l.l_quantity AS value FROM g LEFT JOIN m USING (cluster, session) LEFT JOIN lineitem l ON l.l_orderkey = m.entity AND l.l_linenumber = g.session")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
     li = V.table(spark, sf, "lineitem")
-    m = V.labels(spark, sf, None).where("cluster <> -1").groupBy("cluster", "session").agg(F.max("entity").alias("entity"))
+    m = V.labels(spark, sf).where("cluster <> -1").groupBy("cluster", "session").agg(F.max("entity").alias("entity"))
     signals = li.select(F.col("l_linenumber").alias("session"), F.col("l_orderkey").alias("entity"), F.col("l_quantity").alias("value"))
     return A.attached(m, li.select(F.col("l_linenumber").alias("session")), signals, "cluster", "session", "entity").select("cluster", "session", "entity", "value")
 

@@ -227,9 +227,9 @@ def a3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.ratio_columns(c, ["f", "o"], ["n", "p"]))
 
 
-@query("a10_class_flags", f"WITH labels_ AS ({V.SQL['labels_'].removesuffix(' WHERE l_linenumber <= 3')}) SELECT session, entity, class = 'A' AND cluster <> -1 AS of_class, class = 'A' AND cluster <> -1 AND silhouette > 0 AND intra > 0.4 AS good_of_class FROM labels_")
+@query("a10_class_flags", f"WITH labels_ AS ({V.SQL['labels_']}) SELECT session, entity, class = 'A' AND cluster <> -1 AS of_class, class = 'A' AND cluster <> -1 AND silhouette > 0 AND intra > 0.4 AS good_of_class FROM labels_")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    return C.class_flags(V.labels(spark, sf, None).withColumn("good", F.expr("silhouette > 0 and intra > 0.4")), "A")
+    return C.class_flags(V.labels(spark, sf).withColumn("good", F.expr("silhouette > 0 and intra > 0.4")), "A")
 
 
 @query("a13_auto_bins", f"WITH {B._EV}" + """, p AS (SELECT user_id, event_id, pos * 2000 AS v FROM ev), l AS (SELECT user_id, count(DISTINCT lap) AS laps FROM ev GROUP BY 1), d AS (SELECT *, v - lag(v) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM p),

@@ -157,31 +157,6 @@ def a25(spark: SparkSession, sf: str) -> DataFrame:
 _GOOD = "#l AS (SELECT *, silhouette > 0 AND intra > 0.4 AS good FROM labels_), k AS (SELECT cluster, session, min(class) AS c, bool_and(good) AS g FROM l WHERE cluster <> -1 GROUP BY ALL)"
 
 
-def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    return V.labels(spark, sf).withColumn("good", F.expr("silhouette > 0 and intra > 0.4"))
-
-
-@query("a8_session_pair_counts", V.over("labels_", body=_GOOD + " SELECT a.session AS a, b.session AS b, count(*) AS shared, count(*) FILTER (a.c = b.c) AS same, count(*) FILTER (a.g AND b.g) AS shared_good, count(*) FILTER (a.c = b.c AND a.g AND b.g) AS same_good FROM k a JOIN k b ON a.cluster = b.cluster AND a.session < b.session GROUP BY 1, 2"))
-def a8(spark: SparkSession, sf: str) -> DataFrame:
-    return C.session_pair_counts(_labels(spark, sf), [1, 2, 3])
-
-
-@query("a11_exclusive_classes", V.over("labels_", body="#f AS (SELECT cluster, bool_or(class = 'A') AS x, bool_or(class = 'R') AS y FROM labels_ WHERE cluster <> -1 GROUP BY 1) SELECT cluster, x AND NOT y AS only_first, y AND NOT x AS only_second, x AND y AS both FROM f WHERE x OR y"))
-def a11(spark: SparkSession, sf: str) -> DataFrame:
-    return C.exclusive_classes(V.labels(spark, sf), "A", "R")
-
-
-@query("a12_cluster_summary", V.over("labels_", body=_GOOD + " SELECT session, class, count(*) FILTER (cluster <> -1) AS accepted, count(*) FILTER (cluster = -1) AS discarded, count(*) AS underlying, count(*) FILTER (cluster <> -1 AND good) AS good FROM l GROUP BY ALL"))
-def a12(spark: SparkSession, sf: str) -> DataFrame:
-    return C.summary(_labels(spark, sf))
-
-
-@query("j10_filter_members", V.over("labels_", body="SELECT session, entity, CASE WHEN o_orderstatus = 'F' THEN cluster END AS cluster FROM labels_ JOIN orders ON entity = o_orderkey"))
-def j10(spark: SparkSession, sf: str) -> DataFrame:
-    keep = V.labels(spark, sf).join(V.table(spark, sf, "orders").where("o_orderstatus = 'F'"), F.col("entity") == F.col("o_orderkey"), "left_semi")
-    return C.members_kept(V.labels(spark, sf), keep).select("session", "entity", "cluster")
-
-
 @query("j12_significant_footprints", V.over("pixels", body="SELECT frame, y, x, round(v, 6) AS v FROM pixels WHERE v > 0.1 AND frame IN (SELECT frame FROM pixels GROUP BY frame HAVING max(v) > 0.3)"))
 def j12(spark: SparkSession, sf: str) -> DataFrame:
     p = V.pixels(spark, sf)
@@ -222,8 +197,7 @@ a AS (SELECT entity, max(n) AS real FROM (SELECT entity, bin, count(*) AS n FROM
 SELECT entity, any_value(real) AS real, round((any_value(real) - avg(null_)) / nullif(stddev_pop(null_), 0), 6) AS z, round(avg(CASE WHEN null_ >= real THEN 1.0 ELSE 0 END), 6) AS p FROM a JOIN b USING (entity) GROUP BY entity"""))
 def t12(spark: SparkSession, sf: str) -> DataFrame:
     real = V.spikes(spark, sf).join(V.frames(spark, sf), "frame").groupBy("entity", "bin").agg(F.count("*").alias("n")).groupBy("entity").agg(F.max("n").alias("real"))
-    null = T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS).groupBy("shuffle", "entity").agg(F.max("n").alias("null_"))
-    return rounded(G.null_z_p(real, null, ["entity"], "real", "null_"))
+    return rounded(T.peak_z_p(real, V.spikes(spark, sf), V.frames(spark, sf), DRAWS))
 
 
 # --- aggregates, tests and sets

@@ -51,12 +51,22 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return matrix(spark, sf).select(F.col("entity").alias("frame"), F.expr("bin div 8").cast("int").alias("y"), (F.col("bin") % 8).cast("int").alias("x"), F.col("value").alias("v"))
 
 
-def labels(spark: SparkSession, sf: str, last: int | None = 3) -> DataFrame:
-    """(session, entity, cluster, class, silhouette, intra) of the sessions up to ``last``, or of all."""
-    li = table(spark, sf, "lineitem")
-    if last is not None:
-        li = li.where(F.col("l_linenumber") <= last)
-    return li.select(F.col("l_linenumber").alias("session"), F.col("l_orderkey").alias("entity"), F.when(F.col("l_discount") < 0.01, F.lit(-1).cast("long")).otherwise(F.col("l_partkey")).alias("cluster"), F.col("l_returnflag").alias("class"), F.col("l_tax").alias("silhouette"), (F.col("l_discount") * 10).alias("intra"))
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """(session, entity, cluster, class, silhouette, intra) of all sessions."""
+    cluster = F.when(F.col("l_discount") < 0.01, F.lit(-1).cast("long")).otherwise(F.col("l_partkey"))
+    quality = [F.col("l_tax").alias("silhouette"), (F.col("l_discount") * 10).alias("intra")]
+    return table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("session"), F.col("l_orderkey").alias("entity"), cluster.alias("cluster"), F.col("l_returnflag").alias("class"), *quality)
+
+
+#: The sessions of ``labels``.
+SESSIONS = [1, 2, 3, 4, 5, 6, 7]
+
+
+def place_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    """(entity, frame) of four entities that fire in seven bins in a row, each in its own (the first one's pass the last bin), and now and then elsewhere."""
+    near = F.pmod(F.col("bin") - 25 * F.col("entity") + 4, F.lit(100)) < 7
+    e = frames(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("frame"), (F.col("user_id") % 4).cast("int").alias("entity"), "value"), "frame")
+    return e.where(near | (F.col("value") > 150)).select("entity", "frame")
 
 
 SQL = {
@@ -64,10 +74,11 @@ SQL = {
     "traces": "SELECT user_id AS entity, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, epoch_us(ts) / 1e6 AS t, value FROM events",
     "frames": f"SELECT event_id AS frame, epoch_us(ts) / 1e6 AS t, (epoch_us(ts) % {DAY}) / {float(DAY)}::DOUBLE AS pos, epoch_us(ts) // {DAY} AS lap, CAST(floor((epoch_us(ts) % {DAY}) / {float(DAY)}::DOUBLE * 100) AS INT) AS bin FROM events",
     "spikes": "SELECT user_id AS entity, event_id AS frame FROM events",
+    "place_spikes": "SELECT CAST(user_id % 4 AS INT) AS entity, event_id AS frame FROM frames JOIN events ON frame = event_id WHERE ((bin - 25 * (user_id % 4) + 4) % 100 + 100) % 100 < 7 OR value > 150",
     "intervals": "SELECT * FROM (SELECT user_id AS entity, epoch_us(ts) / 1e6 AS start, lead(epoch_us(ts)) OVER w / 1e6 AS stop, row_number() OVER w AS segment FROM events WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE stop IS NOT NULL",
     "matrix": "SELECT vec_id AS entity, label AS class, CAST(u.i AS INT) AS bin, CAST(embedding[u.i + 1] AS DOUBLE) AS value FROM embeddings, unnest(range(0, len(embedding))) AS u(i)",
     "pixels": "SELECT vec_id AS frame, CAST(u.i // 8 AS INT) AS y, CAST(u.i % 8 AS INT) AS x, CAST(embedding[u.i + 1] AS DOUBLE) AS v FROM embeddings, unnest(range(0, len(embedding))) AS u(i)",
-    "labels_": "SELECT l_linenumber AS session, l_orderkey AS entity, CASE WHEN l_discount < 0.01 THEN -1 ELSE l_partkey END AS cluster, l_returnflag AS class, l_tax AS silhouette, l_discount * 10 AS intra FROM lineitem WHERE l_linenumber <= 3",
+    "labels_": "SELECT l_linenumber AS session, l_orderkey AS entity, CASE WHEN l_discount < 0.01 THEN -1 ELSE l_partkey END AS cluster, l_returnflag AS class, l_tax AS silhouette, l_discount * 10 AS intra FROM lineitem",
 }
 
 

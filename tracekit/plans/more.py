@@ -31,12 +31,6 @@ def i7(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.oriented(V.pixels(spark, sf), 8))
 
 
-@query("i8_split_halves", V.over("pixels", body="#m AS (SELECT (max(frame) + 1) // 2 AS middle FROM pixels) SELECT CASE WHEN frame >= middle THEN 1 ELSE 0 END AS half, CASE WHEN frame >= middle THEN frame - middle ELSE frame END AS frame, y, x, round(v, 6) AS v FROM pixels CROSS JOIN m"))
-def i8(spark: SparkSession, sf: str) -> DataFrame:
-    p = V.pixels(spark, sf)
-    return rounded(P.halves(p.crossJoin(F.broadcast(p.agg((F.max("frame") + 1).alias("n")))), F.col("n")).drop("n"))
-
-
 @query("i15_fov_images", V.over("matrix", body="#m AS (SELECT class, bin, avg(value) AS v FROM matrix GROUP BY ALL), l AS (SELECT *, v - min(v) OVER (PARTITION BY class) AS d FROM m) SELECT class, bin, round(d / max(d) OVER (), 6) AS v FROM l"))
 def i15(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.session_images(V.matrix(spark, sf).groupBy("class", "bin").agg(F.avg("value").alias("v")), "class"))

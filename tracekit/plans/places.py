@@ -10,7 +10,7 @@ from tracekit.operators import curves as C
 from tracekit.operators import testing as X
 from tracekit.operators import tuning as T
 from tracekit.plans import fixtures as V
-from tracekit.plans.queries import _KSQL, _RATES, _TT, query, r, rounded
+from tracekit.plans.queries import _KSQL, _RATES, _TT, DRAWS, query, r, rounded
 
 DAY = V.DAY
 
@@ -69,40 +69,81 @@ def t13(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.reliability_summary(T.lap_reliability(laps, fields)))
 
 
-def _tested(spark: SparkSession, sf: str, bins: int, n: int, p: float = 0.9) -> DataFrame:
-    f, s = _frames(spark, sf, bins), V.spikes(spark, sf)
-    return T.null_percentile(T.raw_rates(s, f, T.occupancy(f, 0.1)), T.circular_shuffles(s, f, n), n, p)
+def _tested(frames: DataFrame, spikes: DataFrame, p: float) -> DataFrame:
+    return T.shuffle_tested(T.raw_rates(spikes, frames, T.occupancy(frames, 0.1)), spikes, frames, DRAWS, p)
 
 
 @query("t9_candidates", V.over("frames", "spikes", body=_RATES + """, placed AS (SELECT frame, lap, bin, row_number() OVER (PARTITION BY lap ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY lap) AS length FROM frames),
-drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM spikes JOIN placed USING (frame), unnest(range(1, 101)) AS u(shuffle)),
+drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM spikes JOIN placed USING (frame), unnest(range(1, 1001)) AS u(shuffle)),
 nulls AS (SELECT shuffle, entity, p.bin, count(*) AS n FROM drawn d JOIN placed p ON p.lap = d.lap AND p.i = ((d.j % d.length) + d.length) % d.length GROUP BY ALL),
-lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.9) AS lim FROM rates CROSS JOIN unnest(range(1, 101)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL)
+lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.9) AS lim FROM rates CROSS JOIN unnest(range(1, 1001)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL)
 SELECT entity, 2 * count(*) FILTER (rate > lim) AS bins, 2 * count(*) FILTER (rate > lim) >= 5 AS candidate FROM rates JOIN lim USING (entity, bin) GROUP BY entity"""))
 def t9(spark: SparkSession, sf: str) -> DataFrame:
-    return T.candidates(_tested(spark, sf, 100, 100))
+    return T.candidates(_tested(_frames(spark, sf), V.spikes(spark, sf), 0.9))
 
 
-@query("t10_extract_fields")
+_FIELDS = """#placed AS (SELECT frame, lap, bin, row_number() OVER (PARTITION BY lap ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY lap) AS length FROM frames),
+own AS (SELECT entity, lap, length, i FROM place_spikes JOIN placed USING (frame)),
+drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM own, unnest(range(1, 1001)) AS u(shuffle)),
+nulls AS (SELECT shuffle, entity, p.bin, count(*) AS n FROM drawn d JOIN placed p ON p.lap = d.lap AND p.i = ((d.j % d.length) + d.length) % d.length GROUP BY ALL),
+occ AS (SELECT bin, count(*) * 0.1 AS occupancy FROM frames GROUP BY bin), real AS (SELECT entity, bin, count(*) AS n FROM place_spikes JOIN frames USING (frame) GROUP BY ALL),
+rates AS (SELECT entity, bin, occupancy, coalesce(n, 0) / occupancy AS rate FROM (SELECT DISTINCT entity FROM place_spikes) CROSS JOIN occ LEFT JOIN real USING (entity, bin)),
+lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.99) AS lim FROM rates CROSS JOIN unnest(range(1, 1001)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL),
+tested AS (SELECT entity, bin, rate, rate > lim AS sure FROM rates JOIN lim USING (entity, bin)),
+means AS (SELECT entity, sum(rate) / 100 AS mean FROM tested GROUP BY entity),
+curve AS (SELECT entity, bin, coalesce(rate, 0) AS rate, coalesce(sure, FALSE) AS sure, coalesce(sure, FALSE) OR coalesce(rate, 0) > 2 * mean AS wide FROM means CROSS JOIN unnest(range(0, 100)) AS u(bin) LEFT JOIN tested USING (entity, bin)),
+islands AS (
+  SELECT entity, kind, bin, bin - row_number() OVER (PARTITION BY entity, kind ORDER BY bin) AS g
+  FROM (SELECT entity, bin, 'sure' AS kind FROM curve WHERE sure UNION ALL SELECT entity, bin, 'wide' FROM curve WHERE wide)
+), spans AS (SELECT entity, kind, g, min(bin) AS first, max(bin) AS last FROM islands GROUP BY ALL),
+joined AS (
+  SELECT s.entity, s.kind, s.g, CASE WHEN s.first = 0 AND e.first IS NOT NULL THEN e.first ELSE s.first END AS start
+  FROM spans s LEFT JOIN spans e ON e.entity = s.entity AND e.kind = s.kind AND e.last = 99 AND e.g <> s.g
+), runs AS (SELECT entity, kind, start, count(*) AS length FROM islands JOIN joined USING (entity, kind, g) GROUP BY ALL),
+inside AS (SELECT entity, kind, bin, start, length FROM islands JOIN joined USING (entity, kind, g) JOIN runs USING (entity, kind, start)),
+held AS (
+  SELECT w.entity, w.start, w.length, count(s.bin) AS held, max(rate) AS peak_rate, min_by((w.bin - w.start + 100) % 100, (-rate, (w.bin - w.start + 100) % 100)) AS peak
+  FROM inside w JOIN curve USING (entity, bin) LEFT JOIN inside s ON s.entity = w.entity AND s.kind = 'sure' AND s.bin = w.bin AND s.length >= 5 WHERE w.kind = 'wide' GROUP BY ALL
+), fields AS (SELECT entity, start, length, (start + peak) % 100 AS peak, peak_rate FROM held WHERE length >= 5 AND held >= 5)"""
+
+
+def _fields(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f, s = _frames(spark, sf), V.place_spikes(spark, sf)
+    return f, s, T.extract_fields(_tested(f, s, 0.99), 100)
+
+
+@query("t10_extract_fields", V.over("frames", "place_spikes", body=_FIELDS + """
+SELECT entity, CAST(row_number() OVER (PARTITION BY entity ORDER BY length DESC, start DESC) - 1 AS INT) AS field, CAST(start AS INT) AS start, CAST(length AS INT) AS length, CAST(peak AS INT) AS peak, round(peak_rate, 6) AS peak_rate,
+row_number() OVER (PARTITION BY entity ORDER BY peak_rate DESC, length DESC, start DESC) = 1 AS best FROM fields"""))
 def t10(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL, as fields give way to longer ones in turn: tested against a plain re-statement."""
-    return T.extract_fields(_tested(spark, sf, 20, 100, 0.7), 20, least=2, times=1.2).withColumn("peak_rate", F.round("peak_rate", 6))
+    _, _, fields = _fields(spark, sf)
+    return rounded(fields.select("entity", "field", F.col("bins")[0].alias("start"), F.size("bins").alias("length"), "peak", "peak_rate", "best"))
+
 
+_RELIABLE = """, lap_occ AS (SELECT lap, bin, count(*) * 0.1 AS occupancy FROM frames GROUP BY ALL), lap_n AS (SELECT lap, entity, bin, count(*) AS n FROM place_spikes JOIN frames USING (frame) GROUP BY ALL),
+laps AS (SELECT lap, entity, bin, coalesce(n, 0) / occupancy AS rate FROM lap_occ CROSS JOIN means LEFT JOIN lap_n USING (lap, entity, bin)), over_ AS (SELECT *, avg(rate) OVER (PARTITION BY entity, lap) AS m FROM laps),
+field_bins AS (SELECT DISTINCT entity, CAST((start + d) % 100 AS INT) AS bin FROM fields, unnest(range(0, length)) AS u(d)),
+strengths AS (SELECT entity, lap, avg(CASE WHEN m > 0 THEN rate / m END) AS strength FROM over_ JOIN field_bins USING (entity, bin) GROUP BY ALL),
+summary AS (SELECT entity, avg(CASE WHEN coalesce(strength > 1, FALSE) THEN 1.0 ELSE 0 END) AS share, count(*) FILTER (coalesce(strength > 1, FALSE)) AS laps FROM strengths GROUP BY entity),
+top AS (SELECT * FROM fields QUALIFY row_number() OVER (PARTITION BY entity ORDER BY peak_rate DESC, length DESC, start DESC) = 1)
+SELECT entity, CAST(peak AS INT) AS peak, round(peak_rate, 6) AS peak_rate, round(share, 6) AS share, laps FROM top JOIN summary USING (entity)
+WHERE laps >= greatest(round_even((SELECT count(DISTINCT lap) FROM frames) * 0.2, 0), 2)"""
 
-@query("t14_refined_fields")
+
+@query("t14_refined_fields", V.over("frames", "place_spikes", body=_FIELDS + _RELIABLE))
 def t14(spark: SparkSession, sf: str) -> DataFrame:
-    fields = T.extract_fields(_tested(spark, sf, 20, 100, 0.7), 20, least=2, times=1.2)
-    f = _frames(spark, sf, 20)
-    summary = T.reliability_summary(T.lap_reliability(T.rates_by_lap(V.spikes(spark, sf), f, 0.1), fields.select("entity", F.explode("bins").alias("bin"))))
-    return rounded(T.refined_fields(fields, summary, f.select("lap").distinct().count()))
+    f, s, fields = _fields(spark, sf)
+    summary = T.reliability_summary(T.lap_reliability(T.rates_by_lap(s, f, 0.1), fields.select("entity", F.explode("bins").alias("bin"))))
+    out = T.refined_fields(fields, summary, f.select("lap").distinct().count()).join(summary, "entity")
+    return rounded(out.select("entity", "peak", "peak_rate", "share", "laps"))
 
 
 @query("t15_place_tuning")
 def t15(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole chain for two lap types."""
-    f = _frames(spark, sf, 20).withColumn("session", F.col("lap") % 2)
-    s = V.spikes(spark, sf).join(f.select("frame", "session"), "frame")
-    return rounded(T.place_tuning(s, f, 0.1, 20, S.gaussian_kernel(4), 100, 0.7, 2, ("session",)))
+    """The whole chain for two lap types; no SQL, as ``t10`` and ``t14`` hold its steps: tested against the chain of one lap type."""
+    f = _frames(spark, sf).withColumn("session", F.col("lap") % 2)
+    s = V.place_spikes(spark, sf).join(f.select("frame", "session"), "frame")
+    return rounded(T.place_tuning(s, f, 0.1, 100, S.gaussian_kernel(10), DRAWS, k=("session",)))
 
 
 @query("t16_field_windows", V.over("frames", "spikes", body="#n AS (SELECT entity, bin, count(*) AS n FROM spikes JOIN frames USING (frame) GROUP BY ALL), p AS (SELECT entity, bin AS peak FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, bin) AS k FROM n) WHERE k = 1) SELECT entity, peak, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 40 AND 65 THEN 'mid' ELSE 'place' END AS one, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 20 AND 70 THEN 'mid' ELSE 'place' END AS two, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 40 AND 70 THEN 'mid' ELSE 'place' END AS stimulus FROM p"))
@@ -165,18 +206,18 @@ def h1b(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h6_condition_effect", """WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('click', 'view')),
 s AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM o GROUP BY 1 HAVING na > 0 AND nb > 0),
-d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 101)) AS u(iter)),
+d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 1001)) AS u(iter)),
 p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2),
 b AS (SELECT user_id, stddev_pop(diff) AS sd FROM p GROUP BY 1), e AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS diff FROM events GROUP BY 1), f AS (SELECT *, CAST(sign(diff) AS INT) AS sign FROM e WHERE diff IS NOT NULL), m AS (SELECT sign, avg(diff) AS m FROM f WHERE abs(diff) < 30 GROUP BY 1)
 SELECT f.user_id, round(diff, 6) AS diff, round(sd, 6) AS sd, f.sign, coalesce(abs(diff) >= abs(m), FALSE) AS kept FROM f LEFT JOIN b USING (user_id) LEFT JOIN m ON m.sign = f.sign""")
 def h6(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(X.condition_effect(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", 100, 30))
+    return rounded(X.condition_effect(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", DRAWS, 30))
 
 
 @query("h7_permuted_bins", V.over("traces", body="""#c AS (SELECT entity, CASE WHEN row_number() OVER w <= count(*) OVER (PARTITION BY entity) // 2 THEN 'a' ELSE 'b' END AS context, frame, value FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)),
-n AS (SELECT *, count(*) OVER (PARTITION BY entity, context) AS n, row_number() OVER (PARTITION BY entity, context ORDER BY frame) - 1 AS i FROM c), r AS (SELECT entity, context, CAST(least(i // greatest(n // 5, 1), 4) AS INT) AS bin, avg(value) AS mean FROM n GROUP BY ALL),
-s AS (SELECT entity, context, iter, n, value, row_number() OVER (PARTITION BY entity, context, iter ORDER BY CAST('0x' || substr(md5('13-' || entity || '-' || context || '-' || iter || '-' || frame), 1, 8) AS BIGINT), frame) - 1 AS j FROM n, unnest(range(1, 51)) AS u(iter)),
-m AS (SELECT entity, context, iter, CAST(least(j // greatest(n // 5, 1), 4) AS INT) AS bin, avg(value) AS m FROM s GROUP BY ALL), g AS (SELECT entity, context, bin, any_value(mean) AS mean, avg(m) AS a, stddev_samp(m) AS s, count(*) AS c FROM m JOIN r USING (entity, context, bin) GROUP BY ALL)
+n AS (SELECT *, count(*) OVER (PARTITION BY entity, context) AS n, row_number() OVER (PARTITION BY entity, context ORDER BY frame) - 1 AS i FROM c), r AS (SELECT entity, context, CAST(least(i // greatest(n // 10, 1), 9) AS INT) AS bin, avg(value) AS mean FROM n GROUP BY ALL),
+s AS (SELECT entity, context, iter, n, value, row_number() OVER (PARTITION BY entity, context, iter ORDER BY CAST('0x' || substr(md5('13-' || entity || '-' || context || '-' || iter || '-' || frame), 1, 8) AS BIGINT), frame) - 1 AS j FROM n, unnest(range(1, 1001)) AS u(iter)),
+m AS (SELECT entity, context, iter, CAST(least(j // greatest(n // 10, 1), 9) AS INT) AS bin, avg(value) AS m FROM s GROUP BY ALL), g AS (SELECT entity, context, bin, any_value(mean) AS mean, avg(m) AS a, stddev_samp(m) AS s, count(*) AS c FROM m JOIN r USING (entity, context, bin) GROUP BY ALL)
 SELECT entity, context, bin, round(mean, 6) AS mean, round(CASE WHEN s > 0 THEN (a - mean) / (s / sqrt(c)) END, 4) AS t, c - 1 AS df FROM g"""))
 def h7(spark: SparkSession, sf: str) -> DataFrame:
     return _permuted(spark, sf).select("entity", "context", "bin", r("mean"), F.round("t", 4).alias("t"), "df")
@@ -186,7 +227,7 @@ def _permuted(spark: SparkSession, sf: str) -> DataFrame:
     from tracekit.operators.segments import labelled_halves
 
     t = labelled_halves(V.traces(spark, sf), ["entity"], "frame", "a", "b")
-    return X.permuted_bins(t, ["entity", "context"], "frame", "value", 5, 50)
+    return X.permuted_bins(t, ["entity", "context"], "frame", "value", 10, DRAWS)
 
 
 @query("h8_context_classes", V.over("traces", body="#p AS (SELECT entity, CASE WHEN frame % 2 = 0 THEN 'a' ELSE 'b' END AS c, count(*) FILTER (value / 1000 < 0.05) >= 11 AS ok FROM traces GROUP BY ALL), q AS (SELECT entity, bool_or(ok) FILTER (c = 'a') AS a, bool_or(ok) FILTER (c = 'b') AS b FROM p GROUP BY 1) SELECT entity, CASE WHEN a AND b THEN 'both' WHEN a THEN 'first' WHEN b THEN 'second' ELSE 'none' END AS kind FROM q"))
@@ -198,7 +239,7 @@ def h8(spark: SparkSession, sf: str) -> DataFrame:
 @query("h8_permuted_classes")
 def h8b(spark: SparkSession, sf: str) -> DataFrame:
     """The classes that follow from ``h7_permuted_bins``; its p is tested on its own."""
-    return X.context_classes(_permuted(spark, sf), "entity", "context", "p", "a", "b", 2)
+    return X.context_classes(_permuted(spark, sf), "entity", "context", "p", "a", "b")
 
 
 @query("h10_classify_entities", """WITH t AS (SELECT user_id, event_type AS main, avg(value) > 60 AND count(*) > 9 AS hit FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL), h AS (SELECT user_id, string_agg(main, ',' ORDER BY main) AS cues FROM t WHERE hit GROUP BY 1),

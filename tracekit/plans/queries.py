@@ -11,6 +11,7 @@ from tracekit.functions import scalars as S
 from tracekit.operators import alignment as A
 from tracekit.operators import groups as G
 from tracekit.operators import models as M
+from tracekit.operators import resampling
 from tracekit.operators import segments as E
 from tracekit.operators import tuning as T
 from tracekit.operators import windows as W
@@ -18,7 +19,7 @@ from tracekit.plans import fixtures as V
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Draws of the queries that SQL checks.
-DRAWS = 100
+DRAWS = 1000
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -86,21 +87,25 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SHUFFLES = """#placed AS (SELECT frame, lap, bin, row_number() OVER (PARTITION BY lap ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY lap) AS length FROM frames),
-drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM spikes JOIN placed USING (frame), unnest(range(1, 101)) AS u(shuffle)),
+drawn AS (SELECT shuffle, entity, lap, length, i - (CAST('0x' || substr(md5('7-' || shuffle || '-' || lap), 1, 8) AS BIGINT) % length) AS j FROM spikes JOIN placed USING (frame), unnest(range(1, 1001)) AS u(shuffle)),
 nulls AS (SELECT shuffle, entity, p.bin, count(*) AS n FROM drawn d JOIN placed p ON p.lap = d.lap AND p.i = ((d.j % d.length) + d.length) % d.length GROUP BY ALL)"""
 
 
-@query("t8_circular_shuffle", V.over("frames", "spikes", body=_SHUFFLES + " SELECT * FROM nulls"))
+@query("t8_circular_shuffle", V.over("frames", "spikes", body=_SHUFFLES + " SELECT entity, bin, count(*) AS reached, CAST(sum(n) AS BIGINT) AS total, max(n) AS most, CAST(sum(shuffle * n) AS BIGINT) AS mark FROM nulls GROUP BY ALL"))
 def t8(spark: SparkSession, sf: str) -> DataFrame:
-    return T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS)
+    """A row for each entity and bin tells of all draws: how many reach it, their spikes in all and at most, and a sum over draws and counts that marks which."""
+    told = resampling.shuffled_counts(V.spikes(spark, sf), V.frames(spark, sf), DRAWS)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    mark = F.aggregate(F.zip_with("draws", "counts", lambda d, c: d.cast("long") * c), F.lit(0).cast("long"), lambda s, x: s + x)
+    return told.select("entity", "bin", F.size("draws").cast("long").alias("reached"), total.alias("total"), F.array_max("counts").cast("long").alias("most"), mark.alias("mark"))
 
 
 @query("t9_null_percentile", V.over("frames", "spikes", body=_RATES + ", " + _SHUFFLES[1:] + """,
-lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.99) AS lim, avg(coalesce(n, 0) / occupancy) AS null_mean FROM rates CROSS JOIN unnest(range(1, 101)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL)
-SELECT entity, bin, round(rate, 6) AS rate, round(lim, 6) AS "limit", round(null_mean, 6) AS null_mean, rate > lim AS significant FROM rates JOIN lim USING (entity, bin)"""))
+lim AS (SELECT entity, bin, quantile_cont(coalesce(n, 0) / occupancy, 0.99) AS lim, avg(coalesce(n, 0) / occupancy) AS null_mean FROM rates CROSS JOIN unnest(range(1, 1001)) AS u(shuffle) LEFT JOIN nulls USING (shuffle, entity, bin) GROUP BY ALL)
+SELECT entity, bin, round(rate, 6) AS rate, round(lim, 6) AS "limit", round(null_mean + 1e-9, 6) AS null_mean, rate > lim AS significant FROM rates JOIN lim USING (entity, bin)"""))
 def t9(spark: SparkSession, sf: str) -> DataFrame:
-    null = T.circular_shuffles(V.spikes(spark, sf), V.frames(spark, sf), DRAWS)
-    return rounded(T.null_percentile(_rates(spark, sf), null, DRAWS, 0.99).drop("occupancy"))
+    tested = T.shuffle_tested(_rates(spark, sf), V.spikes(spark, sf), V.frames(spark, sf), DRAWS, 0.99)
+    return rounded(tested.drop("occupancy").withColumn("null_mean", F.col("null_mean") + 1e-9))  # means end on a half of the last place
 
 
 # --- windows
@@ -302,11 +307,6 @@ def j6(spark: SparkSession, sf: str) -> DataFrame:
     return A.near_centres(e, c, "event_type", "pos", "centre", 0.05).select("event_id", "event_type")
 
 
-@query("j9_cluster_members", V.over("labels_", body="SELECT cluster, max(entity) FILTER (session = 1) AS s1, max(entity) FILTER (session = 2) AS s2, max(entity) FILTER (session = 3) AS s3 FROM labels_ WHERE cluster <> -1 GROUP BY cluster"))
-def j9(spark: SparkSession, sf: str) -> DataFrame:
-    return G.members(V.labels(spark, sf), "cluster", "session", [1, 2, 3], "entity")
-
-
 @query("j13_ordered_pairs", "SELECT a.t AS main, b.t AS comp FROM (SELECT DISTINCT event_type AS t FROM events) a, (SELECT DISTINCT event_type AS t FROM events) b WHERE a.t < b.t")
 def j13(spark: SparkSession, sf: str) -> DataFrame:
     return A.ordered_pairs(V.table(spark, sf, "events").select("event_type").distinct(), "event_type")
@@ -342,16 +342,6 @@ def a5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.class_counts(V.table(spark, sf, "events"), "event_type", ["click", "error", "none", "view"]))
 
 
-@query("a7_seen_in_all_sessions", V.over("labels_", body="SELECT cluster FROM labels_ WHERE cluster <> -1 GROUP BY cluster HAVING count(DISTINCT session) = 3"))
-def a7(spark: SparkSession, sf: str) -> DataFrame:
-    return G.seen_everywhere(V.labels(spark, sf), "cluster", "session", 3)
-
-
-@query("a9_qc_mask", V.over("labels_", body="SELECT session, entity, cluster, silhouette > 0 AND intra > 0.4 AS good FROM labels_"))
-def a9(spark: SparkSession, sf: str) -> DataFrame:
-    return V.labels(spark, sf).select("session", "entity", "cluster", ((F.col("silhouette") > 0) & (F.col("intra") > 0.4)).alias("good"))
-
-
 @query("a16_modal_class", "SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) WHERE k = 1")
 def a16(spark: SparkSession, sf: str) -> DataFrame:
     return G.modal(V.table(spark, sf, "events"), ["user_id"], "event_type")
@@ -391,7 +381,7 @@ def h1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h5_bootstrap_sd", """WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('click', 'view')),
 s AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM o GROUP BY 1 HAVING na > 0 AND nb > 0),
-d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 101)) AS u(iter)),
+d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 1001)) AS u(iter)),
 p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2)
 SELECT user_id, round(stddev_pop(diff), 6) AS sd FROM p GROUP BY 1""")
 def h5(spark: SparkSession, sf: str) -> DataFrame:
@@ -550,9 +540,9 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(V.table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_totalprice").alias("total")), allowMissingColumns=True)
 
 
-@query("k3_intersect_except", "(SELECT user_id, 'both' AS kind FROM events WHERE event_type = 'error' AND value > 400 INTERSECT SELECT user_id, 'both' FROM events WHERE event_type = 'click' AND value > 400) UNION ALL (SELECT user_id, 'only' FROM events WHERE event_type = 'error' AND value > 400 EXCEPT SELECT user_id, 'only' FROM events WHERE event_type = 'click' AND value > 400)")
+@query("k3_intersect_except", "(SELECT user_id, 'both' AS kind FROM events WHERE event_type = 'error' AND value > 90 INTERSECT SELECT user_id, 'both' FROM events WHERE event_type = 'click' AND value > 90) UNION ALL (SELECT user_id, 'only' FROM events WHERE event_type = 'error' AND value > 90 EXCEPT SELECT user_id, 'only' FROM events WHERE event_type = 'click' AND value > 90)")
 def k3(spark: SparkSession, sf: str) -> DataFrame:
-    e = V.table(spark, sf, "events").where("value > 400")
+    e = V.table(spark, sf, "events").where("value > 90")
     a, b = (e.where(F.col("event_type") == t).select("user_id") for t in ("error", "click"))
     return a.intersect(b).withColumn("kind", F.lit("both")).union(a.subtract(b).withColumn("kind", F.lit("only")))
 
