@@ -299,15 +299,42 @@ def test_pages_by_their_lines(wrap):
 
 
 def test_what_the_weights_decide():
-    """The same markup, with the long text now before and now after a list of links: the heavier side is the text."""
-    a, b = "<p>" + "first " * 80 + "</p>", "<p>short note</p>"
+    """The same markup, with the long text now before and now after a list of links: the heavier side is the text; a paragraph on the other side is text as well, a bare line is not."""
+    a, b, bare = "<p>" + "first " * 80 + "</p>", "<p>short note</p>", "<div>short note</div>"
     gap = "<ul>" + "<li><a href=x>link here</a></li>" * 4 + "</ul>"
-    assert html_text.main_text(a + gap + b) == seen(a) and html_text.main_text(b + gap + a) == seen(a)
+    assert html_text.main_text(a + gap + bare) == seen(a) and html_text.main_text(bare + gap + a) == seen(a)
+    assert html_text.main_text(f"{a}<nav>x</nav>{b}") == f"{seen(a)}\nshort note" and html_text.main_text(f"{b}<nav>x</nav>{a}") == f"short note\n{seen(a)}"
     # an article of few words beside a long text in plain elements is a teaser
     assert html_text.main_text(f"<article>{b}</article>{gap}<div>{a * 4}</div>") == "\n".join([seen(a)] * 4)
     assert html_text.main_text(f"<article>{a}</article>{gap}<div>{a}</div>") == seen(a)
 
 
+def test_linked_lines_at_the_edges():
+    text = "<p>" + "some words of the text " * 10 + "</p>"
+    for wrap in ("div", "article", "main"):
+        page = f"<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul><{wrap}><h1><a href=/t>A linked title</a></h1>{text}<p><a href=/s>The source</a></p></{wrap}><div><a href=/x>Next</a></div>"
+        assert html_text.main_text(page) == f"A linked title\n{seen(text)}\nThe source", wrap
+
+
+@pytest.mark.parametrize("told, least, most", [(("article", "main"), 1.0, 0.0), (("article", "main", "nav", "footer", "header", "aside"), 1.0, 0.1)])
+def test_given_pages_without_their_tags(told, least, most):
+    """Pages whose elements of these names are plain ones: the share of the text that is still kept, and of what is kept beside it. In the second case no class or id is left either."""
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    kept = whole = beside = 0
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist():
+        bare = re.sub(rf"<(/?)({'|'.join(told)})\b", r"<\1div", page or "")
+        if len(told) > 2:
+            bare = re.sub(r"""\s(class|id|role)=("[^"]*"|[^\s>]+)""", "", bare)
+        a, b = (Counter(html_text.main_text(x).split("\n")) for x in (page or "", bare))
+        kept += sum(len(t) * n for t, n in (a & b).items())
+        whole += sum(len(t) * n for t, n in a.items())
+        beside += sum(len(t) * n for t, n in (b - a).items())
+    assert kept >= least * whole > 0 and beside <= most * whole
+
+
 def test_names_are_whole():
     text = "<p>One two three four five six seven eight nine.</p>"
     for name in ("share-price", "related-work", "navy-blue", "text-header-size", "body social-science", "market-share", "admin", "section-header", "no-sidebar", "eviction-notice"):

@@ -2,11 +2,12 @@
 
 Markup is stripped so that each block of the page is a line; what is named an advert, form, comment and the like is stripped
 with it and leaves nothing, while a menu, header or footer leaves a gap. A line weighs as much as its text,
-less twice what is linked. The weights are summed over sliding windows of lines: where the sum surges from nothing the text
-begins, where it dives to nothing it ends. The lines between the heaviest surge and its dive are the main text, all of them.
+less twice what is linked. The weights are summed over sliding windows of lines: where the sum surges from nothing a stretch of text
+begins, where it dives to nothing it ends. The main text runs from the surge of the first stretch that is text to the dive of the last, with the headings and paragraphs that
+adjoin it, linked throughout or not, and all that lies between. A stretch is text if it is the heaviest, or holds a paragraph or heading; where the heaviest holds none, all stretches are.
 
-The edge of an article or main element is a gap as well, so that a surge lies either within one or outside, and text outside
-weighs a tenth where a page has one. Which stretch of lines is taken is always told by the weights.
+The edge of an article or main element is a gap as well, so that a stretch lies either within one or outside, and text outside
+weighs a tenth where a page has one. If the heaviest stretch is within, only what is within is text, and its links weigh as much as other words.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ LAYOUT = {"no", "not", "has", "have", "with", "without", "hide", "show", "and"}
 FURNITURE = {"nav", "header", "footer", "menu", "head"}
 FURNITURE_NAMES = re.compile(r"menu|nav\w*|footer|header|masthead|breadcrumbs?|toolbar|pagination|pager")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold running text, or its title.
+PROSE = HEADINGS | {"p", "blockquote", "pre", "figcaption"}
 #: Elements that end where a sibling begins, unless a new list or table has begun.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 LISTS = {"ul", "ol", "menu", "dl", "table", "select", "article", "main"}
@@ -173,15 +176,15 @@ def _asides(page: str, tags: list[tuple[int, int, str, bool, str]]) -> dict[int,
     return out
 
 
-def lines(page: str, width: int = 3, outside: float = 0.1) -> list[tuple[str, float, bool]]:
-    """(text, weight, within) of each line: the text without markup; its length less twice what is linked, in an article or main element its length; and whether it is in one.
+def lines(page: str, width: int = 3, outside: float = 0.1) -> list[tuple[str, float, bool, bool]]:
+    """(text, weight, within, prose) of each line: the text without markup; its length less twice what is linked, in an article or main element its length; whether it is in one; and whether it is a paragraph or heading.
 
     Text outside counts ``outside`` times in a page that has one. Gaps are ``width`` empty lines. An element that never closes
     runs to the end of the element around it or of the page.
     """
-    out: list[tuple[str, float, bool]] = []
+    out: list[tuple[str, float, bool, bool]] = []
     parts: list[str] = []
-    linked = 0
+    linked, prose = 0, False
     tags = _tags(page)
     asides = _asides(page, tags)
     shown: list[tuple[int, int, str | None, bool]] = []
@@ -197,13 +200,13 @@ def lines(page: str, width: int = 3, outside: float = 0.1) -> list[tuple[str, fl
             shown.append(tags[k][:4])
             k += 1
     scale = outside if any(tag in ("article", "main") and not closing for _, _, tag, closing in shown) else 1.0
-    gap = [("", 0.0, False)] * width
+    gap = [("", 0.0, False, False)] * width
 
     def flush() -> None:
         nonlocal linked
         t = " ".join(html.unescape("".join(parts)).split())
         if t:
-            out.append((t, float(len(t)) if main else scale * max(0, len(t) - 2 * linked), main > 0))
+            out.append((t, float(len(t)) if main else scale * max(0, len(t) - 2 * linked), main > 0, prose))
         parts.clear()
         linked = 0
 
@@ -228,7 +231,7 @@ def lines(page: str, width: int = 3, outside: float = 0.1) -> list[tuple[str, fl
                 links = max(0, links + (-1 if closing else 1))
         elif tag:
             flush()
-            links = 0
+            links, prose = 0, tag in PROSE and not closing
             if tag in ("article", "main"):
                 was, main = main, max(0, main + (-1 if closing else 1))
                 if not was or not main:
@@ -256,20 +259,23 @@ def surges(weights: list[float], width: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def main_text(page: str, width: int = 3, share: float = 0.2) -> str:
-    """All lines from the heaviest surge to its dive, joined by line feeds.
-
-    If it lies in an article or main element, the text of all of those is kept, however short. Otherwise the surges that weigh at least
-    ``share`` of it are kept too: a text in plain elements that long lists of links interrupt. Of equal surges the first counts as the heaviest. A page without text has none.
-    """
+def main_text(page: str, width: int = 3) -> str:
+    """The text from the first to the last stretch of text, joined by line feeds. Of equally heavy stretches the first counts as the heaviest. A page without text has none."""
     all_lines = lines(page, width)
-    found = surges([w for _, w, _ in all_lines], width)
+    found = surges([w for _, w, _, _ in all_lines], width)
     if not found:
         return ""
     top = max(found, key=lambda s: s[2])
-    if all_lines[top[0]][2]:
-        return "\n".join(t for t, _, within in all_lines if within)
-    return "\n".join(t for a, b, w in found if w >= share * top[2] for t, _, _ in all_lines[a : b + 1] if t)
+    within = all_lines[top[0]][2]
+    held = [any(prose and w > 0 for _, w, _, prose in all_lines[a : b + 1]) for a, b, _ in found]
+    plain = within or not held[found.index(top)]
+    text = [s for s, h in zip(found, held, strict=True) if all_lines[s[0]][2] == within and (plain or h or s == top)]
+    first, last = text[0][0], text[-1][1]
+    while first > 0 and all_lines[first - 1][3] and all_lines[first - 1][2] == within:
+        first -= 1
+    while last + 1 < len(all_lines) and all_lines[last + 1][3] and all_lines[last + 1][2] == within:
+        last += 1
+    return "\n".join(t for t, _, w, _ in all_lines[first : last + 1] if t and w == within)
 
 
 def extract(pages: DataFrame, keep: list[str], source: str = "html") -> DataFrame:
