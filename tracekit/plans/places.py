@@ -165,7 +165,11 @@ def t17(spark: SparkSession, sf: str) -> DataFrame:
 _TAIL = """t_tails AS (SELECT key, 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 400.0, 2) / df, -(df + 1) / 2.0)) * abs(t) / 1200 AS p FROM t_in, unnest(range(401)) AS u(i) GROUP BY key, t, df)"""
 
 
-@query("h2_t_test_p", f"WITH s AS ({'WITH ' + _TT[1:]}), t_in AS (SELECT user_id AS key, t, CAST(df AS DOUBLE) AS df FROM s), {_TAIL} SELECT user_id, t, df, round(p, 5) AS p FROM s JOIN t_tails ON key = user_id")
+#: t not rounded, as p is taken from it.
+_EXACT_T = "WITH " + _TT[1:].replace("round((ma - mb)", "((ma - mb)").replace(", 6) AS t", ") AS t")
+
+
+@query("h2_t_test_p", f"WITH s AS ({_EXACT_T}), t_in AS (SELECT user_id AS key, t, CAST(df AS DOUBLE) AS df FROM s), {_TAIL} SELECT user_id, round(s.t, 6) AS t, s.df AS df, round(p, 5) AS p FROM s JOIN t_tails ON key = user_id")
 def h2(spark: SparkSession, sf: str) -> DataFrame:
     out = X.t_test(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "click", "view")
     return out.select("user_id", r("t"), "df", F.round("p", 5).alias("p"))
@@ -179,10 +183,10 @@ def h3(spark: SparkSession, sf: str) -> DataFrame:
     return X.paired_t(pairs, ["grp"], "a", "b").select("grp", F.round("t", 5).alias("t"), F.round("p", 5).alias("p"))
 
 
-@query("h4_pair_tests", f"WITH s AS ({'WITH ' + _TT[1:]}), t_in AS (SELECT user_id AS key, t, CAST(df AS DOUBLE) AS df FROM s), {_TAIL}, d AS (SELECT user_id, " + ", ".join(f"round({f}(value) FILTER (event_type = '{t}'), 6) AS {n}_{t}" for t in ("click", "view") for f, n in (("avg", "mean"), ("median", "median"), ("stddev_pop", "sd"))) + ", avg(value) FILTER (event_type = 'click') > avg(value) FILTER (event_type = 'view') AS higher FROM events GROUP BY 1) SELECT d.*, s.t AS stat, round(p, 5) AS p, p < 0.05 AS significant FROM d JOIN s USING (user_id) JOIN t_tails ON key = user_id")
+@query("h4_pair_tests", f"WITH s AS ({_EXACT_T}), t_in AS (SELECT user_id AS key, t, CAST(df AS DOUBLE) AS df FROM s), {_TAIL}, d AS (SELECT user_id, " + ", ".join(f"round({f}(value) FILTER (event_type = '{t}'), 6) AS {n}_{t}" for t in ("click", "view") for f, n in (("avg", "mean"), ("median", "median"), ("stddev_pop", "sd"))) + ", avg(value) FILTER (event_type = 'click') > avg(value) FILTER (event_type = 'view') AS higher FROM events GROUP BY 1) SELECT d.*, round(s.t, 6) AS stat, round(p, 5) AS p, p < 0.05 AS significant FROM d JOIN s USING (user_id) JOIN t_tails ON key = user_id")
 def h4(spark: SparkSession, sf: str) -> DataFrame:
-    out = rounded(X.pair_tests(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "click", "view"))
-    return out.withColumn("p", F.round("p", 5))
+    out = X.pair_tests(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "click", "view")
+    return out.select(*[F.round(c, 5 if c == "p" else 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 _MW = """WITH e AS (SELECT user_id, event_type, value FROM events WHERE event_type IN ('click', 'view')),
