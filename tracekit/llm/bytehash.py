@@ -61,12 +61,12 @@ def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Slices of a batch of about ``most`` bytes of text at most (a longer text stands alone): rows, bytes, offsets. Null counts as empty."""
+def blocks(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21, rows: int = (1 << 16) - 1) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of a batch of about ``most`` bytes of text (a longer text stands alone) and ``rows`` rows at most: rows, bytes, offsets. Null counts as empty."""
     data, offsets = whole(batch.column(batch.schema.get_field_index(column)))
     lo = 0
     while lo < offsets.size - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1))
         yield slice(lo, hi), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

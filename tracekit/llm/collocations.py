@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import in_filter, key_filter, stored
+from tracekit.llm.shared import frugal, in_filter, key_filter, stored
 
 U = np.uint64
 #: Shards; bytes of text counted at once; bits of a filter over phrases; parts that rows of one frequent word are dealt to.
@@ -87,7 +87,7 @@ def word_counts(source: DataFrame, least: int) -> DataFrame:
                 yield _shard_rows(lang, -1, *_counted(_first(w, lang)))
                 yield _shard_rows(lang, shard, None, np.array([w.size]))
 
-    out = source.mapInArrow(count, "lang string, key long, shard int, n long").groupBy("lang", "key", "shard").agg(F.sum("n").alias("n"))
+    out = source.mapInArrow(frugal(count), "lang string, key long, shard int, n long").groupBy("lang", "key", "shard").agg(F.sum("n").alias("n"))
     return out.where(F.col("key").isNull() | (F.col("n") >= least))
 
 
@@ -119,7 +119,7 @@ def possible(source: DataFrame, sizes: DataFrame, least: int, words: np.ndarray,
     total = sizes.groupBy("lang").agg(F.sum("n").alias("total"))
     support = sizes.join(total, "lang").select("lang", "shard", F.greatest(F.ceil(F.col("n") * least / F.col("total")), F.lit(1)).alias("support"))
     silent = support.groupBy("lang").agg(F.sum(F.col("support") - 1).alias("silent"))
-    counts = source.mapInArrow(mine, "lang string, key long, shard int, n long").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(frugal(mine), "lang string, key long, shard int, n long").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
     # a row a language and shard, and a row a language
     reported = counts.join(F.broadcast(support), ["lang", "shard"]).where(F.col("n") >= F.col("support"))
     bound = reported.groupBy("lang", "key").agg(F.sum(F.col("n") - F.col("support") + 1).alias("u"))
@@ -152,7 +152,7 @@ def counted(source: DataFrame, wanted: np.ndarray, least: int, longest: int) ->
                     yield _rows(lang, found, **columns)
 
     shape = "lang string, key long, n long, k int, " + ", ".join(f"{p} long" for p in parts)
-    return source.mapInArrow(count, shape).groupBy("lang", "key").agg(F.sum("n").alias("n"), F.max("k").alias("k"), *[F.max(p).alias(p) for p in parts]).where(F.col("n") >= least)
+    return source.mapInArrow(frugal(count), shape).groupBy("lang", "key").agg(F.sum("n").alias("n"), F.max("k").alias("k"), *[F.max(p).alias(p) for p in parts]).where(F.col("n") >= least)
 
 
 def texts_of(source: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
@@ -172,7 +172,7 @@ def texts_of(source: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
                     said = [b" ".join(data[begins[i + j] : stops[i + j]].tobytes() for j in range(k)).lower() for i in at[one].tolist()]
                     yield _rows(lang, found, phrase=np.array([s.decode() for s in said], dtype=object))
 
-    return source.mapInArrow(look, "lang string, key long, phrase string").join(wanted, ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("phrase").alias("phrase"))
+    return source.mapInArrow(frugal(look), "lang string, key long, phrase string").join(wanted, ["lang", "key"], "left_semi").groupBy("lang", "key").agg(F.min("phrase").alias("phrase"))
 
 
 def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame, longest: int) -> DataFrame:

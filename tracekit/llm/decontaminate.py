@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import in_filter, key_filter, stored, with_row_id
+from tracekit.llm.shared import frugal, in_filter, key_filter, stored, with_row_id
 
 U = np.uint64
 #: Windows that one block of queries holds, which is what is broadcast at once; bits of the filters over terms; matches of lead terms that are looked at together.
@@ -60,7 +60,7 @@ def windows_of(tests: DataFrame, width: int) -> DataFrame:
                         found.append(w[s : s + width])
                 yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["item", "terms"])
 
-    return tests.mapInArrow(cut, "item string, terms array<long>").distinct()
+    return tests.mapInArrow(frugal(cut), "item string, terms array<long>").distinct()
 
 
 def term_counts(source: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -75,7 +75,7 @@ def term_counts(source: DataFrame, wanted: np.ndarray) -> DataFrame:
                 on = in_filter(shared.value, term)
                 yield pa.RecordBatch.from_arrays([pa.array(term[on]), pa.array(n[on].astype(np.int64))], ["term", "n"])
 
-    return source.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return source.select("text").mapInArrow(frugal(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def by_rarity(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def positional_index(source: DataFrame, wanted: np.ndarray, leads: np.ndarray) -
                 terms = pa.array(np.concatenate([[0], term[head]]).astype(np.int64), mask=np.arange(head.size + 1) == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(head.size + 1, own[0])), terms, id_lists, count_lists, place_lists], ["shard", "term", "ids", "counts", "places"])
 
-    return source.mapInArrow(build, INDEX)
+    return source.mapInArrow(frugal(build), INDEX)
 
 
 def _block(rows: pa.Table) -> Windows:
@@ -216,7 +216,7 @@ def search(index: DataFrame, windows: Windows, slack: int = 0) -> DataFrame:
         if held:
             yield told(pa.Table.from_batches(held))
 
-    return index.where("term is not null").repartition("shard").sortWithinPartitions("shard", "term").mapInArrow(find, FOUND)
+    return index.where("term is not null").repartition("shard").sortWithinPartitions("shard", "term").mapInArrow(frugal(find), FOUND)
 
 
 def _covered(spans: str) -> F.Column:

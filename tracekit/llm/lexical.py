@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import numbered, shared_folder, stored
+from tracekit.llm.shared import frugal, numbered, shared_folder, stored
 
 #: Bytes of text that make one segment; postings of the items' terms that are looked at together; pairs of items and documents scored at once; terms of the items of one block.
 SEGMENT, TOGETHER, STEP, TERMS = 1 << 23, 1 << 21, 1 << 21, 1 << 19
@@ -69,7 +69,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
             n = [np.diff(bh.words(data, offsets, bh.ALNUM)[2]) for _, data, offsets in bh.blocks(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([int(sum((x > 0).sum() for x in n))]), pa.array([int(sum(x.sum() for x in n))])], ["documents", "terms"])
 
-    total = source.select("text").mapInArrow(size, "documents long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "terms")]).first()
+    total = source.select("text").mapInArrow(frugal(size), "documents long, terms long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "terms")]).first()
     of, terms = total.documents, max(1, total.terms)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
                     ["m", "ids", "terms", "groups", "tfs", "sizes", "docs"],
                 )
 
-    return Index(stored(source.mapInArrow(build, INDEX), "strata"), total.documents, total.terms)
+    return Index(stored(source.mapInArrow(frugal(build), INDEX), "strata"), total.documents, total.terms)
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _item_terms(items: DataFrame) -> DataFrame:
                 if told:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[at]), _lists(np.concatenate([t for t, _ in told]), sizes), _lists(np.concatenate([c for _, c in told]).astype(np.int64), sizes)], ["row", "terms", "times"])
 
-    return items.mapInArrow(cut, "row long, terms array<long>, times array<long>").where(F.size("terms") > 0)
+    return items.mapInArrow(frugal(cut), "row long, terms array<long>, times array<long>").where(F.size("terms") > 0)
 
 
 def _block(table: pa.Table) -> Block:
@@ -166,7 +166,7 @@ def _document_counts(strata: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["rank", "df"])
 
-    told = strata.select("terms", "groups", "sizes").mapInArrow(count, "rank long, df long").groupBy("rank").agg(F.sum("df").alias("df")).toArrow()  # a row a term of the block
+    told = strata.select("terms", "groups", "sizes").mapInArrow(frugal(count), "rank long, df long").groupBy("rank").agg(F.sum("df").alias("df")).toArrow()  # a row a term of the block
     out = np.zeros(vocabulary.size, dtype=np.int64)
     out[told.column("rank").to_numpy()] = told.column("df").to_numpy()
     return out
@@ -301,7 +301,7 @@ def _search_block(found: Index, block: Block, keep: int) -> DataFrame:
         if held:
             yield told()
 
-    return found.strata.mapInArrow(look, "row long, doc long, score long")
+    return found.strata.mapInArrow(frugal(look), "row long, doc long, score long")
 
 
 def _joined(parts: list[_Stratum]) -> _Stratum:

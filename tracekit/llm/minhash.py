@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import components, in_filter, key_filter, stored, with_row_id
+from tracekit.llm.shared import components, frugal, in_filter, key_filter, stored, with_row_id
 
 U = np.uint64
 #: Table keys that one task makes, so that counting them stays within its memory.
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, row: str, text: str = "text", width: int = 2, si
                 low.append((best >> U(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.list_(pa.int32()))], ["id", "n_shingles", "digest", "minhashes"])
 
-    return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(sign, "id long, n_shingles long, digest binary, minhashes array<int>")
+    return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(frugal(sign), "id long, n_shingles long, digest binary, minhashes array<int>")
 
 
 def table_keys(signed: DataFrame, side: int = 13, half: int = 3) -> DataFrame:
@@ -102,7 +102,7 @@ def confirmed(likely: DataFrame, docs: DataFrame, row: str, text: str, width: in
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _full(batches, wanted.value, width)
 
-    sets = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(full, "id long, s array<long>")
+    sets = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(frugal(full), "id long, s array<long>")
     both = likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).cast("long").alias("n")).where(f"100 * c >= {percent} * (n - c)").select("a", "b")
@@ -139,7 +139,7 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
         for part in _full(batches, wanted.value, width):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.values.to_numpy().tobytes() for s in part.column(1)], pa.binary())], ["id", "s"])
 
-    dealt = source.mapInArrow(full, "id long, s binary").join(_blocks_of(placed, percent, block), "id")
+    dealt = source.mapInArrow(frugal(full), "id long, s binary").join(_blocks_of(placed, percent, block), "id")
     dealt = dealt.select("cluster", "band", "i", "j", "side", "id", "component", "s").repartition("cluster", "band", "i", "j").sortWithinPartitions("cluster", "band", "i", "j", "side")
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def links_across(placed: DataFrame, docs: DataFrame, row: str, text: str, width:
                         b.append(max(ids[x], who[k]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(frugal(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, side: int = 13, half: int = 3, least: float = 0.6) -> DataFrame:

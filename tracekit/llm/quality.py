@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import stored
+from tracekit.llm.shared import frugal, stored
 
 UPPER = np.zeros(256, dtype=bool)
 UPPER[0x41:0x5B] = True
@@ -57,7 +57,7 @@ def _features(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([lists, *rest], ["features", *batch.schema.names[1:]])
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(make, f"features array<double>, {shape}")
+    return rows.mapInArrow(frugal(make), f"features array<double>, {shape}")
 
 
 def _known(labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -139,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     spelled = F.to_json(F.struct(F.lit(1).alias("a"), *[F.col(c).cast("string").alias(f"p{k}") for k, c in enumerate(path)]))
     rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(key).alias("k"), F.to_json(F.struct(F.lit(1).alias("a"), F.col(host).cast("string").alias("h"))).alias("host"), spelled.alias("path"))
     kind = docs.schema[key].dataType.simpleString()
-    marked = rows.mapInArrow(own, f"k {kind}, host string, path string, z double").join(_known(labels, key, label), "k", "left")
+    marked = rows.mapInArrow(frugal(own), f"k {kind}, host string, path string, z double").join(_known(labels, key, label), "k", "left")
     marked = stored(marked, "scored")
     counts = stored(marked.where("y is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "counts")
     out = rates(counts, marked)

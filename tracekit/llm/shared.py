@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which gives the memory that it no longer holds back to the system at the end of its task: workers wait for their next task with what their allocators keep."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+        if trim:
+            trim(0)
+
+    return task
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -110,7 +124,7 @@ def key_filter(keys: DataFrame, column: str, most: int = 1 << 30, plain: bool =
 
     dealt = slot.select(F.expr(f"s div {size}").alias("page"), "s").repartition("page").sortWithinPartitions("page")
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for page, made in dealt.mapInArrow(make, "page long, bits binary").collect():
+    for page, made in dealt.mapInArrow(frugal(make), "page long, bits binary").collect():
         out[page * size // 8 : (page + 1) * size // 8] = np.frombuffer(made, dtype=np.uint8)
     return out.view(np.int64)
 

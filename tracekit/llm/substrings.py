@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracekit.llm import bytehash as bh
-from tracekit.llm.shared import in_filter, key_filter, stored, with_row_id
+from tracekit.llm.shared import frugal, in_filter, key_filter, stored, with_row_id
 
 U = np.uint64
 ANCHOR = 16
@@ -353,9 +353,9 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
     """
     source = docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"))
     shape = {s: ", ".join(f"{f.name} {n}" for f, n in zip(s, names, strict=True)) for s, names in ((RUN, "boolean long long long int int".split()), (TOLD, "long long int int boolean long int".split()), (PIECE, "boolean boolean long long int int long int binary".split()))}
-    found = source.mapInArrow(lambda b: _all_runs(b, length), shape[RUN])
+    found = source.mapInArrow(frugal(lambda b: _all_runs(b, length)), shape[RUN])
     dealt = found.repartition("key").sortWithinPartitions("again", "key", "ctx", "id", "lo")
-    told = stored(dealt.mapInArrow(_told_apart, shape[TOLD]), "runs")
+    told = stored(dealt.mapInArrow(frugal(_told_apart), shape[TOLD]), "runs")
     plain = told.where("not open and fid is null").select("id", "lo", "hi")
     # a filter of keys is enough: those that are on it by chance are resolved by single strings as well
     many = told.where("open").groupBy("key").agg(F.count("*").alias("n")).where(f"n > {HOT}")
@@ -370,10 +370,10 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
             for batch in batches:
                 yield batch.filter(pa.array(in_filter(bits.value, batch.column(2).to_numpy()))).select([0, 1])
 
-        return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(pick, "id long, text binary")
+        return docs.select(F.col(row).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(row)).alias("h")).mapInArrow(frugal(pick), "id long, text binary")
 
     piece = among(told.where("open or fid is not null"), "id").join(by_doc, "id").select("id", "text", "runs")
-    piece = stored(piece.mapInArrow(lambda b: _pieces(b, length, hot.value), shape[PIECE]), "pieces")
+    piece = stored(piece.mapInArrow(frugal(lambda b: _pieces(b, length, hot.value)), shape[PIECE]), "pieces")
 
     claims = piece.where("not open")
     firsts = among(claims, "fid").select(F.col("id").alias("fid"), "text")
@@ -410,7 +410,7 @@ def repeated_spans(docs: DataFrame, row: str, text: str = "text", length: int =
     mixed_runs = piece.where("open and not hot").select("key", "id", "lo", "hi", "piece")
     tasks = max(1, -(-(mixed_runs.agg(F.sum(F.length("piece"))).first()[0] or 0) // TASK))
     dealt = mixed_runs.repartition(min(tasks, 200_000), "key").sortWithinPartitions("key")
-    mixed = dealt.mapInArrow(expand, "id long, lo int, hi int")
+    mixed = dealt.mapInArrow(frugal(expand), "id long, lo int, hi int")
     single = piece.where("open and hot").select("id", F.explode(F.sequence("lo", "hi")).alias("at"), "lo", "piece")
     single = single.select("id", "at", F.substring("piece", F.col("at") - F.col("lo") + 1, length).alias("s")).select("id", "at", F.unhex(F.md5("s")).alias("s"))
     first = single.groupBy("s").agg(F.min(F.struct("id", "at")).alias("first"))
@@ -440,12 +440,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             yield batch.filter(pa.array(on if inside else ~on))
 
     shape = f"id long, h long, text binary{kinds}"
-    touched = source.mapInArrow(lambda b: parted(b, True), shape).join(by_doc, "id", "left")
+    touched = source.mapInArrow(frugal(lambda b: parted(b, True)), shape).join(by_doc, "id", "left")
     none = F.lit(0).cast("long")
-    whole = source.mapInArrow(lambda b: parted(b, False), shape).select("k", "text", F.length("text").cast("long"), none, none, *more)
+    whole = source.mapInArrow(frugal(lambda b: parted(b, False)), shape).select("k", "text", F.length("text").cast("long"), none, none, *more)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at.start, at.stop - at.start) for b in batches for at, _, _ in bh.blocks(b, most=PART)):
             kept, n, gone, spans = [], [], [], []
             for t, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.frombuffer(t, dtype=np.uint8)
@@ -461,6 +461,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 spans.append(int((out[1:] & ~out[:-1]).sum()) + int(out[:1].sum()))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), *(batch.column(k) for k in range(2, batch.num_columns))], ["kept", "n", "gone", "spans", "k", *more])
 
-    out = touched.select("text", "spans", "k", *more).mapInArrow(cut, f"kept binary, n long, gone long, spans long{kinds}")
+    out = touched.select("text", "spans", "k", *more).mapInArrow(frugal(cut), f"kept binary, n long, gone long, spans long{kinds}")
     return out.select("k", "kept", "n", "gone", "spans", *more).union(whole).toDF(*names)
 

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracekit.llm.shared import stored
+from tracekit.llm.shared import frugal, stored
 
 #: Letters of other scripts that look like Latin ones.
 ALIKE = {
@@ -142,7 +142,7 @@ def _counts(rows: DataFrame, told: str, shared) -> DataFrame:
             both = sorted(toxic.keys() | clean.keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([toxic[f] for f in both], pa.int64()), pa.array([clean[f] for f in both], pa.int64())], ["form", "toxic", "clean"])
 
-    return rows.mapInArrow(count, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(frugal(count), "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def lexicon_of(rows: DataFrame, least: int, size: int, sure: float) -> dict[str, float]:
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, carry: list[str], text: str = "tex
 
     rows = docs.select(F.col(text).cast("string").alias("text"), *[F.col(c).alias(i) for i, c in zip(inner, carry, strict=True)])
     shape = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for i, c in zip(inner, carry, strict=True))
-    out = rows.mapInArrow(tell, f"{shape}score double, features array<double>, matches array<struct<start: long, stop: long, weight: double>>")
+    out = rows.mapInArrow(frugal(tell), f"{shape}score double, features array<double>, matches array<struct<start: long, stop: long, weight: double>>")
     return out.toDF(*carry, "score", "features", "matches").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
