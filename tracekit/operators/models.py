@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.functions.scalars import hashed
+from tracekit.operators import kernels
 
 # --- similarity
 
@@ -81,12 +82,6 @@ def distances(pairs: DataFrame, items: DataFrame, name: str) -> DataFrame:
     return d.union(d.select("b", "a", "distance")).union(items.select(F.col(name).alias("a"), F.col(name).alias("b"), F.lit(0.0)))
 
 
-def spectral_clusters(pairs: DataFrame, n: int, rounds: int = 20) -> DataFrame:
-    """(id, cluster) by power iteration on the similarity graph of pairs (a, b, similarity); pairs without similarity are left out."""
-    graph = pairs.where("similarity > 0").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("similarity").alias("weight"))
-    return PowerIterationClustering(k=n, maxIter=rounds, srcCol="src", dstCol="dst", weightCol="weight").assignClusters(graph).select("id", "cluster")
-
-
 def kmeans(vectors: DataFrame, name: str, vector: str, n: int, seed: int = 42) -> DataFrame:
     rows = vectors.select(name, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
     return KMeans(k=n, seed=seed).fit(rows).transform(rows).select(name, F.col("prediction").alias("cluster"))
@@ -204,38 +199,6 @@ def temporal_features(traces: DataFrame, peaks: DataFrame, k: list[str], o: str,
     return out.withColumn("peaks", F.coalesce("peaks", F.lit(0))).withColumn("frequency", F.col("peaks") / (F.col("n") / rate)).drop("_hi", "_lo")
 
 
-def spectral_features(traces: DataFrame, k: list[str], o: str, v: str, fs: float, split: float, length: int = 256) -> DataFrame:
-    """(k, dominant, snr): the frequency over 0 with the largest amplitude of the whole series, the mean removed, and the power below ``split`` over that above, in decibels, from half overlapping Hann windows of ``length`` samples (the whole series if shorter).
-
-    Each sample meets the frequencies of its series and windows in sums of cosines and sines, all as aggregates.
-    """
-    w = Window.partitionBy(*k)
-    s = traces.select(*k, (F.row_number().over(w.orderBy(o)) - 1).alias("_i"), F.col(v).cast("double").alias("_v"), F.count("*").over(w).cast("long").alias("_n"), F.avg(v).over(w).alias("_m"))
-    turn = lambda f, n, i: F.lit(2 * np.pi) * F.pmod(f * i, n) / n
-    whole = s.withColumn("_f", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.floor(F.col("_n") / 2), F.lit(1)))))
-    a = turn(F.col("_f"), F.col("_n"), F.col("_i"))
-    amp = whole.groupBy(*k, "_n", "_f").agg((F.pow(F.sum((F.col("_v") - F.col("_m")) * F.cos(a)), 2) + F.pow(F.sum((F.col("_v") - F.col("_m")) * F.sin(a)), 2)).alias("_p"))
-    dominant = amp.groupBy(*k).agg(F.max_by(F.col("_f") * fs / F.col("_n"), F.struct(F.round("_p", 6), -F.col("_f"))).alias("dominant"))
-    size = F.least(F.col("_n"), F.lit(length).cast("long"))
-    step = F.greatest(F.floor(size / 2), F.lit(1))
-    s = s.withColumn("_l", size).withColumn("_h", step)
-    last = F.floor((F.col("_n") - F.col("_l")) / F.col("_h"))
-    lo = F.greatest(F.lit(0), F.ceil((F.col("_i") - F.col("_l") + 1) / F.col("_h")))
-    hi = F.least(last, F.floor(F.col("_i") / F.col("_h")))
-    seg = s.where(lo <= hi).withColumn("_s", F.explode(F.sequence(lo, hi))).withColumn("_j", F.col("_i") - F.col("_s") * F.col("_h"))
-    by = Window.partitionBy(*k, "_s")
-    seg = seg.withColumn("_x", (F.col("_v") - F.avg("_v").over(by)) * (0.5 - 0.5 * F.cos(F.lit(2 * np.pi) * F.col("_j") / F.col("_l"))))
-    each = seg.withColumn("_f", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_l") / 2))))
-    b = turn(F.col("_f"), F.col("_l"), F.col("_j"))
-    power = each.groupBy(*k, "_s", "_l", "_f").agg((F.pow(F.sum(F.col("_x") * F.cos(b)), 2) + F.pow(F.sum(F.col("_x") * F.sin(b)), 2)).alias("_p"))
-    once = F.when((F.col("_f") == 0) | (F.col("_f") * 2 == F.col("_l")), 1.0).otherwise(2.0)
-    mean = power.groupBy(*k, "_l", "_f").agg((F.avg("_p") * F.first(once)).alias("_p"))
-    freq = F.col("_f") * fs / F.col("_l")
-    low, high = F.sum(F.when(freq <= split, F.col("_p"))), F.sum(F.when(freq > split, F.col("_p")))
-    snr = mean.groupBy(*k).agg(F.when((low > 0) & (high > 0), 10 * F.log10(low / high)).alias("snr"))
-    return dominant.join(snr, k)
-
-
 def feature_vectors(tables: list[DataFrame], order: list[str], label: str) -> DataFrame:
     """The rows of all sessions with ``features``, an array of the columns in a fixed order, NaN and null as 0, and the label as a whole number."""
     from tracekit.functions.scalars import finite
@@ -286,7 +249,9 @@ def nearest(train: DataFrame, test: DataFrame, name: str, label: str, vector: st
 
 
 def predictions(train: DataFrame, test: DataFrame, name: str, label: str, vector: str, model: str = "bayes", **options: float) -> DataFrame:
-    """test with ``predicted`` by a model trained on ``train``: ``svc`` (linear, one against the rest), ``trees`` (boosted, one against the rest), ``bayes`` (Gaussian) or ``nearest``. Labels are whole numbers from 0."""
+    """test with ``predicted`` by a model trained on ``train``: ``kernel`` (radial) or ``linear`` (least squares, one against the rest), ``svc`` (linear, one against the rest), ``trees`` (boosted, one against the rest), ``bayes`` (Gaussian) or ``nearest``. Labels are whole numbers from 0."""
+    if model in ("kernel", "linear"):
+        return kernels.predictions(train, test, label, vector, options.get("C", 1.0), model == "kernel")
     if model == "nearest":
         return nearest(train, test, name, label, vector, int(options.get("neighbours", 5)))
     makers = {
@@ -303,13 +268,18 @@ def predictions(train: DataFrame, test: DataFrame, name: str, label: str, vector
 def cross_validated(df: DataFrame, name: str, label: str, vector: str, n: int = 10, model: str = "bayes", **options: float) -> DataFrame:
     """(fold, n, accuracy, error) for each of n stratified folds: the share of right labels, and the median size of the label's error, of a model trained on the others."""
     dealt = folds(df.select(name, label, vector), name, label, n)
+    if model in ("kernel", "linear"):  # all folds at once
+        return kernels.grid(dealt, label, vector, [options.get("C", 1.0)], model == "kernel").drop("C")
     told = [predictions(dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f), name, label, vector, model, **options) for f in range(n)]
     rows = reduce(lambda a, b: a.unionByName(b), told)
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"), F.median(F.abs(F.col("predicted") - F.col(label))).alias("error"))
 
 
-def grid_search(df: DataFrame, name: str, label: str, vector: str, values: list[float], n: int = 3, model: str = "svc", option: str = "C") -> DataFrame:
-    """(option, best) for each value of a model's option: the best accuracy of its folds; sorted so that the first row is the best, the larger value on ties."""
+def grid_search(df: DataFrame, name: str, label: str, vector: str, values: list[float], n: int = 3, model: str = "kernel", option: str = "C") -> DataFrame:
+    """(option, best) for each value of a model's option: the best accuracy of its folds; sorted so that the first row is the best, the larger value on ties. The least-squares machines share their features and sums among all C."""
+    if model in ("kernel", "linear") and option == "C":
+        told = kernels.grid(folds(df.select(name, label, vector), name, label, n), label, vector, values, model == "kernel")
+        return told.groupBy("C").agg(F.max("accuracy").alias("best")).orderBy(F.desc("best"), F.desc("C"))
     rows = [(float(c), float(cross_validated(df, name, label, vector, n, model, **{option: c}).agg(F.max("accuracy")).first()[0])) for c in values]
     return df.sparkSession.createDataFrame(rows, f"`{option}` double, best double").orderBy(F.desc("best"), F.desc(option))
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tracekit.operators import ranges
+
 
 def _by(k: list[str], o: str) -> WindowSpec:
     return Window.partitionBy(*k).orderBy(o)
@@ -63,21 +65,12 @@ def minima_candidates(df: DataFrame, k: list[str], o: str, v: str, below: float
 
 def sliding_zscore(df: DataFrame, k: list[str], o: str, v: str, half: int, out: str = "z") -> DataFrame:
     """(v - 20th percentile) / deviation over [i - half, i + half); a zero deviation is taken as the mean of the others."""
-    w = _by(k, o).rowsBetween(-half, half - 1)
-    both = df.withColumn("_q", F.percentile(F.col(v), F.lit(0.2)).over(w)).withColumn("_s", F.stddev_pop(v).over(w))
-    usual = F.avg(F.when(F.col("_s") > 0, F.col("_s"))).over(Window.partitionBy(*k))
-    return both.withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")).otherwise(usual)).withColumn(out, F.try_divide(F.col(v) - F.col("_q"), F.col("_s"))).drop("_q", "_s")
+    return ranges.sliding_zscore(df, k, o, v, half, out)
 
 
 def rolling_baseline(df: DataFrame, k: list[str], o: str, v: str, width: int, q: float, out: str = "baseline") -> DataFrame:
-    """The quantile over [i - width/2, i + width/2), beyond the ends copies of the first and last sample (o counts from 0)."""
-    half = width // 2
-    ends = df.groupBy(*k).agg(F.min(F.struct(o, v)).alias("_a"), F.max(F.struct(o, v)).alias("_b"))
-    reach = F.sequence(F.lit(1), F.lit(half))
-    halo = ends.select(*k, F.explode(reach).alias("_j"), "_a", "_b").select(*k, F.explode(F.array(F.struct((F.col(f"_a.{o}") - F.col("_j")).alias("o"), F.col(f"_a.{v}").alias("v")), F.struct((F.col(f"_b.{o}") + F.col("_j")).alias("o"), F.col(f"_b.{v}").alias("v")))).alias("h"))
-    halo = halo.select(*k, F.col("h.o").alias(o), F.col("h.v").alias(v), F.lit(True).alias("_halo"))
-    both = df.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    return both.withColumn(out, F.percentile(F.col(v), F.lit(q)).over(_by(k, o).rowsBetween(-half, half - 1))).where("not _halo").drop("_halo")
+    """The quantile over [i - width/2, i + width/2), beyond the ends copies of the first and last sample."""
+    return ranges.rolling_baseline(df, k, o, v, width, q, out)
 
 
 def baselined(df: DataFrame, k: list[str], o: str, v: str, width: int = 500, q: float = 0.05, log: bool = False, from_zero: bool = False, out: str = "relative") -> DataFrame:

@@ -11,7 +11,7 @@ from tracekit.functions import scalars as S
 from tracekit.operators import alignment as A
 from tracekit.operators import groups as G
 from tracekit.operators import models as M
-from tracekit.operators import resampling
+from tracekit.operators import ranges, resampling
 from tracekit.operators import segments as E
 from tracekit.operators import tuning as T
 from tracekit.operators import windows as W
@@ -287,6 +287,35 @@ def _asof_sql(how: str) -> str:
     return "WITH " + _TWO[1:] + f", m AS (SELECT event_id, b.t AS t_found, value, row_number() OVER (PARTITION BY event_id ORDER BY {order}) AS k FROM a JOIN b ON a.entity = b.entity AND {cond}) SELECT a.event_id, round(t_found, 6) AS t_found, round(value, 6) AS value FROM a LEFT JOIN m ON a.event_id = m.event_id AND k = 1"
 
 
+def _asof_ranges(how: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        e = V.events(spark, sf).withColumn("t", F.col("us") / 1e6).withColumn("entity", F.col("user_id"))
+        a = e.where("event_type = 'click'").select("entity", "t", "event_id")
+        return ranges.asof(a, e.where("event_type = 'purchase'").select("entity", "t", "value"), ["entity"], "t", "value", how).select("event_id", r("t_found"), r("value"))
+
+    return run
+
+
+for _how, _id in (("nearest", "j3_asof_nearest_ranges"), ("backward", "j4_asof_backward_ranges"), ("forward", "j4_asof_forward_ranges")):
+    query(_id, _asof_sql(_how))(_asof_ranges(_how))
+
+
+@query("w1_running_mean_ranges", SQL["w1_running_mean"])
+def w1_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.running_mean(V.traces(spark, sf), ["entity"], "frame", "value", 5).select("entity", "frame", r("mean"))
+
+
+@query("w12_gauss_smooth_ranges", SQL["w12_gauss_smooth"])
+def w12_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.weighted(V.traces(spark, sf), ["entity"], "frame", "value", S.gaussian_kernel(6), -3).select("entity", "frame", r("smooth"))
+
+
+@query("w23_carry_state_ranges", SQL["w23_carry_state"])
+def w23_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    e = V.table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("state"))
+    return ranges.carried(e, ["user_id"], ["event_id"], ["state"]).select("event_id", "state")
+
+
 for _how, _id in (("nearest", "j3_asof_nearest"), ("backward", "j4_asof_backward"), ("forward", "j4_asof_forward")):
     query(_id, _asof_sql(_how))(_asof(_how))
 
