@@ -22,3 +22,21 @@ def test_gpio(spark, tmp_path):
 def test_flattened(spark):
     df = spark.range(1).select("id", F.struct(F.lit(1).alias("a"), F.struct(F.lit(2).alias("c")).alias("b")).alias("s"))
     assert S.flattened(df).columns == ["id", "s_a", "s_b_c"]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """Files of many splits: every line has its own number, and bad lines keep their text."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    lines = {f: [f'{{"id": {k}}}' if k % 7 else "" if k % 2 else f"broken {f} {k}" for k in range(n)] for f, n in (("a", 300), ("b", 1), ("c", 90))}
+    for f, some in lines.items():
+        (tmp_path / f"{f}.log").write_text("\n".join(some) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = readers.event_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    got = [(r.file[-5], r.line_no, r.line, r.bad) for r in rows]
+    assert {(g[0], g[1]): (g[2], g[3]) for g in got} == {(f, k): (x if x.startswith("broken") else None, x.startswith("broken")) for f, some in lines.items() for k, x in enumerate(some) if x}
+    assert len(got) == sum(bool(x) for some in lines.values() for x in some)

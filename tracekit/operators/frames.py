@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,6 +202,73 @@ def footprint_features(footprints: DataFrame, k: list[str], pixels: int) -> Data
     return g.join(edge, k).select(*k, "area", "extent", "mean", "sd", "high", "cy", "cx", (1 - F.col("_c") / n).alias("sparsity"), (F.col("_c") / n).alias("filled"), "perimeter", ecc.alias("eccentricity"))
 
 
+def regions(points: np.ndarray) -> list[np.ndarray]:
+    """The connected regions (corners count) of pixels (y, x), in the order of their first pixels row by row."""
+    left = set(map(tuple, points.tolist()))
+    out = []
+    for start in sorted(left):
+        if start not in left:
+            continue
+        left.discard(start)
+        found, at = [start], 0
+        while at < len(found):
+            y, x = found[at]
+            at += 1
+            for near in ((y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                if near in left:
+                    left.discard(near)
+                    found.append(near)
+        out.append(np.array(sorted(found)))
+    return out
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, counterclockwise: lower and upper chain over the sorted points."""
+    order = sorted(map(tuple, points.tolist()))
+
+    def chain(some: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for p in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(order) + chain(order[::-1]))
+
+
+def solidity(region: np.ndarray) -> float:
+    """The pixels of a region over those whose middle lies in the hull of the middles of its pixels' sides."""
+    sides = np.concatenate([region + np.array(d) for d in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
+    corners = hull(sides)
+    (y0, x0), (y1, x1) = region.min(axis=0), region.max(axis=0)
+    grid = np.stack(np.meshgrid(np.arange(y0, y1 + 1), np.arange(x0, x1 + 1), indexing="ij"), axis=-1).reshape(-1, 2)
+    inside = np.ones(len(grid), dtype=bool)
+    for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
+        inside &= (b[0] - a[0]) * (grid[:, 1] - a[1]) - (b[1] - a[1]) * (grid[:, 0] - a[0]) >= -1e-9
+    return len(region) / int(inside.sum())
+
+
+def region_features(footprints: DataFrame, k: list[str], pixels: int) -> DataFrame:
+    """(k, regions, area, solidity, extent, cy, cx) of the first connected region of the pixels over the mean and two deviations of the footprint's weights, zeros counted, in a frame of ``pixels`` pixels; the first is that of the first pixel row by row.
+
+    A footprint has no more pixels than a frame, so one is looked at as a whole.
+    """
+    n = F.lit(float(pixels))
+    stats = footprints.groupBy(*k).agg((F.sum("w") / n).alias("_m"), F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")) / n - F.pow(F.sum("w") / n, 2), F.lit(0.0))).alias("_s"))
+    mask = footprints.join(stats, k).where(F.col("w") > F.col("_m") + 2 * F.col("_s")).select(*k, "y", "x")
+    shape = "".join(f"`{c}` {mask.schema[c].dataType.simpleString()}, " for c in k)
+
+    def told(rows: pd.DataFrame) -> pd.DataFrame:
+        found = regions(rows[["y", "x"]].to_numpy())
+        first = found[0]
+        height, width = first.max(axis=0) - first.min(axis=0) + 1
+        values = (len(found), len(first), solidity(first), len(first) / (height * width), *first.mean(axis=0))
+        return pd.DataFrame([(*(rows[c].iloc[0] for c in k), *values)], columns=[*k, "regions", "area", "solidity", "extent", "cy", "cx"])
+
+    return mask.groupBy(*k).applyInPandas(told, f"{shape}regions int, area int, solidity double, extent double, cy double, cx double")
+
+
 def concatenated(stacks: list[DataFrame]) -> DataFrame:
     """The frames of all stacks, one stack after another: each is moved by the frames before it, which one aggregate row a stack tells."""
     out, before = None, None

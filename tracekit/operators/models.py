@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.functions.scalars import hashed
-from tracekit.operators import kernels
+from tracekit.operators import kernels, networks
 
 # --- similarity
 
@@ -312,11 +312,10 @@ def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def train_scorer(df: DataFrame, vector: str, label: str, kind: str = "logistic", hidden: list[int] | None = None, seed: int = 3) -> object:
-    """A model of a 0/1 label: logistic regression with weights that even out the classes, or a network with hidden layers (``network``)."""
-    rows = df.withColumn("features_", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn("label_", F.col(label).cast("double"))
+    """A model of a 0/1 label with weights that even out the classes: logistic regression, or a network with hidden layers (``network``) that stops early."""
     if kind == "network":
-        width = len(rows.select(vector).first()[0])
-        return MultilayerPerceptronClassifier(featuresCol="features_", labelCol="label_", layers=[width, *(hidden or [16, 8, 8, 4]), 2], maxIter=60, seed=seed).fit(rows)
+        return networks.train(df, vector, label, tuple(hidden or (16, 8)), seed=seed)
+    rows = df.withColumn("features_", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).withColumn("label_", F.col(label).cast("double"))
     one = rows.agg(F.avg("label_")).first()[0]
     weight = F.when(F.col("label_") == 1, 0.5 / max(one, 1e-9)).otherwise(0.5 / max(1 - one, 1e-9))
     return LogisticRegression(featuresCol="features_", labelCol="label_", weightCol="weight_", regParam=1e-3, maxIter=50).fit(rows.withColumn("weight_", weight))
@@ -324,6 +323,8 @@ def train_scorer(df: DataFrame, vector: str, label: str, kind: str = "logistic",
 
 def score_new(model: object, df: DataFrame, vector: str, threshold: float = 0.5) -> DataFrame:
     """df with ``score``, the probability of label 1, and ``accepted``."""
+    if isinstance(model, networks.Network):
+        return networks.scored(model, df, vector, threshold)
     rows = model.transform(df.withColumn("features_", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
     return rows.withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score").withColumn("accepted", F.col("score") >= threshold)
 

@@ -109,3 +109,9 @@ q AS (SELECT *, (yy + xx) / 2 AS mid, sqrt(pow((yy - xx) / 2, 2) + pow(xy, 2)) A
 SELECT entity, area, round(extent, 5) AS extent, round(mean, 5) AS mean, round(sd, 5) AS sd, round(high, 5) AS high, round(cy, 5) AS cy, round(cx, 5) AS cx, round(1 - c / 64, 5) AS sparsity, round(c / 64, 5) AS filled, perimeter, round(CASE WHEN mid + half > 0 THEN sqrt(greatest(1 - (mid - half) / (mid + half), 0)) ELSE 0 END, 5) AS eccentricity FROM q JOIN e USING (entity)"""))
 def m17(spark: SparkSession, sf: str) -> DataFrame:
     return _five(P.footprint_features(_prints(spark, sf), ["entity"], 64))
+
+
+@query("m17_first_region")
+def m17b(spark: SparkSession, sf: str) -> DataFrame:
+    """The first region and its solidity; hulls have no SQL, and are tested on drawn shapes."""
+    return _five(P.region_features(_prints(spark, sf), ["entity"], 64))

@@ -196,6 +196,12 @@ def m21(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.best_fold_scorer(_quality(spark, sf), "doc_id", "x", "quality", 2, [0.3, 0.5, 0.65])[1])
 
 
+@query("m21_train_network")
+def m21b(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds of the network, each with its own threshold; the fit has no SQL, its slopes and its early stop are tested."""
+    return rounded(M.best_fold_scorer(_quality(spark, sf), "doc_id", "x", "quality", 2, [0.3, 0.5, 0.65], "network")[1])
+
+
 @query("m22_score_new")
 def m22(spark: SparkSession, sf: str) -> DataFrame:
     q = _quality(spark, sf)

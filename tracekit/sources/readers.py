@@ -25,15 +25,22 @@ def gpio(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): lines of text files in order, numbered from 0 in each file."""
+    """(file, line_no, line): lines of text files in order, numbered from 0 in each file.
+
+    A line's number is its place in its split and the lines of the splits before it in the file, so one large file is read and numbered by many tasks.
+    """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.col("value").alias("line")).withColumn("_i", F.monotonically_increasing_id())
-    return raw.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("_b", "_i")) - 1).alias("line_no"), "line")
+    placed = raw.withColumn("_p", F.col("_i") - F.min("_i").over(Window.partitionBy("file", "_b")))
+    sizes = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"))  # a row a split
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("file", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(starts, ["file", "_b"]).select("file", (F.col("_before") + F.col("_p")).alias("line_no"), "line")
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, record variant, bad): a JSON object a line; lines that are none are kept as bad, blank lines are left out."""
+    """(file, line_no, record variant, bad, line): a JSON object a line; lines that are none are kept as bad, with their text as ``line`` (null for the others), blank lines are left out."""
     v = F.try_parse_json("line")
-    return _numbered_lines(spark, path).where("trim(line) <> ''").select("file", "line_no", v.alias("record"), v.isNull().alias("bad"))
+    return _numbered_lines(spark, path).where("trim(line) <> ''").select("file", "line_no", v.alias("record"), v.isNull().alias("bad"), F.when(v.isNull(), F.col("line")).alias("line"))
 
 
 def wide_traces(spark: SparkSession, path: str) -> DataFrame:
