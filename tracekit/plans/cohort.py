@@ -157,7 +157,7 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     got = R.annotations(spark, f"{at}/*/*.txt")
     assert set(got.columns) == {"file", "line_no", "t", "status"}
     # the reader keeps time and status; the user stands in the file's own lines, matched by their number
-    lines = R._numbered_lines(spark, f"{at}/*/*.txt").select("file", "line_no", F.element_at(F.split("line", ","), 4).try_cast("long").alias("user_id"))
+    lines = R._numbered_lines(spark, f"{at}/*/*.txt").select("file", "line_no", F.try_element_at(F.split("line", ","), F.lit(4)).try_cast("long").alias("user_id"))
     noted = got.join(lines, ["file", "line_no"]).withColumn("second", F.col("user_id") % 2 == 1)
     return rounded(R.annotated_epochs(noted, ["user_id"], "line_no", "second", 300.0, 500.0).select("user_id", "second", "n", "start", "stop")).withColumn("n", F.col("n").cast("long"))
 
