@@ -323,3 +323,47 @@ def test_nothing_to_divide_by(spark):
 
     one = spark.createDataFrame([(1, 0, 5.0, 3), (1, 1, 5.0, 3), (2, 0, 7.0, 1)], "k int, o int, v double, laps int")
     assert sorted((r.k, r.bin, r.at) for r in cohorts.auto_bins(one, ["k"], "o", "v", "laps").collect()) == [(1, 0, 5), (2, 0, 7)]
+
+
+def test_place_tuning_is_its_steps(spark):
+    """Two sessions at once give what each gives alone, step by step."""
+    frames = [(s, f, f // 50, (f * 7 + f // 50) % 20) for s in (0, 1) for f in range(600)]
+    spikes = [(s, e, f) for s, f, _, b in frames for e in range(3) if (b - 7 * e - s) % 20 < 6 or DRAW.random() < 0.03]
+    f, s = spark.createDataFrame(frames, "session int, frame int, lap int, bin int"), spark.createDataFrame(spikes, "session int, entity int, frame int")
+    got = sorted((r.session, r.entity, r.peak, round(r.peak_rate, 6), round(r.share, 6), r.laps, tuple(r.bins)) for r in T.place_tuning(s, f, 0.1, 20, [1.0], 50, 0.9, 3, ("session",)).collect())
+    want = []
+    for x in (0, 1):
+        fx, sx = f.where(F.col("session") == x), s.where(F.col("session") == x)
+        k = ("session",)
+        real = T.raw_rates(sx, fx, T.occupancy(fx, 0.1, k), k)
+        fields = T.extract_fields(T.null_percentile(real, T.circular_shuffles(sx, fx, 50, k=k), 50, 0.9, k), 20, 3, k=k)
+        summary = T.reliability_summary(T.lap_reliability(T.rates_by_lap(sx, fx, 0.1, k), fields.select(*k, "entity", F.explode("bins").alias("bin")), k), k)
+        out = T.refined_fields(fields, summary, 12, k=k).join(summary, [*k, "entity"])
+        want += [(x, r.entity, r.peak, round(r.peak_rate, 6), round(r.share, 6), r.laps, tuple(r.bins)) for r in out.collect()]
+    assert got == sorted(want) and len(got) == 6 and all(len(g[-1]) >= 5 for g in got)
+
+
+def test_peak_pipeline_is_its_steps(spark):
+    """Each step, made by numpy: baseline, smoothing, scaling, and the maxima that are left."""
+    v = [10 + 3 * math.exp(-((i % 25 - 12) ** 2) / 8) * (1 + (i // 25) % 3) + DRAW.gauss(0, 0.05) + i / 100 for i in range(200)]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "e int, i int, v double")
+    out = P.peak_pipeline(df, ["e"], "i", "v", baseline={"width": 40, "q": 0.2}, smooth={"width": 7, "order": 2}, algorithm="maxima", height=0.2, distance=3, prominence=0.2)
+    padded = [v[0]] * 20 + v + [v[-1]] * 20
+    flat = np.array([v[i] / np.quantile(padded[i : i + 40], 0.2) for i in range(200)])
+    steps = np.arange(-3, 4)
+    mid = np.linalg.pinv(np.vander(steps, 3, increasing=True))[0]
+    smooth = np.array([flat[i - 3 : i + 4] @ mid for i in range(3, 197)])
+    smooth = (smooth - smooth.min()) / (smooth.max() - smooth.min())
+    want = [i + 3 for i in range(1, 193) if smooth[i] > smooth[i - 1] and smooth[i] >= smooth[i + 1] and smooth[i] >= 0.2]
+    got = sorted(r.i for r in out.collect())
+    assert len(got) >= 5 and set(got) <= set(want) and {"algorithm", "baseline_width", "baseline_q", "smooth_width", "smooth_order", "height"} <= set(out.columns)
+    assert {i // 25 for i in got} >= {i // 25 for i in want if smooth[i - 3] > 0.5}
+
+
+def test_permuted_classes(spark):
+    """Classes that follow from permutations: a series that ramps up in one context has late bins over what shuffles give."""
+    rows = [(e, c, i, (i / 10 if c == "a" and e == 1 else 0.0) + DRAW.gauss(0, 0.1)) for e in (1, 2) for c in "ab" for i in range(100)]
+    tested = X.permuted_bins(spark.createDataFrame(rows, "e int, c string, i int, v double"), ["e", "c"], "i", "v", 10, 200)
+    late = {(r.e, r.c): sum(1 for x in tested.where((F.col("e") == r.e) & (F.col("c") == r.c)).collect() if x.p < 0.05) for r in tested.select("e", "c").distinct().collect()}
+    kinds = {r.e: r.kind for r in X.context_classes(tested, "e", "c", "p", "a", "b", late[1, "a"]).collect()}
+    assert late[1, "a"] >= 4 and kinds[1] in ("first", "both")

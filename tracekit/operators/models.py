@@ -162,6 +162,16 @@ def project_pca(train: DataFrame, other: DataFrame, vector: str, k: int = 2) ->
     return told(train), told(other)
 
 
+def cross_cosine(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
+    """One row (a_rows, b_rows, cosine): the mean cosine between all vectors of the one set and all of the other, zero vectors apart. It is the product of the means of the vectors at unit length, so no pair is made."""
+
+    def mean(df: DataFrame, name: str) -> DataFrame:
+        x = df.select(F.transform(vector, lambda v: v.cast("double")).alias("x")).withColumn("s", F.sqrt(F.aggregate("x", F.lit(0.0), lambda t, v: t + v * v))).where("s > 0")
+        return x.select(F.posexplode(F.transform("x", lambda v: v / F.col("s"))).alias("at", "v")).groupBy("at").agg(F.avg("v").alias(name), F.count("*").alias(f"{name}_rows"))
+
+    return mean(a, "a").join(mean(b, "b"), "at").agg(F.max("a_rows").alias("a_rows"), F.max("b_rows").alias("b_rows"), F.sum(F.col("a") * F.col("b")).alias("cosine"))
+
+
 # --- features
 
 

@@ -213,8 +213,8 @@ def sampled_deviation(groups: DataFrame, k: list[str], a: object, b: object, n:
 
 
 def permuted_means(series: DataFrame, k: list[str], bins: int, n: int, seed: int) -> DataFrame:
-    """(k, bin, mean, null_mean, null_sd, c) of rows (k, name string, orders array<string>, values array<double>, one row a series in order): the mean of each of ``bins`` stretches, and mean and deviation of it over n hashed permutations."""
-    shape = _types(series, k) + "bin int, mean double, null_mean double, null_sd double, c long"
+    """(k, bin, mean, _null_mean, _null_sd, _draws) of rows (k, name string, orders array<string>, values array<double>, one row a series in order): the mean of each of ``bins`` stretches, and mean and deviation of it over n hashed permutations."""
+    shape = _types(series, k) + "bin int, mean double, _null_mean double, _null_sd double, _draws long"
     schema = _arrow(series, shape)
     width = len(k)
 

@@ -65,12 +65,12 @@ def permuted_bins(df: DataFrame, k: list[str], o: str, v: str, bins: int = 10, n
     both = resampling.permuted_means(series, k, bins, n, seed)
     if some:
         both = both.union(_permuted_by_rows(df.join(F.broadcast(large), k, "left_semi"), k, o, v, bins, n, seed))
-    t = F.when(F.col("null_sd") > 0, (F.col("null_mean") - F.col("mean")) / (F.col("null_sd") / F.sqrt("c")))
-    return both.select(*k, "bin", "mean", t.alias("t"), (F.col("c") - 1).alias("df")).withColumn("p", tails.t_less("t", F.col("df").cast("double")))
+    t = F.when(F.col("_null_sd") > 0, (F.col("_null_mean") - F.col("mean")) / (F.col("_null_sd") / F.sqrt("_draws")))
+    return both.select(*k, "bin", "mean", t.alias("t"), (F.col("_draws") - 1).alias("df")).withColumn("p", tails.t_less("t", F.col("df").cast("double")))
 
 
 def _permuted_by_rows(df: DataFrame, k: list[str], o: str, v: str, bins: int, n: int, seed: int) -> DataFrame:
-    """(k, bin, mean, null_mean, null_sd, c) for series of any length: each sample is a row of each shuffle."""
+    """(k, bin, mean, _null_mean, _null_sd, _draws) for series of any length: each sample is a row of each shuffle."""
     w = Window.partitionBy(*k)
     size = df.select(*k, o, v, F.count("*").over(w).alias("_n"), (F.row_number().over(w.orderBy(o)) - 1).alias("_i"))
     at = lambda i: F.least(F.floor(i / F.greatest(F.floor(F.col("_n") / bins), F.lit(1))), F.lit(bins - 1)).cast("int")
@@ -78,7 +78,7 @@ def _permuted_by_rows(df: DataFrame, k: list[str], o: str, v: str, bins: int, n:
     many = size.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(n))))
     by = Window.partitionBy(*k, "iter").orderBy(hashed(F.lit(seed), *[F.col(c) for c in k], F.col("iter"), F.col(o)), o)
     null = many.withColumn("_j", F.row_number().over(by) - 1).groupBy(*k, "iter", at(F.col("_j")).alias("bin")).agg(F.avg(v).alias("_m"))
-    return null.join(real, [*k, "bin"]).groupBy(*k, "bin").agg(F.max("mean").alias("mean"), F.avg("_m").alias("null_mean"), F.stddev_samp("_m").alias("null_sd"), F.count("*").alias("c"))
+    return null.join(real, [*k, "bin"]).groupBy(*k, "bin").agg(F.max("mean").alias("mean"), F.avg("_m").alias("_null_mean"), F.stddev_samp("_m").alias("_null_sd"), F.count("*").alias("_draws"))
 
 
 def context_classes(tested: DataFrame, entity: str, context: str, p: str, first: object, second: object, least: int = 5, level: float = 0.05) -> DataFrame:

@@ -156,6 +156,15 @@ def m14(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b).select("vec_id", F.round(F.abs(F.element_at("projected", 1)), 4).alias("x"), F.round(F.abs(F.element_at("projected", 2)), 4).alias("y"))
 
 
+@query("m14_cross_cosine", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.label, count(DISTINCT a.vec_id) AS a_rows, count(DISTINCT b.vec_id) AS b_rows, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE a.label < 4 GROUP BY a.label")
+def m14b(spark: SparkSession, sf: str) -> DataFrame:
+    """Four labels, each half of its vectors against the other."""
+    v = _vectors(spark, sf)
+    of = lambda y, half: v.where((F.col("label") == y) & (F.col("vec_id") % 2 == half))
+    told = [M.cross_cosine(of(y, 0), of(y, 1), "embedding").select(F.lit(y).alias("label"), "*") for y in range(4)]
+    return rounded(told[0].union(told[1]).union(told[2]).union(told[3])).withColumn("label", F.col("label").cast(v.schema["label"].dataType))
+
+
 @query("m15_temporal_features", V.over("traces", body="""#b AS (SELECT entity, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, quantile_cont(value, 0.1) AS baseline, kurtosis_pop(value) AS kurtosis, max(value) AS hi, min(value) AS lo FROM traces GROUP BY 1),
 m AS (SELECT entity, avg(pow(value - mean, 3)) / pow(any_value(sd), 3) AS skewness, avg(CASE WHEN value > mean + sd THEN 1.0 ELSE 0 END) AS active FROM traces JOIN b USING (entity) GROUP BY 1), g AS (SELECT entity, coalesce(corr(value, n), 0) AS lag1 FROM (SELECT *, lead(value) OVER (PARTITION BY entity ORDER BY frame) AS n FROM traces) GROUP BY 1),
 p AS (SELECT entity, count(*) AS peaks, avg(value) AS height, avg(gap) AS gap, stddev_pop(gap) AS gap_sd FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY entity ORDER BY frame) AS gap FROM (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)) WHERE value >= 100 AND value > l AND value > r) GROUP BY 1)
