@@ -46,7 +46,8 @@ def g3(spark: SparkSession, sf: str) -> DataFrame:
 @query("g4_epochs_by_speed", f"WITH {_EV}" + """,
 a AS (SELECT user_id, i, t, lead(t) OVER w AS t1, (lead(pos) OVER w - pos) * 2 * pi() AS d, count(*) OVER (PARTITION BY user_id) AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY i)),
 s AS (SELECT *, abs(d + pi() - floor((d + pi()) / (2 * pi())) * 2 * pi() - pi()) / (t1 - t) AS s0 FROM a), u AS (SELECT *, coalesce(s0, lag(s0) OVER (PARTITION BY user_id ORDER BY i)) AS s FROM s),
-m AS (SELECT *, CASE WHEN n <= 3 THEN avg(s) OVER (PARTITION BY user_id) ELSE (sum(s) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + CASE WHEN i = 0 THEN s ELSE 0 END + CASE WHEN i = n - 1 THEN s ELSE 0 END) / 3 END AS m FROM u),
+m AS (SELECT *, CASE WHEN n <= 3 THEN avg(s) OVER (PARTITION BY user_id) ELSE (sum(s) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) +
+CASE WHEN i = 0 THEN s ELSE 0 END + CASE WHEN i = n - 1 THEN s ELSE 0 END) / 3 END AS m FROM u),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM m WHERE m >= 0.00002), e AS (SELECT user_id, min(t) AS a, max(t) AS b FROM g GROUP BY user_id, g HAVING max(t) - min(t) > 3600)
 SELECT user_id, round(a + 600 - 1704067200, 3) AS start, round(b - 300 - 1704067200, 3) AS stop FROM e WHERE b - 300 - (a + 600) > 3600""")
 def g4(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +55,8 @@ def g4(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", *[F.round(F.col(c) - 1704067200, 3).alias(c) for c in ("start", "stop")])
 
 
-_ROUND = "#q AS (SELECT entity, segment, floor(start / 7200) * 7200 AS start, ceil(stop / 7200) * 7200 AS stop FROM intervals), h AS (SELECT t.entity, t.frame, count(q.segment) AS n FROM traces t LEFT JOIN q ON t.entity = q.entity AND t.t BETWEEN q.start AND q.stop GROUP BY ALL) SELECT entity, frame, n > 0 AS inside FROM h"
+_ROUND = """#q AS (SELECT entity, segment, floor(start / 7200) * 7200 AS start, ceil(stop / 7200) * 7200 AS stop FROM intervals), h AS (SELECT t.entity, t.frame, count(q.segment) AS
+n FROM traces t LEFT JOIN q ON t.entity = q.entity AND t.t BETWEEN q.start AND q.stop GROUP BY ALL) SELECT entity, frame, n > 0 AS inside FROM h"""
 
 
 @query("g9_rounded_flags", V.over("traces", "intervals", body=_ROUND))
@@ -98,7 +100,11 @@ def g15(spark: SparkSession, sf: str) -> DataFrame:
     return L.lap_kinds(_bins(spark, sf), "user_id", "lap", "event_type", "at", rules)
 
 
-@query("a14_segment_code", _BINS + ", c AS (SELECT user_id, lap, CAST(sum(loc * CASE event_type WHEN 'error' THEN 1 ELSE 10 END) AS BIGINT) AS code FROM bins GROUP BY ALL), d AS (SELECT *, count(*) FILTER (code = 0) OVER (PARTITION BY user_id) AS zeros FROM c), ranked AS (SELECT user_id, code, dense_rank() OVER (PARTITION BY user_id ORDER BY code) AS kind FROM (SELECT DISTINCT user_id, code FROM c WHERE code <> 0)), m AS (SELECT user_id, max(kind) AS most FROM ranked GROUP BY 1) SELECT d.user_id, lap, d.code, CAST(CASE WHEN d.code <> 0 THEN k.kind WHEN zeros > 2 THEN coalesce(most, 0) + 1 ELSE 0 END AS BIGINT) AS kind FROM d LEFT JOIN ranked k ON k.user_id = d.user_id AND k.code = d.code LEFT JOIN m ON m.user_id = d.user_id")
+@query("a14_segment_code", _BINS + """, c AS (SELECT user_id, lap, CAST(sum(loc * CASE event_type WHEN 'error' THEN 1 ELSE 10 END) AS BIGINT) AS code FROM bins GROUP BY ALL), d AS (SELECT *, count(*) FILTER
+(code = 0) OVER (PARTITION BY user_id) AS zeros FROM c), ranked AS (SELECT user_id, code, dense_rank() OVER (PARTITION BY user_id ORDER BY code) AS kind FROM (SELECT
+DISTINCT user_id, code FROM c WHERE code <> 0)), m AS (SELECT user_id, max(kind) AS most FROM ranked GROUP BY 1) SELECT d.user_id, lap, d.code, CAST(CASE WHEN d.code <> 0
+THEN k.kind WHEN zeros > 2 THEN coalesce(most, 0) + 1 ELSE 0 END AS BIGINT) AS kind FROM d LEFT JOIN ranked k ON k.user_id = d.user_id AND k.code = d.code LEFT JOIN m ON
+m.user_id = d.user_id""")
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     from tracekit.operators.cohorts import segment_codes
 
@@ -130,7 +136,8 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 _CUES = [(3, "CUE1"), (4, "CUE2"), (7, "LED"), (10, "TONE")]
 _CASE = "CASE pin " + " ".join(f"WHEN {p} THEN '{n}'" for p, n in _CUES) + " END"
 _LOG = f"""WITH {_EV}, k AS (SELECT *, CASE event_type WHEN 'purchase' THEN CAST(json_extract(props, '$.k') AS INT) % 12 WHEN 'error' THEN 4 END AS pin, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'stop' END AS edge FROM ev WHERE event_id % 17 <> 0),
-c AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN CAST(event_id % 1000 AS DOUBLE) END IGNORE NULLS) OVER w AS pos_, last_value(CASE WHEN event_type = 'click' THEN lap END IGNORE NULLS) OVER w AS lap_ FROM k WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN CAST(event_id % 1000 AS DOUBLE) END IGNORE NULLS) OVER w AS pos_, last_value(CASE WHEN event_type = 'click'
+THEN lap END IGNORE NULLS) OVER w AS lap_ FROM k WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
 told AS (SELECT *, 'position' AS channel, NULL AS edge_, NULL AS name FROM c WHERE event_type = 'click' UNION ALL SELECT *, 'lap', NULL, NULL FROM c WHERE event_type = 'click'
 UNION ALL SELECT *, 'lick', NULL, NULL FROM c WHERE event_type = 'view' UNION ALL SELECT *, 'context', edge, 'zone' FROM c WHERE event_type = 'signup'
 UNION ALL SELECT *, 'reward', NULL, NULL FROM c WHERE event_type = 'purchase' AND pin = 5 AND edge = 'start' UNION ALL SELECT *, 'sync', edge, NULL FROM c WHERE event_type = 'purchase' AND pin = 8
@@ -167,12 +174,18 @@ def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("place"), F.col("l_returnflag").alias("id"), F.array(pin).alias("valves"), F.array(F.element_at(at, (F.col("l_linenumber") % 2 + F.col("l_partkey") % 2 * 2 + 1).cast("int"))).alias("locations"), F.sequence(first, first + 1).alias("laps"))
 
 
-@query("e3_lap_plan", """WITH c AS (SELECT l_orderkey AS session, l_linenumber AS place, l_returnflag AS id, ([3, 4, 7, 10, 52, 11])[l_partkey % 6 + 1] AS pin, ([500, 1300, 1000, 1500])[l_linenumber % 2 + l_partkey % 2 * 2 + 1] AS loc, CAST(l_suppkey % 3 AS INT) AS f FROM lineitem),
+@query("e3_lap_plan", """WITH c AS (SELECT l_orderkey AS session, l_linenumber AS place, l_returnflag AS id, ([3, 4, 7, 10, 52, 11])[l_partkey % 6 + 1] AS pin, ([500, 1300, 1000,
+1500])[l_linenumber % 2 + l_partkey % 2 * 2 + 1] AS loc, CAST(l_suppkey % 3 AS INT) AS f FROM lineitem),
 e AS (SELECT *, CAST(unnest([f, f + 1]) AS INT) AS lap, CASE pin WHEN 3 THEN 'CUE1' WHEN 4 THEN 'CUE2' WHEN 10 THEN 'TONE' WHEN 7 THEN 'LED' WHEN 52 THEN 'OPTO' END AS cue FROM c),
-g AS (SELECT session, lap, coalesce(string_agg(cue, ',' ORDER BY place, pin, loc, id), '') AS cues, list(pin ORDER BY place, pin, loc, id) AS pins, list(loc ORDER BY place, pin, loc, id) AS locs, string_agg(id, ',' ORDER BY place, pin, loc, id) AS ids FROM e GROUP BY ALL)
-SELECT session, lap, cues, array_to_string(pins, ',') AS pins, array_to_string(locs, ',') AS locs, ids, CASE WHEN list_sort(list_distinct(pins)) = [3, 4] AND locs = [500, 1300] THEN 'both' WHEN list_sort(list_distinct(pins)) = [3, 4] AND locs = [1300, 500] THEN 'both_switch'
- WHEN list_sort(list_distinct(pins)) = [3, 7, 10] AND locs = [500, 1500, 1000] THEN 'toneNcueNled' WHEN list_sort(list_distinct(pins)) = [3, 7] AND locs = [1500, 1000] THEN 'cueNled' WHEN list_sort(list_distinct(pins)) = [3, 10] AND locs = [500, 1500] THEN 'toneNcue' WHEN list_sort(list_distinct(pins)) = [7, 10] AND locs = [500, 1000] THEN 'toneNled'
- WHEN list_distinct(pins) = [3] AND len(locs) = 1 THEN 'CUE1' WHEN list_distinct(pins) = [3] AND len(locs) = 2 THEN 'both_c1' WHEN list_distinct(pins) = [4] AND len(locs) = 1 THEN 'CUE2' WHEN list_distinct(pins) = [4] AND len(locs) = 2 THEN 'both_c2' ELSE 'unknown' END AS kind FROM g""")
+g AS (SELECT session, lap, coalesce(string_agg(cue, ',' ORDER BY place, pin, loc, id), '') AS cues, list(pin ORDER BY place, pin, loc, id) AS pins, list(loc ORDER BY
+place, pin, loc, id) AS locs, string_agg(id, ',' ORDER BY place, pin, loc, id) AS ids FROM e GROUP BY ALL)
+SELECT session, lap, cues, array_to_string(pins, ',') AS pins, array_to_string(locs, ',') AS locs, ids, CASE WHEN list_sort(list_distinct(pins)) = [3, 4] AND locs = [500,
+1300] THEN 'both' WHEN list_sort(list_distinct(pins)) = [3, 4] AND locs = [1300, 500] THEN 'both_switch'
+WHEN list_sort(list_distinct(pins)) = [3, 7, 10] AND locs = [500, 1500, 1000] THEN 'toneNcueNled' WHEN list_sort(list_distinct(pins)) = [3, 7] AND locs = [1500, 1000]
+THEN 'cueNled' WHEN list_sort(list_distinct(pins)) = [3, 10] AND locs = [500, 1500] THEN 'toneNcue' WHEN list_sort(list_distinct(pins)) = [7, 10] AND locs = [500, 1000]
+THEN 'toneNled'
+WHEN list_distinct(pins) = [3] AND len(locs) = 1 THEN 'CUE1' WHEN list_distinct(pins) = [3] AND len(locs) = 2 THEN 'both_c1' WHEN list_distinct(pins) = [4] AND len(locs)
+= 1 THEN 'CUE2' WHEN list_distinct(pins) = [4] AND len(locs) = 2 THEN 'both_c2' ELSE 'unknown' END AS kind FROM g""")
 def e3(spark: SparkSession, sf: str) -> DataFrame:
     names = {3: "CUE1", 4: "CUE2", 10: "TONE", 7: "LED", 52: "OPTO"}
     plan = L.lap_plan(_contexts(spark, sf), "session", names)
@@ -185,7 +198,8 @@ def p11(spark: SparkSession, sf: str) -> DataFrame:
     return e3(spark, sf).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("e6_device_settings", "SELECT user_id, CAST(arg_max(CAST(json_extract(props, '$.k') AS INT), event_id) FILTER (event_type = 'signup') AS INT) AS sync_pin, CAST(arg_max(event_id % 10, event_id) FILTER (event_type = 'signup' AND event_id % 3 = 0) AS INT) AS led_pin, arg_max(event_type, event_id) FILTER (event_type = 'error') AS info FROM events GROUP BY 1")
+@query("e6_device_settings", """SELECT user_id, CAST(arg_max(CAST(json_extract(props, '$.k') AS INT), event_id) FILTER (event_type = 'signup') AS INT) AS sync_pin, CAST(arg_max(event_id % 10, event_id)
+FILTER (event_type = 'signup' AND event_id % 3 = 0) AS INT) AS led_pin, arg_max(event_type, event_id) FILTER (event_type = 'error') AS info FROM events GROUP BY 1""")
 def e6(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
@@ -217,9 +231,11 @@ def j8(spark: SparkSession, sf: str) -> DataFrame:
     return L.with_imputed(e, _imputed(spark, sf).withColumnRenamed("us", "t")).withColumnRenamed("t", "us")
 
 
-@query("j14_sync_map", V.over("intervals", body="""#e AS (SELECT DISTINCT user_id AS entity, event_type, epoch_us(ts) / 1e6 AS t FROM events), a AS (SELECT e.entity, event_type, t, max(segment) AS segment FROM e JOIN intervals i ON e.entity = i.entity AND t BETWEEN start AND stop WHERE event_type IN ('click', 'view') GROUP BY ALL),
+@query("j14_sync_map", V.over("intervals", body="""#e AS (SELECT DISTINCT user_id AS entity, event_type, epoch_us(ts) / 1e6 AS t FROM events), a AS (SELECT e.entity, event_type, t, max(segment) AS segment FROM e JOIN
+intervals i ON e.entity = i.entity AND t BETWEEN start AND stop WHERE event_type IN ('click', 'view') GROUP BY ALL),
 h AS (SELECT *, row_number() OVER (PARTITION BY entity, segment ORDER BY t) - 1 AS i, lead(t) OVER (PARTITION BY entity, segment ORDER BY t) AS t1, count(*) OVER (PARTITION BY entity, segment) AS n FROM a WHERE event_type = 'click'),
-m AS (SELECT l.entity, l.segment, l.t, CASE WHEN l.t <= h.t THEN h.i WHEN h.t1 IS NULL THEN h.i ELSE h.i + (l.t - h.t) / (h.t1 - h.t) END AS idx FROM a l JOIN h ON h.entity = l.entity AND h.segment = l.segment AND l.event_type = 'view' AND (h.i = 0 OR l.t >= h.t) AND (h.t1 IS NULL OR l.t < h.t1))
+m AS (SELECT l.entity, l.segment, l.t, CASE WHEN l.t <= h.t THEN h.i WHEN h.t1 IS NULL THEN h.i ELSE h.i + (l.t - h.t) / (h.t1 - h.t) END AS idx FROM a l JOIN h ON
+h.entity = l.entity AND h.segment = l.segment AND l.event_type = 'view' AND (h.i = 0 OR l.t >= h.t) AND (h.t1 IS NULL OR l.t < h.t1))
 SELECT m.entity, m.segment, round(m.t - 1704067200, 4) AS t, round(idx, 6) AS index, round(h.t - 1704067200, 4) AS t_high FROM m JOIN h ON h.entity = m.entity AND h.segment = m.segment AND h.i = CAST(round_even(idx, 0) AS INT)"""))
 def j14(spark: SparkSession, sf: str) -> DataFrame:
     e = V.events(spark, sf).select(F.col("user_id").alias("entity"), "event_type", (F.col("us") / 1e6).alias("t"))
@@ -238,7 +254,9 @@ def j16(spark: SparkSession, sf: str) -> DataFrame:
     return L.reconciled_segments(recorded, computed, ["entity"])
 
 
-@query("j11_attach_signals", "WITH m AS (SELECT l_partkey AS cluster, l_linenumber AS session, max(l_orderkey) AS entity FROM lineitem WHERE l_discount >= 0.01 GROUP BY ALL), g AS (SELECT c.cluster, s.session FROM (SELECT DISTINCT cluster FROM m) c, (SELECT DISTINCT l_linenumber AS session FROM lineitem) s) SELECT g.cluster, g.session, m.entity, l.l_quantity AS value FROM g LEFT JOIN m USING (cluster, session) LEFT JOIN lineitem l ON l.l_orderkey = m.entity AND l.l_linenumber = g.session")
+@query("j11_attach_signals", """WITH m AS (SELECT l_partkey AS cluster, l_linenumber AS session, max(l_orderkey) AS entity FROM lineitem WHERE l_discount >= 0.01 GROUP BY ALL), g AS (SELECT c.cluster,
+s.session FROM (SELECT DISTINCT cluster FROM m) c, (SELECT DISTINCT l_linenumber AS session FROM lineitem) s) SELECT g.cluster, g.session, m.entity, l.l_quantity AS value
+FROM g LEFT JOIN m USING (cluster, session) LEFT JOIN lineitem l ON l.l_orderkey = m.entity AND l.l_linenumber = g.session""")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
     li = V.table(spark, sf, "lineitem")
     m = V.labels(spark, sf).where("cluster <> -1").groupBy("cluster", "session").agg(F.max("entity").alias("entity"))
@@ -247,7 +265,8 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("j5_trigger_windows", V.over("traces", body="""#e AS (SELECT entity, frame AS f0, row_number() OVER (PARTITION BY entity ORDER BY frame) AS event_no FROM traces WHERE value > 250),
-w AS (SELECT e.entity, event_no, t.frame, value FROM e JOIN traces t ON t.entity = e.entity AND t.frame >= f0 - 30 AND t.frame < f0 + 121) SELECT entity, event_no, frame - min(frame) OVER (PARTITION BY entity, event_no) AS rel, round(value, 6) AS value FROM w"""))
+w AS (SELECT e.entity, event_no, t.frame, value FROM e JOIN traces t ON t.entity = e.entity AND t.frame >= f0 - 30 AND t.frame < f0 + 121) SELECT entity, event_no, frame
+- min(frame) OVER (PARTITION BY entity, event_no) AS rel, round(value, 6) AS value FROM w"""))
 def j5(spark: SparkSession, sf: str) -> DataFrame:
     t = V.traces(spark, sf)
     e = W.numbered(t.where("value > 250"), ["entity"], ["frame"], "n").select("entity", F.col("frame").alias("at"), (F.col("n") + 1).alias("event_no"))

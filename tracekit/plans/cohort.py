@@ -45,7 +45,9 @@ def p12(spark: SparkSession, sf: str) -> DataFrame:
 _NAME = "CASE l_partkey % 4 WHEN 0 THEN '240101_s' || l_suppkey || '_FEAR' WHEN 1 THEN '240101_s' || l_suppkey || '_ch' || l_linenumber || '_FEAR' WHEN 2 THEN 's' || l_suppkey || '_' || l_linenumber ELSE 'plain' END"
 
 
-@query("p13_session_parts", f"SELECT l_orderkey, l_linenumber, CASE WHEN n IN (3, 4) THEN p[1] END AS date, CASE WHEN n IN (3, 4) THEN p[2] WHEN n = 2 THEN p[1] END AS id, CASE WHEN n = 4 THEN p[3] END AS channel, CASE WHEN n IN (3, 4) THEN p[-1] END AS kind, CASE WHEN n = 2 THEN p[2] END AS number FROM (SELECT *, string_split({_NAME}, '_') AS p, len(string_split({_NAME}, '_')) AS n FROM lineitem)")
+@query("p13_session_parts", f"""SELECT l_orderkey, l_linenumber, CASE WHEN n IN (3, 4) THEN p[1] END AS date, CASE WHEN n IN (3, 4) THEN p[2] WHEN n = 2 THEN p[1] END AS id, CASE WHEN n = 4 THEN p[3]
+END AS channel, CASE WHEN n IN (3, 4) THEN p[-1] END AS kind, CASE WHEN n = 2 THEN p[2] END AS number FROM (SELECT *, string_split({_NAME}, '_') AS p,
+len(string_split({_NAME}, '_')) AS n FROM lineitem)""")
 def p13(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.session_parts(F.expr(_NAME)).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
 
@@ -79,7 +81,10 @@ def p23(spark: SparkSession, sf: str) -> DataFrame:
     return S.needs_downsample(t.where("value > 200"), t, ["entity"], "frame", 1.2)
 
 
-@query("p9_kernels", "WITH p AS (SELECT p_partkey, p_size % 9 + 2 AS w FROM part), g AS (SELECT p_partkey, u.k AS k, exp(-0.5 * pow(u.k / (w / 2.355), 2)) AS x FROM p, LATERAL (SELECT unnest(range(-(w // 2), w // 2 + 1)) AS k) u), d AS (SELECT p_partkey, u.k AS k, exp(-u.k / w) AS x FROM p, LATERAL (SELECT unnest(range(0, w * 6)) AS k) u), a AS (SELECT p_partkey, max(x) / sum(x) AS top, count(*) AS n FROM g GROUP BY 1), b AS (SELECT p_partkey, max(x) / sum(x) AS first, count(*) AS tail FROM d GROUP BY 1) SELECT p_partkey, round(top, 6) AS top, n, round(first, 6) AS first, tail FROM a JOIN b USING (p_partkey)")
+@query("p9_kernels", """WITH p AS (SELECT p_partkey, p_size % 9 + 2 AS w FROM part), g AS (SELECT p_partkey, u.k AS k, exp(-0.5 * pow(u.k / (w / 2.355), 2)) AS x FROM p, LATERAL (SELECT
+unnest(range(-(w // 2), w // 2 + 1)) AS k) u), d AS (SELECT p_partkey, u.k AS k, exp(-u.k / w) AS x FROM p, LATERAL (SELECT unnest(range(0, w * 6)) AS k) u), a AS (SELECT
+p_partkey, max(x) / sum(x) AS top, count(*) AS n FROM g GROUP BY 1), b AS (SELECT p_partkey, max(x) / sum(x) AS first, count(*) AS tail FROM d GROUP BY 1) SELECT
+p_partkey, round(top, 6) AS top, n, round(first, 6) AS first, tail FROM a JOIN b USING (p_partkey)""")
 def p9(spark: SparkSession, sf: str) -> DataFrame:
     w = F.col("p_size") % 9 + 2
     p = V.table(spark, sf, "part").select("p_partkey", S.gaussian_weights(w).alias("g"), S.decay_weights(w).alias("d"))
@@ -143,7 +148,8 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("s5_annotated_epochs", """WITH e AS (SELECT user_id, user_id % 2 = 1 AS second, event_id, value + CASE WHEN user_id % 2 = 1 THEN 300 ELSE 0 END AS t, event_type FROM events WHERE event_type IN ('click', 'view')),
-a AS (SELECT *, row_number() OVER (PARTITION BY user_id, second ORDER BY event_id) - 1 AS n FROM e WHERE event_type = 'click' AND t < CASE WHEN second THEN 500 ELSE 300 END), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, second ORDER BY event_id) - 1 AS n FROM e WHERE event_type = 'view'),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, second ORDER BY event_id) - 1 AS n FROM e WHERE event_type = 'click' AND t < CASE WHEN second THEN 500 ELSE 300
+END), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, second ORDER BY event_id) - 1 AS n FROM e WHERE event_type = 'view'),
 p AS (SELECT a.user_id, a.second, a.n, a.t AS start, b.t AS stop, max(a.n) OVER (PARTITION BY a.user_id, a.second) AS m FROM a JOIN b USING (user_id, second, n))
 SELECT user_id, second, n, round(start, 4) AS start, round(CASE WHEN n = m THEN least(stop, CASE WHEN second THEN 500 ELSE 300 END) ELSE stop END, 4) AS stop FROM p""")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +183,8 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(out.schema).option("header", True).csv(path)
 
 
-@query("s6_wrap_sessions", "SELECT c_custkey AS subject, n, total, m.segment FROM customer c JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN (SELECT c_custkey AS k, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0) m ON m.k = c.c_custkey")
+@query("s6_wrap_sessions", """SELECT c_custkey AS subject, n, total, m.segment FROM customer c JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) o ON
+o_custkey = c_custkey LEFT JOIN (SELECT c_custkey AS k, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0) m ON m.k = c.c_custkey""")
 def s6(spark: SparkSession, sf: str) -> DataFrame:
     c, o = V.table(spark, sf, "customer"), V.table(spark, sf, "orders")
     traces = o.groupBy(F.col("o_custkey").alias("subject")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
@@ -217,7 +224,9 @@ def w14(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.event_rates(e.where("event_type = 'error' and value > 300"), e.groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"], "n", e.where("event_type = 'click' and value > 200")))
 
 
-@query("a3_ratio_columns", "WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) AS n FROM orders GROUP BY 1) SELECT *, round(f / nullif(n, 0), 6) AS f_by_n, round(f / nullif(p, 0), 6) AS f_by_p, round(o / nullif(n, 0), 6) AS o_by_n, round(o / nullif(p, 0), 6) AS o_by_p FROM c")
+@query("a3_ratio_columns", """WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(*)
+AS n FROM orders GROUP BY 1) SELECT *, round(f / nullif(n, 0), 6) AS f_by_n, round(f / nullif(p, 0), 6) AS f_by_p, round(o / nullif(n, 0), 6) AS o_by_n, round(o /
+nullif(p, 0), 6) AS o_by_p FROM c""")
 def a3(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("o_orderstatus") == s)
     c = V.table(spark, sf, "orders").groupBy("o_custkey").agg(n("F").alias("f"), n("O").alias("o"), n("P").alias("p"), F.count("*").alias("n"))
@@ -241,8 +250,10 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a17_segment_names", f"WITH t AS ({SQL['a14_segment_code']}), k AS ({SQL['g15_lap_kinds']})" + """, f AS (SELECT user_id, bool_or(kind IN ('OMITBOTH', 'OMITCUE2')) AS two FROM k GROUP BY 1),
-l AS (SELECT user_id, kind AS type, count(*) AS n, max(lap) AS lap FROM t GROUP BY ALL), m AS (SELECT l.user_id, type, CASE WHEN n > 1 THEN coalesce(k.kind, CASE WHEN two THEN 'BOTHCUES' ELSE 'CUE1' END) END AS name FROM l LEFT JOIN k ON k.user_id = l.user_id AND k.lap = l.lap LEFT JOIN f ON f.user_id = l.user_id),
-p AS (SELECT user_id, list_sort(list(DISTINCT coalesce(name, ''))) = ['OMITBOTH', 'OMITCUE1', 'OMITCUE2'] AS pair FROM m GROUP BY 1) SELECT user_id, type, CASE WHEN pair AND name = 'OMITCUE2' THEN 'CUE1' WHEN pair AND name = 'OMITCUE1' THEN 'CUE2' ELSE name END AS name FROM m JOIN p USING (user_id)""")
+l AS (SELECT user_id, kind AS type, count(*) AS n, max(lap) AS lap FROM t GROUP BY ALL), m AS (SELECT l.user_id, type, CASE WHEN n > 1 THEN coalesce(k.kind, CASE WHEN two
+THEN 'BOTHCUES' ELSE 'CUE1' END) END AS name FROM l LEFT JOIN k ON k.user_id = l.user_id AND k.lap = l.lap LEFT JOIN f ON f.user_id = l.user_id),
+p AS (SELECT user_id, list_sort(list(DISTINCT coalesce(name, ''))) = ['OMITBOTH', 'OMITCUE1', 'OMITCUE2'] AS pair FROM m GROUP BY 1) SELECT user_id, type, CASE WHEN pair
+AND name = 'OMITCUE2' THEN 'CUE1' WHEN pair AND name = 'OMITCUE1' THEN 'CUE2' ELSE name END AS name FROM m JOIN p USING (user_id)""")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
     types = B.a14(spark, sf).select("user_id", "lap", F.col("kind").alias("type"))
     return C.segment_names(types, B.g15(spark, sf), "user_id", "lap")
@@ -281,7 +292,9 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.significant_footprints(tested, V.pixels(spark, sf).where("v > 0.1"), ["frame"], "higher"))
 
 
-_CURVES = f"WITH {B._EV}, g AS (SELECT user_id, kind, bin FROM (SELECT DISTINCT user_id FROM ev), (VALUES (0), (1)) AS k(kind), unnest(range(20)) AS b(bin)), n AS (SELECT user_id, lap % 2 AS kind, floor(pos * 20) AS bin, count(*) AS n FROM ev GROUP BY ALL), curves AS (SELECT g.*, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM g LEFT JOIN n ON n.user_id = g.user_id AND n.kind = g.kind AND n.bin = g.bin)"
+_CURVES = f"""WITH {B._EV}, g AS (SELECT user_id, kind, bin FROM (SELECT DISTINCT user_id FROM ev), (VALUES (0), (1)) AS k(kind), unnest(range(20)) AS b(bin)), n AS (SELECT user_id,
+lap % 2 AS kind, floor(pos * 20) AS bin, count(*) AS n FROM ev GROUP BY ALL), curves AS (SELECT g.*, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM g LEFT JOIN n ON n.user_id =
+g.user_id AND n.kind = g.kind AND n.bin = g.bin)"""
 
 
 def _curves(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,7 +304,10 @@ def _curves(spark: SparkSession, sf: str) -> DataFrame:
     return grid.join(n, ["user_id", "kind", "bin"], "left").select("user_id", "kind", "bin", F.coalesce("n", F.lit(0.0)).alias("v"))
 
 
-@query("a24_field_rate_ratio", _CURVES + ", p AS (SELECT user_id, bin AS peak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, bin) AS k FROM curves WHERE kind = 0) WHERE k = 1), m AS (SELECT user_id, peak, avg(v) FILTER (kind = 0) AS a, avg(v) FILTER (kind = 1) AS b FROM curves JOIN p USING (user_id) WHERE abs(bin - peak) <= 1 GROUP BY ALL), q AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN a > 0 THEN 25 END ELSE a / b END AS ratio FROM m) SELECT user_id, CAST(peak AS BIGINT) AS peak, round(a, 6) AS reference, round(b, 6) AS other, round(ratio, 6) AS ratio, coalesce(ratio > 2, FALSE) AS selected FROM q")
+@query("a24_field_rate_ratio", _CURVES + """, p AS (SELECT user_id, bin AS peak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, bin) AS k FROM curves WHERE kind = 0) WHERE k = 1), m AS
+(SELECT user_id, peak, avg(v) FILTER (kind = 0) AS a, avg(v) FILTER (kind = 1) AS b FROM curves JOIN p USING (user_id) WHERE abs(bin - peak) <= 1 GROUP BY ALL), q AS
+(SELECT *, CASE WHEN b = 0 THEN CASE WHEN a > 0 THEN 25 END ELSE a / b END AS ratio FROM m) SELECT user_id, CAST(peak AS BIGINT) AS peak, round(a, 6) AS reference,
+round(b, 6) AS other, round(ratio, 6) AS ratio, coalesce(ratio > 2, FALSE) AS selected FROM q""")
 def a24(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.field_rate_ratio(_curves(spark, sf), "user_id", "kind", "bin", "v", 0, 1, edge=1))
 
@@ -301,12 +317,18 @@ def a31(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.tuning_curves(_curves(spark, sf).withColumn("grp", F.col("user_id") % 3), ["grp", "kind"], "bin", "v"))
 
 
-@query("a31_tuning_maxima", _CURVES + ", m AS (SELECT user_id % 3 AS grp, kind, user_id, max(v) AS m FROM curves GROUP BY ALL), s AS (SELECT grp, kind, avg(m) AS mean, stddev_samp(m) / sqrt(count(m)) AS sem FROM m GROUP BY ALL), t AS (SELECT user_id % 3 AS grp, kind, quantile_cont(v, 0.999) AS top FROM curves GROUP BY ALL) SELECT grp, kind, round(mean, 6) AS mean, round(sem, 6) AS sem, round(top, 6) AS top FROM s JOIN t USING (grp, kind)")
+@query("a31_tuning_maxima", _CURVES + """, m AS (SELECT user_id % 3 AS grp, kind, user_id, max(v) AS m FROM curves GROUP BY ALL), s AS (SELECT grp, kind, avg(m) AS mean, stddev_samp(m) / sqrt(count(m)) AS sem
+FROM m GROUP BY ALL), t AS (SELECT user_id % 3 AS grp, kind, quantile_cont(v, 0.999) AS top FROM curves GROUP BY ALL) SELECT grp, kind, round(mean, 6) AS mean, round(sem,
+6) AS sem, round(top, 6) AS top FROM s JOIN t USING (grp, kind)""")
 def a31b(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.tuning_maxima(_curves(spark, sf).withColumn("grp", F.col("user_id") % 3), ["grp", "kind"], "user_id", "v"))
 
 
-@query("a32_group_session_summary", "WITH o AS (SELECT c_mktsegment AS grp, o_orderstatus AS session, o_custkey AS subject, o_totalprice AS price, CAST(o_orderkey % 100 AS DOUBLE) AS size FROM orders JOIN customer ON c_custkey = o_custkey), l AS (UNPIVOT o ON price, size INTO NAME variable VALUE value), t AS (SELECT grp, session, variable, subject, sum(value) AS t FROM l GROUP BY ALL), a AS (SELECT grp, session, variable, avg(t) AS total FROM t GROUP BY ALL) SELECT l.grp, l.session, l.variable, round(avg(value), 4) AS mean, round(stddev_samp(value) / sqrt(count(value)), 4) AS sem, round(any_value(total), 4) AS total FROM l JOIN a ON a.grp = l.grp AND a.session = l.session AND a.variable = l.variable GROUP BY ALL")
+@query("a32_group_session_summary", """WITH o AS (SELECT c_mktsegment AS grp, o_orderstatus AS session, o_custkey AS subject, o_totalprice AS price, CAST(o_orderkey % 100 AS DOUBLE) AS size FROM orders JOIN
+customer ON c_custkey = o_custkey), l AS (UNPIVOT o ON price, size INTO NAME variable VALUE value), t AS (SELECT grp, session, variable, subject, sum(value) AS t FROM l
+GROUP BY ALL), a AS (SELECT grp, session, variable, avg(t) AS total FROM t GROUP BY ALL) SELECT l.grp, l.session, l.variable, round(avg(value), 4) AS mean,
+round(stddev_samp(value) / sqrt(count(value)), 4) AS sem, round(any_value(total), 4) AS total FROM l JOIN a ON a.grp = l.grp AND a.session = l.session AND a.variable =
+l.variable GROUP BY ALL""")
 def a32(spark: SparkSession, sf: str) -> DataFrame:
     o = V.table(spark, sf, "orders").join(V.table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     o = o.select(F.col("c_mktsegment").alias("grp"), F.col("o_orderstatus").alias("session"), F.col("o_custkey").alias("subject"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 100).cast("double").alias("size"))
@@ -314,7 +336,8 @@ def a32(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("grp", "session", "variable", *[F.round(c, 4).alias(c) for c in ("mean", "sem", "total")])
 
 
-@query("a33_outlier_lists", "WITH p AS (SELECT user_id AS id, user_id % 5 AS grp, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events GROUP BY 1) SELECT grp, count(*) AS dropped, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS which FROM p WHERE abs(a) > 60 OR abs(b) > 60 GROUP BY 1")
+@query("a33_outlier_lists", """WITH p AS (SELECT user_id AS id, user_id % 5 AS grp, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events GROUP BY 1)
+SELECT grp, count(*) AS dropped, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS which FROM p WHERE abs(a) > 60 OR abs(b) > 60 GROUP BY 1""")
 def a33(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
     p = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(mean("click").alias("a"), mean("view").alias("b")).withColumn("grp", F.col("id") % 5)
@@ -327,7 +350,9 @@ def a27(spark: SparkSession, sf: str) -> DataFrame:
     return C.eligible(o, "o_custkey", ["a"], ["b", "c"], V.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")))
 
 
-@query("k3_class_sets", "WITH x AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 60), y AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 120) SELECT user_id, CASE WHEN user_id IN (FROM x) THEN CASE WHEN user_id IN (FROM y) THEN 'both' ELSE 'first' END WHEN user_id IN (FROM y) THEN 'second' ELSE 'none' END AS kind FROM (SELECT DISTINCT user_id FROM events)")
+@query("k3_class_sets", """WITH x AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 60), y AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value
+> 120) SELECT user_id, CASE WHEN user_id IN (FROM x) THEN CASE WHEN user_id IN (FROM y) THEN 'both' ELSE 'first' END WHEN user_id IN (FROM y) THEN 'second' ELSE 'none'
+END AS kind FROM (SELECT DISTINCT user_id FROM events)""")
 def k3(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events")
     return C.class_sets(e.where("event_type = 'error' and value > 60"), e.where("event_type = 'click' and value > 120"), e, "user_id")

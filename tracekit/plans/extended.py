@@ -90,8 +90,10 @@ def w15(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", F.round("value", 4).alias("value"))
 
 
-@query("w16_repair_resets", V.over("traces", body="""#n AS (SELECT *, coalesce(value - lead(value) OVER w > 100, FALSE) AS c, last_value(value) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)),
-r(entity, frame, y, p) AS (SELECT entity, frame, value, z FROM n WHERE frame = 0 UNION ALL SELECT n.entity, n.frame, CASE WHEN n.c AND n.value < r.y THEN r.y + (r.y - r.p) ELSE n.value END, r.y FROM r JOIN n ON n.entity = r.entity AND n.frame = r.frame + 1)
+@query("w16_repair_resets", V.over("traces", body="""#n AS (SELECT *, coalesce(value - lead(value) OVER w > 100, FALSE) AS c, last_value(value) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND
+UNBOUNDED FOLLOWING) AS z FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)),
+r(entity, frame, y, p) AS (SELECT entity, frame, value, z FROM n WHERE frame = 0 UNION ALL SELECT n.entity, n.frame, CASE WHEN n.c AND n.value < r.y THEN r.y + (r.y -
+r.p) ELSE n.value END, r.y FROM r JOIN n ON n.entity = r.entity AND n.frame = r.frame + 1)
 SELECT entity, frame, round(y, 6) AS value FROM r""").replace("WITH", "WITH RECURSIVE", 1))
 def w16(spark: SparkSession, sf: str) -> DataFrame:
     return W.repaired_resets(V.traces(spark, sf), ["entity"], "frame", "value").select("entity", "frame", r("value"))
@@ -265,7 +267,9 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(V.table(spark, sf, "events").schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/events.parquet*")
 
 
-@query("st1_stream_carry_state", "WITH k AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events) SELECT user_id, event_id, us, last_value(p IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS state FROM (SELECT *, max(us) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM k) WHERE us >= m")
+@query("st1_stream_carry_state", """WITH k AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'purchase' THEN value END AS p FROM events) SELECT user_id, event_id, us, last_value(p
+IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS state FROM (SELECT *, max(us) OVER (PARTITION BY user_id ORDER BY event_id) AS m
+FROM k) WHERE us >= m""")
 def st1(spark: SparkSession, sf: str) -> DataFrame:
     e = _stream(spark, sf).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("state"))
     return _streamed(spark, laps.carried(e, "user_id", "event_id", "us", "state"))

@@ -29,8 +29,10 @@ def _medians(half: int) -> str:
 _STILL = "#s AS (SELECT frame, y, x, CASE WHEN y < 1 OR y > 6 OR x < 2 THEN 0.5 ELSE v END AS v FROM pixels)"
 
 
-@query("i6_static_border", V.over("pixels", body=_STILL + """, d AS (SELECT a.frame, a.y, a.x, abs(a.v - b.v) AS d FROM s a JOIN s b ON b.frame = a.frame + 1 AND b.y = a.y AND b.x = a.x), r AS (SELECT DISTINCT y FROM d GROUP BY frame, y HAVING avg(d) = 0), c AS (SELECT DISTINCT x FROM d GROUP BY frame, x HAVING avg(d) = 0)
-SELECT CAST(coalesce((SELECT max(y) FROM r WHERE y < 4) + 1, 0) AS BIGINT) AS top, CAST(coalesce((SELECT min(y) FROM r WHERE y >= 4), 8) - 1 AS BIGINT) AS bottom, CAST(coalesce((SELECT max(x) FROM c WHERE x < 4) + 1, 0) AS BIGINT) AS "left", CAST(coalesce((SELECT min(x) FROM c WHERE x >= 4), 8) - 1 AS BIGINT) AS "right" """))
+@query("i6_static_border", V.over("pixels", body=_STILL + """, d AS (SELECT a.frame, a.y, a.x, abs(a.v - b.v) AS d FROM s a JOIN s b ON b.frame = a.frame + 1 AND b.y = a.y AND b.x = a.x), r AS (SELECT DISTINCT y FROM d GROUP BY
+frame, y HAVING avg(d) = 0), c AS (SELECT DISTINCT x FROM d GROUP BY frame, x HAVING avg(d) = 0)
+SELECT CAST(coalesce((SELECT max(y) FROM r WHERE y < 4) + 1, 0) AS BIGINT) AS top, CAST(coalesce((SELECT min(y) FROM r WHERE y >= 4), 8) - 1 AS BIGINT) AS bottom,
+CAST(coalesce((SELECT max(x) FROM c WHERE x < 4) + 1, 0) AS BIGINT) AS "left", CAST(coalesce((SELECT min(x) FROM c WHERE x >= 4), 8) - 1 AS BIGINT) AS "right" """))
 def i6(spark: SparkSession, sf: str) -> DataFrame:
     p = V.pixels(spark, sf).withColumn("v", F.when(F.expr("y < 1 or y > 6 or x < 2"), F.lit(0.5)).otherwise(F.col("v")))
     return P.static_border(p)
@@ -71,7 +73,9 @@ def i12(spark: SparkSession, sf: str) -> DataFrame:
     return P.without_outliers(V.pixels(spark, sf), times=1.5).withColumn("v", F.round("v", 5))
 
 
-@query("i14_residual", V.over("pixels", "traces", body="#m AS (SELECT t.frame, y, x, sum(v * value) / 1000 AS v FROM pixels p JOIN traces t ON p.frame = t.entity WHERE v > 0.1 GROUP BY 1, 2, 3), r AS (SELECT p.frame, p.y, p.x, p.v - coalesce(m.v, 0) AS v FROM pixels p LEFT JOIN m ON m.frame = p.frame AND m.y = p.y AND m.x = p.x) SELECT frame, y, x, round(v / (SELECT max(v) FROM r), 5) AS v FROM r"))
+@query("i14_residual", V.over("pixels", "traces", body="""#m AS (SELECT t.frame, y, x, sum(v * value) / 1000 AS v FROM pixels p JOIN traces t ON p.frame = t.entity WHERE v > 0.1 GROUP BY 1, 2, 3), r AS (SELECT p.frame, p.y, p.x,
+p.v - coalesce(m.v, 0) AS v FROM pixels p LEFT JOIN m ON m.frame = p.frame AND m.y = p.y AND m.x = p.x) SELECT frame, y, x, round(v / (SELECT max(v) FROM r), 5) AS v FROM
+r"""))
 def i14(spark: SparkSession, sf: str) -> DataFrame:
     f = V.pixels(spark, sf).where("v > 0.1").select(F.col("frame").alias("entity"), "y", "x", F.col("v").alias("w"))
     model = G.reconstructed(f, V.traces(spark, sf)).withColumn("v", F.col("v") / 1000)
@@ -80,7 +84,8 @@ def i14(spark: SparkSession, sf: str) -> DataFrame:
 
 _BOX = """#p AS (SELECT frame AS entity, y, x FROM pixels WHERE v > 0.02), n AS (SELECT a.entity, a.y, a.x FROM p a JOIN p b ON a.entity = b.entity AND pow(a.y - b.y, 2) + pow(a.x - b.x, 2) <= 4 GROUP BY ALL HAVING count(*) >= 6),
 m AS (SELECT entity, median(y) AS cy, median(x) AS cx, min(y) AS a, max(y) AS b, min(x) AS c, max(x) AS d FROM n GROUP BY 1), s AS (SELECT *, 0.7 * least(cy - a, b - cy, cx - c, d - cx) AS size FROM m),
-boxes AS (SELECT entity, round(cy, 5) AS cy, round(cx, 5) AS cx, round(size, 5) AS size, round(greatest(0, least(cy - size, 7)), 5) AS top, round(greatest(0, least(cy + size, 7)), 5) AS bottom, round(greatest(0, least(cx - size, 7)), 5) AS "left", round(greatest(0, least(cx + size, 7)), 5) AS "right" FROM s)"""
+boxes AS (SELECT entity, round(cy, 5) AS cy, round(cx, 5) AS cx, round(size, 5) AS size, round(greatest(0, least(cy - size, 7)), 5) AS top, round(greatest(0, least(cy +
+size, 7)), 5) AS bottom, round(greatest(0, least(cx - size, 7)), 5) AS "left", round(greatest(0, least(cx + size, 7)), 5) AS "right" FROM s)"""
 
 
 def _prints(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,10 +108,14 @@ def i17(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("m17_footprint_features", V.over("pixels", body="""#w AS (SELECT frame AS entity, y, x, CASE WHEN v > 0.02 THEN v ELSE 0 END AS w FROM pixels), s AS (SELECT entity, sum(w) / 64 AS m, sqrt(greatest(sum(w * w) / 64 - pow(sum(w) / 64, 2), 0)) AS s, count(*) FILTER (w > 0) AS c FROM w GROUP BY 1),
-k AS (SELECT w.*, c FROM w JOIN s USING (entity) WHERE w > m + 2 * s), g AS (SELECT entity, count(*) AS area, count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)) AS extent, avg(w) AS mean, stddev_pop(w) AS sd, max(w) AS high, avg(y) AS cy, avg(x) AS cx, var_pop(y) AS yy, var_pop(x) AS xx, covar_pop(y, x) AS xy, any_value(c) AS c FROM k GROUP BY 1),
+k AS (SELECT w.*, c FROM w JOIN s USING (entity) WHERE w > m + 2 * s), g AS (SELECT entity, count(*) AS area, count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1))
+AS extent, avg(w) AS mean, stddev_pop(w) AS sd, max(w) AS high, avg(y) AS cy, avg(x) AS cx, var_pop(y) AS yy, var_pop(x) AS xx, covar_pop(y, x) AS xy, any_value(c) AS c
+FROM k GROUP BY 1),
 e AS (SELECT k.entity, count(*) FILTER (n.entity IS NULL) AS perimeter FROM k, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS d(a, b) LEFT JOIN k n ON n.entity = k.entity AND n.y = k.y + a AND n.x = k.x + b GROUP BY 1),
 q AS (SELECT *, (yy + xx) / 2 AS mid, sqrt(pow((yy - xx) / 2, 2) + pow(xy, 2)) AS half FROM g)
-SELECT entity, area, round(extent, 5) AS extent, round(mean, 5) AS mean, round(sd, 5) AS sd, round(high, 5) AS high, round(cy, 5) AS cy, round(cx, 5) AS cx, round(1 - c / 64, 5) AS sparsity, round(c / 64, 5) AS filled, perimeter, round(CASE WHEN mid + half > 0 THEN sqrt(greatest(1 - (mid - half) / (mid + half), 0)) ELSE 0 END, 5) AS eccentricity FROM q JOIN e USING (entity)"""))
+SELECT entity, area, round(extent, 5) AS extent, round(mean, 5) AS mean, round(sd, 5) AS sd, round(high, 5) AS high, round(cy, 5) AS cy, round(cx, 5) AS cx, round(1 - c /
+64, 5) AS sparsity, round(c / 64, 5) AS filled, perimeter, round(CASE WHEN mid + half > 0 THEN sqrt(greatest(1 - (mid - half) / (mid + half), 0)) ELSE 0 END, 5) AS
+eccentricity FROM q JOIN e USING (entity)"""))
 def m17(spark: SparkSession, sf: str) -> DataFrame:
     return _five(P.footprint_features(_prints(spark, sf), ["entity"], 64))
 

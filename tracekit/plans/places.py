@@ -33,7 +33,8 @@ def t2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BY_SESSION = """#f AS (SELECT *, lap % 2 AS session FROM frames), s AS (SELECT entity, frame, session FROM spikes JOIN f USING (frame)), occ AS (SELECT session, bin, count(*) * 0.1 AS occupancy FROM f GROUP BY ALL),
-rates AS (SELECT session, entity, bin, occupancy, coalesce(n, 0) / occupancy AS rate FROM (SELECT DISTINCT session, entity FROM s) JOIN occ USING (session) LEFT JOIN (SELECT s.session, entity, bin, count(*) AS n FROM s JOIN f USING (frame) GROUP BY ALL) USING (session, entity, bin))"""
+rates AS (SELECT session, entity, bin, occupancy, coalesce(n, 0) / occupancy AS rate FROM (SELECT DISTINCT session, entity FROM s) JOIN occ USING (session) LEFT JOIN
+(SELECT s.session, entity, bin, count(*) AS n FROM s JOIN f USING (frame) GROUP BY ALL) USING (session, entity, bin))"""
 
 
 def _sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -47,14 +48,17 @@ def t4(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.raw_rates(s, f, T.occupancy(f, 0.1, ("session",)), ("session",)))
 
 
-@query("t5_smoothed_both", V.over("frames", "spikes", body=_RATES + f", r AS (SELECT entity, (bin + d + 100) % 100 AS bin, sum(rate * w) AS rate FROM rates, {_KSQL} GROUP BY ALL), o AS (SELECT (bin + d + 100) % 100 AS bin, sum(occupancy * w) AS occupancy FROM occ, {_KSQL} GROUP BY ALL) SELECT entity, bin, round(rate, 6) AS rate, round(occupancy, 6) AS occupancy FROM r JOIN o USING (bin)"))
+@query("t5_smoothed_both", V.over("frames", "spikes", body=_RATES + f""", r AS (SELECT entity, (bin + d + 100) % 100 AS bin, sum(rate * w) AS rate FROM rates, {_KSQL} GROUP BY ALL), o AS (SELECT (bin + d + 100) % 100 AS bin, sum(occupancy *
+w) AS occupancy FROM occ, {_KSQL} GROUP BY ALL) SELECT entity, bin, round(rate, 6) AS rate, round(occupancy, 6) AS occupancy FROM r JOIN o USING (bin)"""))
 def t5(spark: SparkSession, sf: str) -> DataFrame:
     f = _frames(spark, sf)
     occ = T.occupancy(f, 0.1)
     return rounded(T.smoothed_rates(T.raw_rates(V.spikes(spark, sf), f, occ), occ, 100, S.gaussian_kernel(10)))
 
 
-_LAPS = V.over("spikes", body="#f AS (SELECT event_id AS frame, epoch_us(ts) // 86400000000 AS lap, CAST(floor((epoch_us(ts) % 86400000000) / 86400000000.0::DOUBLE * 20) AS INT) AS bin FROM events), occ AS (SELECT lap, bin, count(*) * 0.1 AS occupancy FROM f GROUP BY ALL), laps AS (SELECT lap, entity, bin, coalesce(n, 0) / occupancy AS rate FROM occ CROSS JOIN (SELECT DISTINCT entity FROM spikes) LEFT JOIN (SELECT lap, entity, bin, count(*) AS n FROM spikes JOIN f USING (frame) GROUP BY ALL) USING (lap, entity, bin))")
+_LAPS = V.over("spikes", body="""#f AS (SELECT event_id AS frame, epoch_us(ts) // 86400000000 AS lap, CAST(floor((epoch_us(ts) % 86400000000) / 86400000000.0::DOUBLE * 20) AS INT) AS bin FROM events),
+occ AS (SELECT lap, bin, count(*) * 0.1 AS occupancy FROM f GROUP BY ALL), laps AS (SELECT lap, entity, bin, coalesce(n, 0) / occupancy AS rate FROM occ CROSS JOIN
+(SELECT DISTINCT entity FROM spikes) LEFT JOIN (SELECT lap, entity, bin, count(*) AS n FROM spikes JOIN f USING (frame) GROUP BY ALL) USING (lap, entity, bin))""")
 
 
 @query("t6_lap_rates", _LAPS + " SELECT lap, entity, bin, round(rate, 6) AS rate FROM laps")
@@ -62,7 +66,9 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.rates_by_lap(V.spikes(spark, sf), _frames(spark, sf, 20), 0.1))
 
 
-@query("t13_lap_reliability", _LAPS + ", r AS (SELECT *, avg(rate) OVER (PARTITION BY entity, lap) AS m FROM laps), s AS (SELECT entity, lap, avg(CASE WHEN m > 0 THEN rate / m END) AS strength FROM r WHERE bin BETWEEN entity % 16 AND entity % 16 + 4 GROUP BY ALL) SELECT entity, round(avg(CASE WHEN coalesce(strength > 1, FALSE) THEN 1.0 ELSE 0 END), 6) AS share, count(*) FILTER (coalesce(strength > 1, FALSE)) AS laps FROM s GROUP BY entity")
+@query("t13_lap_reliability", _LAPS + """, r AS (SELECT *, avg(rate) OVER (PARTITION BY entity, lap) AS m FROM laps), s AS (SELECT entity, lap, avg(CASE WHEN m > 0 THEN rate / m END) AS strength FROM r WHERE bin
+BETWEEN entity % 16 AND entity % 16 + 4 GROUP BY ALL) SELECT entity, round(avg(CASE WHEN coalesce(strength > 1, FALSE) THEN 1.0 ELSE 0 END), 6) AS share, count(*) FILTER
+(coalesce(strength > 1, FALSE)) AS laps FROM s GROUP BY entity""")
 def t13(spark: SparkSession, sf: str) -> DataFrame:
     laps = T.rates_by_lap(V.spikes(spark, sf), _frames(spark, sf, 20), 0.1)
     fields = V.spikes(spark, sf).select("entity").distinct().withColumn("bin", F.explode(F.sequence((F.col("entity") % 16).cast("int"), (F.col("entity") % 16 + 4).cast("int"))))
@@ -146,7 +152,10 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.place_tuning(s, f, 0.1, 100, S.gaussian_kernel(10), DRAWS, k=("session",)))
 
 
-@query("t16_field_windows", V.over("frames", "spikes", body="#n AS (SELECT entity, bin, count(*) AS n FROM spikes JOIN frames USING (frame) GROUP BY ALL), p AS (SELECT entity, bin AS peak FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, bin) AS k FROM n) WHERE k = 1) SELECT entity, peak, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 40 AND 65 THEN 'mid' ELSE 'place' END AS one, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 20 AND 70 THEN 'mid' ELSE 'place' END AS two, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 40 AND 70 THEN 'mid' ELSE 'place' END AS stimulus FROM p"))
+@query("t16_field_windows", V.over("frames", "spikes", body="""#n AS (SELECT entity, bin, count(*) AS n FROM spikes JOIN frames USING (frame) GROUP BY ALL), p AS (SELECT entity, bin AS peak FROM (SELECT *, row_number() OVER
+(PARTITION BY entity ORDER BY n DESC, bin) AS k FROM n) WHERE k = 1) SELECT entity, peak, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 40 AND 65 THEN
+'mid' ELSE 'place' END AS one, CASE WHEN peak >= 90 OR peak <= 10 THEN 'start' WHEN peak BETWEEN 20 AND 70 THEN 'mid' ELSE 'place' END AS two, CASE WHEN peak >= 90 OR
+peak <= 10 THEN 'start' WHEN peak BETWEEN 40 AND 70 THEN 'mid' ELSE 'place' END AS stimulus FROM p"""))
 def t16(spark: SparkSession, sf: str) -> DataFrame:
     n = V.spikes(spark, sf).join(_frames(spark, sf), "frame").groupBy("entity", "bin").agg(F.count("*").alias("n"))
     p = n.groupBy("entity").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("peak"))
@@ -162,7 +171,8 @@ def t17(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tests; tails of Student's t in SQL by Simpson's rule over the density
 
-_TAIL = """t_tails AS (SELECT key, 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 400.0, 2) / df, -(df + 1) / 2.0)) * abs(t) / 1200 AS p FROM t_in, unnest(range(401)) AS u(i) GROUP BY key, t, df)"""
+_TAIL = """t_tails AS (SELECT key, 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END *
+pow(1 + pow(abs(t) * i / 400.0, 2) / df, -(df + 1) / 2.0)) * abs(t) / 1200 AS p FROM t_in, unnest(range(401)) AS u(i) GROUP BY key, t, df)"""
 
 
 #: t not rounded, as p is taken from it.
@@ -176,7 +186,8 @@ def h2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h3_paired_t_p", f"""WITH m AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS d FROM events GROUP BY 1),
-t_in AS (SELECT user_id % 10 AS key, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, CAST(count(d) - 1 AS DOUBLE) AS df FROM m GROUP BY 1 HAVING count(d) > 1 AND stddev_samp(d) > 0), {_TAIL} SELECT key AS grp, round(t, 5) AS t, round(p, 5) AS p FROM t_in JOIN t_tails USING (key)""")
+t_in AS (SELECT user_id % 10 AS key, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, CAST(count(d) - 1 AS DOUBLE) AS df FROM m GROUP BY 1 HAVING count(d) > 1 AND
+stddev_samp(d) > 0), {_TAIL} SELECT key AS grp, round(t, 5) AS t, round(p, 5) AS p FROM t_in JOIN t_tails USING (key)""")
 def h3(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
     pairs = V.table(spark, sf, "events").groupBy("user_id").agg(mean("click").alias("a"), mean("view").alias("b")).withColumn("grp", F.col("user_id") % 10)
@@ -211,17 +222,23 @@ def h1b(spark: SparkSession, sf: str) -> DataFrame:
 @query("h6_condition_effect", """WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('click', 'view')),
 s AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM o GROUP BY 1 HAVING na > 0 AND nb > 0),
 d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 1001)) AS u(iter)),
-p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2),
-b AS (SELECT user_id, stddev_pop(diff) AS sd FROM p GROUP BY 1), e AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS diff FROM events GROUP BY 1), f AS (SELECT *, CAST(sign(diff) AS INT) AS sign FROM e WHERE diff IS NOT NULL), m AS (SELECT sign, avg(diff) AS m FROM f WHERE abs(diff) < 30 GROUP BY 1)
+p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND
+o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2),
+b AS (SELECT user_id, stddev_pop(diff) AS sd FROM p GROUP BY 1), e AS (SELECT user_id, avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view')
+AS diff FROM events GROUP BY 1), f AS (SELECT *, CAST(sign(diff) AS INT) AS sign FROM e WHERE diff IS NOT NULL), m AS (SELECT sign, avg(diff) AS m FROM f WHERE abs(diff)
+< 30 GROUP BY 1)
 SELECT f.user_id, round(diff, 6) AS diff, round(sd, 6) AS sd, f.sign, coalesce(abs(diff) >= abs(m), FALSE) AS kept FROM f LEFT JOIN b USING (user_id) LEFT JOIN m ON m.sign = f.sign""")
 def h6(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.condition_effect(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", DRAWS, 30))
 
 
 @query("h7_permuted_bins", V.over("traces", body="""#c AS (SELECT entity, CASE WHEN row_number() OVER w <= count(*) OVER (PARTITION BY entity) // 2 THEN 'a' ELSE 'b' END AS context, frame, value FROM traces WINDOW w AS (PARTITION BY entity ORDER BY frame)),
-n AS (SELECT *, count(*) OVER (PARTITION BY entity, context) AS n, row_number() OVER (PARTITION BY entity, context ORDER BY frame) - 1 AS i FROM c), r AS (SELECT entity, context, CAST(least(i // greatest(n // 10, 1), 9) AS INT) AS bin, avg(value) AS mean FROM n GROUP BY ALL),
-s AS (SELECT entity, context, iter, n, value, row_number() OVER (PARTITION BY entity, context, iter ORDER BY CAST('0x' || substr(md5('13-' || entity || '-' || context || '-' || iter || '-' || frame), 1, 8) AS BIGINT), frame) - 1 AS j FROM n, unnest(range(1, 1001)) AS u(iter)),
-m AS (SELECT entity, context, iter, CAST(least(j // greatest(n // 10, 1), 9) AS INT) AS bin, avg(value) AS m FROM s GROUP BY ALL), g AS (SELECT entity, context, bin, any_value(mean) AS mean, avg(m) AS a, stddev_samp(m) AS s, count(*) AS c FROM m JOIN r USING (entity, context, bin) GROUP BY ALL)
+n AS (SELECT *, count(*) OVER (PARTITION BY entity, context) AS n, row_number() OVER (PARTITION BY entity, context ORDER BY frame) - 1 AS i FROM c), r AS (SELECT entity,
+context, CAST(least(i // greatest(n // 10, 1), 9) AS INT) AS bin, avg(value) AS mean FROM n GROUP BY ALL),
+s AS (SELECT entity, context, iter, n, value, row_number() OVER (PARTITION BY entity, context, iter ORDER BY CAST('0x' || substr(md5('13-' || entity || '-' || context ||
+'-' || iter || '-' || frame), 1, 8) AS BIGINT), frame) - 1 AS j FROM n, unnest(range(1, 1001)) AS u(iter)),
+m AS (SELECT entity, context, iter, CAST(least(j // greatest(n // 10, 1), 9) AS INT) AS bin, avg(value) AS m FROM s GROUP BY ALL), g AS (SELECT entity, context, bin,
+any_value(mean) AS mean, avg(m) AS a, stddev_samp(m) AS s, count(*) AS c FROM m JOIN r USING (entity, context, bin) GROUP BY ALL)
 SELECT entity, context, bin, round(mean, 6) AS mean, round(CASE WHEN s > 0 THEN (a - mean) / (s / sqrt(c)) END, 4) AS t, c - 1 AS df FROM g"""))
 def h7(spark: SparkSession, sf: str) -> DataFrame:
     return _permuted(spark, sf).select("entity", "context", "bin", r("mean"), F.round("t", 4).alias("t"), "df")
@@ -234,7 +251,9 @@ def _permuted(spark: SparkSession, sf: str) -> DataFrame:
     return X.permuted_bins(t, ["entity", "context"], "frame", "value", 10, DRAWS)
 
 
-@query("h8_context_classes", V.over("traces", body="#p AS (SELECT entity, CASE WHEN frame % 2 = 0 THEN 'a' ELSE 'b' END AS c, count(*) FILTER (value / 1000 < 0.05) >= 11 AS ok FROM traces GROUP BY ALL), q AS (SELECT entity, bool_or(ok) FILTER (c = 'a') AS a, bool_or(ok) FILTER (c = 'b') AS b FROM p GROUP BY 1) SELECT entity, CASE WHEN a AND b THEN 'both' WHEN a THEN 'first' WHEN b THEN 'second' ELSE 'none' END AS kind FROM q"))
+@query("h8_context_classes", V.over("traces", body="""#p AS (SELECT entity, CASE WHEN frame % 2 = 0 THEN 'a' ELSE 'b' END AS c, count(*) FILTER (value / 1000 < 0.05) >= 11 AS ok FROM traces GROUP BY ALL), q AS (SELECT
+entity, bool_or(ok) FILTER (c = 'a') AS a, bool_or(ok) FILTER (c = 'b') AS b FROM p GROUP BY 1) SELECT entity, CASE WHEN a AND b THEN 'both' WHEN a THEN 'first' WHEN b
+THEN 'second' ELSE 'none' END AS kind FROM q"""))
 def h8(spark: SparkSession, sf: str) -> DataFrame:
     t = V.traces(spark, sf).select("entity", F.when(F.col("frame") % 2 == 0, "a").otherwise("b").alias("context"), (F.col("value") / 1000).alias("p"))
     return X.context_classes(t, "entity", "context", "p", "a", "b", 11)
@@ -247,7 +266,9 @@ def h8b(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h10_classify_entities", """WITH t AS (SELECT user_id, event_type AS main, avg(value) > 60 AND count(*) > 9 AS hit FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL), h AS (SELECT user_id, string_agg(main, ',' ORDER BY main) AS cues FROM t WHERE hit GROUP BY 1),
-f AS (SELECT user_id, CASE WHEN min(value) < 1 THEN 'place' WHEN min(value) < 2 THEN 'start' END AS class FROM events GROUP BY 1) SELECT u.user_id, CASE WHEN u.user_id % 9 = 0 THEN 'listed' WHEN cues IS NOT NULL THEN 'cue' WHEN class IS NOT NULL THEN class ELSE 'non' END AS kind, coalesce(cues, '') AS cues FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN h USING (user_id) LEFT JOIN f USING (user_id)""")
+f AS (SELECT user_id, CASE WHEN min(value) < 1 THEN 'place' WHEN min(value) < 2 THEN 'start' END AS class FROM events GROUP BY 1) SELECT u.user_id, CASE WHEN u.user_id %
+9 = 0 THEN 'listed' WHEN cues IS NOT NULL THEN 'cue' WHEN class IS NOT NULL THEN class ELSE 'non' END AS kind, coalesce(cues, '') AS cues FROM (SELECT DISTINCT user_id
+FROM events) u LEFT JOIN h USING (user_id) LEFT JOIN f USING (user_id)""")
 def h10(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events")
     tested = e.where("event_type in ('click', 'error')").groupBy("user_id", F.col("event_type").alias("main")).agg((F.avg("value") > 60).alias("higher"), (F.count("*") > 9).alias("significant")).withColumn("comp", F.lit("omit"))
@@ -257,9 +278,13 @@ def h10(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("cues", F.array_join("cues", ","))
 
 
-@query("h12_group_session_tests", f"""WITH s AS (SELECT c_mktsegment AS session, c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS grp, c_acctbal AS balance, CAST(c_custkey % 17 AS DOUBLE) AS share FROM customer), l AS (UNPIVOT (SELECT session, grp, balance, share FROM s) ON balance, share INTO NAME variable VALUE value),
-m AS (SELECT session, variable, avg(value) FILTER (grp = 'a') AS ma, avg(value) FILTER (grp = 'b') AS mb, var_samp(value) FILTER (grp = 'a') AS va, var_samp(value) FILTER (grp = 'b') AS vb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM l GROUP BY ALL),
-t_in AS (SELECT session || '-' || variable AS key, session, variable, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) AS t, CAST(na + nb - 2 AS DOUBLE) AS df FROM m), {_TAIL} SELECT session, variable, round(t, 6) AS t, CAST(df AS BIGINT) AS df, round(p, 5) AS p FROM t_in JOIN t_tails USING (key)""")
+@query("h12_group_session_tests", f"""WITH s AS (SELECT c_mktsegment AS session, c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS grp, c_acctbal AS balance, CAST(c_custkey % 17 AS DOUBLE) AS
+share FROM customer), l AS (UNPIVOT (SELECT session, grp, balance, share FROM s) ON balance, share INTO NAME variable VALUE value),
+m AS (SELECT session, variable, avg(value) FILTER (grp = 'a') AS ma, avg(value) FILTER (grp = 'b') AS mb, var_samp(value) FILTER (grp = 'a') AS va, var_samp(value) FILTER
+(grp = 'b') AS vb, count(*) FILTER (grp = 'a') AS na, count(*) FILTER (grp = 'b') AS nb FROM l GROUP BY ALL),
+t_in AS (SELECT session || '-' || variable AS key, session, variable, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) AS t,
+CAST(na + nb - 2 AS DOUBLE) AS df FROM m), {_TAIL} SELECT session, variable, round(t, 6) AS t, CAST(df AS BIGINT) AS df, round(p, 5) AS p FROM t_in JOIN t_tails USING
+(key)""")
 def h12(spark: SparkSession, sf: str) -> DataFrame:
     c = V.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("session"), F.when(F.col("c_nationkey") % 2 == 0, "a").otherwise("b").alias("grp"), F.col("c_acctbal").alias("balance"), (F.col("c_custkey") % 17).cast("double").alias("share"))
     return X.session_tests(c, ["session"], "grp", ["balance", "share"], "a", "b").select("session", "variable", r("t"), "df", F.round("p", 5).alias("p"))

@@ -130,7 +130,8 @@ def w3(spark: SparkSession, sf: str) -> DataFrame:
 
 _MINIMA = """#n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM traces),
 b AS (SELECT *, lag(frame) OVER w AS pf, lag(value) OVER w AS pv, lead(frame) OVER w AS nf, lead(value) OVER w AS nv FROM n WHERE value < 100 WINDOW w AS (PARTITION BY entity ORDER BY frame)),
-s AS (SELECT *, CASE WHEN pf IS NULL THEN CASE WHEN frame > 1 THEN -1 ELSE 1 END WHEN frame - pf > 1 THEN -1 ELSE sign(value - pv) END AS l, CASE WHEN nf IS NULL THEN CASE WHEN n - frame > 1 THEN 1 ELSE -1 END WHEN nf - frame > 1 THEN 1 ELSE sign(nv - value) END AS r FROM b),
+s AS (SELECT *, CASE WHEN pf IS NULL THEN CASE WHEN frame > 1 THEN -1 ELSE 1 END WHEN frame - pf > 1 THEN -1 ELSE sign(value - pv) END AS l, CASE WHEN nf IS NULL THEN
+CASE WHEN n - frame > 1 THEN 1 ELSE -1 END WHEN nf - frame > 1 THEN 1 ELSE sign(nv - value) END AS r FROM b),
 t AS (SELECT *, first_value(CASE WHEN r <> 0 THEN r END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rr FROM s)
 SELECT entity, frame, round(value, 6) AS value FROM t WHERE l < 0 AND rr > 0"""
 
@@ -391,7 +392,9 @@ def a28(spark: SparkSession, sf: str) -> DataFrame:
     return G.consecutive_pairs(V.table(spark, sf, "orders"), ["o_custkey"], "o_orderkey")
 
 
-_TT = "#s AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS ma, avg(value) FILTER (event_type = 'view') AS mb, var_samp(value) FILTER (event_type = 'click') AS va, var_samp(value) FILTER (event_type = 'view') AS vb, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM events GROUP BY 1) SELECT user_id, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 6) AS t, na + nb - 2 AS df FROM s WHERE na > 1 AND nb > 1"
+_TT = """#s AS (SELECT user_id, avg(value) FILTER (event_type = 'click') AS ma, avg(value) FILTER (event_type = 'view') AS mb, var_samp(value) FILTER (event_type = 'click') AS va,
+var_samp(value) FILTER (event_type = 'view') AS vb, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM events GROUP BY 1)
+SELECT user_id, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)), 6) AS t, na + nb - 2 AS df FROM s WHERE na > 1 AND nb > 1"""
 
 
 @query("h2_t_test", "WITH " + _TT[1:])
@@ -411,7 +414,8 @@ def h1(spark: SparkSession, sf: str) -> DataFrame:
 @query("h5_bootstrap_sd", """WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('click', 'view')),
 s AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb FROM o GROUP BY 1 HAVING na > 0 AND nb > 0),
 d AS (SELECT user_id, g.event_type, CASE WHEN g.event_type = 'click' THEN na ELSE nb END AS m, iter, unnest(range(1, greatest(na, nb) + 1)) AS j FROM s, (VALUES ('click'), ('view')) AS g(event_type), unnest(range(1, 1001)) AS u(iter)),
-p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2)
+p AS (SELECT d.user_id, iter, avg(value) FILTER (d.event_type = 'click') - avg(value) FILTER (d.event_type = 'view') AS diff FROM d JOIN o ON o.user_id = d.user_id AND
+o.event_type = d.event_type AND o.i = CAST('0x' || substr(md5('11-' || d.user_id || '-' || d.event_type || '-' || iter || '-' || j), 1, 8) AS BIGINT) % m GROUP BY 1, 2)
 SELECT user_id, round(stddev_pop(diff), 6) AS sd FROM p GROUP BY 1""")
 def h5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.bootstrap_sd(V.table(spark, sf, "events"), ["user_id"], "event_type", "value", "event_id", "click", "view", DRAWS))
@@ -452,7 +456,9 @@ def m19(spark: SparkSession, sf: str) -> DataFrame:
 _CUTS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
 
-@query("m20_best_threshold", _BINARY + f", g AS (SELECT threshold, sqrt(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0 END) FILTER (quality = 1) * avg(CASE WHEN score >= threshold THEN 0.0 ELSE 1 END) FILTER (quality = 0)) AS value FROM b, unnest({_CUTS}::DOUBLE[]) AS u(threshold) GROUP BY 1) SELECT threshold, round(value, 6) AS value FROM g ORDER BY round(g.value, 12) DESC, threshold LIMIT 1")
+@query("m20_best_threshold", _BINARY + f""", g AS (SELECT threshold, sqrt(avg(CASE WHEN score >= threshold THEN 1.0 ELSE 0 END) FILTER (quality = 1) * avg(CASE WHEN score >= threshold THEN 0.0 ELSE 1 END) FILTER
+(quality = 0)) AS value FROM b, unnest({_CUTS}::DOUBLE[]) AS u(threshold) GROUP BY 1) SELECT threshold, round(value, 6) AS value FROM g ORDER BY round(g.value, 12) DESC,
+threshold LIMIT 1""")
 def m20(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.best_threshold(_binary(spark, sf), "quality", "score", _CUTS))
 
@@ -525,7 +531,9 @@ def p8(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "events").select("event_id", S.bin_index(F.col("value"), 0, 500, 20).alias("bin"))
 
 
-@query("p19_downsample_factor", "SELECT p_partkey, CASE WHEN h BETWEEN 400 AND 650 OR w BETWEEN 400 AND 650 THEN 2 WHEN h BETWEEN 651 AND 900 OR w BETWEEN 651 AND 900 THEN 3 WHEN h BETWEEN 901 AND 1200 OR w BETWEEN 901 AND 1200 THEN 4 WHEN h BETWEEN 1201 AND 1500 OR w BETWEEN 1201 AND 1500 THEN 5 ELSE 1 END AS factor FROM (SELECT p_partkey, p_size * 30 AS h, p_partkey % 1600 AS w FROM part)")
+@query("p19_downsample_factor", """SELECT p_partkey, CASE WHEN h BETWEEN 400 AND 650 OR w BETWEEN 400 AND 650 THEN 2 WHEN h BETWEEN 651 AND 900 OR w BETWEEN 651 AND 900 THEN 3 WHEN h BETWEEN 901 AND 1200
+OR w BETWEEN 901 AND 1200 THEN 4 WHEN h BETWEEN 1201 AND 1500 OR w BETWEEN 1201 AND 1500 THEN 5 ELSE 1 END AS factor FROM (SELECT p_partkey, p_size * 30 AS h, p_partkey %
+1600 AS w FROM part)""")
 def p19(spark: SparkSession, sf: str) -> DataFrame:
     return V.table(spark, sf, "part").select("p_partkey", S.downsample_factor(F.col("p_size") * 30, F.col("p_partkey") % 1600).alias("factor"))
 
@@ -569,7 +577,9 @@ def k1(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(V.table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_totalprice").alias("total")), allowMissingColumns=True)
 
 
-@query("k3_intersect_except", "(SELECT user_id, 'both' AS kind FROM events WHERE event_type = 'error' AND value > 90 INTERSECT SELECT user_id, 'both' FROM events WHERE event_type = 'click' AND value > 90) UNION ALL (SELECT user_id, 'only' FROM events WHERE event_type = 'error' AND value > 90 EXCEPT SELECT user_id, 'only' FROM events WHERE event_type = 'click' AND value > 90)")
+@query("k3_intersect_except", """(SELECT user_id, 'both' AS kind FROM events WHERE event_type = 'error' AND value > 90 INTERSECT SELECT user_id, 'both' FROM events WHERE event_type = 'click' AND value >
+90) UNION ALL (SELECT user_id, 'only' FROM events WHERE event_type = 'error' AND value > 90 EXCEPT SELECT user_id, 'only' FROM events WHERE event_type = 'click' AND value
+> 90)""")
 def k3(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events").where("value > 90")
     a, b = (e.where(F.col("event_type") == t).select("user_id") for t in ("error", "click"))

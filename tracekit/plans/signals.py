@@ -36,7 +36,8 @@ def _tops(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w6_peak_shape", V.over("traces", body="#" + _TOPS + """,
 n AS (SELECT t.entity, p, frame, value FROM tops JOIN traces t ON t.entity = tops.entity AND frame BETWEEN p - 5 AND p + 7)
-SELECT entity, p AS frame, round(max(value) FILTER (frame BETWEEN p AND p + 5), 6) AS top, CAST(arg_min(frame, struct_pack(a := -value, b := frame)) FILTER (frame BETWEEN p AND p + 5) AS INT) AS top_at, round(min(value) FILTER (frame BETWEEN p - 3 AND p - 1), 6) AS low,
+SELECT entity, p AS frame, round(max(value) FILTER (frame BETWEEN p AND p + 5), 6) AS top, CAST(arg_min(frame, struct_pack(a := -value, b := frame)) FILTER (frame BETWEEN
+p AND p + 5) AS INT) AS top_at, round(min(value) FILTER (frame BETWEEN p - 3 AND p - 1), 6) AS low,
   round(max(value) FILTER (frame BETWEEN p AND p + 5) - min(value) FILTER (frame BETWEEN p - 3 AND p - 1), 6) AS amplitude, round(list_sum(list(value)), 6) AS total, count(*) AS held, round(arg_min(value, frame), 6) AS first FROM n GROUP BY entity, p"""))
 def w6(spark: SparkSession, sf: str) -> DataFrame:
     out = P.peak_shapes(_series(spark, sf), _tops(spark, sf), E, O, X, reach=6, before=5, after=8)
@@ -46,7 +47,8 @@ def w6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("w7_quiet_zscore", V.over("traces", body="#" + _TOPS + """,
-s AS (SELECT t.entity, p, avg(value) AS m, stddev_pop(value) AS s FROM tops JOIN traces t ON t.entity = tops.entity AND frame >= CASE WHEN p < 20 THEN 0 ELSE p - 20 END AND frame < CASE WHEN p < 20 THEN p ELSE p - 5 END GROUP BY 1, 2 HAVING stddev_pop(value) > 0),
+s AS (SELECT t.entity, p, avg(value) AS m, stddev_pop(value) AS s FROM tops JOIN traces t ON t.entity = tops.entity AND frame >= CASE WHEN p < 20 THEN 0 ELSE p - 20 END
+AND frame < CASE WHEN p < 20 THEN p ELSE p - 5 END GROUP BY 1, 2 HAVING stddev_pop(value) > 0),
 b AS (SELECT *, floor((s - min(s) OVER w) / nullif(max(s) OVER w - min(s) OVER w, 0) * 10) AS b FROM s WINDOW w AS (PARTITION BY entity)),
 q AS (SELECT entity, avg(m) AS m, avg(s) AS s FROM b WHERE b = 0 GROUP BY 1) SELECT t.entity, CAST(frame AS INT) AS frame, round((value - m) / s, 6) AS z FROM traces t LEFT JOIN q USING (entity)"""))
 def w7(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,8 +80,10 @@ def w9(spark: SparkSession, sf: str) -> DataFrame:
 @query("w10_find_peaks", V.over("traces", body="""#g AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY entity ORDER BY frame) THEN 0 ELSE 1 END AS c FROM traces), h AS (SELECT *, sum(c) OVER (PARTITION BY entity ORDER BY frame) AS g FROM g),
 u AS (SELECT entity, g, min(frame) AS a, max(frame) AS b, min(value) AS v FROM h GROUP BY entity, g), m AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS n FROM u WINDOW w AS (PARTITION BY entity ORDER BY g)),
 p AS (SELECT entity, (a + b) // 2 AS p, v FROM m WHERE v > l AND v > n AND v >= 100),
-lo AS (SELECT p.entity, p, coalesce(max(frame), -1) AS lo FROM p LEFT JOIN traces t ON t.entity = p.entity AND frame < p AND value > v GROUP BY 1, 2), hi AS (SELECT p.entity, p, coalesce(min(frame), 1000000) AS hi FROM p LEFT JOIN traces t ON t.entity = p.entity AND frame > p AND value > v GROUP BY 1, 2),
-b AS (SELECT p.entity, p.p, v, min(value) FILTER (frame <= p.p) AS lm, min(value) FILTER (frame >= p.p) AS rm FROM p JOIN lo USING (entity, p) JOIN hi USING (entity, p) JOIN traces t ON t.entity = p.entity AND frame > lo AND frame < hi GROUP BY 1, 2, 3)
+lo AS (SELECT p.entity, p, coalesce(max(frame), -1) AS lo FROM p LEFT JOIN traces t ON t.entity = p.entity AND frame < p AND value > v GROUP BY 1, 2), hi AS (SELECT
+p.entity, p, coalesce(min(frame), 1000000) AS hi FROM p LEFT JOIN traces t ON t.entity = p.entity AND frame > p AND value > v GROUP BY 1, 2),
+b AS (SELECT p.entity, p.p, v, min(value) FILTER (frame <= p.p) AS lm, min(value) FILTER (frame >= p.p) AS rm FROM p JOIN lo USING (entity, p) JOIN hi USING (entity, p)
+JOIN traces t ON t.entity = p.entity AND frame > lo AND frame < hi GROUP BY 1, 2, 3)
 SELECT entity, CAST(p AS INT) AS frame, round(v, 6) AS value, round(v - greatest(lm, rm), 6) AS prominence FROM b WHERE v - greatest(lm, rm) >= 50"""))
 def w10(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.find_peaks(_series(spark, sf), E, O, X, height=100, distance=1, prominence=50))
@@ -87,7 +91,9 @@ def w10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w18_dejitter_clock", """WITH e AS (SELECT user_id AS entity, event_id, epoch_us(ts) / 1e6 AS t, epoch_us(ts) // 1000 - (event_id % 7) * 40 AS ms FROM events),
 n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY entity) AS n, t - ((ms - first_value(ms) OVER w) / 1000 + first_value(t) OVER w) AS a FROM e WINDOW w AS (PARTITION BY entity ORDER BY event_id)),
-m AS (SELECT *, a - CASE WHEN n <= 11 THEN avg(a) OVER (PARTITION BY entity) ELSE (sum(a) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + greatest(0, 5 - i) * first_value(a) OVER (PARTITION BY entity ORDER BY i) + greatest(0, i + 6 - n) * last_value(a) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 11 END AS d FROM n)
+m AS (SELECT *, a - CASE WHEN n <= 11 THEN avg(a) OVER (PARTITION BY entity) ELSE (sum(a) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) +
+greatest(0, 5 - i) * first_value(a) OVER (PARTITION BY entity ORDER BY i) + greatest(0, i + 6 - n) * last_value(a) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN
+UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / 11 END AS d FROM n)
 SELECT event_id, round(CASE WHEN d > 0.02 THEN t - d ELSE t END - 1704067200, 4) AS t_adjusted FROM m""")
 def w18(spark: SparkSession, sf: str) -> DataFrame:
     e = V.events(spark, sf).select("user_id", "event_id", (F.col("us") / 1e6).alias("t"), (F.expr("us div 1000") - F.col("event_id") % 7 * 40).alias("ms"))
