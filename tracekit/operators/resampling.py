@@ -23,9 +23,10 @@ from tracekit.sources.scratch import written
 BIG, STEP, SENT = 1 << 20, 1 << 22, 1 << 24
 
 
-def draws(texts: Iterator[str]) -> np.ndarray:
-    """The 32 bits of each text that ``scalars.hashed`` takes."""
-    return np.frombuffer(b"".join(md5(x.encode()).digest()[:4] for x in texts), dtype=">u4").astype(np.int64)
+def draws(prefix: str, ends: list[bytes]) -> np.ndarray:
+    """The 32 bits that ``scalars.hashed`` takes of the prefix with each of the ends."""
+    head = prefix.encode()
+    return np.frombuffer(b"".join([md5(head + x).digest() for x in ends]), dtype=">u4")[::4].astype(np.int64)
 
 
 def _types(df: DataFrame, columns: list[str] | tuple[str, ...]) -> str:
@@ -108,7 +109,7 @@ def shuffled_counts(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7,
     else:
         rows = rows.join(laps, laps_of).repartition(*keys)
     rows = rows.sortWithinPartitions(*keys).select(*keys, "lap", *[F.concat_ws("-", *[F.col(c).cast("string") for c in laps_of]).alias("lap_name")], "places", "lap_bins")
-    width, prefix = len(keys), f"{seed}-"
+    width = len(keys)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
         offsets: dict[str, np.ndarray] = {}
@@ -125,7 +126,7 @@ def shuffled_counts(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7,
                 if name not in offsets:
                     if len(offsets) > 1 << 12:
                         offsets.clear()
-                    offsets[name] = draws(f"{prefix}{s}-{name}" for s in range(1, n + 1))
+                    offsets[name] = draws(f"{seed}-", [f"{s}-{name}".encode() for s in range(1, n + 1)])
                 twice, back = np.concatenate([lap, lap]), lap.size - offsets[name] % lap.size
                 each = max(1, STEP // n)
                 for lo in range(0, places.size, each):
@@ -195,12 +196,12 @@ def sampled_deviation(groups: DataFrame, k: list[str], a: object, b: object, n:
                 name = batch.column(width)[r].as_py()
                 sides = [batch.column(width + 1 + s)[r].values.to_numpy(zero_copy_only=False) for s in range(2)]
                 big = max(x.size for x in sides)
-                mean = np.zeros((2, n))
+                mean, ends = np.zeros((2, n)), [b"%d" % j for j in range(1, big + 1)]
                 for s, (values, group) in enumerate(zip(sides, (a, b), strict=True)):
                     each = max(1, STEP // big)
                     for lo in range(1, n + 1, each):
                         its = range(lo, min(n, lo + each - 1) + 1)
-                        at = draws(f"{seed}-{name}{group}-{i}-{j}" for i in its for j in range(1, big + 1)) % values.size
+                        at = np.concatenate([draws(f"{seed}-{name}{group}-{i}-", ends) for i in its]) % values.size
                         drawn = values[at].reshape(len(its), big)
                         with np.errstate(invalid="ignore"):
                             mean[s, lo - 1 : lo - 1 + len(its)] = np.nansum(drawn, axis=1) / (~np.isnan(drawn)).sum(axis=1)
@@ -223,7 +224,7 @@ def permuted_means(series: DataFrame, k: list[str], bins: int, n: int, seed: int
             out = []
             for r in range(batch.num_rows):
                 name = batch.column(width)[r].as_py()
-                orders = batch.column(width + 1)[r].as_py()
+                ends = [x.encode() for x in batch.column(width + 1)[r].as_py()]
                 values = batch.column(width + 2)[r].values.to_numpy(zero_copy_only=False)
                 size = values.size
                 step = max(size // bins, 1)
@@ -233,7 +234,7 @@ def permuted_means(series: DataFrame, k: list[str], bins: int, n: int, seed: int
                     real = np.add.reduceat(np.nan_to_num(values), edges) / count
                     means = np.empty((n, edges.size))
                     for i in range(1, n + 1):
-                        by = np.argsort(draws(f"{seed}-{name}{i}-{o}" for o in orders), kind="stable")
+                        by = np.argsort(draws(f"{seed}-{name}{i}-", ends), kind="stable")
                         x = values[by]
                         means[i - 1] = np.add.reduceat(np.nan_to_num(x), edges) / np.add.reduceat((~np.isnan(x)).astype(float), edges)
                 for b in range(edges.size):
