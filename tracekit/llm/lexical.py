@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from tracekit.llm import bytehash as bh
 from tracekit.llm.shared import frugal, numbered, shared_folder, stored
 
-#: Bytes of text that make one segment; postings of the items' terms that are looked at together; pairs of items and documents scored at once; terms of the items of one block.
-SEGMENT, TOGETHER, STEP, TERMS = 1 << 23, 1 << 21, 1 << 21, 1 << 19
+#: Bytes of text that make one segment; postings of the items' terms that are looked at together; pairs of items and documents scored at once; terms of the items of one block; bytes of a row
+#: group of the index, which bound what its writer and its reader hold, however large a task's share is.
+SEGMENT, TOGETHER, STEP, TERMS, GROUP = 1 << 23, 1 << 21, 1 << 21, 1 << 19, 1 << 22
 INDEX = "m long, ids array<long>, terms array<long>, groups array<int>, tfs array<int>, sizes array<int>, docs array<int>"
 
 
@@ -115,7 +116,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
                     ["m", "ids", "terms", "groups", "tfs", "sizes", "docs"],
                 )
 
-    return Index(stored(source.mapInArrow(frugal(build), INDEX), "strata"), total.documents, total.terms)
+    return Index(stored(source.mapInArrow(frugal(build), INDEX), "strata", group=GROUP), total.documents, total.terms)
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -211,16 +212,14 @@ def _visit(strata: list[_Stratum], block: Block, weight: np.ndarray, keep: int)
     best, items = _Best(block.rows.size, keep), block.rows.size
     held = np.diff(block.first)
     value = weight[np.repeat(np.arange(held.size), held)] * block.times
-    bounds = np.zeros((len(strata), items), dtype=np.int64)
+    largest, bound = np.zeros(len(strata), dtype=np.int64), np.zeros(items, dtype=np.int64)
     for k, s in enumerate(strata):
-        at = _runs(s.rank)
-        top = np.maximum.reduceat(s.impact, at) if at.size else at
-        rank = s.rank[at]
-        to = _ranges(block.first[rank], held[rank])
-        np.add.at(bounds[k], block.item[to], value[to] * np.repeat(top, held[rank]))
-    for k in np.argsort(-bounds.max(axis=1, initial=0), kind="stable").tolist():
+        largest[k] = _bound(s, block, value, held, bound).max(initial=0)
+    for k in np.argsort(-largest, kind="stable").tolist():
         s = strata[k]
-        open_ = np.flatnonzero((bounds[k] > 0) & (bounds[k] >= best.least))
+        # made once more: bounds of all strata and items at once would be a table of both
+        of = _bound(s, block, value, held, bound)
+        open_ = np.flatnonzero((of > 0) & (of >= best.least))
         each = max(1, STEP // max(1, s.ids.size))
         for lo in range(0, open_.size, each):
             chosen = open_[lo : lo + each]
@@ -235,6 +234,17 @@ def _visit(strata: list[_Stratum], block: Block, weight: np.ndarray, keep: int)
     return best
 
 
+def _bound(s: _Stratum, block: Block, value: np.ndarray, held: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The most that a document of the stratum can score for each item, in ``out``."""
+    at = _runs(s.rank)
+    top = np.maximum.reduceat(s.impact, at) if at.size else at
+    rank = s.rank[at]
+    to = _ranges(block.first[rank], held[rank])
+    out[:] = 0
+    np.add.at(out, block.item[to], value[to] * np.repeat(top, held[rank]))
+    return out
+
+
 def _scores(s: _Stratum, block: Block, value: np.ndarray, chosen: np.ndarray, items: int) -> np.ndarray:
     """Scores of the documents of a stratum (columns) for the chosen items (rows)."""
     slot = np.full(items, -1, dtype=np.int64)
@@ -271,7 +281,8 @@ def _strata(batch: pa.RecordBatch, vocabulary: np.ndarray) -> Iterator[_Stratum]
         tf = tfs.to_numpy()[at].astype(np.int64)
         posting = _ranges((np.cumsum(sizes) - sizes)[at], sizes[at])
         missing = ids.is_null().to_numpy(zero_copy_only=False)
-        yield _Stratum(m, ids.fill_null(0).to_numpy(), missing, np.repeat(rank, groups[on]), 1_000_000_000 * tf // (1000 * tf + 12 * m), sizes[at], docs.to_numpy()[posting].astype(np.int64))
+        # ids are copied, as a view would hold the whole batch for as long as the stratum waits
+        yield _Stratum(m, np.array(ids.fill_null(0)), missing, np.repeat(rank, groups[on]), 1_000_000_000 * tf // (1000 * tf + 12 * m), sizes[at], docs.to_numpy()[posting].astype(np.int64))
 
 
 def _search_block(found: Index, block: Block, keep: int) -> DataFrame:

@@ -26,11 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts the lineage and survives lost executors. ``group``: bytes of a row group, for rows that are large."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    if group:  # sizes are checked after so many rows only: as few as rows may be large
+        out = out.option("parquet.block.size", group).option("parquet.page.size.row.check.min", 16)
+    out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
