@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracekit.sources.scratch import written
 
-#: Rows of one key that one task takes, cells that are indexed at once, frames whose bins are sent to all tasks (64 MB).
+#: Rows of one key that one task takes, cells that are indexed at once, frames whose bins one task takes (32 MB twice over up to 255 bins, else 64 MB).
 BIG, STEP, SENT = 1 << 20, 1 << 22, 1 << 24
 
 
@@ -33,143 +33,193 @@ def _types(df: DataFrame, columns: list[str] | tuple[str, ...]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
-    """Slices of equal leading columns, each with its key, in the order they come; a group may come in several slices."""
-    for batch in batches:
-        n = batch.num_rows
-        new = np.zeros(n, dtype=bool)
-        for c in range(keys):
-            codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
-            new[1:] |= codes[1:] != codes[:-1]
-        edges = [0, *np.flatnonzero(new).tolist(), n] if n else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b > a:
-                yield tuple(batch.column(c)[a].as_py() for c in range(keys)), batch.slice(a, b - a)
+def _groups(batch: pa.RecordBatch, first: int, keys: int) -> Iterator[tuple[tuple, int, int]]:
+    """(key, rows, first row) of each stretch of a batch with equal values in ``keys`` columns from ``first`` on, in the order they come; a key may go on in the next batch."""
+    n = batch.num_rows
+    new = np.zeros(n, dtype=bool)
+    for c in range(first, first + keys):
+        codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), n] if n else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield tuple(batch.column(c)[a].as_py() for c in range(first, first + keys)), b - a, a
 
 
-def _nonzero(matrix: np.ndarray, p: float) -> list[tuple[int, list[int], list[int]]]:
+def _nonzero(matrix: np.ndarray, p: float) -> list[pa.Array]:
     """(bin, numbers of the draws that reach it from 1, their counts) of a matrix of draws and bins."""
-    out = []
-    for b in np.flatnonzero(matrix.any(axis=0)).tolist():
-        at = np.flatnonzero(matrix[:, b])
-        out.append((b, (at + 1).tolist(), matrix[at, b].tolist()))
-    return out
+    bin_, draw = np.nonzero(matrix.T)
+    edges = np.flatnonzero(np.diff(bin_, prepend=-1))
+    lists = pa.array(np.append(edges, bin_.size).astype(np.int32))
+    return [pa.array(bin_[edges].astype(np.int32)), pa.ListArray.from_arrays(lists, pa.array((draw + 1).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(matrix[draw, bin_].astype(np.int32)))]
 
 
-def _peaks(matrix: np.ndarray, p: float) -> list[tuple[list[int]]]:
+def _marks(matrix: np.ndarray, p: float) -> list[pa.Array]:
+    """(bin, how many draws reach it, their counts in all and at most, the sum of number and count) of the bins that any draw reaches."""
+    some = np.flatnonzero(matrix.any(axis=0))
+    held = matrix[:, some].astype(np.int64)
+    mark = np.arange(1, held.shape[0] + 1) @ held
+    return [pa.array(x) for x in (some.astype(np.int32), (held > 0).sum(axis=0), held.sum(axis=0), held.max(axis=0, initial=0), mark)]
+
+
+def _peaks(matrix: np.ndarray, p: float) -> list[pa.Array]:
     """The largest count of each draw."""
-    return [(matrix.max(axis=1).tolist(),)]
+    return [pa.ListArray.from_arrays(pa.array([0, matrix.shape[0]], pa.int32()), pa.array(matrix.max(axis=1).astype(np.int32)))]
 
 
-def _limits(matrix: np.ndarray, p: float) -> list[tuple[int, float, int]]:
+def _limits(matrix: np.ndarray, p: float) -> list[pa.Array]:
     """(bin, the count at the share ``p`` of the draws, as a line between two, sum of the counts) of the bins that any draw reaches."""
     some = np.flatnonzero(matrix.any(axis=0))
     place = p * (matrix.shape[0] - 1)
     low = int(place)
-    top = np.sort(matrix[:, some], axis=0)
-    at, above = top[low].astype(float), top[min(low + 1, matrix.shape[0] - 1)]
+    high = min(low + 1, matrix.shape[0] - 1)
+    top = np.partition(np.ascontiguousarray(matrix[:, some].T), (low, high), axis=1)
+    at, above = top[:, low].astype(float), top[:, high]
     limit = at + (above - at) * (place - low)
-    return list(zip(some.tolist(), limit.tolist(), matrix[:, some].sum(axis=0).tolist(), strict=True))
+    return [pa.array(some.astype(np.int32)), pa.array(limit), pa.array(matrix[:, some].sum(axis=0, dtype=np.int64))]
 
 
 #: What is told of the counts of one curve, and its columns.
 TOLD: dict[str, tuple[Callable, str]] = {
     "bins": (_nonzero, "bin int, draws array<int>, counts array<int>"),
+    "marks": (_marks, "bin int, reached long, total long, most long, mark long"),
     "peaks": (_peaks, "peaks array<int>"),
     "limits": (_limits, "bin int, null_limit double, null_total long"),
 }
 
 
-def shuffled_counts(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7, k: tuple[str, ...] = (), told: str = "bins", p: float = 0.99, big: int = BIG) -> DataFrame:
+def parts_of(df: DataFrame, work: int, least: int = 1 << 24) -> int:
+    """Into how many tasks ``work`` (numbers drawn) is dealt: one for ``least`` each, as many as shuffles have by default at most.
+
+    Rows are few and small beside the work on them, so sizes of shuffles, by which Spark joins small partitions, say nothing of it.
+    """
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // least)))
+
+
+def shuffled_counts(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7, k: tuple[str, ...] = (), told: str = "bins", p: float = 0.99, big: int = BIG, sent: int | None = None) -> DataFrame:
     """Counts by bin of spikes (k, entity, frame) over frames (k, frame, lap, bin >= 0) after the positions of each lap are rolled by a hashed offset, for each of n draws.
 
-    ``told`` = bins: (k, entity, bin, draws, counts), the draws that reach a bin and how often each does. ``peaks``: (k, entity, peaks), the largest count of each draw. ``limits``:
+    ``told`` = bins: (k, entity, bin, draws, counts), the draws that reach a bin and how often each does. ``marks``: (k, entity, bin, reached, total, most, mark), how many draws reach a bin, their
+    counts in all and at most, and the sum of each draw's number times its count. ``peaks``: (k, entity, peaks), the largest count of each draw. ``limits``:
     (k, entity, bin, null_limit, null_total), the count at the share ``p`` of the draws and the sum over all, for bins that any draw reaches.
 
-    A lap's bins are one array, met once for all spikes of an entity in it; the counts of an entity are one matrix of draws and bins. Spikes of frames that are not known, and rows with a null key, are left out.
+    A lap's bins are one array, which each task gets once, before the places of all its entities' spikes in it; the counts of an entity are one matrix of draws and bins. Over ``sent`` frames (``SENT``) the
+    laps are dealt to groups, and the counts of an entity are added up over them. Spikes of frames that are not known, and rows with a null key, are left out.
     """
     laps_of = [*k, "lap"]
     by = Window.partitionBy(*laps_of)
-    placed = frames.select(*laps_of, "frame", F.col("bin").cast("int").alias("bin"), (F.row_number().over(by.orderBy("frame")) - 1).alias("i"))
-    laps = placed.groupBy(*laps_of).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "bin"))), lambda x: x["bin"]).alias("lap_bins"))
+    placed = frames.select(*laps_of, "frame", F.col("bin").cast("int").alias("bin"), (F.row_number().over(by.orderBy("frame")) - 1).alias("i")).dropna(subset=laps_of)
     total = frames.agg(F.coalesce(F.max("bin"), F.lit(-1)).alias("top"), F.count("*").alias("n")).first()
-    bins = int(total.top) + 1
+    bins, groups = int(total.top) + 1, max(1, -(-int(total.n) // (sent or SENT)))
+    entity = [*k, "entity"]
     own = spikes.join(placed.select(*laps_of, "frame", "i"), [*k, "frame"])
     # at most one row for each ``big`` spikes: bounded by the input over it
-    hot = written(own.groupBy(*k, "entity").agg(F.ceil(F.count("*") / big).alias("parts")).where("parts > 1"), "hot")
+    sizes = own.groupBy(*entity).agg(F.count("*").alias("spikes"))
+    hot = written(sizes.where(F.col("spikes") > big).select(*entity, F.ceil(F.col("spikes") / big).alias("parts")), "hot")
     split = hot.count() > 0
     if split:
-        own = own.join(F.broadcast(hot), [*k, "entity"], "left").withColumn("part", F.pmod(F.xxhash64("frame", "lap"), "parts").cast("int"))
+        own = own.join(F.broadcast(hot), entity, "left").withColumn("part", F.pmod(F.xxhash64("frame", "lap"), "parts").cast("int"))
     else:
         own = own.withColumn("part", F.lit(None).cast("int"))
-    keys = [*k, "entity", "part"]
-    rows = own.groupBy(*keys, "lap").agg(F.collect_list("i").alias("places"))
-    if total.n <= SENT:
-        rows = rows.repartition(*keys).join(F.broadcast(laps), laps_of)
-    else:
-        rows = rows.join(laps, laps_of).repartition(*keys)
-    rows = rows.sortWithinPartitions(*keys).select(*keys, "lap", *[F.concat_ws("-", *[F.col(c).cast("string") for c in laps_of]).alias("lap_name")], "places", "lap_bins")
+    in_group = F.pmod(F.xxhash64(*laps_of, F.lit(groups)), F.lit(groups)).cast("int")
+    if groups > 1:
+        own = own.withColumn("part", F.coalesce("part", F.lit(0)) * groups + in_group)
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in laps_of])
+    keys = [*entity, "part"]
+    tasks = parts_of(spikes, spikes.count() * n)
+    slot = F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int") + (F.pmod("part", F.lit(groups)) * tasks if groups > 1 else F.lit(0))
+    rows = own.groupBy(*keys, *(c for c in laps_of if c not in keys)).agg(F.collect_list("i").alias("at"))
+    rows = rows.select(slot.alias("slot"), F.lit(1).alias("side"), *keys, name.alias("name"), F.col("at").cast("array<int>").alias("at"))
+    laps = placed.groupBy(*laps_of).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "bin"))), lambda x: x["bin"]).alias("at"))
+    laps = laps.select(F.explode(F.sequence(in_group * tasks, in_group * tasks + (tasks - 1))).alias("slot"), F.lit(0).alias("side"), *[F.lit(None).cast(spikes.schema[c].dataType).alias(c) for c in entity], F.lit(None).cast("int").alias("part"), name.alias("name"), "at")
+    dealt = laps.union(rows).repartitionById(tasks * groups, "slot").sortWithinPartitions("slot", "side", *keys)
     width = len(keys)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
+        known: dict[str, np.ndarray] = {}
         offsets: dict[str, np.ndarray] = {}
-        at, counts = None, None
-        for key, part in _groups(batches, width):
-            if key != at:
-                if at is not None:
-                    yield at, counts.reshape(n, bins)
-                at, counts = key, np.zeros(n * bins, dtype=np.int64)
-            for r in range(part.num_rows):
-                name = part.column(width + 1)[r].as_py()
-                places = part.column(width + 2)[r].values.to_numpy().astype(np.int64)
-                lap = part.column(width + 3)[r].values.to_numpy()
-                if name not in offsets:
-                    if len(offsets) > 1 << 12:
-                        offsets.clear()
-                    offsets[name] = draws(f"{seed}-", [f"{s}-{name}".encode() for s in range(1, n + 1)])
-                twice, back = np.concatenate([lap, lap]), lap.size - offsets[name] % lap.size
-                each = max(1, STEP // n)
-                for lo in range(0, places.size, each):
-                    bin_ = twice[places[None, lo : lo + each] + back[:, None]]
-                    np.add.at(counts, (bin_ + np.arange(n)[:, None] * bins).ravel(), 1)
+        at, counts, waiting, size = None, np.zeros(0, dtype=np.int32), [], 0
+        row = np.arange(n, dtype=np.int64)[:, None] * bins
+
+        def add() -> None:
+            nonlocal counts, waiting, size
+            if waiting:
+                counts += np.bincount(np.concatenate(waiting), minlength=n * bins).astype(np.int32)
+            waiting, size = [], 0
+
+        for batch in batches:
+            side, names, lists = batch.column(1).to_numpy(), batch.column(width + 2), batch.column(width + 3)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for key, part, first in _groups(batch, 2, width):
+                for r in range(first, first + part):
+                    name, places = names[r].as_py(), values[ends[r] : ends[r + 1]]
+                    if side[r] == 0:
+                        known[name] = np.tile(places.astype(np.min_scalar_type(bins)), 2)
+                        continue
+                    if key != at:
+                        if at is not None:
+                            add()
+                            yield at, counts.reshape(n, bins)
+                        at, counts = key, np.zeros(n * bins, dtype=np.int32)
+                    lap = known[name]
+                    if name not in offsets:
+                        if len(offsets) > 1 << 12:
+                            offsets.clear()
+                        offsets[name] = draws(f"{seed}-", [f"{s}-{name}".encode() for s in range(1, n + 1)])
+                    back = (lap.size // 2 - offsets[name] % (lap.size // 2))[:, None]
+                    each = max(1, STEP // n)
+                    for lo in range(0, places.size, each):
+                        waiting.append((lap[places[None, lo : lo + each] + back] + row).ravel())
+                        size += waiting[-1].size
+                        if size >= STEP:
+                            add()
         if at is not None:
+            add()
             yield at, counts.reshape(n, bins)
 
-    def tell(how: str, keep: int) -> Callable:
+    shape = {h: _types(spikes, entity) + TOLD[h][1] for h in TOLD}
+    schemas = {h: _arrow(spikes, shape[h]) for h in TOLD}
+
+    def tell(how: str, keep: int, found: Callable) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, counts in matrices(batches):
-                yield from _batch(how, key[:keep], counts)
+            held, size = [], 0
+            for key, counts in found(batches):
+                columns = TOLD[how][0](counts, p)
+                heads = [pa.repeat(pa.scalar(x, schemas[how].field(c).type), len(columns[0])) for c, x in enumerate(key[:keep])]
+                held.append(pa.RecordBatch.from_arrays([*heads, *(x.cast(schemas[how].field(keep + c).type) for c, x in enumerate(columns))], schema=schemas[how]))
+                size += held[-1].nbytes
+                if size >= STEP:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
         return run
 
-    def _batch(how: str, key: tuple, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = TOLD[how][0](counts, p)
-        if found:
-            yield pa.RecordBatch.from_pylist([dict(zip(names[how], (*key, *x), strict=True)) for x in found], schema=schemas[how])
-
-    entity = [*k, "entity"]
-    shape = {h: _types(spikes, entity) + TOLD[h][1] for h in TOLD}
-    names = {h: [*entity, *(c.split()[0] for c in TOLD[h][1].split(", "))] for h in TOLD}
-    schemas = {h: _arrow(spikes, shape[h]) for h in TOLD}
-    if not split:
-        return rows.mapInArrow(tell(told, len(entity)), shape[told])
-    cold = rows.where("part is null").mapInArrow(tell(told, len(entity)), shape[told])
-    pieces = rows.where("part is not null").mapInArrow(tell("bins", len(entity)), shape["bins"])
+    if not split and groups == 1:
+        return dealt.mapInArrow(tell(told, len(entity), matrices), shape[told])
+    # entities in one piece are told of at once, the others' pieces are added up
+    if groups == 1:
+        cold = dealt.where("part is null").mapInArrow(tell(told, len(entity), matrices), shape[told])
+        pieces = dealt.where("part is not null or side = 0").mapInArrow(tell("bins", len(entity), matrices), shape["bins"])
+    else:
+        cold, pieces = None, dealt.mapInArrow(tell("bins", len(entity), matrices), shape["bins"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
         at, counts = None, None
-        for key, part in _groups(batches, len(entity)):
-            if key != at:
-                if at is not None:
-                    yield from _batch(told, at, counts)
-                at, counts = key, np.zeros((n, bins), dtype=np.int64)
-            for r in range(part.num_rows):
-                b, which, times = (part.column(len(entity) + c)[r] for c in range(3))
-                counts[which.values.to_numpy() - 1, b.as_py()] += times.values.to_numpy()
+        for batch in batches:
+            for key, part, first in _groups(batch, 0, len(entity)):
+                if key != at:
+                    if at is not None:
+                        yield at, counts
+                    at, counts = key, np.zeros((n, bins), dtype=np.int32)
+                for r in range(first, first + part):
+                    b, which, times = (batch.column(len(entity) + c)[r] for c in range(3))
+                    counts[which.values.to_numpy() - 1, b.as_py()] += times.values.to_numpy()
         if at is not None:
-            yield from _batch(told, at, counts)
+            yield at, counts
 
-    return cold.union(pieces.repartition(*entity).sortWithinPartitions(*entity).mapInArrow(merge, shape[told]))
+    whole = pieces.repartition(tasks, *entity).sortWithinPartitions(*entity).mapInArrow(tell(told, len(entity), merged), shape[told])
+    return whole if cold is None else cold.union(whole)
 
 
 def _arrow(df: DataFrame, shape: str) -> pa.Schema:
