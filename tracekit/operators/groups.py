@@ -99,15 +99,16 @@ def bootstrap_sd(df: DataFrame, k: list[str], group: str, v: str, o: str, a: obj
     """
     own = df.where(F.col(group).isin(a, b))
     size = own.groupBy(*k).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")).where("na > 0 and nb > 0")
-    # at most one row for each ``big`` rows
-    large = written(size.where(F.col("na") + F.col("nb") > big).select(*k), "large")
-    some = large.count() > 0
+    total = size.agg(F.coalesce(F.sum(F.greatest("na", "nb") * 2), F.lit(0)).alias("n"), F.count_if(F.col("na") + F.col("nb") > big).alias("large")).first()
+    some = total.large > 0
+    if some:  # at most one row for each ``big`` rows
+        large = written(size.where(F.col("na") + F.col("nb") > big).select(*k), "large")
     small = own.join(F.broadcast(large), k, "left_anti") if some else own
     values = lambda g: F.transform(F.sort_array(F.collect_list(F.when(F.col(group) == g, F.struct(F.col(o).alias("o"), F.col(v).cast("double").alias("v"))))), lambda x: x["v"])
     name = F.concat_ws("-", *[F.col(c).cast("string") for c in k])
     arrays = small.groupBy(*k).agg(values(a).alias("_a"), values(b).alias("_b")).where("size(_a) > 0 and size(_b) > 0")
     arrays = arrays.select(*k, F.when(F.length(name) > 0, F.concat(name, F.lit("-"))).otherwise("").alias("_name"), "_a", "_b")
-    out = resampling.sampled_deviation(arrays, k, a, b, n, seed)
+    out = resampling.sampled_deviation(arrays.repartition(resampling.parts_of(df, total.n * n), *k), k, a, b, n, seed)
     return out.union(_bootstrap_by_rows(own.join(F.broadcast(large), k, "left_semi"), k, group, v, o, a, b, n, seed)) if some else out
 
 

@@ -29,6 +29,79 @@ def draws(prefix: str, ends: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([md5(head + x).digest() for x in ends]), dtype=">u4")[::4].astype(np.int64)
 
 
+#: Shifts and constants of the rounds of MD5, and hashes that are made at once (their arrays stay in a core's cache).
+_SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_ADDED = [np.uint32(int(abs(np.sin(i + 1)) * 2**32)) for i in range(64)]
+_AT_ONCE = 1 << 13
+
+
+def _first_words(blocks: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the MD5 of each row of 64 padded bytes."""
+    w = np.ascontiguousarray(blocks.view("<u4").T)
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(w.shape[1], x, dtype=np.uint32) for x in start)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            at = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            at = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            at = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            at = 7 * i % 16
+        f += a
+        f += w[at]
+        f += _ADDED[i]
+        np.right_shift(f, np.uint32(32 - _SHIFTS[i]), out=g)
+        f <<= np.uint32(_SHIFTS[i])
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a += start[0]
+    return a.byteswap()
+
+
+def drawn(heads: list[bytes], ends: list[bytes]) -> np.ndarray:
+    """``draws`` of each head (rows) with each of the ends (columns), hashed by whole arrays of messages of equal length."""
+    out = np.empty((len(heads), len(ends)), dtype=np.int64)
+    by_size: list[dict[int, list[int]]] = [{}, {}]
+    for of, texts in zip(by_size, (heads, ends), strict=True):
+        for i, x in enumerate(texts):
+            of.setdefault(len(x), []).append(i)
+    for h, rows in by_size[0].items():
+        left = np.frombuffer(b"".join(heads[i] for i in rows), dtype=np.uint8).reshape(len(rows), h)
+        for e, columns in by_size[1].items():
+            if h + e > 55:  # more than one block
+                for i in rows:
+                    out[i, columns] = draws(heads[i].decode(), [ends[j] for j in columns])
+                continue
+            right = np.frombuffer(b"".join(ends[j] for j in columns), dtype=np.uint8).reshape(len(columns), e)
+            wide = min(len(columns), _AT_ONCE)
+            tall = max(1, _AT_ONCE // wide)
+            for lo in range(0, len(rows), tall):
+                for first in range(0, len(columns), wide):
+                    part, own = left[lo : lo + tall], right[first : first + wide]
+                    block = np.zeros((part.shape[0], own.shape[0], 64), dtype=np.uint8)
+                    block[:, :, :h] = part[:, None, :]
+                    block[:, :, h : h + e] = own[None, :, :]
+                    block[:, :, h + e] = 0x80
+                    block[:, :, 56], block[:, :, 57] = (h + e) * 8 & 255, (h + e) * 8 >> 8
+                    out[np.ix_(rows[lo : lo + tall], columns[first : first + wide])] = _first_words(block.reshape(-1, 64)).reshape(block.shape[:2])
+    return out
+
+
 def _types(df: DataFrame, columns: list[str] | tuple[str, ...]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
@@ -229,10 +302,6 @@ def _arrow(df: DataFrame, shape: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(shape))
 
 
-def _deal(df: DataFrame, keys: list[str], run: Callable, shape: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, shape)
-
-
 def sampled_deviation(groups: DataFrame, k: list[str], a: object, b: object, n: int, seed: int) -> DataFrame:
     """(k, sd) of rows (k, name string, a_values, b_values, one row a key): the deviation of the difference of the means of two hashed samples with replacement, each as large as the larger group, over n draws."""
     shape = _types(groups, k) + "sd double"
@@ -251,10 +320,9 @@ def sampled_deviation(groups: DataFrame, k: list[str], a: object, b: object, n:
                     each = max(1, STEP // big)
                     for lo in range(1, n + 1, each):
                         its = range(lo, min(n, lo + each - 1) + 1)
-                        at = np.concatenate([draws(f"{seed}-{name}{group}-{i}-", ends) for i in its]) % values.size
-                        drawn = values[at].reshape(len(its), big)
+                        taken = values[drawn([f"{seed}-{name}{group}-{i}-".encode() for i in its], ends) % values.size]
                         with np.errstate(invalid="ignore"):
-                            mean[s, lo - 1 : lo - 1 + len(its)] = np.nansum(drawn, axis=1) / (~np.isnan(drawn)).sum(axis=1)
+                            mean[s, lo - 1 : lo - 1 + len(its)] = np.nansum(taken, axis=1) / (~np.isnan(taken)).sum(axis=1)
                 d = mean[0] - mean[1]
                 d = d[~np.isnan(d)]
                 out.append((*(batch.column(c)[r].as_py() for c in range(width)), float(d.std()) if d.size else None))
@@ -283,10 +351,13 @@ def permuted_means(series: DataFrame, k: list[str], bins: int, n: int, seed: int
                 with np.errstate(invalid="ignore", divide="ignore"):
                     real = np.add.reduceat(np.nan_to_num(values), edges) / count
                     means = np.empty((n, edges.size))
-                    for i in range(1, n + 1):
-                        by = np.argsort(draws(f"{seed}-{name}{i}-", ends), kind="stable")
-                        x = values[by]
-                        means[i - 1] = np.add.reduceat(np.nan_to_num(x), edges) / np.add.reduceat((~np.isnan(x)).astype(float), edges)
+                    each = max(1, STEP // size)
+                    for lo in range(1, n + 1, each):
+                        its = range(lo, min(n, lo + each - 1) + 1)
+                        # a hash of 32 bits, then the place of the sample (under 2^31): both sort as one number
+                        order = np.sort(drawn([f"{seed}-{name}{i}-".encode() for i in its], ends).astype(np.uint64) << np.uint64(31) | np.arange(size, dtype=np.uint64), axis=1)
+                        x = values[(order & np.uint64((1 << 31) - 1)).astype(np.int64)]
+                        means[lo - 1 : lo - 1 + len(its)] = np.add.reduceat(np.nan_to_num(x), edges, axis=1) / np.add.reduceat((~np.isnan(x)).astype(float), edges, axis=1)
                 for b in range(edges.size):
                     m = means[:, b][~np.isnan(means[:, b])]
                     head = tuple(batch.column(c)[r].as_py() for c in range(width))

@@ -54,15 +54,17 @@ def permuted_bins(df: DataFrame, k: list[str], o: str, v: str, bins: int = 10, n
     A shuffle orders the samples of a series by a hash. Samples at the end that fill no whole stretch belong to the last one. A series is one array, permuted n times in a task; one of
     more than ``big`` samples is shuffled by rows.
     """
-    # at most one row for each ``big`` rows
-    large = written(df.groupBy(*k).agg(F.count("*").alias("_n")).where(F.col("_n") > big).select(*k), "large")
-    some = large.count() > 0
+    size = df.groupBy(*k).agg(F.count("*").alias("_n"))
+    total = size.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count_if(F.col("_n") > big).alias("large")).first()
+    some = total.large > 0
+    if some:  # at most one row for each ``big`` rows
+        large = written(size.where(F.col("_n") > big).select(*k), "large")
     small = df.join(F.broadcast(large), k, "left_anti") if some else df
     name = F.concat_ws("-", *[F.col(c).cast("string") for c in k])
     each = F.sort_array(F.collect_list(F.struct(F.col(o).alias("o"), F.col(v).cast("double").alias("v"))))
     series = small.groupBy(*k).agg(each.alias("_s"))
     series = series.select(*k, F.when(F.length(name) > 0, F.concat(name, F.lit("-"))).otherwise("").alias("_name"), F.transform("_s", lambda x: x["o"].cast("string")).alias("_o"), F.transform("_s", lambda x: x["v"]).alias("_v"))
-    both = resampling.permuted_means(series, k, bins, n, seed)
+    both = resampling.permuted_means(series.repartition(resampling.parts_of(df, total.n * n), *k), k, bins, n, seed)
     if some:
         both = both.union(_permuted_by_rows(df.join(F.broadcast(large), k, "left_semi"), k, o, v, bins, n, seed))
     t = F.when(F.col("_null_sd") > 0, (F.col("_null_mean") - F.col("mean")) / (F.col("_null_sd") / F.sqrt("_draws")))
