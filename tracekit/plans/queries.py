@@ -16,6 +16,7 @@ from tracekit.operators import segments as E
 from tracekit.operators import tuning as T
 from tracekit.operators import windows as W
 from tracekit.plans import fixtures as V
+from tracekit.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Draws of the queries that SQL checks.
@@ -549,8 +550,8 @@ def p13(spark: SparkSession, sf: str) -> DataFrame:
 @query("s1_read_event_log", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, FALSE AS bad FROM events UNION ALL SELECT doc_id, NULL, TRUE FROM documents")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
     raw = V.table(spark, sf, "events").select("event_id", F.col("props").alias("line")).union(V.table(spark, sf, "documents").select("doc_id", "text"))
-    v = F.try_parse_json("line")
-    return raw.select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), v.isNull().alias("bad"))
+    rows = raw.select("event_id", readers.json_object(F.col("line")).alias("v"))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.col("v").isNull().alias("bad"))
 
 
 @query("s4_unpivot_wide", "UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME entity VALUE value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,9 +37,19 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return placed.join(starts, ["file", "_b"]).select("file", (F.col("_before") + F.col("_p")).alias("line_no"), "line")
 
 
+def json_object(line: Column) -> Column:
+    """The JSON object that a line is, as variant; null where it is anything else.
+
+    The parser stops at the end of the first value. What follows one shows as the line is also parsed as the only element of an array and the only field of an object: nothing but white space passes in both.
+    """
+    v = F.try_parse_json(line)
+    alone = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"line":'), line, F.lit("}"))).isNotNull()
+    return F.when(alone & F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, record variant, bad, line): a JSON object a line; lines that are none are kept as bad, with their text as ``line`` (null for the others), blank lines are left out."""
-    v = F.try_parse_json("line")
+    v = json_object(F.col("line"))
     return _numbered_lines(spark, path).where("trim(line) <> ''").select("file", "line_no", v.alias("record"), v.isNull().alias("bad"), F.when(v.isNull(), F.col("line")).alias("line"))
 
 
