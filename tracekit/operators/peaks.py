@@ -42,8 +42,8 @@ def transients(df: DataFrame, k: list[str], o: str, v: str, m: int = 15, times:
 
 
 def peak_shapes(df: DataFrame, peaks: DataFrame, k: list[str], o: str, v: str, reach: int, before: int = 100, after: int = 300) -> DataFrame:
-    """(k, o, top, top_at, low, amplitude, waveform) of each peak: the largest sample from it on within ``reach``, its place (the first on ties), the smallest within half of that before it, their difference, and
-    the samples from ``before`` to ``after``, moved to the front where the series begins later, zeros at the end up to before + after + 1.
+    """(k, o, top, top_at, low, amplitude, waveform, samples) of each peak: the largest sample from it on within ``reach``, its place (the first on ties), the smallest within half of that before it, their difference, and
+    the samples from ``before`` to ``after``, moved to the front where the series begins later, zeros at the end up to before + after + 1; ``samples`` of it are the series', zeros among them.
 
     Each peak meets the samples around it by an equi join on their places.
     """
@@ -59,7 +59,7 @@ def peak_shapes(df: DataFrame, peaks: DataFrame, k: list[str], o: str, v: str, r
     )
     size = before + after + 1
     shape = F.concat(F.col("_w.x"), F.array_repeat(F.lit(0.0), F.lit(size) - F.size("_w")))
-    return out.select(*k, F.col("_p").alias(o), "top", "top_at", "low", (F.col("top") - F.col("low")).alias("amplitude"), shape.alias("waveform"))
+    return out.select(*k, F.col("_p").alias(o), "top", "top_at", "low", (F.col("top") - F.col("low")).alias("amplitude"), shape.alias("waveform"), F.size("_w").alias("samples"))
 
 
 def quiet_zscore(df: DataFrame, peaks: DataFrame, k: list[str], o: str, v: str, far: int = 299, near: int = 99, out: str = "z") -> DataFrame:

@@ -42,8 +42,7 @@ p AND p + 5) AS INT) AS top_at, round(min(value) FILTER (frame BETWEEN p - 3 AND
 def w6(spark: SparkSession, sf: str) -> DataFrame:
     out = P.peak_shapes(_series(spark, sf), _tops(spark, sf), E, O, X, reach=6, before=5, after=8)
     total = F.aggregate("waveform", F.lit(0.0), lambda a, x: a + x)
-    held = F.size(F.filter("waveform", lambda x: x != 0)).cast("long")
-    return rounded(out.select("entity", "frame", "top", "top_at", "low", "amplitude", total.alias("total"), held.alias("held"), F.element_at("waveform", 1).alias("first")))
+    return rounded(out.select("entity", "frame", "top", "top_at", "low", "amplitude", total.alias("total"), F.col("samples").cast("long").alias("held"), F.element_at("waveform", 1).alias("first")))
 
 
 @query("w7_quiet_zscore", V.over("traces", body="#" + _TOPS + """,
