@@ -106,7 +106,21 @@ def _types(df: DataFrame, columns: list[str] | tuple[str, ...]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def _groups(batch: pa.RecordBatch, first: int, keys: int) -> Iterator[tuple[tuple, int, int]]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Slices of equal leading columns, each with its key, in the order they come; a group may come in several slices."""
+    for batch in batches:
+        n = batch.num_rows
+        new = np.zeros(n, dtype=bool)
+        for c in range(keys):
+            codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), n] if n else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield tuple(batch.column(c)[a].as_py() for c in range(keys)), batch.slice(a, b - a)
+
+
+def _stretches(batch: pa.RecordBatch, first: int, keys: int) -> Iterator[tuple[tuple, int, int]]:
     """(key, rows, first row) of each stretch of a batch with equal values in ``keys`` columns from ``first`` on, in the order they come; a key may go on in the next batch."""
     n = batch.num_rows
     new = np.zeros(n, dtype=bool)
@@ -222,7 +236,7 @@ def shuffled_counts(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7,
         for batch in batches:
             side, names, lists = batch.column(1).to_numpy(), batch.column(width + 2), batch.column(width + 3)
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for key, part, first in _groups(batch, 2, width):
+            for key, part, first in _stretches(batch, 2, width):
                 for r in range(first, first + part):
                     name, places = names[r].as_py(), values[ends[r] : ends[r + 1]]
                     if side[r] == 0:
@@ -280,7 +294,7 @@ def shuffled_counts(spikes: DataFrame, frames: DataFrame, n: int, seed: int = 7,
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
         at, counts = None, None
         for batch in batches:
-            for key, part, first in _groups(batch, 0, len(entity)):
+            for key, part, first in _stretches(batch, 0, len(entity)):
                 if key != at:
                     if at is not None:
                         yield at, counts
