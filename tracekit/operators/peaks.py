@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracekit.operators import windows as W
@@ -62,18 +62,40 @@ def peak_shapes(df: DataFrame, peaks: DataFrame, k: list[str], o: str, v: str, r
     return out.select(*k, F.col("_p").alias(o), "top", "top_at", "low", (F.col("top") - F.col("low")).alias("amplitude"), shape.alias("waveform"), F.size("_w").alias("samples"))
 
 
+def _in_order(o: str, v: str) -> Column:
+    """The values of a group in the order of o."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col(o).alias("o"), F.col(v).alias("v")))), lambda x: x["v"])
+
+
+def _mean(values: str) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def _deviation(values: str) -> Column:
+    """The population deviation, one value after another."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
+
+    def step(s: Column, x: Column) -> Column:
+        mean = s["m"] + (x - s["m"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("m"), (s["d"] + (x - mean) * (x - s["m"])).alias("d"))
+
+    return F.aggregate(values, start, step, lambda s: F.sqrt(s["d"] / s["n"]))
+
+
 def quiet_zscore(df: DataFrame, peaks: DataFrame, k: list[str], o: str, v: str, far: int = 299, near: int = 99, out: str = "z") -> DataFrame:
     """v less the mean, over the deviation, of quiet stretches: those before peaks, from ``far`` to ``near`` samples ahead of them (from the start to an early peak), whose deviation is in the lowest tenth of their range.
 
-    Deviations of 0 don't count. Null where a series has no quiet stretch, or only one kind of them.
+    Deviations of 0 don't count. Null where a series has no quiet stretch, or only one kind of them. Samples of a stretch are added up in their order, as the last bit of a sum
+    decides between halves to round and between equal stretches; a stretch has at most ``far`` of them.
     """
     late = F.col(o) >= far
     ask = peaks.select(*k, F.col(o).alias("_p"), F.explode(F.sequence(F.when(late, F.col(o) - far).otherwise(0), F.when(late, F.col(o) - near - 1).otherwise(F.greatest(F.col(o) - 1, F.lit(0))))).alias(o))
-    each = ask.where(F.col(o) < F.col("_p")).join(df.select(*k, o, v), [*k, o]).groupBy(*k, "_p").agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s")).where("_s > 0")
+    both = ask.where(F.col(o) < F.col("_p")).join(df.select(*k, o, F.col(v).cast("double").alias("_v")).where("_v is not null"), [*k, o])
+    each = both.groupBy(*k, "_p").agg(_in_order(o, "_v").alias("_x")).select(*k, "_p", _mean("_x").alias("_m"), _deviation("_x").alias("_s")).where("_s > 0")
     w = Window.partitionBy(*k)
     span = F.max("_s").over(w) - F.min("_s").over(w)
     lowest = each.withColumn("_b", F.when(span > 0, F.floor((F.col("_s") - F.min("_s").over(w)) / span * 10))).where("_b = 0")
-    base = lowest.groupBy(*k).agg(F.avg("_m").alias("_m"), F.avg("_s").alias("_s"))
+    base = lowest.groupBy(*k).agg(_in_order("_p", "_m").alias("_m"), _in_order("_p", "_s").alias("_s")).select(*k, _mean("_m").alias("_m"), _mean("_s").alias("_s"))
     return df.join(base, k, "left").withColumn(out, (F.col(v) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 

@@ -51,7 +51,9 @@ AND frame < CASE WHEN p < 20 THEN p ELSE p - 5 END GROUP BY 1, 2 HAVING stddev_p
 b AS (SELECT *, floor((s - min(s) OVER w) / nullif(max(s) OVER w - min(s) OVER w, 0) * 10) AS b FROM s WINDOW w AS (PARTITION BY entity)),
 q AS (SELECT entity, avg(m) AS m, avg(s) AS s FROM b WHERE b = 0 GROUP BY 1) SELECT t.entity, CAST(frame AS INT) AS frame, round((value - m) / s, 6) AS z FROM traces t LEFT JOIN q USING (entity)"""))
 def w7(spark: SparkSession, sf: str) -> DataFrame:
-    return P.quiet_zscore(_series(spark, sf), _tops(spark, sf), E, O, X, far=20, near=5).select("entity", "frame", r("z"))
+    z = P.quiet_zscore(_series(spark, sf), _tops(spark, sf), E, O, X, far=20, near=5)
+    # stretches of two samples give halves of the sixth place, which SQL rounds as a multiple of it and not by the decimals of the number
+    return z.select("entity", "frame", (F.round(F.col("z") * 1e6) / 1e6).alias("z"))
 
 
 @query("w8_baselined", V.over("traces", body="""#z AS (SELECT entity, frame, value - min(value) OVER (PARTITION BY entity) AS value FROM traces),
