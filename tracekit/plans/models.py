@@ -44,9 +44,10 @@ def m2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m3_spectral_clusters")
 def m3(spark: SparkSession, sf: str) -> DataFrame:
-    """Eigenvectors have no SQL; tested against numpy's. The similarity of all pairs, and how well the clusters match the labels."""
+    """Eigenvectors have no SQL; tested against numpy's. The similarity of all pairs, of which none is made, and how well the clusters match the labels."""
     v = _vectors(spark, sf)
-    told = E.clusters(_scaled(v), 10, rounds=25)
+    ends = M.cosine_bounds(v, "vec_id", "embedding").first()
+    told = E.cosine_clusters(v, "vec_id", "embedding", 0.0 if ends[0] is None else ends[0], 0.0 if ends[1] is None else ends[1], 10, rounds=25)
     out, accuracy = M.match_labels(told.join(v.select(F.col("vec_id").alias("id"), "label"), "id"), "label", "cluster")
     return out.select("id", "cluster", "label", "matched", F.lit(round(accuracy, 6)).alias("accuracy"))
 
