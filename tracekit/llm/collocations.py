@@ -23,7 +23,7 @@ from tracekit.llm.shared import frugal, in_filter, key_filter, stored
 
 U = np.uint64
 #: Shards; bytes of text counted at once; bits of a filter over phrases; parts that rows of one frequent word are dealt to.
-SHARDS, TEXT, BITS, DEAL = 8, 1 << 23, 1 << 28, 32
+SHARDS, TEXT, BITS, DEAL = 8, 1 << 22, 1 << 28, 32
 #: Bytes that end a piece, and bytes of words.
 CUT = np.zeros(256, dtype=bool)
 CUT[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -50,6 +50,7 @@ def _words(batch: pa.RecordBatch, shards: bool = False) -> Iterator[tuple[str, i
         of = np.repeat(codes[rows], np.diff(firsts))
         by = np.argsort(of, kind="stable")
         edges = [0, *(np.flatnonzero(np.diff(of[by])) + 1).tolist(), of.size]
+        del cuts, fresh  # a block's caller holds its own arrays beside those of the block
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             at, code = by[lo:hi], int(of[by[lo]])
             yield names[code // SHARDS if shards else code], code % SHARDS if shards else -1, w[at], piece[at], data, begins[at], stops[at]
