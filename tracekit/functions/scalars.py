@@ -180,14 +180,21 @@ def without_large_columns(df: DataFrame, k: list[str], v: str, limit: float, out
     return df.join(mean, k).withColumn(out, F.when(F.col("_m") <= limit, F.col(v))).drop("_m")
 
 
+def _of_one(raw: Column) -> Column:
+    """An array over its sum. Arrays of one element bind ``raw`` and the sum, so each is worked out once a row and not once an element."""
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, y: a + y)
+    over = lambda r: F.transform(F.array(total(r)), lambda t: F.transform(r, lambda x: x / t))[0]
+    return F.transform(F.array(raw), over)[0]
+
+
 def gaussian_weights(window: Column) -> Column:
     """The weights of ``gaussian_kernel`` for a window that differs by row."""
     half, sigma = F.floor(window / 2), window / 2.355
     raw = F.transform(F.sequence(-half, half), lambda k: F.exp(-0.5 * F.pow(k / sigma, F.lit(2))))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
+    return _of_one(raw)
 
 
 def decay_weights(tau: Column, tail: int = 6) -> Column:
     """The weights of ``decay_kernel`` for a time constant, a whole number, that differs by row."""
     raw = F.transform(F.sequence(F.lit(0), (tau * tail).cast("int") - 1), lambda x: F.exp(-x / tau))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
+    return _of_one(raw)
