@@ -255,32 +255,139 @@ def folds(df: DataFrame, name: str, label: str, n: int, seed: int = 5) -> DataFr
 
 
 def nearest(train: DataFrame, test: DataFrame, name: str, label: str, vector: str, neighbours: int = 5) -> DataFrame:
-    """test (name, label) with ``predicted``: the most frequent label among the ``neighbours`` rows of ``train`` that are most alike by cosine, the smallest on ties.
+    """test (name, label) with ``predicted``: the most frequent label among the ``neighbours`` rows of ``train`` that are most alike by cosine, the smallest on ties."""
+    ask = test.select(F.col(name).cast("long").alias("i"), F.lit(0).alias("f"), F.lit(0).cast("long").alias("y"), F.lit(1).cast("long").alias("n"), _floats(test, vector))
+    known = train.select(F.col(name).cast("long").alias("i"), F.lit(-1).alias("f"), F.col(label).cast("long").alias("y"), _floats(train, vector))
+    size = [df.agg(F.count("*"), F.max(F.size(vector))).first() for df in (test, train)]
+    won = _most_alike(ask, known, neighbours, size[0][0], size[1][0], max(size[0][1] or 1, size[1][1] or 1)).select(F.col("i").alias("_n"), _vote(neighbours).alias("predicted"))
+    return test.join(won, F.col(name) == F.col("_n")).drop("_n")
 
-    The training rows are blocks of vectors multiplied with each block of test rows; only the best of a block leave it.
+
+def nearest_folds(dealt: DataFrame, name: str, label: str, vector: str, values: list[int]) -> DataFrame:
+    """(neighbours, fold, n, accuracy, error) for each number of neighbours and fold of dealt (name, label, vector, fold), by the rows of the other folds. One look at the pairs serves all folds and numbers.
+
+    Rows of one fold, label and vector are asked about once.
+    """
+    most = max(values)
+    rows = dealt.select(F.col(name).cast("long").alias("i"), F.col("fold").alias("f"), F.col(label).cast("long").alias("y"), _floats(dealt, vector))
+    size = dealt.agg(F.count("*"), F.max(F.size(vector))).first()
+    ask = rows.groupBy("f", "y", "x").agg(F.min("i").alias("i"), F.count("*").alias("n")).select("i", "f", "y", "n", "x")
+    told = _most_alike(ask, rows, most, size[0], size[0], size[1] or 1)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("k"), _vote(v).alias("p")) for v in values])).alias("t")
+    told = told.select("f", "y", "n", each).select(F.col("t.k").alias("neighbours"), F.col("f").alias("fold"), "n", F.abs(F.col("t.p") - F.col("y")).alias("off"))
+    hit = F.sum(F.when(F.col("off") == 0, F.col("n")).otherwise(0))
+    return told.groupBy("neighbours", "fold").agg(F.sum("n").alias("n"), (hit / F.sum("n")).alias("accuracy"), F.percentile("off", F.lit(0.5), F.col("n")).alias("error"))
+
+
+def _floats(df: DataFrame, vector: str) -> Column:
+    return (F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.transform(vector, lambda x: x.cast("double"))).alias("x")
+
+
+def _vote(k: int) -> Column:
+    """The most frequent label of the first k of ``best``, the smallest on ties."""
+    y = F.transform(F.slice("best", 1, k), lambda s: s["y"])
+    count = lambda a: F.size(F.filter(y, lambda z: z == a))
+    return -F.array_max(F.transform(F.array_distinct(y), lambda a: F.struct(count(a).alias("c"), (-a).alias("y"))))["y"]
+
+
+#: Blocks that rows asked about and training rows are cut into; numbers of a block of rows asked about, over which there are more blocks.
+ASKED, TRAINED, HELD = 16, 4, 1 << 22
+
+
+class _Best:
+    """The ``most`` training rows most alike to each row asked about (f ascending), by the cosine rounded to 9 places and the name.
+
+    Cosines of all pairs are products of floats. Only pairs that are not under a row's worst by more than such products may err are worked out in doubles.
     """
-    every = train.select(name, label, F.transform(vector, lambda x: x.cast("double")).alias("x"))
-    parts = max(1, -(-every.count() // 2000))
-    held = every.withColumn("p", F.pmod(F.xxhash64(name), F.lit(parts))).groupBy("p").agg(F.collect_list(F.struct(F.col(name).alias("i"), F.col(label).alias("y"), "x")).alias("t"))
-    ask = test.select(F.col(name).alias("_n"), F.transform(vector, lambda x: x.cast("double")).alias("_x")).withColumn("_q", F.pmod(F.xxhash64("_n"), F.lit(max(1, -(-test.count() // 1000)))))
-    asked = ask.groupBy("_q").agg(F.collect_list(F.struct("_n", "_x")).alias("q")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))).join(held, "p").select("q", "t")
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, f: np.ndarray, x: np.ndarray, most: int) -> None:
+        self.f, self.x, self.most = f, _unit(x), most
+        self.short, self.slack = self.x.astype(np.float32), (x.shape[1] + 16) * 2.0**-23
+        self.s, self.i, self.y = np.full((f.size, most), -np.inf), np.full((f.size, most), np.iinfo(np.int64).max), np.zeros((f.size, most), np.int64)
+
+    def add(self, f: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray) -> None:
+        """Training rows: no row asked about sees those of its own f."""
+        for one in np.unique(f).tolist():
+            at = np.flatnonzero(f == one)
+            x_, ends = _unit(x[at]), np.searchsorted(self.f, [one, one + 1])
+            short, each = x_.astype(np.float32), max(1, (CELLS // 2) // at.size)
+            for lo, hi in ((0, ends[0]), (ends[1], self.f.size)):
+                for a in range(lo, hi, each):
+                    b = min(a + each, hi)
+                    cosine = self.short[a:b] @ short.T
+                    least = self.s[a:b, -1] - self.slack
+                    if at.size > self.most and np.isneginf(least).any():
+                        least = np.maximum(least, np.partition(cosine, -self.most, axis=1)[:, -self.most] - 2 * self.slack)
+                    found = np.flatnonzero(cosine >= least.astype(np.float32)[:, None] - np.float32(self.slack))
+                    for part in np.array_split(found, -(-found.size // (1 << 16))) if found.size else ():
+                        row, col = a + part // at.size, part % at.size
+                        self._merge(row, np.round(np.einsum("ij,ij->i", self.x[row], x_[col]), 9), i[at[col]], y[at[col]])
+
+    def _merge(self, row: np.ndarray, s: np.ndarray, i: np.ndarray, y: np.ndarray) -> None:
+        some, place = np.unique(row, return_inverse=True)
+        place = np.concatenate([np.repeat(np.arange(some.size), self.most), place])
+        s, i, y = (np.concatenate([old[some].ravel(), new]) for old, new in ((self.s, s), (self.i, i), (self.y, y)))
+        order = np.lexsort((i, -s, place))
+        place = place[order]
+        kept = order[np.arange(place.size) - np.searchsorted(place, np.arange(some.size))[place] < self.most]
+        self.s[some], self.i[some], self.y[some] = (c[kept].reshape(-1, self.most) for c in (s, i, y))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+
+
+def _most_alike(ask: DataFrame, known: DataFrame, most: int, asked: int, trained: int, width: int) -> DataFrame:
+    """ask (i, f, y, n) with ``best``, the ``most`` rows (d, i, y) of known (i, f, y, x) of another f that are most alike to x by cosine, of equally near ones those of smaller i; d is less for nearer ones. Rows without any are left out.
+
+    All pairs are looked at, in tiles of a block of rows asked about, which a task holds, and a block of training rows that stream by: the time is quadratic, memory and what leaves a task are not. Of training rows with one f
+    and vector no more than ``most`` can count. ``asked``, ``trained`` and ``width`` are the rows and the length of vectors at most.
+    """
+    r = max(1, min(-(-asked // 1000), max(ASKED, -(-asked * width // HELD))))
+    c = max(1, min(-(-trained // 4000), TRAINED))
+    copy = F.row_number().over(Window.partitionBy("f", "x").orderBy("i"))
+    known = known.withColumn("_c", copy).where(F.col("_c") <= most).drop("_c")
+    tile = lambda at, n: F.pmod(F.xxhash64(at), F.lit(n))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = ask.select(F.lit(0).alias("side"), tile("i", r).alias("r"), to(c).alias("c"), "i", "f", "y", "n", "x")
+    right = known.select(F.lit(1).alias("side"), to(r).alias("r"), tile("i", c).alias("c"), "i", "f", "y", F.lit(0).cast("long").alias("n"), "x")
+    dealt = left.union(right).repartitionById(r * c, (F.col("r") * c + F.col("c")).cast("int")).sortWithinPartitions("side", "f").select("side", "i", "f", "y", "n", "x")
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        i, f, y = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        return [f, i, y, batch.column(5).flatten().to_numpy().reshape(len(i), -1)]
+
+    def told(rows: pa.RecordBatch, best: _Best) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, rows.num_rows, 8192):
+            hi = min(lo + 8192, rows.num_rows)
+            there = np.isfinite(best.s[lo:hi])
+            ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+            # less 0 for no negative zero
+            near = pa.StructArray.from_arrays([pa.array(0.0 - best.s[lo:hi][there]), pa.array(best.i[lo:hi][there]), pa.array(best.y[lo:hi][there])], ["d", "i", "y"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(lo, hi - lo) for c in (1, 2, 3, 4)), pa.ListArray.from_arrays(pa.array(ends), near)], ["i", "f", "y", "n", "best"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, best = [], None, None
         for batch in batches:
-            for q, t in zip(batch.column(0), batch.column(1), strict=True):
-                q, t = q.values, t.values
-                a, b = (x.field(x.type.get_field_index(c)).flatten().to_numpy().reshape(len(x), -1) for x, c in ((q, "_x"), (t, "x")))
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
-                cosine, i, y = unit(a) @ unit(b).T, t.field("i").to_numpy(), t.field("y").to_numpy()
-                top = np.lexsort((np.broadcast_to(i, cosine.shape), -np.round(cosine, 9)), axis=1)[:, :neighbours]
-                rows = np.arange(len(q))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.field("_n").to_numpy(), top.shape[1])), pa.array(np.round(cosine, 9)[rows, top].ravel()), pa.array(i[top].ravel()), pa.array(y[top].ravel().astype(np.int64))], ["n", "s", "i", "y"])
-
-    near = asked.mapInArrow(best, "n long, s double, i long, y long")
-    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("s"), "i"))
-    votes = near.withColumn("_k", rank).where(F.col("_k") <= neighbours).groupBy("n", "y").agg(F.count("*").alias("c"))
-    won = votes.groupBy("n").agg(F.max_by("y", F.struct("c", -F.col("y"))).alias("predicted"))
-    return test.join(won, F.col(name) == F.col("n")).drop("n")
+            first = int(np.count_nonzero(batch.column(0).to_numpy() == 0))
+            if first:
+                held.append(batch.slice(0, first))
+            if first == batch.num_rows or not held:
+                continue
+            if best is None:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                f, _, _, x = columns(rows)
+                best = _Best(f, x, most)
+            f, i, y, x = columns(batch.slice(first))
+            best.add(f, i, y, x)
+        if best is not None:
+            yield from told(rows, best)
+
+    near = dealt.mapInArrow(look, "i long, f int, y long, n long, best array<struct<d: double, i: long, y: long>>")
+    if c > 1:
+        near = near.groupBy("i", "f", "y", "n").agg(F.flatten(F.collect_list("best")).alias("best"))
+    return near.withColumn("best", F.slice(F.array_sort("best"), 1, most)).where(F.size("best") > 0)
 
 
 def predictions(train: DataFrame, test: DataFrame, name: str, label: str, vector: str, model: str = "bayes", **options: float) -> DataFrame:
@@ -302,16 +409,25 @@ def predictions(train: DataFrame, test: DataFrame, name: str, label: str, vector
 
 def cross_validated(df: DataFrame, name: str, label: str, vector: str, n: int = 10, model: str = "bayes", **options: float) -> DataFrame:
     """(fold, n, accuracy, error) for each of n stratified folds: the share of right labels, and the median size of the label's error, of a model trained on the others."""
+    from tracekit.sources.scratch import written
+
     dealt = folds(df.select(name, label, vector), name, label, n)
     if model in ("kernel", "linear"):  # all folds at once
         return kernels.grid(dealt, label, vector, [options.get("C", 1.0)], model == "kernel").drop("C")
+    if model == "nearest":
+        return nearest_folds(written(dealt, "folds"), name, label, vector, [int(options.get("neighbours", 5))]).drop("neighbours")
     told = [predictions(dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f), name, label, vector, model, **options) for f in range(n)]
     rows = reduce(lambda a, b: a.unionByName(b), told)
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"), F.median(F.abs(F.col("predicted") - F.col(label))).alias("error"))
 
 
 def grid_search(df: DataFrame, name: str, label: str, vector: str, values: list[float], n: int = 3, model: str = "kernel", option: str = "C") -> DataFrame:
-    """(option, best) for each value of a model's option: the best accuracy of its folds; sorted so that the first row is the best, the larger value on ties. The least-squares machines share their features and sums among all C."""
+    """(option, best) for each value of a model's option: the best accuracy of its folds; sorted so that the first row is the best, the larger value on ties. The least-squares machines share their features and sums among all C, numbers of neighbours the pairs."""
+    from tracekit.sources.scratch import written
+
+    if model == "nearest" and option == "neighbours":
+        told = nearest_folds(written(folds(df.select(name, label, vector), name, label, n), "folds"), name, label, vector, [int(v) for v in values])
+        return told.groupBy(F.col("neighbours").cast("double").alias(option)).agg(F.max("accuracy").alias("best")).orderBy(F.desc("best"), F.desc(option))
     if model in ("kernel", "linear") and option == "C":
         told = kernels.grid(folds(df.select(name, label, vector), name, label, n), label, vector, values, model == "kernel")
         return told.groupBy("C").agg(F.max("accuracy").alias("best")).orderBy(F.desc("best"), F.desc("C"))
