@@ -28,3 +28,23 @@ def test_kept_apart_by_islands(spark):
     with contextlib.redirect_stdout(plan):
         out.explain()
     assert "_island" in plan.getvalue()  # a group is an island, not a series
+
+
+def test_islands_are_thinned_by_batches(spark):
+    """Not a call an island: islands of a batch, those that go on in the next one, and a series of one long island."""
+    draw = random.Random(5)
+    series = {e: [(f, float(draw.randrange(9))) for f in sorted(draw.sample(range(3000), 700))] for e in range(6)}
+    series[6] = [(f, float(draw.randrange(3))) for f in range(0, 2000, 4)]
+    df = spark.createDataFrame([(e, f, v) for e, rows in series.items() for f, v in rows], "entity long, frame long, value double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = io.StringIO()
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = W.kept_apart(df, ["entity"], "frame", "value", 5)
+        got = sorted((r.entity, r.frame, r.value) for r in out.collect())
+        with contextlib.redirect_stdout(plan):
+            out.explain()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == [(e, f, v) for e, rows in series.items() for f, v in brute_apart(rows, 5)]
+    assert "FlatMapGroups" not in plan.getvalue()

@@ -5,8 +5,10 @@ All frames are bounded unless a running state is the point, so a partition is on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -181,40 +183,63 @@ def repaired_resets(df: DataFrame, k: list[str], o: str, v: str, drop: float = 1
     return df.join(mended, [*k, o], "left").withColumn(v, F.coalesce("_v", F.col(v).cast("double"))).drop("_v")
 
 
-def survivors(at: np.ndarray, value: np.ndarray, gap: float) -> np.ndarray:
-    """Which candidates at rising places stay when pairs of neighbours closer than ``gap`` meet in rounds: of each pair of a round the larger leaves, of equal ones the first.
+def survivors(at: np.ndarray, value: np.ndarray, gap: float, island: np.ndarray | None = None) -> np.ndarray:
+    """Which candidates at rising places stay when pairs of neighbours closer than ``gap`` meet in rounds: of each pair of a round the larger leaves, of equal ones the first. Only those of one ``island``, numbers in order, meet.
 
-    Candidates are a chain of links. Who leaves is unlinked, and only neighbours who meet by that form the next round, so the work is that of those who leave.
+    Of two close neighbours one leaves, so a round at least halves each chain of them. All islands take their rounds at once.
     """
-    n = at.size
-    before, after, stays = np.arange(-1, n - 1), np.arange(1, n + 1), np.ones(n, dtype=bool)
-    meet = {i for i in range(n - 1) if at[i + 1] - at[i] < gap}
-    while meet:
-        leave = {int(after[i]) if value[after[i]] > value[i] else i for i in meet}
-        for i in leave:
-            stays[i] = False
-            if before[i] >= 0:
-                after[before[i]] = after[i]
-            if after[i] < n:
-                before[after[i]] = before[i]
-        left = {int(before[i]) for i in leave}
-        meet = {i for i in left if i >= 0 and stays[i] and after[i] < n and at[after[i]] - at[i] < gap}
-    return stays
+    left = np.arange(at.size)
+    while left.size > 1:
+        a, b = left[:-1], left[1:]
+        close = at[b] - at[a] < gap
+        if island is not None:
+            close &= island[a] == island[b]
+        i = np.flatnonzero(close)
+        if not i.size:
+            break
+        stays = np.ones(left.size, dtype=bool)
+        stays[np.where(value[b[i]] > value[a[i]], i + 1, i)] = False
+        left = left[stays]
+    out = np.zeros(at.size, dtype=bool)
+    out[left] = True
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task in tables of many whole groups; the first column tells where a group begins."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
+        if starts.size:  # the last group may go on in the next batch
+            done = pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            if done.num_rows:
+                yield done.combine_chunks()
+            held, batch = [], batch.slice(starts[-1])
+        held.append(batch)
+    if held and (done := pa.Table.from_batches(held)).num_rows:
+        yield done.combine_chunks()
 
 
 def kept_apart(df: DataFrame, k: list[str], o: str, v: str, gap: float) -> DataFrame:
     """Of sparse candidates, as long as two neighbours are closer than ``gap``, the larger of each such pair goes, of equal ones the first; all pairs of a round at once.
 
-    Candidates ``gap`` or more apart don't touch each other, so only those of one island go to pandas together.
+    Candidates ``gap`` or more apart don't touch each other, so a task needs whole islands only; it thins those of a batch together.
     """
-    def thinned(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="_island").sort_values(o)
-        return rows[survivors(rows[o].to_numpy(), rows[v].to_numpy(), gap)]
-
+    names, schema = df.columns, df.schema
     by = Window.partitionBy(*k).orderBy(o)
-    far = F.coalesce(F.col(o) - F.lag(o).over(by) >= gap, F.lit(False)).cast("int")
-    islands = df.withColumn("_far", far).withColumn("_island", F.sum("_far").over(by)).drop("_far")
-    return islands.groupBy(*k, "_island").applyInPandas(thinned, df.schema)
+    new = F.coalesce(F.col(o) - F.lag(o).over(by) >= gap, F.lit(True))
+    islands = df.withColumn("_new", new).withColumn("_island", F.sum(F.col("_new").cast("int")).over(by))
+    rows = islands.repartition(*k, "_island").sortWithinPartitions(*k, "_island", o).select("_new", *names)
+
+    def thinned(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        stays = survivors(table.column(o).to_numpy(), table.column(v).to_numpy(), gap, np.cumsum(table.column("_new").to_numpy()))
+        yield from table.select(names).filter(pa.array(stays)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_groups(batches):
+            yield from thinned(held)
+
+    return rows.mapInArrow(run, schema)
 
 
 def every_nth(df: DataFrame, k: list[str], o: str, n: int) -> DataFrame:
