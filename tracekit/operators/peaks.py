@@ -5,10 +5,10 @@ df has key columns k, an order column o that counts samples from 0 in steps of 1
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,19 +178,24 @@ def _find(x: np.ndarray, height: float | None, distance: int, prominence: float
 def find_peaks(df: DataFrame, k: list[str], o: str, v: str, height: float | None = 0.1, distance: int = 1, prominence: float | None = 0.15) -> DataFrame:
     """(k, o, value, prominence) of the maxima, of a plateau the middle one, that reach the height, have no higher one closer than ``distance``, and stand out by the prominence.
 
-    A series is one recording and is looked at as a whole; a null sample ends a rise and a fall.
+    A series is one recording and is looked at as a whole, the series of a batch after one another; a null sample ends a rise and a fall.
     """
 
-    def told(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(o)
-        x = rows[v].to_numpy(dtype=float)
-        at, prom = _find(np.where(np.isnan(x), -np.inf, x), height, distance, prominence)
-        found = rows.iloc[at][[*k, o]].copy()
-        found["value"], found["prominence"] = x[at], prom
-        return found
+    first = F.row_number().over(Window.partitionBy(*k).orderBy(o)) == 1
+    rows = df.select(*k, o, v).repartition(*k).sortWithinPartitions(*k, o).select(first.alias("_new"), *k, o, F.col(v).cast("double").alias("_v"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in W.whole_groups(batches):
+            x = table.column("_v").to_numpy()
+            low = np.where(np.isnan(x), -np.inf, x)
+            ends = [*np.flatnonzero(table.column("_new").to_numpy()).tolist(), x.size]
+            found = [(a, *_find(low[a:b], height, distance, prominence)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            at = np.concatenate([a + i for a, i, _ in found])
+            out = table.select([*k, o]).take(pa.array(at)).append_column("value", pa.array(x[at])).append_column("prominence", pa.array(np.concatenate([p for _, _, p in found])))
+            yield from out.to_batches()
 
     shape = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*k, o])
-    return df.select(*k, o, v).groupBy(*k).applyInPandas(told, f"{shape}, value double, prominence double")
+    return rows.mapInArrow(told, f"{shape}, value double, prominence double")
 
 
 def peak_pipeline(df: DataFrame, k: list[str], o: str, v: str, baseline: dict | None = None, smooth: dict | None = None, algorithm: str = "differences", **options: float) -> DataFrame:
