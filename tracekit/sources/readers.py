@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracekit.sources.scratch import written
+
 
 def frame_times(spark: SparkSession, path: str) -> DataFrame:
     """(file, relative, absolute, index) of all Frame elements of XML files; of a file with index 2 (two planes), every other row by time."""
@@ -27,14 +29,15 @@ def gpio(spark: SparkSession, path: str) -> DataFrame:
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): lines of text files in order, numbered from 0 in each file.
 
-    A line's number is its place in its split and the lines of the splits before it in the file, so one large file is read and numbered by many tasks.
+    A line's number is its place in its split and the lines of the splits before it in the file, so one large file is read and numbered by many tasks. Lines are written once with a number that rises within
+    a split, so that they only meet a row a split, and are neither sorted nor held.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.col("value").alias("line")).withColumn("_i", F.monotonically_increasing_id())
-    placed = raw.withColumn("_p", F.col("_i") - F.min("_i").over(Window.partitionBy("file", "_b")))
-    sizes = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"))  # a row a split
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_i"))
+    raw = written(raw, "lines")
+    sizes = raw.groupBy("file", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))  # a row a split
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("file", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(starts, ["file", "_b"]).select("file", (F.col("_before") + F.col("_p")).alias("line_no"), "line")
+    starts = sizes.select("file", "_b", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return raw.join(F.broadcast(starts), ["file", "_b"]).select("file", (F.col("_shift") + F.col("_i")).alias("line_no"), "line")
 
 
 def json_object(line: Column) -> Column:
@@ -56,11 +59,9 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
 def wide_traces(spark: SparkSession, path: str) -> DataFrame:
     """(file, t, entity, status, value) of CSV files with a time column first and one column for each entity; the first row below the names tells each entity's status. White space goes everywhere."""
     lines = _numbered_lines(spark, path).withColumn("p", F.transform(F.split(F.regexp_replace("line", "\\s+", ""), ",", -1), lambda x: F.nullif(x, F.lit(""))))
-    rows = lines.select("file", "line_no", F.posexplode("p").alias("at", "x"))
-    head = rows.where("line_no < 2 and at > 0").groupBy("file", "at").agg(F.max(F.when(F.col("line_no") == 0, F.col("x"))).alias("entity"), F.max(F.when(F.col("line_no") == 1, F.col("x"))).alias("status"))
-    data = rows.where("line_no > 1")
-    t = data.where("at = 0").select("file", "line_no", F.col("x").try_cast("double").alias("t"))
-    return data.where("at > 0").join(t, ["file", "line_no"]).join(F.broadcast(head), ["file", "at"]).select("file", "t", "entity", "status", F.col("x").try_cast("double").alias("value"))
+    rows = lines.select("file", "line_no", F.element_at("p", 1).try_cast("double").alias("t"), F.posexplode("p").alias("at", "x")).where("at > 0")
+    head = rows.where("line_no < 2").groupBy("file", "at").agg(F.max(F.when(F.col("line_no") == 0, F.col("x"))).alias("entity"), F.max(F.when(F.col("line_no") == 1, F.col("x"))).alias("status"))
+    return rows.where("line_no > 1").join(F.broadcast(head), ["file", "at"]).select("file", "t", "entity", "status", F.col("x").try_cast("double").alias("value"))
 
 
 def annotations(spark: SparkSession, path: str, skip: int = 14) -> DataFrame:
