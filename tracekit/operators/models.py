@@ -246,12 +246,18 @@ def feature_vectors(tables: list[DataFrame], order: list[str], label: str) -> Da
 
 
 def folds(df: DataFrame, name: str, label: str, n: int, seed: int = 5) -> DataFrame:
-    """df with a ``fold``: in each label, rows in a hashed order are dealt in turn. Ranks come from counts by ranges of the hash, so no window spans a whole label."""
-    rows = df.withColumn("_h", hashed(F.lit(seed), F.col(name))).withColumn("_r", F.floor(F.col("_h") / F.lit(1 << 24)))
-    counts = rows.groupBy(label, "_r").agg(F.count("*").alias("_c"))
-    before = counts.select(label, "_r", F.coalesce(F.sum("_c").over(Window.partitionBy(label).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rank = F.row_number().over(Window.partitionBy(label, "_r").orderBy("_h", name)) - 1
-    return rows.join(F.broadcast(before), [label, "_r"]).withColumn("fold", F.pmod(F.col("_b") + rank, F.lit(n)).cast("int")).drop("_h", "_r", "_b")
+    """df with a ``fold``: in each label, rows in a hashed order are dealt in turn."""
+    placed = _places(df, [label], hashed(F.lit(seed), F.col(name)), [name])
+    return placed.withColumn("fold", F.pmod("_at", F.lit(n)).cast("int")).drop("_at")
+
+
+def _places(df: DataFrame, k: list[str], h: Column, ties: list[str]) -> DataFrame:
+    """df with ``_at``, a row's place from 0 in the order of the hash h of 32 bits within each k. Ranks come from counts by ranges of the hash, so no window spans a whole k; rows without a k are left out."""
+    rows = df.withColumn("_h", h).withColumn("_r", F.floor(F.col("_h") / F.lit(1 << 24)))
+    counts = rows.groupBy(*k, "_r").agg(F.count("*").alias("_c"))
+    before = counts.select(*k, "_r", F.coalesce(F.sum("_c").over(Window.partitionBy(*k).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy(*k, "_r").orderBy("_h", *ties)) - 1
+    return rows.join(F.broadcast(before), [*k, "_r"]).withColumn("_at", F.col("_b") + rank).drop("_h", "_r", "_b")
 
 
 def nearest(train: DataFrame, test: DataFrame, name: str, label: str, vector: str, neighbours: int = 5) -> DataFrame:
@@ -436,17 +442,26 @@ def grid_search(df: DataFrame, name: str, label: str, vector: str, values: list[
 
 
 def permuted_accuracy(df: DataFrame, name: str, label: str, vector: str, repeats: int, n: int = 3, model: str = "bayes", seed: int = 17) -> DataFrame:
-    """(repeat, fold, accuracy) with the labels dealt anew over the rows in a hashed order each time: what chance gives."""
+    """(repeat, fold, accuracy) with the labels dealt anew over the rows in a hashed order each time: what chance gives. Rows to which a null falls are left out of that repeat.
+
+    All repeats are dealt at once, and the least-squares machines share each pass over the vectors.
+    """
     from tracekit.sources.scratch import written
 
-    out = []
-    for k in range(repeats):
-        # the n-th row in the hashed order takes the n-th label in the order of names: counts by partitions number both
-        turned = _numbered(df.select(F.col(label).alias("_y"), F.col(name).alias("_k")), [F.col("_k")])
-        placed = _numbered(df.select(name, vector), [hashed(F.lit(seed), F.lit(k), F.col(name)), F.col(name)])
-        mixed = written(placed.join(turned.select("_y", "_at"), "_at").select(name, F.col("_y").alias(label), vector), "mixed")
-        out.append(cross_validated(mixed, name, label, vector, n, model).select(F.lit(k).alias("repeat"), "fold", "accuracy"))
-    return reduce(lambda a, b: a.union(b), out)
+    # the n-th row in the hashed order takes the n-th label in the order of names; rows are told by their place in that, since names may be copies
+    rows = _numbered(df.select(F.col(name).alias("_k"), F.col(label).alias("_y"), F.col(vector).alias("_v")), [F.col("_k")]).withColumnRenamed("_at", "_i")
+    each = rows.select("_i", "_k", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    placed = _places(each, ["repeat"], hashed(F.lit(seed), F.col("repeat"), F.col("_k")), ["_k", "_i"])
+    mixed = written(placed.join(rows.select(F.col("_i").alias("_at"), "_y"), "_at").drop("_at"), "mixed")
+    if model not in ("kernel", "linear"):
+        of = lambda k: mixed.where(F.col("repeat") == k).join(rows.select("_i", "_v"), "_i").select(F.col("_k").alias(name), F.col("_y").alias(label), F.col("_v").alias(vector))
+        out = [cross_validated(written(of(k), "mixed"), name, label, vector, n, model).select(F.lit(k).alias("repeat"), "fold", "accuracy") for k in range(repeats)]
+        return reduce(lambda a, b: a.union(b), out)
+    dealt = _places(mixed, ["repeat", "_y"], hashed(F.lit(5), F.col("_k")), ["_k", "_i"])
+    fold = (F.col("repeat") * n + F.pmod("_at", F.lit(n))).cast("int").alias("f")
+    lists = dealt.groupBy("_i").agg(F.collect_list(F.struct(fold, F.col("_y").alias("y"))).alias("_e"))
+    dealt = written(lists.join(rows.select("_i", "_v"), "_i").select(F.col("_e.f").alias("_f"), F.col("_e.y").alias("_y"), "_v"), "dealt")
+    return kernels.repeated(dealt, "_f", "_y", "_v", repeats, n, kernel=model == "kernel")
 
 
 def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
