@@ -1,6 +1,7 @@
 """Pairs of vectors by tiles: few copies of each vector, bounds without pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,28 @@ def test_a_vector_goes_to_a_bounded_number_of_tasks(vectors, monkeypatch):
 def test_no_vectors(vectors):
     assert M.cosine_pairs(vectors.limit(0), "i", "x").count() == 0
     assert M.cosine_bounds(vectors.limit(0), "i", "x").first()[0] is None
+
+
+def test_order_of_rows_keeps_all_pairs(vectors, monkeypatch):
+    monkeypatch.setattr(M, "RUN", 4)
+    for size in (1, 6, 20, 100):
+        rows = M.cosine_pairs(vectors, "i", "x", size=size).collect()
+        assert {(r.a, r.b): r.cosine for r in rows} == pytest.approx(plain(), abs=1e-9) and len(rows) == len(plain())
+
+
+def test_dense_values_come_first(monkeypatch):
+    monkeypatch.setattr(M, "LEAD", 12)
+    monkeypatch.setattr(M, "PAGE", 3)
+    cosine = np.array([0.9, 0.31, -0.8, 0.3, 0.6, 0.32, -0.1, 0.33, 0.1, -0.5, 0.7, 0.0, 0.31, -0.2])
+    batch = pa.RecordBatch.from_pydict({"a": list(range(14)), "b": list(range(20, 34)), "cosine": cosine})
+    got = M._dense_first(batch).to_pylist()
+    assert sorted(got, key=lambda r: r["a"]) == batch.to_pylist()
+    assert [r["cosine"] for r in got[:3]] == [0.3, 0.31, 0.32] and got[12:] == batch.to_pylist()[12:]
+    assert M._dense_first(batch.slice(0, 2)).num_rows == 2 and M._dense_first(batch.slice(0, 0)).num_rows == 0
+
+
+def test_files_of_all_pairs_take_few_bytes(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(1000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<float>")
+    M.cosine_pairs(df, "i", "x").withColumn("cosine", F.round("cosine", 5)).write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4.5 * 499500
