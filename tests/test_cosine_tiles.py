@@ -71,3 +71,29 @@ def test_files_of_all_pairs_take_few_bytes(spark, tmp_path):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<float>")
     M.cosine_pairs(df, "i", "x").withColumn("cosine", F.round("cosine", 5)).write.parquet(str(tmp_path / "out"))
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4.5 * 499500
+
+
+def test_both_orders_of_a_pair(vectors, monkeypatch):
+    monkeypatch.setattr(M, "RUN", 4)
+    for size in (6, 100):
+        rows = M.cosine_pairs(vectors, "i", "x", size=size, both=True).collect()
+        assert {(r.a, r.b): r.cosine for r in rows} == pytest.approx(plain() | {(b, a): v for (a, b), v in plain().items()}, abs=1e-9) and len(rows) == 2 * len(plain())
+        s = M.scaled_similarity(M.cosine_pairs(vectors, "i", "x", size=size, both=True), M.cosine_bounds(vectors, "i", "x", size=size))
+        once = M.scaled_similarity(M.cosine_pairs(vectors, "i", "x", size=size), M.cosine_bounds(vectors, "i", "x", size=size))
+        told = lambda df: sorted((r.a, r.b, round(r.distance, 9)) for r in df.collect())
+        assert told(M.distances(s, vectors, "i", both=True)) == told(M.distances(once, vectors, "i"))
+
+
+def test_the_other_order_is_the_same_run_again():
+    good = np.array([[True, True, False], [False, False, False], [True, True, True]])
+    a, b, c = M._runs(np.array([1, 2, 3]), np.array([7, 8, 9]), np.arange(9.0).reshape(3, 3), good, True)
+    assert a.tolist() == [1, 1, 7, 8, 3, 3, 3, 7, 8, 9] and b.tolist() == [7, 8, 1, 1, 7, 8, 9, 3, 3, 3] and c.tolist() == [0, 1, 0, 1, 6, 7, 8, 6, 7, 8]
+
+
+def test_files_of_distances_take_few_bytes(spark, tmp_path):
+    from tracekit.plans import QUERIES
+
+    x = np.random.default_rng(1).normal(size=(1000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    QUERIES["m2_distances"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2.5 * 1000000
